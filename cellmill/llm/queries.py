@@ -37,6 +37,40 @@ def op3_license_scan(spark, sf_dir):
     return license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+@query
+def op4_near_dedup(spark, sf_dir):
+    from .near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+
+
+@query
+def op5_decontaminate(spark, sf_dir):
+    from .decontaminate import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL["op5_decontaminate"] = rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select item_id::varchar as item_id, {_WORDS} as w from benchmark),
+iw as (
+  select distinct item_id, size, array_to_string(w[p:p + size - 1], ' ') as win
+  from (select item_id, w, least(13, len(w)) as size, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) as p from i where len(w) > 0)),
+sizes as (select distinct size from iw),
+dw as (
+  select doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') as win
+  from (select doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) as p from d, sizes where len(w) >= size)),
+m as (select doc_id, dw.size, p, item_id from dw join iw on dw.size = iw.size and dw.win = iw.win),
+h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(generate_series(p, p + size - 1)) as q from m) group by doc_id),
+n as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as items from m group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join h using (doc_id) left join n using (doc_id)"""
+
+
 @query
 def op6_token_count(spark, sf_dir):
     from .token_count import token_counts
