@@ -79,6 +79,14 @@ def op6_token_count(spark, sf_dir):
     return token_counts(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op8_quality(spark, sf_dir):
+    from .quality import score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op9_url_filter(spark, sf_dir):
     from .url_filter import url_filter
