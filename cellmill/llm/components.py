@@ -7,11 +7,22 @@ labels are written to the shared folder, so lineage stays short and both sides o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise
 
+#: Identifiers and keys (16 bytes or less each) that a join may broadcast; beyond it both sides are shuffled.
+BROADCAST_IDS = 500_000
+PIVOT_ROUNDS = 2
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a table of keys, if it has at most BROADCAST_IDS rows; else df as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b of one orderable type. Returns node, component (the smallest node reachable); nodes without edges
@@ -31,3 +42,40 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", F.col("new").alias("root"))
         if after.filter("root <> new").isEmpty():
             return labels.withColumnRenamed("root", "component")
+
+
+def links(members: DataFrame, reps: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Confirmed links (a, b) between classes that connect whatever the pairs of one bucket connect.
+
+    members: band, key. reps: key, n (size of its set), bands. confirm: takes pairs (a, b), returns those that are close.
+
+    In each of PIVOT_ROUNDS rounds a bucket names one pivot, and its members outside the pivot's component are compared
+    with it, which is linear in the bucket; pairs inside a component need no test. In the end, members outside a
+    bucket's largest component, and only these, are compared with all members of other components of the bucket, in the
+    first band that a pair shares. So no link between components is lost and no bucket is capped."""
+    found = members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    labels = None
+    for turn in range(PIVOT_ROUNDS + 1):
+        at = members.withColumn("component", F.col("key")) if labels is None else members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        at = materialise(at)
+        if turn < PIVOT_ROUNDS:
+            rank = F.xxhash64("key", F.lit(turn))
+            pivots = at.groupBy("band").agg(F.min_by(F.struct("key", "component"), F.struct(rank, "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+            pivots = materialise(pivots.select("band", F.col("p.key").alias("a"), F.col("p.component").alias("of")))
+            pairs = at.join(pivots, "band").filter("component <> of").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
+        else:
+            parts = at.groupBy("band", "component").agg(F.count("*").alias("n"))
+            main = materialise(parts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"))
+            split = materialise(at.join(main, "band").join(reps.select("key", "n", "bands"), "key"))
+            rest = split.filter("component <> main").select("band", F.col("key").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"), F.col("bands").alias("own"))
+            first = F.filter(F.arrays_zip("bands", "own"), lambda z: z["bands"] == z["own"])[0]["own"] == F.col("band")
+            near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("of")) & first
+            pairs = split.join(materialise(rest), "band").filter(near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+        pairs = materialise(pairs.distinct())
+        new = materialise(confirm(pairs))
+        if new.isEmpty() and turn:
+            continue
+        found = found.union(new) if turn else new
+        if turn < PIVOT_ROUNDS:
+            labels = components(found)
+    return found

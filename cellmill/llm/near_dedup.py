@@ -10,10 +10,7 @@ similarity with concentration like that of independent hashes.
 **Verification.** Rows with one shingle set are one class, represented by its smallest identifier, so copies take part
 once. The sets of classes that share a band with another are kept in a table; a link is confirmed on the full sets.
 
-**Buckets of any size.** In each of PIVOT_ROUNDS rounds a bucket names one pivot, and its members that are not yet in the
-pivot's component are compared with it: linear in the bucket. Pairs inside one component need no test. What is left are
-members outside a bucket's largest component; these, and only these, are compared with all members of other components
-of their bucket (in the first band that a pair shares), so no link between components is lost and no bucket is capped.
+**Buckets of any size** are linked without a cap, see components.links().
 
 Defined results: null or empty texts have an empty set and stand alone; fewer than SHINGLE words are one shingle; repeated
 rows are one class and each keep their row; a null identifier is the largest, and a class of only such rows is not
@@ -30,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import bounded, components, links
 from .shared import materialise
 from .textkit import SPACED, mix, runs_of, texts_in_chunks, word_hashes
 
-BANDS, ROWS, PIVOT_ROUNDS = 32, 5, 2
+BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-#: Identifiers and keys (16 bytes or less each) that a join may broadcast; beyond it both sides are shuffled.
-BROADCAST_IDS = 500_000
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64))
 
@@ -132,11 +127,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(close("x", "y")).select("a", "b")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A broadcast hint for a table of keys, if it has at most BROADCAST_IDS rows; else df as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: its identifier, n_shingles, component_id (the smallest identifier of the rows
     that are linked with it) and kept (it is that one). Texts are recomputed, not shuffled: only keys move."""
@@ -147,12 +137,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = materialise(reps)
     spread = reps.filter("rep is not null").select("key", "rep", F.explode("bands").alias("band"))
     shared_bands = materialise(spread.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band"))
-    members = materialise(spread.join(_bounded(shared_bands), "band"))
+    members = materialise(spread.join(bounded(shared_bands), "band"))
 
     chosen = materialise(members.select(F.col("rep").alias("id")).distinct())
-    texts = rows.join(_bounded(chosen), "id", "left_semi")
+    texts = rows.join(bounded(chosen), "id", "left_semi")
     sets = materialise(texts.mapInArrow(_sets(shingle), "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")))
-    found = links(members.select("band", "key"), reps, sets, percent)
+    found = links(members.select("band", "key"), reps, lambda pairs: confirmed(pairs, sets, percent), percent)
 
     roots = reps.select("key", "rep").join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -164,34 +154,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose component keeps another one."""
     gone = materialise(near_dedup(docs, id_col, text_col, shingle, percent).filter("not kept").select(F.col(id_col).alias("__nd_id")).distinct())
-    return docs.join(_bounded(gone), F.col(id_col) == F.col("__nd_id"), "left_anti")
-
-
-def links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between classes that connect whatever the pairs of one bucket connect."""
-    found = members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    labels = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        at = members.withColumn("component", F.col("key")) if labels is None else members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        at = materialise(at)
-        if turn < PIVOT_ROUNDS:
-            rank = F.xxhash64("key", F.lit(turn))
-            pivots = at.groupBy("band").agg(F.min_by(F.struct("key", "component"), F.struct(rank, "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-            pivots = materialise(pivots.select("band", F.col("p.key").alias("a"), F.col("p.component").alias("of")))
-            pairs = at.join(pivots, "band").filter("component <> of").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
-        else:
-            parts = at.groupBy("band", "component").agg(F.count("*").alias("n"))
-            main = materialise(parts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"))
-            split = materialise(at.join(main, "band").join(reps.select("key", "n", "bands"), "key"))
-            rest = split.filter("component <> main").select("band", F.col("key").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"), F.col("bands").alias("own"))
-            first = F.filter(F.arrays_zip("bands", "own"), lambda z: z["bands"] == z["own"])[0]["own"] == F.col("band")
-            near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("of")) & first
-            pairs = split.join(materialise(rest), "band").filter(near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
-        pairs = materialise(pairs.distinct())
-        new = materialise(confirmed(pairs, sets, percent))
-        if new.isEmpty() and turn:
-            continue
-        found = found.union(new) if turn else new
-        if turn < PIVOT_ROUNDS:
-            labels = components(found)
-    return found
+    return docs.join(bounded(gone), F.col(id_col) == F.col("__nd_id"), "left_anti")

@@ -14,6 +14,9 @@ TOKENIZER = "piece_bpe_32k.model"
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 LISTED = (("spam-farm.example.org", "", "block"), ("spam-farm.example.com", "", "block"), ("cheap-pills.example.org", "", "block"), ("cheap-pills.example.com", "", "block"))
 
+#: No source is repeated more often.
+REPETITION = 2.0
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -29,6 +32,35 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_mix_sources(spark, sf_dir):
+    from .mixing import mix_sources
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs, repetition=REPETITION).select("doc_id", "source", "tokens", "epoch", "block_order", "doc_order")
+
+
+def mixing_sql(docs: str) -> str:
+    """Rows of the mixing of a relation with doc_id, source and text."""
+    h = "('0x' || substr(md5({}), 1, 15))::bigint"
+    return rf"""
+with d as (select doc_id, source, (octet_length(encode(coalesce(text, ''))) + 3) // 4 as tokens, {h.format("'1:' || doc_id")} as h from {docs}),
+s as (select source, sum(tokens)::double as total, sum(tokens)::double / (select sum(tokens) from d) as p from d group by source),
+a as (select min(k) / 4096.0::double as a from range(0, 4097) r(k) where pow((select max(p) / min(p) from s), (1 - k / 4096.0)::double) <= {REPETITION}),
+t as (select source, total, pow((select max(p) from s) / p, 1 - a.a) as times, greatest(1, ceil(total / 1048576))::bigint as blocks from s, a),
+c as (
+  select d.*, blocks, floor(times)::bigint as passes, (times - floor(times)) * total as rest,
+    coalesce(sum(tokens) over (partition by d.source order by h, doc_id rows between unbounded preceding and 1 preceding), 0) as before
+  from d join t on d.source is not distinct from t.source),
+e as (select *, unnest(generate_series(1, passes + (before < rest)::int)) as epoch from c)
+select doc_id, source, tokens::bigint as tokens, epoch, {h.format("'1:' || coalesce(source, '') || ':' || (((h >> 30) * blocks) >> 30) || ':' || epoch")} as block_order,
+  {h.format("'1:' || doc_id || ':' || epoch")} as doc_order
+from e"""
+
+
+SQL["op2_mix_sources"] = mixing_sql("documents")
+
+
 @query
 def op3_license_scan(spark, sf_dir):
     from .license_scan import license_scan
