@@ -21,6 +21,8 @@ from .shared import without
 
 #: Above this share of all rows (and above HOT_ROWS rows) a text is salted.
 HOT_SHARE, HOT_ROWS = 1 / 1000, 256
+#: Characters of a text in the range key.
+HEAD = 32
 OUTPUT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -32,19 +34,21 @@ def normalised(text):
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with keep_id, group_size, kept and text_sha256."""
     spark = docs.sparkSession
-    ident, norm, salt, run = "__xd_id", "__xd_norm", "__xd_salt", "__xd_run"
+    ident, norm, salt, run, head, mixed = "__xd_id", "__xd_norm", "__xd_salt", "__xd_run", "__xd_head", "__xd_hash"
     base = without(docs, *OUTPUT).withColumn(norm, normalised(F.col(text_col))).withColumn(ident, F.col(id_col))
     groups = base.select(F.sha2(norm, 256).alias("h"), ident).groupBy("h").agg(F.count("*").alias("n"), F.min(ident).alias("k"))
     limit = max(HOT_ROWS, int(docs.count() * HOT_SHARE))
     hot = groups.filter(F.col("n") > limit).collect()  # fewer than 1 / HOT_SHARE rows
     salts = min(65536, max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    if hot:
+    if hot:  # a constant salt would be dropped from the window's keys, and rows dealt out once more
         base = base.withColumn(salt, F.when(F.sha2(norm, 256).isin([r.h for r in hot]), F.pmod(F.xxhash64(ident), F.lit(salts)) + 1).otherwise(F.lit(0).cast("long")))
-    else:
-        base = base.withColumn(salt, F.lit(0).cast("long"))
-    same = Window.partitionBy(norm, salt)
+    # Splitters are sampled from a short order-preserving key, for they go through the driver: texts that begin alike are
+    # ordered by a hash before they are compared in full, and equal texts stay adjacent.
+    base = base.withColumns({head: F.substring(norm, 1, HEAD), mixed: F.xxhash64(norm)})
+    keys = [head, mixed, salt] if hot else [head, mixed]
+    same = Window.partitionBy(*keys, norm)
     out = (
-        base.repartitionByRange(F.col(norm), F.col(salt))
+        base.repartitionByRange(*[F.col(k) for k in keys])
         .withColumn(run, F.row_number().over(same.orderBy(F.col(ident).asc_nulls_last())))
         .withColumn("keep_id", F.min(ident).over(same))
         .withColumn("group_size", F.count("*").over(same))
@@ -52,9 +56,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     first = F.col(run) == 1
     if hot:
-        known = spark.createDataFrame([(r.h, r.k, r.n) for r in hot], groups.select("h", "k", "n").schema)
-        out = out.join(F.broadcast(known), F.col("text_sha256") == F.col("h"), "left")
-        first = first & (F.col("h").isNull() | F.col(ident).eqNullSafe(F.col("k")))
-        out = out.withColumn("keep_id", F.coalesce("k", "keep_id")).withColumn("group_size", F.coalesce("n", "group_size"))
+        known = spark.createDataFrame([(r.h, r.k, r.n) for r in hot], groups.select("h", "k", "n").schema).toDF("__xd_h", "__xd_k", "__xd_n")
+        out = out.join(F.broadcast(known), F.col("text_sha256") == F.col("__xd_h"), "left")
+        first = first & (F.col("__xd_h").isNull() | F.col(ident).eqNullSafe(F.col("__xd_k")))
+        out = out.withColumn("keep_id", F.coalesce("__xd_k", "keep_id")).withColumn("group_size", F.coalesce("__xd_n", "group_size"))
     out = out.withColumn("kept", first)
-    return out.drop(norm, salt, run, ident, "h", "k", "n") if hot else out.drop(norm, salt, run, ident)
+    return out.drop(norm, run, ident, head, mixed, *([salt, "__xd_h", "__xd_k", "__xd_n"] if hot else []))
