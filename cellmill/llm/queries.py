@@ -32,6 +32,55 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: A user's turn asks for a reply; the assistant's next turn is its result.
+REPLY = {"reply": {"properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 300}, "turn": {"type": "integer"}}, "required": ["prompt", "turn"], "additionalProperties": False}}
+
+
+@query
+def op1_chat_format(spark, sf_dir):
+    from .chat_format import link_tools
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ident = lambda back: F.concat_ws(":", F.col("conv_id"), F.col("turn") - back)
+    user, answer = F.col("role") == "user", F.col("role") == "assistant"
+    messages = turns.withColumns({
+        "call_id": F.when(user, ident(0)), "name": F.when(user, F.lit("reply")), "arguments": F.when(user, F.to_json(F.struct("turn", F.col("text").alias("prompt")))),
+        "result_of": F.when(answer, ident(1)), "after": F.when(user, ident(2)),
+    })
+    out = link_tools(messages, REPLY)
+    return out.select("conv_id", "turn", "status", "linked", "depth", F.array_join("errors", "; ").alias("errors"), F.length("json").cast("long").alias("json_chars"), F.sha2("json", 256).alias("json_sha256"))
+
+
+SQL["op1_chat_format"] = r"""
+with recursive m as (
+  select conv_id, turn, role, coalesce(text, '') as content, text, role = 'user' as is_call, role = 'assistant' as is_result from conversations),
+calls as (select conv_id, turn, count(*) as n from m where is_call group by all),
+results as (select conv_id, turn - 1 as turn, count(*) as n from m where is_result group by all),
+nodes as (
+  select 'c' as kind, c.conv_id, c.turn, c.n, r.n is not null as linked,
+    case when exists (select 1 from results x where x.conv_id = c.conv_id and x.turn = c.turn - 2) and exists (select 1 from calls x where x.conv_id = c.conv_id and x.turn = c.turn - 2) then 'r'
+      when exists (select 1 from calls x where x.conv_id = c.conv_id and x.turn = c.turn - 2) then 'c' end as up_kind, c.turn - 2 as up_turn
+  from calls c left join results r using (conv_id, turn)
+  union all
+  select 'r', r.conv_id, r.turn, r.n, c.n is not null, case when c.n is not null then 'c' end, r.turn
+  from results r left join calls c using (conv_id, turn)),
+tree as (
+  select kind, conv_id, turn, 0 as depth from nodes where up_kind is null
+  union all
+  select n.kind, n.conv_id, n.turn, t.depth + 1 from nodes n join tree t on n.conv_id = t.conv_id and n.up_kind = t.kind and n.up_turn = t.turn)
+select m.conv_id, m.turn,
+  case when n.kind is null then 'plain' when n.n > 1 then 'repeated' when n.linked then 'linked' when is_call then 'open' else 'orphan' end as status,
+  coalesce(n.linked, false) as linked, case when n.kind is null then 0 else t.depth end::bigint as depth,
+  case when not is_call or (text is not null and length(text) between 1 and 300) then '' when text is null then 'prompt: missing' when length(text) = 0 then 'prompt: too short' else 'prompt: too long' end as errors,
+  length(j)::bigint as json_chars, sha256(j) as json_sha256
+from (
+  select *, case when is_call then json_object('content', content, 'role', role, 'tool_calls', json_array(json_object('arguments', json_object('prompt', text, 'turn', turn), 'id', conv_id || ':' || turn, 'name', 'reply')))
+    when is_result then json_object('content', content, 'role', role, 'tool_call_id', conv_id || ':' || (turn - 1))
+    else json_object('content', content, 'role', role) end::varchar as j from m) m
+left join nodes n on n.conv_id = m.conv_id and ((is_call and n.kind = 'c' and n.turn = m.turn) or (is_result and n.kind = 'r' and n.turn = m.turn - 1))
+left join tree t on t.kind = n.kind and t.conv_id = n.conv_id and t.turn = n.turn"""
+
+
 @query
 def op2_mix_sources(spark, sf_dir):
     from .mixing import mix_sources
