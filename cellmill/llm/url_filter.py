@@ -90,5 +90,6 @@ def url_filter(pages: DataFrame, entries: DataFrame, url_col: str = "url", defau
     listed = entries.select(_key(F.col("host"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "verdict", "named")
     found = passed.join(F.broadcast(listed) if small else listed, "key")
     best = found.groupBy("host", "path").agg(F.max(F.struct("named", F.length("rule").alias("size"), "rule", "verdict")).alias("best"))
+    # no bound is known for the distinct URLs, so they are never broadcast; a hot URL is split by adaptive execution
     best = materialise(best.select("host", "path", F.when(F.col("best.named"), F.col("best.rule")).alias("rule"), "best.verdict"))
-    return base.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    return base.join(best.hint("merge"), ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
