@@ -68,7 +68,7 @@ def links(members: DataFrame, reps: DataFrame, confirm: Callable[[DataFrame], Da
             main = materialise(parts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"))
             split = materialise(at.join(main, "band").join(reps.select("key", "n", "bands"), "key"))
             rest = split.filter("component <> main").select("band", F.col("key").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"), F.col("bands").alias("own"))
-            first = F.filter(F.arrays_zip("bands", "own"), lambda z: z["bands"] == z["own"])[0]["own"] == F.col("band")
+            first = F.get(F.array_intersect("bands", "own"), F.lit(0)) == F.col("band")
             near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("of")) & first
             pairs = split.join(materialise(rest), "band").filter(near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
         pairs = materialise(pairs.distinct())

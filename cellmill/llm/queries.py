@@ -160,6 +160,13 @@ def op6_token_count(spark, sf_dir):
     return token_counts(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op7_line_dedup(spark, sf_dir):
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_quality(spark, sf_dir):
     from .quality import score_quality
