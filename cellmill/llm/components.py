@@ -7,8 +7,6 @@ labels are written to the shared folder, so lineage stays short and both sides o
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,38 +42,63 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("root", "component")
 
 
-def links(members: DataFrame, reps: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
+    left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    near = pairs.join(right, "b").join(left, "a").filter(both * 100 >= (F.size("x") + F.size("y") - both) * percent)
+    return near.select("a", "b")
+
+
+def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes that connect whatever the pairs of one bucket connect.
 
-    members: band, key. reps: key, n (size of its set), bands. confirm: takes pairs (a, b), returns those that are close.
+    members: band, key. sets: key, hashes (the distinct hashes of a class's shingles).
 
     In each of PIVOT_ROUNDS rounds a bucket names one pivot, and its members outside the pivot's component are compared
-    with it, which is linear in the bucket; pairs inside a component need no test. In the end, members outside a
-    bucket's largest component, and only these, are compared with all members of other components of the bucket, in the
-    first band that a pair shares. So no link between components is lost and no bucket is capped."""
+    with it, which is linear in the bucket; pairs inside a component need no test. What buckets are left with several
+    components get an exact prefix join, see leftover(). So no link between components is lost and no bucket is capped."""
     found = members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     labels = None
     for turn in range(PIVOT_ROUNDS + 1):
         at = members.withColumn("component", F.col("key")) if labels is None else members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         at = materialise(at)
         if turn < PIVOT_ROUNDS:
-            rank = F.xxhash64("key", F.lit(turn))
+            rank = F.xxhash64("key", "band", F.lit(turn))  # other pivots in each band: a member meets many
             pivots = at.groupBy("band").agg(F.min_by(F.struct("key", "component"), F.struct(rank, "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
             pivots = materialise(pivots.select("band", F.col("p.key").alias("a"), F.col("p.component").alias("of")))
             pairs = at.join(pivots, "band").filter("component <> of").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
         else:
-            parts = at.groupBy("band", "component").agg(F.count("*").alias("n"))
-            main = materialise(parts.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"))
-            split = materialise(at.join(main, "band").join(reps.select("key", "n", "bands"), "key"))
-            rest = split.filter("component <> main").select("band", F.col("key").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"), F.col("bands").alias("own"))
-            first = F.get(F.array_intersect("bands", "own"), F.lit(0)) == F.col("band")
-            near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("of")) & first
-            pairs = split.join(materialise(rest), "band").filter(near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+            pairs = leftover(at, sets, percent)
         pairs = materialise(pairs.distinct())
-        new = materialise(confirm(pairs))
-        if new.isEmpty() and turn:
-            continue
+        new = materialise(confirmed(pairs, sets, percent))
         found = found.union(new) if turn else new
         if turn < PIVOT_ROUNDS:
             labels = components(found)
     return found
+
+
+def leftover(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that could be close, among the members of buckets with several components.
+
+    Exact prefix filter: with shingles ordered by how many of these members have them, two sets at the wanted similarity
+    share one of the first n - ceil(percent * n / 100) + 1 shingles of each. Shingles that only one member has come first
+    and match nothing. Of a shingle's members, only those outside its largest component are joined with the others."""
+    open_ = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    keys = materialise(at.join(open_, "band").select("key", "component").distinct())
+    own = sets.join(keys.select("key"), "key", "left_semi")
+    each = own.select("key", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    rare = each.join(common, "h").groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.size("s"))
+    prefix = rare.filter(length > 0).select("key", "n", F.size("s").alias("c"), F.explode(F.slice("s", F.lit(1), length.cast("int"))["h"]).alias("h"))
+    postings = materialise(prefix.join(keys, "key"))
+    parts = postings.groupBy("h", "component").agg(F.count("*").alias("k"))
+    main = materialise(parts.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("h", "main"))
+    split = materialise(postings.join(main, "h"))
+    rest = split.filter("component <> main").select("h", F.col("key").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"), F.col("c").alias("e"))
+    # no more shingles can be in both sets than either shares with any member
+    most = F.least("n", "m", "c", "e")
+    near = (most * 100 >= (F.col("n") + F.col("m") - most) * percent) & (F.col("component") != F.col("of"))
+    return split.join(materialise(rest), "h").filter(near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))

@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,32 +100,13 @@ def _sets(size: int):
         for part in parts:
             for at in range(0, part.num_rows, 512):
                 own = part.slice(at, 512)
-                made = [s.tobytes() for s in shingle_sets(own.column(1).to_pylist(), size)]
-                keys = [xxhash.xxh3_128_digest(m) if m else None for m in made]
-                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(made, pa.binary())], ["key", "shingles"])
+                made = list(shingle_sets(own.column(1).to_pylist(), size))
+                keys = [xxhash.xxh3_128_digest(m.tobytes()) if len(m) else None for m in made]
+                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array([m.view(np.int64) for m in made], pa.list_(pa.int64()))], ["key", "hashes"])
 
     return make
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
-
-    @F.pandas_udf("boolean")
-    def close(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                return False
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * both >= percent * (len(x) + len(y) - both)
-
-        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype=bool)
-
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").filter(close("x", "y")).select("a", "b")
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: its identifier, n_shingles, component_id (the smallest identifier of the rows
     that are linked with it) and kept (it is that one). Texts are recomputed, not shuffled: only keys move."""
@@ -141,8 +121,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     chosen = materialise(members.select(F.col("rep").alias("id")).distinct())
     texts = rows.join(bounded(chosen), "id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets(shingle), "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")))
-    found = links(members.select("band", "key"), reps, lambda pairs: confirmed(pairs, sets, percent), percent)
+    sets = materialise(texts.mapInArrow(_sets(shingle), "key binary, hashes array<long>").groupBy("key").agg(F.first("hashes").alias("hashes")))
+    found = links(members.select("band", "key"), sets, percent)
 
     roots = reps.select("key", "rep").join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
