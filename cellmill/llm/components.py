@@ -7,6 +7,8 @@ labels are written to the shared folder, so lineage stays short and both sides o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +53,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b")
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, percent: int, last: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Confirmed links (a, b) between classes that connect whatever the pairs of one bucket connect.
 
     members: band, key. sets: key, hashes (the distinct hashes of a class's shingles).
 
     In each of PIVOT_ROUNDS rounds a bucket names one pivot, and its members outside the pivot's component are compared
     with it, which is linear in the bucket; pairs inside a component need no test. What buckets are left with several
-    components get an exact prefix join, see leftover(). So no link between components is lost and no bucket is capped."""
+    components get an exact join of their own: ``last`` (members with component, sets, percent) -> links, or the prefix
+    join of leftover(). So no link between components is lost and no bucket is capped."""
     found = members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     labels = None
     for turn in range(PIVOT_ROUNDS + 1):
@@ -69,6 +72,8 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             pivots = at.groupBy("band").agg(F.min_by(F.struct("key", "component"), F.struct(rank, "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
             pivots = materialise(pivots.select("band", F.col("p.key").alias("a"), F.col("p.component").alias("of")))
             pairs = at.join(pivots, "band").filter("component <> of").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
+        elif last:
+            return found.union(last(at, sets, percent))
         else:
             pairs = leftover(at, sets, percent)
         pairs = materialise(pairs.distinct())
