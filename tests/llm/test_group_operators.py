@@ -90,7 +90,7 @@ def test_components(spark):
 
 
 def test_line_dedup(spark):
-    a = "the quick brown fox jumps over the lazy dog while many other animals look on and wonder what comes next in line"
+    a = "the quick brown fox jumps over the lazy dog while many other animals look on and wonder what comes next in line, for nobody told them how long such a show would take or who was going to pay for all of it"
     texts = [f"{a}\nshort\n\n{a} x", None, "", f"  {a.replace('wonder', 'ponder')} \nshort\r\nanother line that nobody else has at all", f"{a}\n{a}"]
     docs = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, kept string")
     got = {(r.doc_id, r.line_no): (r.keep_id, r.keep_line, r.kept) for r in line_dedup(docs).collect()}
