@@ -137,7 +137,7 @@ def test_chat_format(spark):
     assert [got[k].status for k in range(9)] == ["linked", "repeated", "open", "open", "orphan", "plain", "open", "open", "repeated"]
     assert [got[k].depth for k in range(9)] == [0, 1, 2, 3, 0, 0, None, None, 1]
     assert got[0].errors == [] and got[2].errors == ["a: not integer", "b: missing", "note: too long", "z: unknown"]
-    assert got[3].errors == ["nope: no such function"] and got[6].errors == got[7].errors == ["not an object"] and got[5].errors is None
+    assert got[3].errors == ["nope: no such function"] and got[6].errors == got[7].errors == ["not an object"] and got[5].errors == []
     assert got[0].json == '{"content":"","role":"assistant","tool_calls":[{"arguments":{"a":1,"b":2.5},"id":"c1","name":"add"}]}'
     assert json.loads(got[1].json) == {"content": "3.5", "role": "tool", "tool_call_id": "c1"}
     assert link_tools(messages.limit(0), schema).count() == 0
