@@ -101,6 +101,27 @@ def read_container(spark: SparkSession, path: str, components: Iterable[str] | N
     return Container(spark, tables, tuple(facts["shape"]), facts["attrs"]).only(components)
 
 
+def read_soma(spark: SparkSession, uri: str, obs_query: str | None = None, var_query: str | None = None, obs_column_names: list[str] | None = None, **_) -> Container:
+    """The native form under a soma:// URI (or a plain path), with predicates on obs and var: they reach the scans of
+    these tables, and the matrix, embeddings and graphs keep the rows that are left, by semi-joins."""
+    c = read_container(spark, uri.removeprefix("soma://"))
+    obs, var = (c.obs.filter(obs_query) if obs_query else c.obs), (c.var.filter(var_query) if var_query else c.var)
+    tables = dict(c.tables)
+    if obs_query:
+        ids = obs.select("obs_idx")
+        tables |= {t: c.tables[t].join(ids, "obs_idx", "left_semi") for t in ("matrix", "obsm")}
+        tables["obsp"] = c.obsp.join(ids.withColumnRenamed("obs_idx", "i"), "i", "left_semi").join(ids.withColumnRenamed("obs_idx", "j"), "j", "left_semi")
+    if var_query:
+        ids = var.select("var_idx")
+        tables |= {"matrix": tables["matrix"].join(ids, "var_idx", "left_semi"), "varm": c.varm.join(ids, "var_idx", "left_semi")}
+    tables |= {"obs": obs.select("obs_idx", "obs_id", *obs_column_names) if obs_column_names is not None else obs, "var": var}
+    return replace(c, tables=tables)
+
+
+def write_soma(c: Container, uri: str, overwrite: bool = False, **options) -> None:
+    write_container(c, uri.removeprefix("soma://"), overwrite, **options)
+
+
 def from_tables(spark: SparkSession, sf_dir: str) -> Container:
     """The container that plans.derive makes of the star-schema tables."""
     from ..plans import derive

@@ -13,14 +13,19 @@ register_format("zarr", zarr.read_zarr, zarr.write_zarr)
 register_format("cosmx", vendor.read_cosmx)
 register_format("xenium", vendor.read_xenium)
 register_format("h5ad", hdf5_formats.read_h5ad, hdf5_formats.write_h5ad)
+register_format("h5seurat", hdf5_formats.read_h5seurat, hdf5_formats.write_h5seurat)
+register_format("h5mu", hdf5_formats.read_h5mu, hdf5_formats.write_h5mu)
+register_format("gef", hdf5_formats.read_gef)
+register_format("spatialdata.zarr", zarr.read_spatialdata, zarr.write_spatialdata)
+register_format("soma", container.read_soma, container.write_soma)
 register_format("loom", hdf5_formats.read_loom, hdf5_formats.write_loom)
 
 
-def load(spark: SparkSession, path: str, **options) -> Container:
+def load(spark: SparkSession, path: str, **options) -> Container | dict[str, Container]:
     return loader(file_type(path))(spark, path, **options)
 
 
-def save(c: Container, path: str, overwrite: bool = False, **options) -> None:
+def save(c: Container | dict[str, Container], path: str, overwrite: bool = False, **options) -> None:
     saver(file_type(path))(c, path, overwrite=overwrite, **options)
 
 
@@ -32,4 +37,9 @@ def convert(spark: SparkSession, source: str, dest: str, overwrite: bool = False
     if (how := direct(*kinds)) is not None:
         how(spark, source, dest, overwrite=overwrite, **options)
         return
-    save(load(spark, source), dest, overwrite, **options)
+    c = load(spark, source)
+    if kinds[0] == "h5mu" and kinds[1] != "h5mu":
+        c = next(iter(c.values()))  # one assay goes to a format that holds one
+    if kinds[1] == "h5mu" and kinds[0] != "h5mu":
+        c = {options.pop("modality", "rna"): c}
+    save(c, dest, overwrite, **options)

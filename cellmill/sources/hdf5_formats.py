@@ -1,4 +1,4 @@
-"""h5ad and Loom files on the pure-Python HDF5 layer.
+"""h5ad, h5mu, h5Seurat, Loom and GEF files on the pure-Python HDF5 layer.
 
 Reading is the same data source as for Zarr: executors open the file and read their rows. A file has one writer, so
 writing streams rows to the driver a partition at a time; nothing is held but one partition.
@@ -73,16 +73,16 @@ def _csr(w: Writer, key: str, coo: DataFrame, rows: int, cols: int) -> None:
     coo.unpersist()
 
 
-def _frame(w: Writer, top: str, df: DataFrame, n: int, levels: DataFrame) -> None:
+def _frame(w: Writer, top: str, df: DataFrame, n: int, levels: DataFrame, at: str = "") -> None:
     idx, names = f"{top}_idx", [c for c in df.columns if c not in (f"{top}_idx", f"{top}_id")]
     known: dict[str, list] = {}
     for r in levels.filter(F.col("tbl") == top).orderBy("col", "code").collect():
         known.setdefault(r.col, []).append(r)
     text = {"encoding-type": "string-array", "encoding-version": "0.2.0"}
-    w.group(top, {"encoding-type": "dataframe", "encoding-version": "0.2.0", "_index": "_index", "column-order": names})
-    w.dataset(f"{top}/_index", _parts(df, f"{top}_id", [idx], _texts), [n], "string", text)
+    w.group(f"{at}{top}", {"encoding-type": "dataframe", "encoding-version": "0.2.0", "_index": "_index", "column-order": names})
+    w.dataset(f"{at}{top}/_index", _parts(df, f"{top}_id", [idx], _texts), [n], "string", text)
     for c in names:
-        kind, key = dict(df.dtypes)[c], f"{top}/{c}"
+        kind, key = dict(df.dtypes)[c], f"{at}{top}/{c}"
         if c in known:
             labels = [r.label for r in known[c]]
             w.group(key, {"encoding-type": "categorical", "encoding-version": "0.2.0", "ordered": bool(known[c][0].ordered)})
@@ -102,27 +102,172 @@ def _frame(w: Writer, top: str, df: DataFrame, n: int, levels: DataFrame) -> Non
                 w.dataset(f"{key}/mask", _parts(df.withColumn(c, F.col(c).isNull()), c, [idx], _numbers), [n], "bool")
 
 
+def _anndata(w: Writer, c: Container, at: str = "") -> None:
+    """X, layers, obs, var, obsm, varm, obsp, varp under a prefix."""
+    n, p = c.shape
+    w.group(at.rstrip("/"), {"encoding-type": "anndata", "encoding-version": "0.1.0"})
+    for top in ("layers", "obsm", "varm", "obsp", "varp", "uns"):
+        w.group(f"{at}{top}", {"encoding-type": "dict", "encoding-version": "0.1.0"})
+    for layer in c.layers():
+        coo = c.matrix.filter(F.col("layer") == layer).select(F.col("obs_idx").alias("i"), F.col("var_idx").alias("j"), F.col("value").alias("v"))
+        _csr(w, f"{at}X" if layer == "X" else f"{at}layers/{layer}", coo, n, p)
+    _frame(w, "obs", c.obs, n, c.levels, at)
+    _frame(w, "var", c.var, p, c.levels, at)
+    for top, idx, size in (("obsm", "obs_idx", n), ("varm", "var_idx", p)):
+        for key in c.keys(top):
+            rows = c.tables[top].filter(F.col("key") == key)
+            k = rows.agg(F.max(F.size("vec"))).first()[0] or 1
+            whole = c.spark.range(size).withColumnRenamed("id", "__i").join(rows, F.col("__i") == F.col(idx), "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(float("nan")), k)))
+            w.dataset(f"{at}{top}/{key}", _parts(whole, "vec", ["__i"], _numbers), [size, k], "<f8", {"encoding-type": "array", "encoding-version": "0.2.0"})
+    for top, size in (("obsp", n), ("varp", p)):
+        for key in c.keys(top):
+            _csr(w, f"{at}{top}/{key}", c.tables[top].filter(F.col("key") == key).select("i", "j", F.col("w").alias("v")), size, size)
+
+
 def write_h5ad(c: Container, path: str, overwrite: bool = False, **_) -> None:
-    """X, layers, obs, var, obsm, varm, obsp, varp; the file appears when it is complete."""
+    """The file appears when it is complete."""
+    with Writer(_target(path, overwrite)) as w:
+        _anndata(w, c)
+
+
+def read_h5mu(spark: SparkSession, path: str, modalities: list[str] | None = None, **options) -> dict[str, Container]:
+    """One lazy container for each modality, in mod-order."""
+    tree = Tree(path)
+    there = tree.attrs("mod").get("mod-order") or tree.children("mod")
+    if not there:
+        raise DataError(f"{path} has no modalities")
+    return {m: read_zarr(spark, path, prefix=f"mod/{m}", **options) for m in there if modalities is None or m in modalities}
+
+
+def write_h5mu(mods: dict[str, Container], path: str, overwrite: bool = False, **_) -> None:
+    """Modalities of the same cells, with global obs and var and the maps between global and local positions."""
+    first = next(iter(mods.values()))
+    n = first.shape[0]
+    for m, c in mods.items():
+        moved = c.obs.select(F.col("obs_idx").alias("i"), F.col("obs_id").alias("x")).join(first.obs, F.col("i") == F.col("obs_idx"), "full").filter(~F.col("x").eqNullSafe(F.col("obs_id")))
+        if c.shape[0] != n or not moved.isEmpty():
+            raise DataError(f"modality {m} has other cells, or in another order")
+    with Writer(_target(path, overwrite)) as w:
+        w.group("", {"encoding-type": "MuData", "encoding-version": "0.1.0"})
+        w.group("mod", {"mod-order": list(mods)})
+        for m, c in mods.items():
+            _anndata(w, c, f"mod/{m}/")
+        _frame(w, "obs", first.obs.select("obs_idx", "obs_id"), n, first.levels)
+        total, start, var = sum(c.shape[1] for c in mods.values()), 0, None
+        twice = None
+        for c in mods.values():
+            names = c.var.select("var_id").distinct()
+            twice = names if twice is None else twice.unionByName(names)
+        twice = twice.groupBy("var_id").count().filter("count > 1").select(F.col("var_id").alias("d"))
+        for m, c in mods.items():
+            own = c.var.join(twice, F.col("var_id") == F.col("d"), "left").select((F.col("var_idx") + start).alias("var_idx"), F.when(F.col("d").isNotNull(), F.concat(F.lit(f"{m}:"), "var_id")).otherwise(F.col("var_id")).alias("var_id"))
+            var = own if var is None else var.unionByName(own)
+            p = c.shape[1]
+            w.dataset(f"obsmap/{m}", [np.arange(n)], [n], "<i8")
+            w.dataset(f"varmap/{m}", [np.concatenate([np.full(start, -1), np.arange(p), np.full(total - start - p, -1)])], [total], "<i8")
+            start += p
+        _frame(w, "var", var, total, first.levels.limit(0))
+
+
+def write_h5seurat(c: Container, path: str, overwrite: bool = False, assay: str = "RNA", **_) -> None:
+    """Features x cells by columns, which is our rows x features by rows; factors are 1-based values with levels."""
     n, p = c.shape
     with Writer(_target(path, overwrite)) as w:
-        w.group("", {"encoding-type": "anndata", "encoding-version": "0.1.0"})
-        for top in ("layers", "obsm", "varm", "obsp", "varp", "uns"):
-            w.group(top, {"encoding-type": "dict", "encoding-version": "0.1.0"})
+        w.group("", {"version": "3.1.5.9900", "project": "cellmill", "active.assay": assay})
+        w.dataset("cell.names", _parts(c.obs, "obs_id", ["obs_idx"], _texts), [n], "string")
+        w.group(f"assays/{assay}", {"key": f"{assay.lower()}_"})
+        w.dataset(f"assays/{assay}/features", _parts(c.var, "var_id", ["var_idx"], _texts), [p], "string")
         for layer in c.layers():
             coo = c.matrix.filter(F.col("layer") == layer).select(F.col("obs_idx").alias("i"), F.col("var_idx").alias("j"), F.col("value").alias("v"))
-            _csr(w, "X" if layer == "X" else f"layers/{layer}", coo, n, p)
-        _frame(w, "obs", c.obs, n, c.levels)
-        _frame(w, "var", c.var, p, c.levels)
-        for top, idx, size in (("obsm", "obs_idx", n), ("varm", "var_idx", p)):
-            for key in c.keys(top):
-                rows = c.tables[top].filter(F.col("key") == key)
-                k = rows.agg(F.max(F.size("vec"))).first()[0] or 1
-                whole = c.spark.range(size).withColumnRenamed("id", "__i").join(rows, F.col("__i") == F.col(idx), "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(float("nan")), k)))
-                w.dataset(f"{top}/{key}", _parts(whole, "vec", ["__i"], _numbers), [size, k], "<f8", {"encoding-type": "array", "encoding-version": "0.2.0"})
-        for top, size in (("obsp", n), ("varp", p)):
-            for key in c.keys(top):
-                _csr(w, f"{top}/{key}", c.tables[top].filter(F.col("key") == key).select("i", "j", F.col("w").alias("v")), size, size)
+            name = {"X": "data", "scaled": "scale.data"}.get(layer, layer)
+            _csr(w, f"assays/{assay}/{name}", coo, n, p)
+            w.group(f"assays/{assay}/{name}", {"dims": [p, n]})
+        known: dict[str, list[str]] = {}
+        for r in c.levels.filter("tbl = 'obs'").orderBy("col", "code").collect():
+            known.setdefault(r.col, []).append(r.label)
+        w.group("meta.data", {"colnames": [x for x in c.obs.columns if x not in ("obs_idx", "obs_id")]})
+        for col, kind in c.obs.dtypes:
+            if col in ("obs_idx", "obs_id"):
+                continue
+            if col in known:
+                value = c.obs.withColumn("__v", F.coalesce(F.array_position(F.array(*[F.lit(x) for x in known[col]]), F.col(col)), F.lit(0)))
+                w.dataset(f"meta.data/{col}/values", _parts(value, "__v", ["obs_idx"], _numbers), [n], "<i4")
+                w.dataset(f"meta.data/{col}/levels", [_texts(known[col])], [len(known[col])], "string")
+            elif kind == "string":
+                w.dataset(f"meta.data/{col}", _parts(c.obs, col, ["obs_idx"], _texts), [n], "string")
+            else:
+                stored = F.coalesce(F.col(col).cast("int"), F.lit(2)) if kind == "boolean" else F.coalesce(F.col(col).cast("double"), F.lit(float("nan")))
+                w.dataset(f"meta.data/{col}", _parts(c.obs.withColumn(col, stored), col, ["obs_idx"], _numbers), [n], "<i4" if kind == "boolean" else "<f8", {"s3class": "logical"} if kind == "boolean" else {})
+        for key in c.keys("obsm"):
+            rows = c.obsm.filter(F.col("key") == key)
+            k = rows.agg(F.max(F.size("vec"))).first()[0] or 1
+            name = key.removeprefix("X_")
+            w.group(f"reductions/{name}", {"active.assay": assay, "key": f"{name.upper()}_"})
+            w.dataset(f"reductions/{name}/cell.embeddings", _parts(rows, "vec", ["obs_idx"], _numbers), [n, k], "<f8")
+
+
+def read_h5seurat(spark: SparkSession, path: str, assay: str | None = None, **_) -> Container:
+    """One assay's layers, cell table and reductions; sparse layers are read by the executors, by ranges of cells."""
+    from .zarr import component
+
+    tree = Tree(path)
+    assays = tree.children("assays")
+    if not assays or tree.kind("cell.names") != "array":
+        raise DataError(f"{path} has no assays or cell names")
+    name = assay or tree.attrs("").get("active.assay") or assays[0]
+    cells, features = tree.array("cell.names").read().tolist(), tree.array(f"assays/{name}/features").read().tolist()
+    n, p = len(cells), len(features)
+    matrix = None
+    for layer in ("counts", "data", "scale.data", *[k for k in tree.children(f"assays/{name}") if k not in ("counts", "data", "scale.data", "features", "meta.features", "misc", "variable.features")]):
+        if tree.kind(f"assays/{name}/{layer}") != "group" or tree.kind(f"assays/{name}/{layer}/indptr") != "array":
+            continue
+        own = component(spark, path, f"layers/{layer}", prefix="", layerpath=f"assays/{name}/{layer}", length=n).select(F.lit({"data": "X", "scale.data": "scaled"}.get(layer, layer)).alias("layer"), "*")
+        matrix = own if matrix is None else matrix.unionByName(own)
+    columns: dict[str, list] = {}
+    levels: list[tuple] = []
+    for col in tree.children("meta.data"):
+        key = f"meta.data/{col}"
+        if tree.kind(key) == "group":
+            labels = tree.array(f"{key}/levels").read().tolist()
+            columns[col] = [labels[v - 1] if 1 <= v <= len(labels) else None for v in tree.array(f"{key}/values").read().tolist()]
+            levels += [("obs", col, k, x, False) for k, x in enumerate(labels)]
+        elif tree.array(key).shape == [n]:
+            values = tree.array(key).read().tolist()
+            columns[col] = [None if v == 2 else bool(v) for v in values] if tree.attrs(key).get("s3class") == "logical" else [v if isinstance(v, str) else float(v) for v in values]
+    kind = lambda v: next(("string" if isinstance(x, str) else "boolean" if isinstance(x, bool) else "double" for x in v if x is not None), "string")
+    obs = spark.createDataFrame(list(zip(range(n), cells, *columns.values(), strict=True)), ", ".join(["obs_idx long, obs_id string", *[f"`{k}` {kind(v)}" for k, v in columns.items()]]))
+    var = spark.createDataFrame(list(enumerate(features)), "var_idx long, var_id string")
+    reductions = [(f"X_{r}", k, [float(x) for x in v]) for r in tree.children("reductions") if tree.kind(f"reductions/{r}/cell.embeddings") == "array" for k, v in enumerate(tree.array(f"reductions/{r}/cell.embeddings").read())]
+    return Container.of(spark, (n, p), {"assay": name}, obs=obs, var=var, matrix=matrix, obsm=spark.createDataFrame(reductions, "key string, obs_idx long, vec array<double>"), levels=spark.createDataFrame(levels, "tbl string, col string, code long, label string, ordered boolean"))
+
+
+def read_gef(spark: SparkSession, path: str, bin_size: int = 50, **_) -> Container:
+    """Stereo-seq square bins: run lengths of genes over rows (x, y, count)."""
+    from .vendor import square_bins
+
+    tree = Tree(path)
+    at = f"geneExp/bin{bin_size}"
+    if tree.kind(f"{at}/gene") != "array" or tree.kind(f"{at}/expression") != "array":
+        raise DataError(f"{path} has no bin{bin_size}")
+    g = tree.array(f"{at}/gene").read()
+    label = next(f for f in ("geneName", "gene", "geneID") if f in g.dtype.names)
+    names = [x[label].split(b"\0")[0].decode() for x in g]
+    genes = spark.createDataFrame([(k, int(x["offset"]), int(x["count"])) for k, x in enumerate(g)], "gene long, offset long, count long")
+    rows, step = tree.array(f"{at}/expression").shape[0], 1 << 18
+
+    def read(parts):
+        import pandas as pd
+
+        for part in parts:
+            for begin in part["id"]:
+                e = tree.array(f"{at}/expression").read(int(begin), int(begin) + step)
+                yield pd.DataFrame({"pos": np.arange(len(e)) + begin, "x": e["x"].astype("int64"), "y": e["y"].astype("int64"), "n": e["count"].astype("int64")})
+
+    expression = spark.range(0, rows, step).mapInPandas(read, "pos long, x long, y long, n long")
+    spots, sums = square_bins(genes, expression)
+    obs = spots.select(F.col("spot").alias("obs_idx"), F.col("spot_id").alias("obs_id"), "x", "y")
+    matrix = sums.select(F.lit("X").alias("layer"), F.col("spot").alias("obs_idx"), F.col("gene").alias("var_idx"), F.col("value").cast("double"))
+    return Container.of(spark, (obs.count(), len(names)), {"format": "gef"}, obs=obs, var=spark.createDataFrame(list(enumerate(names)), "var_idx long, var_id string"), matrix=matrix)
 
 
 def write_loom(c: Container, path: str, overwrite: bool = False, **_) -> None:

@@ -25,13 +25,34 @@ from .container import Container, replace_dir
 ROWS, CHUNK = 4096, 1 << 16
 
 
-def open_tree(path: str):
-    """A Zarr store or an HDF5 file: both answer kind, attrs, children and array."""
-    if path.lower().endswith((".h5ad", ".h5")):
+class Sub:
+    """A part of a tree under a prefix."""
+
+    def __init__(self, tree, prefix: str):
+        self.tree, self.prefix = tree, prefix
+
+    def kind(self, key: str) -> str | None:
+        return self.tree.kind(Z.join(self.prefix, key))
+
+    def attrs(self, key: str) -> dict:
+        return self.tree.attrs(Z.join(self.prefix, key))
+
+    def children(self, key: str = "") -> list[str]:
+        return self.tree.children(Z.join(self.prefix, key))
+
+    def array(self, key: str):
+        return self.tree.array(Z.join(self.prefix, key))
+
+
+def open_tree(path: str, prefix: str = ""):
+    """A Zarr store or an HDF5 file, or what is under a prefix in it: all answer kind, attrs, children and array."""
+    if path.lower().endswith((".h5ad", ".h5mu", ".h5seurat", ".loom", ".gef", ".h5")):
         from .hdf5 import Tree
 
-        return Tree(path)
-    return Z.Store(path)
+        tree = Tree(path)
+    else:
+        tree = Z.Store(path)
+    return Sub(tree, prefix) if prefix else tree
 
 
 class Range(InputPartition):
@@ -86,9 +107,11 @@ def read_column(store: Z.Store, key: str, begin: int, end: int) -> list:
 
 class ZarrReader(DataSourceReader):
     def __init__(self, options: dict, schema):
-        self.store, self.part = open_tree(options["path"]), options.get("component", "X")
+        self.store, self.part = open_tree(options["path"], options.get("prefix", "")), options.get("component", "X")
         self.schema_, self.low, self.high, self.some = schema, 0, None, None
         self.rows = int(options.get("rows", ROWS))
+        # another path for the rows of a matrix, and how many there are (files without a shape of X)
+        self.path, self.length = options.get("layerpath") or self.part, options.get("length")
 
     @property
     def axis(self) -> str:
@@ -110,6 +133,8 @@ class ZarrReader(DataSourceReader):
 
     def _length(self) -> int:
         top = self.part.split("/")[0]
+        if self.length is not None:
+            return int(self.length)
         if top in ("var", "varm", "varp"):
             return shape_of(self.store)[1]
         if top in ("X", "layers") and self.store.attrs(self.part).get("encoding-type") == "csc_matrix":
@@ -119,7 +144,7 @@ class ZarrReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         n = self._length()
         out = [Range(a, min(n, a + self.rows)) for a in range(0, n, self.rows)]
-        if self.store.attrs(self.part).get("encoding-type") == "csc_matrix":
+        if self.length is None and self.store.attrs(self.part).get("encoding-type") == "csc_matrix":
             return out  # filters are on the other axis
         out = [r for r in out if r.end > self.low and (self.high is None or r.begin < self.high)]
         return [r for r in out if self.some is None or any(r.begin <= v < r.end for v in self.some)]
@@ -139,7 +164,7 @@ class ZarrReader(DataSourceReader):
             values = store.array(key).read(a, b).astype(float)
             yield pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(values.tolist(), pa.list_(pa.float64()))], names=self.schema_.names)
         else:
-            yield from self._matrix(key, a, b)
+            yield from self._matrix(self.path, a, b)
 
     def _matrix(self, key: str, a: int, b: int) -> Iterator[pa.RecordBatch]:
         store = self.store
@@ -168,9 +193,9 @@ class AnnDataZarr(DataSource):
         return "anndata_zarr"
 
     def schema(self) -> str:
-        store, part = open_tree(self.options["path"]), self.options.get("component", "X")
+        store, part = open_tree(self.options["path"], self.options.get("prefix", "")), self.options.get("component", "X")
         top = part.split("/")[0]
-        if store.kind(part) is None:
+        if store.kind(self.options.get("layerpath") or part) is None:
             raise DataError(f"the store has no {part}")
         if top in ("obs", "var"):
             return ", ".join([f"{top}_idx long, {top}_id string", *[f"`{c}` {column_type(store, Z.join(top, c))}" for c in frame_columns(store, top)]])
@@ -190,7 +215,7 @@ def component(spark: SparkSession, path: str, part: str, **options) -> DataFrame
 
 def read_zarr(spark: SparkSession, path: str, components: Iterable[str] | None = None, **options) -> Container:
     """A lazy container of a store; parts that aren't asked for are not even listed."""
-    store = open_tree(path)
+    store = open_tree(path, options.get("prefix", ""))
     for part in ("X", "obs", "var"):
         if store.kind(part) is None:
             raise DataError(f"{path} has no {part}")
@@ -317,3 +342,31 @@ def _write_dense(df: DataFrame, store: Z.Store, key: str, idx: str, n: int, code
         return pd.DataFrame({"n": [len(part)]})
 
     df.select(F.col(idx).alias("pos"), "vec").withColumn("__chunk", F.floor(F.col("pos") / size)).groupBy("__chunk").applyInPandas(lambda p: put(p), "n long").agg(F.sum("n")).collect()
+
+
+def read_spatialdata(spark: SparkSession, path: str, table: str = "table", **options) -> Container:
+    """The table of a SpatialData store, with its shapes and points as further tables (Parquet inside the store)."""
+    store = Z.Store(path)
+    if store.kind(f"tables/{table}") is None:
+        raise DataError(f"{path} has no table {table}; there are {store.children('tables')}")
+    c = read_zarr(spark, path, prefix=f"tables/{table}", **options)
+    for top, file in (("shapes", "shapes.parquet"), ("points", "points.parquet")):
+        for name in store.children(top):
+            c.tables[f"{top}/{name}"] = spark.read.parquet(f"{path}/{top}/{name}/{file}")
+    c.attrs["labels"], c.attrs["images"] = store.children("labels"), store.children("images")
+    return c
+
+
+def write_spatialdata(c: Container, path: str, overwrite: bool = False, table: str = "table", **options) -> None:
+    """The container as the store's table, and its extra tables shapes/<name> and points/<name>."""
+    tmp, commit = replace_dir(c.spark, path, overwrite)
+    store = Z.Store(tmp)
+    for key, attributes in (("", {"spatialdata_attrs": {"version": "0.1"}}), ("tables", {}), ("shapes", {}), ("points", {})):
+        Z.write_group(store, key, attributes)
+    write_zarr(c, f"{tmp}/tables/{table}", **options)
+    for name, df in c.tables.items():
+        top, _, own = name.partition("/")
+        if own and top in ("shapes", "points"):
+            Z.write_group(store, name, {"encoding-type": f"ngff:{top}"})
+            df.write.parquet(f"{tmp}/{name}/{top}.parquet")
+    commit()

@@ -123,3 +123,46 @@ def test_file_types(tmp_path):
         (tmp_path / n).write_text("")
     assert file_type(str(tmp_path)) == "cosmx"
     assert list_formats()["h5ad"] == (True, True) and list_formats()["cosmx"] == (True, False)
+
+
+def test_h5seurat_h5mu_soma_spatialdata(spark, box, tmp_path):
+    formats.save(box, f"{tmp_path}/a.h5seurat")
+    got = formats.load(spark, f"{tmp_path}/a.h5seurat")
+    assert rows(got.matrix) == rows(box.matrix) and rows(got.obs.select("obs_id", "fct", "flag")) == rows(box.obs.select("obs_id", "fct", "flag"))
+    assert rows(got.levels.select("code", "label")) == rows(box.levels.select("code", "label")) and rows(got.obsm) == rows(box.obsm)
+    formats.save({"rna": box, "prot": box}, f"{tmp_path}/a.h5mu")
+    both = formats.load(spark, f"{tmp_path}/a.h5mu")
+    assert list(both) == ["rna", "prot"]
+    same(box, both["prot"])
+    t = Tree(f"{tmp_path}/a.h5mu")
+    assert t.array("varmap/prot").read().tolist() == [-1, -1, -1, 0, 1, 2] and t.array("var/_index").read().tolist()[0] == "rna:g0"
+    formats.save(box, f"soma://{tmp_path}/s")
+    part = formats.load(spark, f"soma://{tmp_path}/s", obs_query="n < 8 and num is not null")
+    assert sorted(r.obs_idx for r in part.obs.collect()) == [0, 3] and {r.obs_idx for r in part.matrix.collect()} == {0, 3} and part.obsp.count() == 2
+    box.tables["points/genes"] = spark.createDataFrame([(1.0, 2.0, "g")], "x double, y double, gene string")
+    formats.save(box, f"{tmp_path}/a.spatialdata.zarr")
+    got = formats.load(spark, f"{tmp_path}/a.spatialdata.zarr")
+    same(box, got)
+    assert rows(got.tables["points/genes"]) == rows(box.tables.pop("points/genes"))
+
+
+def test_gef(spark, tmp_path):
+    from cellmill.sources.vendor import cell_bins, square_bins
+
+    genes = spark.createDataFrame([(0, 0, 2), (1, 2, 2), (2, 4, 1), (3, 5, 3), (4, 8, 0)], "gene long, offset long, count long")
+    expression = spark.createDataFrame([(k, x, y, n) for k, (x, y, n) in enumerate([(10, 5, 3), (20, 15, 2), (10, 5, 1), (30, 25, 4), (20, 15, 5), (10, 5, 1), (20, 15, 1), (10, 5, 1)])], "pos long, x long, y long, n long")
+    spots, sums = square_bins(genes, expression)
+    assert [r.spot_id for r in spots.orderBy("spot").collect()] == ["spot_10_5", "spot_20_15", "spot_30_25"]
+    assert {(r.spot, r.gene): r.value for r in sums.collect()} == {(0, 0): 3, (1, 0): 2, (0, 1): 1, (2, 1): 4, (1, 2): 5, (0, 3): 2, (1, 3): 1}
+    with pytest.raises(DataError):
+        square_bins(genes.filter("gene < 2"), expression)
+    cells = cell_bins(spark.createDataFrame([("a", 0, 2), ("b", 2, 6)], "cell string, offset long, gene_count long"), expression.withColumn("gene", F.col("pos") % 2))
+    assert {(r.cell, r.gene): r.value for r in cells.collect()} == {("a", 0): 3, ("a", 1): 2, ("b", 0): 7, ("b", 1): 6}
+
+
+def test_cosmx(spark, tmp_path):
+    (tmp_path / "s_exprMat_file.csv").write_text("fov,cell_ID,GeneA,GeneB\n1,1,2,0\n1,2,0,3\n2,1,1,1\n2,9,5,5\n")
+    (tmp_path / "s_metadata_file.csv").write_text("fov,cell_ID,CenterX_global_px,CenterY_global_px,Mean.DAPI\n1,1,10,20,1.5\n1,2,11,21,2\n2,1,12,22,3\n")
+    c = formats.load(spark, str(tmp_path))
+    assert [r.obs_id for r in c.obs.orderBy("obs_idx").collect()] == ["1_1", "1_2", "2_1"] and c.shape == (3, 2)
+    assert {(r.obs_idx, r.var_idx): r.value for r in c.matrix.collect()} == {(0, 0): 2, (1, 0): 1, (1, 1): 1, (2, 1): 3}
