@@ -33,7 +33,7 @@ from .textkit import SPACED, mix, runs_of, texts_in_chunks, word_hashes
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 #: Shingles of the queries that are compared at once (a broadcast of 16 bytes each).
-BLOCK_HASHES = 2_000_000
+BLOCK_HASHES = 1_000_000
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64))
 
@@ -123,14 +123,17 @@ def in_blocks(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     blocks = max(1, -(-(asking.agg(F.sum(F.size("hashes"))).first()[0] or 0) // BLOCK_HASHES))
     found = own.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     for block in range(blocks):
-        rows = asking.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("key", "component", "hashes").collect()
-        if not rows:
+        # Arrow keeps a block as plain buffers on the driver
+        rows = asking.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("key", "component", "hashes").toArrow().combine_chunks()
+        if not rows.num_rows:
             continue
-        tokens = np.concatenate([np.array(r.hashes, np.int64) for r in rows])
-        owners = np.repeat(np.arange(len(rows)), [len(r.hashes) for r in rows])
+        hashes_ = rows["hashes"].combine_chunks()
+        tokens = hashes_.flatten().to_numpy()
+        owners = np.repeat(np.arange(rows.num_rows, dtype=np.int32), np.diff(hashes_.offsets.to_numpy()))
         order = np.argsort(tokens, kind="stable")
         unique, starts = np.unique(tokens[order], return_index=True)
-        index = own.sparkSession.sparkContext.broadcast((unique, np.append(starts, len(tokens)), owners[order], np.bincount(owners, minlength=len(rows)), [bytes(r.key) for r in rows], [bytes(r.component) for r in rows]))
+        del hashes_
+        index = own.sparkSession.sparkContext.broadcast((unique, np.append(starts, len(tokens)), owners[order], np.bincount(owners, minlength=rows.num_rows), rows["key"].to_pylist(), rows["component"].to_pylist()))
 
         def probe(parts_: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             unique, starts, owners, sizes, keys, components_ = index.value
