@@ -16,7 +16,7 @@ from .shared import materialise
 
 #: Identifiers and keys (16 bytes or less each) that a join may broadcast; beyond it both sides are shuffled.
 BROADCAST_IDS = 500_000
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 
 
 def bounded(df: DataFrame) -> DataFrame:
