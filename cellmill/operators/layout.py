@@ -35,9 +35,12 @@ def transpose(coo: DataFrame) -> DataFrame:
     return coo.select(F.col("var_idx").alias("obs_idx"), F.col("obs_idx").alias("var_idx"), "value")
 
 
-def dense_tile(coo: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
-    """All cells of a tile [begin, end) x [begin, end), zeros included."""
+def dense_tile(coo: DataFrame, rows: tuple[int, int], cols: tuple[int, int], shape: tuple[int, int]) -> DataFrame:
+    """All cells of a tile [begin, end) x [begin, end) of a matrix of that shape, zeros included."""
     spark = coo.sparkSession
+    rows, cols = (rows[0], min(rows[1], shape[0])), (cols[0], min(cols[1], shape[1]))
+    if rows[0] >= rows[1] or cols[0] >= cols[1]:
+        return coo.limit(0)
     grid = spark.range(*rows).withColumnRenamed("id", "obs_idx").withColumn("var_idx", F.explode(F.sequence(F.lit(cols[0]), F.lit(cols[1] - 1)).cast("array<bigint>")))
     inside = coo.filter(F.col("obs_idx").between(rows[0], rows[1] - 1) & F.col("var_idx").between(cols[0], cols[1] - 1))
     return grid.join(inside, ["obs_idx", "var_idx"], "left").withColumn("value", F.coalesce("value", F.lit(0)))

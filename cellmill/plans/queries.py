@@ -71,12 +71,12 @@ def q_transpose(spark, d):
 
 @query("select o.obs_idx, v.var_idx, coalesce(value, 0)::bigint as value from (select obs_idx from obs where obs_idx between 5 and 24) o cross join (select var_idx from var where var_idx between 10 and 59) v left join coo using (obs_idx, var_idx)")
 def q_dense_tile(spark, d):
-    return L.dense_tile(coo(spark, d), (5, 25), (10, 60))
+    return L.dense_tile(coo(spark, d), (5, 25), (10, 60), (obs(spark, d).count(), var(spark, d).count()))
 
 
 @query("select obs_idx, var_idx, value from coo where obs_idx between 5 and 24 and var_idx between 10 and 59")
 def q_dense_to_sparse(spark, d):
-    return L.drop_zeros(L.dense_tile(coo(spark, d), (5, 25), (10, 60)))
+    return L.drop_zeros(L.dense_tile(coo(spark, d), (5, 25), (10, 60), (obs(spark, d).count(), var(spark, d).count())))
 
 
 @query(""", n as (select obs_idx, count(value) as nnz from obs left join coo using (obs_idx) group by 1), p as (select obs_idx, sum(nnz) over (order by obs_idx) as ptr from n)

@@ -147,7 +147,8 @@ class ZarrReader(DataSourceReader):
         if self.length is None and self.store.attrs(self.part).get("encoding-type") == "csc_matrix":
             return out  # filters are on the other axis
         out = [r for r in out if r.end > self.low and (self.high is None or r.begin < self.high)]
-        return [r for r in out if self.some is None or any(r.begin <= v < r.end for v in self.some)]
+        out = [r for r in out if self.some is None or any(r.begin <= v < r.end for v in self.some)]
+        return out or [Range(0, 0)]  # Spark reads at least one partition
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         store, key, a, b = self.store, self.part, part.begin, part.end

@@ -9,4 +9,5 @@ from pyspark.sql import functions as F
 def windowed_spots(molecules: DataFrame, ts: str = "ts", late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Molecules per window of event time, spot and gene; rows later than the watermark are left out once their window
     is closed. Takes a streaming or batch DataFrame with ts, x, y and gene."""
+    molecules = molecules.withColumn(ts, F.col(ts).cast("timestamp"))
     return molecules.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), "x", "y", "gene").agg(F.count("*").alias("value")).select(F.col("w.start").alias("begin"), "x", "y", "gene", "value")
