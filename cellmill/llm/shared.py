@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Tables written between two collections of the driver.
+GC_EVERY = 8
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,6 +38,9 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cellmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    if len(_written) % GC_EVERY == 0:
+        # shuffle files of what is now cut off, and the driver's own garbage, go only when the driver collects
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
