@@ -53,10 +53,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b")
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int, last: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, percent: int, last: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, confirm: Callable[[DataFrame, DataFrame, int], DataFrame] = confirmed) -> DataFrame:
     """Confirmed links (a, b) between classes that connect whatever the pairs of one bucket connect.
 
-    members: band, key. sets: key, hashes (the distinct hashes of a class's shingles).
+    members: band, key. sets: key, hashes (the distinct hashes of a class's shingles), or what ``confirm`` and ``last``
+    read instead.
 
     In each of PIVOT_ROUNDS rounds a bucket names one pivot, and its members outside the pivot's component are compared
     with it, which is linear in the bucket; pairs inside a component need no test. What buckets are left with several
@@ -77,7 +78,7 @@ def links(members: DataFrame, sets: DataFrame, percent: int, last: Callable[[Dat
         else:
             pairs = leftover(at, sets, percent)
         pairs = materialise(pairs.distinct())
-        new = materialise(confirmed(pairs, sets, percent))
+        new = materialise(confirm(pairs, sets, percent))
         found = found.union(new) if turn else new
         if turn < PIVOT_ROUNDS:
             labels = components(found)

@@ -166,3 +166,34 @@ def test_pipeline(spark):
     sets = [shingles(t, 5) for t in texts]
     assert not [1 for a, b in combinations(sets, 2) if a and 100 * len(a & b) >= 80 * len(a | b)]
     assert {r.doc_id for r in pipeline.run(spark, sf).collect()} == ids
+
+
+def char_shingles(line):
+    return {line[k : k + 5] for k in range(max(1, len(line) - 4))}
+
+
+def test_line_dedup_shingles_at_every_character(spark):
+    random.seed(3)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrst", k=random.randint(2, 9)))
+    short = "the quick brown fox jumps over the lazy dog while many other animals look on and wonder what comes next in line"
+    start = "https://example.com/a/long/page/"
+    lines = [
+        short, short.replace("wonder", "ponder"), f"{short} x", f"{start}1/{word() * 8}", f"{start}2/{word() * 8}", "abcd", "abcde", "a\rb", "x",
+        "春の海ひねもすのたりのたりかな、夏草や兵どもが夢の跡、柿くへば鐘が鳴るなり法隆寺、古池や蛙飛びこむ水の音、閑さや", "春の海ひねもすのたりのたりかな、夏草や兵どもが夢の跡、雪とけて村いっぱいの子どもかな、名月をとってくれろと泣く子かな、菜の花や",
+        "😀😁😂🤣😃😄😅😆😉😊😋😎😍😘🥰", "😀😁😂🤣😃😄😅😆😉😊😋😎😍😘🥲",
+    ]
+    for size in (60, 120, 400):
+        for _ in range(25):
+            base = word()
+            while len(base) < size:
+                base += " " + word()
+            at = random.randrange(size)
+            lines += [base, base[:at] + "#" + base[at + 1 :]]
+    lines = list(dict.fromkeys(lines))
+    sets = [char_shingles(x) for x in lines]
+    near = [(a, b) for a, b in combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(near) > 70 and lines.index(short) == 0 and (0, 1) in near and (3, 4) not in near and (9, 10) not in near
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.keep_id, r.kept) for r in line_dedup(docs).collect()}
+    root = roots(near, range(len(lines)))
+    assert got == {k: (len(sets[k]), root[k], root[k] == k) for k in range(len(lines))}
