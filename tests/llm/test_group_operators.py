@@ -197,3 +197,10 @@ def test_line_dedup_shingles_at_every_character(spark):
     got = {r.doc_id: (r.n_shingles, r.keep_id, r.kept) for r in line_dedup(docs).collect()}
     root = roots(near, range(len(lines)))
     assert got == {k: (len(sets[k]), root[k], root[k] == k) for k in range(len(lines))}
+
+
+def test_line_dedup_unbroken_lines(spark):
+    lines = ["https://example.com/listing/" + "abcdefghij" * 2 + "klmnopqrst", "https://example.com/listing/" + "0123456789" * 2 + "uvwxyzklmn", "長い一行の始まりは同じでも後に続く文がまるで違う行である、春の海ひねもすのたり", "長い一行の始まりは同じでも後に続く文がまるで違う行である、菜の花や月は東に日は"]
+    assert all(lines[k][:24] == lines[k + 1][:24] for k in (0, 2))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.kept) for r in line_dedup(docs).collect()} == {k: (len(char_shingles(x)), True) for k, x in enumerate(lines)}
