@@ -39,7 +39,9 @@ def convert(spark: SparkSession, source: str, dest: str, overwrite: bool = False
         return
     c = load(spark, source)
     if kinds[0] == "h5mu" and kinds[1] != "h5mu":
-        c = next(iter(c.values()))  # one assay goes to a format that holds one
+        if len(c) != 1:
+            raise FormatError(f"{source} has {len(c)} modalities ({', '.join(c)}), {kinds[1]} holds one")
+        c = next(iter(c.values()))
     if kinds[1] == "h5mu" and kinds[0] != "h5mu":
         c = {options.pop("modality", "rna"): c}
     save(c, dest, overwrite, **options)

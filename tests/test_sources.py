@@ -166,3 +166,12 @@ def test_cosmx(spark, tmp_path):
     c = formats.load(spark, str(tmp_path))
     assert [r.obs_id for r in c.obs.orderBy("obs_idx").collect()] == ["1_1", "1_2", "2_1"] and c.shape == (3, 2)
     assert {(r.obs_idx, r.var_idx): r.value for r in c.matrix.collect()} == {(0, 0): 2, (1, 0): 1, (1, 1): 1, (2, 1): 3}
+
+
+def test_h5mu_modalities_are_not_dropped(spark, box, tmp_path):
+    formats.save({"rna": box, "prot": box}, f"{tmp_path}/two.h5mu")
+    with pytest.raises(formats.FormatError, match="rna, prot"):
+        formats.convert(spark, f"{tmp_path}/two.h5mu", f"{tmp_path}/two.h5ad")
+    formats.save({"rna": box}, f"{tmp_path}/one.h5mu")
+    formats.convert(spark, f"{tmp_path}/one.h5mu", f"{tmp_path}/one.h5ad")
+    assert formats.load(spark, f"{tmp_path}/one.h5ad").shape == box.shape
