@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import free, materialise
 
 #: Identifiers and keys (16 bytes or less each) that a join may broadcast; beyond it both sides are shuffled.
 BROADCAST_IDS = 500_000
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     are not in it."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    labels = materialise(labels)
+    labels = last = materialise(labels)
     while True:
         # the smallest label among each node's neighbours, offered to the node and to its root
         near = both.join(labels.withColumnsRenamed({"node": "b", "root": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
@@ -39,8 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("far"))
         after = hooked.join(jump, "new", "left").select("node", "root", F.least("new", "far").alias("new"))
         after = materialise(after)
-        labels = after.select("node", F.col("new").alias("root"))
+        free(hooked, last)
+        labels, last = after.select("node", F.col("new").alias("root")), after
         if after.filter("root <> new").isEmpty():
+            free(both)
             return labels.withColumnRenamed("root", "component")
 
 
@@ -53,31 +55,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b")
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int, last: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, confirm: Callable[[DataFrame, DataFrame, int], DataFrame] = confirmed) -> DataFrame:
+def similar_size(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can be that similar."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def links(members: DataFrame, sets: DataFrame, percent: int, last: Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame] | None = None, confirm: Callable[[DataFrame, DataFrame, int], DataFrame] = confirmed) -> DataFrame:
     """Confirmed links (a, b) between classes that connect whatever the pairs of one bucket connect.
 
-    members: band, key. sets: key, hashes (the distinct hashes of a class's shingles), or what ``confirm`` and ``last``
-    read instead.
+    members: band, key, n (size of the class's set). sets: key, hashes (the distinct hashes of a class's shingles), or
+    what ``confirm`` and ``last`` read instead.
 
     In each of PIVOT_ROUNDS rounds a bucket names one pivot, and its members outside the pivot's component are compared
     with it, which is linear in the bucket; pairs inside a component need no test. What buckets are left with several
-    components get an exact join of their own: ``last`` (members with component, sets, percent) -> links, or the prefix
-    join of leftover(). So no link between components is lost and no bucket is capped."""
+    components get an exact join of their own: ``last`` (members with component, sets, tested pairs, percent) -> links,
+    or the prefix join of leftover(). So no link between components is lost and no bucket is capped."""
     found = members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    labels = None
+    labels, tested = None, found
     for turn in range(PIVOT_ROUNDS + 1):
         at = members.withColumn("component", F.col("key")) if labels is None else members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         at = materialise(at)
         if turn < PIVOT_ROUNDS:
             rank = F.xxhash64("key", "band", F.lit(turn))  # other pivots in each band: a member meets many
-            pivots = at.groupBy("band").agg(F.min_by(F.struct("key", "component"), F.struct(rank, "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-            pivots = materialise(pivots.select("band", F.col("p.key").alias("a"), F.col("p.component").alias("of")))
-            pairs = at.join(pivots, "band").filter("component <> of").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
+            pivots = at.groupBy("band").agg(F.min_by(F.struct("key", "component", "n"), F.struct(rank, "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+            pivots = materialise(pivots.select("band", F.col("p.key").alias("a"), F.col("p.component").alias("of"), F.col("p.n").alias("m")))
+            pairs = at.join(pivots, "band").filter((F.col("component") != F.col("of")) & similar_size("n", "m", percent)).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
         elif last:
-            return found.union(last(at, sets, percent))
+            return found.union(last(at, sets, tested, percent))
         else:
             pairs = leftover(at, sets, percent)
         pairs = materialise(pairs.distinct())
+        tested = tested.union(pairs) if turn else pairs
         new = materialise(confirm(pairs, sets, percent))
         found = found.union(new) if turn else new
         if turn < PIVOT_ROUNDS:

@@ -13,8 +13,8 @@ once. The sets of classes that share a band with another are kept in a table; a
 **Buckets of any size** are linked without a cap, see components.links().
 
 Defined results: null or empty texts have an empty set and stand alone; fewer than SHINGLE words are one shingle; repeated
-rows are one class and each keep their row; a null identifier is the largest, and a class of only such rows is not
-compared; an empty table gives no rows.
+rows are one class and have one verdict; an identifier that stands with several texts has a verdict for each; a null
+identifier is the largest; texts of any length take part whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import bounded, components, links
-from .shared import materialise
+from .shared import free, materialise
 from .textkit import SPACED, mix, runs_of, texts_in_chunks, word_hashes
 
 BANDS, ROWS = 32, 5
@@ -109,7 +110,7 @@ def _sets(size: int):
     return make
 
 
-def in_blocks(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def in_blocks(at: DataFrame, sets: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """Links between different components among the members of buckets with several components.
 
     Members outside the largest component of a bucket are the queries, in blocks of about BLOCK_HASHES shingles, of
@@ -156,31 +157,60 @@ def in_blocks(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: its identifier, n_shingles, component_id (the smallest identifier of the rows
-    that are linked with it) and kept (it is that one). Texts are recomputed, not shuffled: only keys move."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _verdicts(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """rows: id, text. One row each: id, n, key (of its shingle set; null if empty), component_id, kept."""
     kind = rows.schema["id"].dataType.simpleString()
     profiles = materialise(rows.mapInArrow(_profiles(shingle), f"id {kind}, n long, key binary, bands array<long>"))
-    reps = profiles.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = materialise(reps)
-    spread = reps.filter("rep is not null").select("key", "rep", F.explode("bands").alias("band"))
+    reps = materialise(profiles.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    spread = reps.select("key", "rep", "n", F.explode("bands").alias("band"))
     shared_bands = materialise(spread.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band"))
     members = materialise(spread.join(bounded(shared_bands), "band"))
 
-    chosen = materialise(members.select(F.col("rep").alias("id")).distinct())
-    texts = rows.join(bounded(chosen), "id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets(shingle), "key binary, hashes array<long>").groupBy("key").agg(F.first("hashes").alias("hashes")))
-    found = links(members.select("band", "key"), sets, percent, in_blocks)
+    chosen = materialise(members.select(F.col("rep").alias("__id")).distinct())
+    texts = rows.join(bounded(chosen), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = materialise(texts.mapInArrow(_sets(shingle), "key binary, hashes array<long>").filter("key is not null").groupBy("key").agg(F.first("hashes").alias("hashes")))
+    found = links(members.select("band", "key", "n"), sets, percent, in_blocks)
 
     roots = reps.select("key", "rep").join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = materialise(roots.join(smallest, "component").select("key", "component_id"))
-    out = profiles.select("id", "n", "key").join(of_class, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    first = roots.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("first"))  # null is the largest
+    of_class = materialise(roots.join(first, "component").select("key", F.col("first.rep").alias("component_id"), (F.col("key") == F.col("first.key")).alias("leads")))
+    free(reps, shared_bands, members, chosen, sets)
+    out = profiles.select("id", "n", "key").join(of_class, "key", "left")
+    alone = F.col("key").isNull()
+    kept = alone | (F.col("leads") & F.col("id").eqNullSafe(F.col("component_id")))
+    return out.select("id", "n", "key", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of docs: its identifier, n_shingles, component_id (the smallest identifier of the rows
+    that are linked with it) and kept (it is that one). Texts are recomputed, not shuffled: only keys move."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = _verdicts(rows, shingle, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component keeps another one."""
-    gone = materialise(near_dedup(docs, id_col, text_col, shingle, percent).filter("not kept").select(F.col(id_col).alias("__nd_id")).distinct())
-    return docs.join(bounded(gone), F.col(id_col) == F.col("__nd_id"), "left_anti")
+    """docs without the rows whose component keeps another one. An identifier may be repeated or null: each row has the
+    verdict of its own text, found again by the key of its shingle set."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    gone = materialise(_verdicts(rows, shingle, percent).filter("not kept").select(F.col("id").alias("__nd_id"), F.col("key").alias("__nd_key")).distinct())
+    suspects = materialise(gone.select(F.col("__nd_id").alias("__nd_some"), F.lit(True).alias("__nd_asks")).distinct())
+    asked = docs.join(bounded(suspects), F.col(f"`{id_col}`").eqNullSafe(F.col("__nd_some")), "left").drop("__nd_some")
+    # only texts of those identifiers are read again
+    keyed = asked.withColumn("__nd_own", _key_of(shingle)(F.when(F.col("__nd_asks"), F.col(f"`{text_col}`"))))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__nd_id")) & (F.col("__nd_own") == F.col("__nd_key"))
+    return keyed.join(bounded(gone), same, "left_anti").drop("__nd_own", "__nd_asks")
+
+
+def _key_of(size: int):
+    import xxhash
+
+    @F.pandas_udf("binary")
+    def key(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out = []
+            for at in range(0, len(part), 512):
+                out += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in shingle_sets(part.iloc[at : at + 512].tolist(), size)]
+            yield pd.Series(out, dtype=object)
+
+    return key

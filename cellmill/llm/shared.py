@@ -16,6 +16,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 GC_EVERY = 8
 
 _written: list[tuple[SparkSession, str]] = []
+_count = 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set and
+    everything runs on this machine."""
     sc = spark.sparkContext
     if folder := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         return folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(folder := tempfile.mkdtemp(prefix="cellmill-"))
     return sc.getCheckpointDir() or folder
 
@@ -38,19 +42,35 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cellmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    if len(_written) % GC_EVERY == 0:
+    global _count
+    _count += 1
+    if _count % GC_EVERY == 0:
         # shuffle files of what is now cut off, and the driver's own garbage, go only when the driver collects
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cellmill_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete what materialise() wrote for these tables; nothing may be read from them any more."""
+    for df in tables:
+        entry = (df.sparkSession, df._cellmill_path)
+        if entry in _written:
+            _delete(*entry)
+            _written.remove(entry)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: nothing can be deleted through it
             return
 

@@ -11,7 +11,7 @@ from cellmill.llm.chat_format import canonical, depths, link_tools
 from cellmill.llm.components import components
 from cellmill.llm.line_dedup import line_dedup
 from cellmill.llm.mixing import mix_sources
-from cellmill.llm.near_dedup import BINS, near_dedup, sketch
+from cellmill.llm.near_dedup import BINS, drop_near, near_dedup, sketch
 
 
 def shingles(text, n):
@@ -204,3 +204,18 @@ def test_line_dedup_unbroken_lines(spark):
     assert all(lines[k][:24] == lines[k + 1][:24] for k in (0, 2))
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.kept) for r in line_dedup(docs).collect()} == {k: (len(char_shingles(x)), True) for k, x in enumerate(lines)}
+
+
+def test_drop_near_decides_by_row(spark):
+    random.seed(12)
+    words = lambda n: " ".join("".join(random.choices("abcdef", k=5)) for _ in range(n))
+    one, other, third, long = words(30), words(30), words(40), words(40_000)
+    rows = [(3, one), (7, one), (7, other), (None, one), (None, third), (None, third + " x"), (9, long), (10, long + " y"), (11, None), (11, ""), (12, None)]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
+    left = drop_near(docs)
+    assert left.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    nameless = [t for i, t in got if i is None]
+    assert sorted((r for r in got if r[0] is not None), key=str) == sorted([(3, one), (7, other), (9, long), (11, None), (11, ""), (12, None)], key=str)
+    assert nameless in ([third], [third + " x"])
+    assert drop_near(docs.limit(0)).count() == 0
