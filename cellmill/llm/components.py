@@ -7,8 +7,10 @@ labels are written to the shared folder, so lineage stays short and both sides o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from .shared import free, materialise
 #: Identifiers and keys (16 bytes or less each) that a join may broadcast; beyond it both sides are shuffled.
 BROADCAST_IDS = 500_000
 PIVOT_ROUNDS = 1
+#: Members of a bucket up to which its queries are paired with its members.
+DIRECT = 64
+#: Hashes of the queries that a task holds, and of the rows that it compares with them.
+BLOCK, PART = 1_000_000, 20_000_000
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -60,16 +66,15 @@ def similar_size(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int, last: Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame] | None = None, confirm: Callable[[DataFrame, DataFrame, int], DataFrame] = confirmed) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, percent: int, confirm: Callable[[DataFrame, DataFrame, int], DataFrame] = confirmed, hashes: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Confirmed links (a, b) between classes that connect whatever the pairs of one bucket connect.
 
     members: band, key, n (size of the class's set). sets: key, hashes (the distinct hashes of a class's shingles), or
-    what ``confirm`` and ``last`` read instead.
+    what ``confirm`` and ``hashes`` (which makes these two columns) read instead.
 
     In each of PIVOT_ROUNDS rounds a bucket names one pivot, and its members outside the pivot's component are compared
     with it, which is linear in the bucket; pairs inside a component need no test. What buckets are left with several
-    components get an exact join of their own: ``last`` (members with component, sets, tested pairs, percent) -> links,
-    or the prefix join of leftover(). So no link between components is lost and no bucket is capped."""
+    components go to leftover(). So no link between components is lost and no bucket is capped."""
     found = members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     labels, tested = None, found
     for turn in range(PIVOT_ROUNDS + 1):
@@ -80,39 +85,88 @@ def links(members: DataFrame, sets: DataFrame, percent: int, last: Callable[[Dat
             pivots = at.groupBy("band").agg(F.min_by(F.struct("key", "component", "n"), F.struct(rank, "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
             pivots = materialise(pivots.select("band", F.col("p.key").alias("a"), F.col("p.component").alias("of"), F.col("p.n").alias("m")))
             pairs = at.join(pivots, "band").filter((F.col("component") != F.col("of")) & similar_size("n", "m", percent)).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
-        elif last:
-            return found.union(last(at, sets, tested, percent))
         else:
-            pairs = leftover(at, sets, percent)
+            return found.union(leftover(at, sets, tested, percent, confirm, hashes))
         pairs = materialise(pairs.distinct())
         tested = tested.union(pairs) if turn else pairs
         new = materialise(confirm(pairs, sets, percent))
         found = found.union(new) if turn else new
-        if turn < PIVOT_ROUNDS:
-            labels = components(found)
+        labels = components(found)
     return found
 
 
-def leftover(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that could be close, among the members of buckets with several components.
-
-    Exact prefix filter: with shingles ordered by how many of these members have them, two sets at the wanted similarity
-    share one of the first n - ceil(percent * n / 100) + 1 shingles of each. Shingles that only one member has come first
-    and match nothing. Of a shingle's members, only those outside its largest component are joined with the others."""
-    open_ = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    keys = materialise(at.join(open_, "band").select("key", "component").distinct())
-    own = sets.join(keys.select("key"), "key", "left_semi")
-    each = own.select("key", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    common = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    rare = each.join(common, "h").groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.size("s"))
-    prefix = rare.filter(length > 0).select("key", "n", F.size("s").alias("c"), F.explode(F.slice("s", F.lit(1), length.cast("int"))["h"]).alias("h"))
-    postings = materialise(prefix.join(keys, "key"))
-    parts = postings.groupBy("h", "component").agg(F.count("*").alias("k"))
-    main = materialise(parts.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("h", "main"))
-    split = materialise(postings.join(main, "h"))
-    rest = split.filter("component <> main").select("h", F.col("key").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"), F.col("c").alias("e"))
-    # no more shingles can be in both sets than either shares with any member
-    most = F.least("n", "m", "c", "e")
-    near = (most * 100 >= (F.col("n") + F.col("m") - most) * percent) & (F.col("component") != F.col("of"))
-    return split.join(materialise(rest), "h").filter(near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+def leftover(at: DataFrame, sets: DataFrame, tested: DataFrame, percent: int, confirm: Callable[[DataFrame, DataFrame, int], DataFrame], hashes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links between different components in buckets that have several: members outside a bucket's largest component are
+    the queries. In buckets of up to DIRECT members they are paired with the others; larger buckets go to block_links().
+
+    at: band, key, n, component. hashes: rows of sets -> key, hashes."""
+    parts = at.groupBy("band", "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("parts"))
+    open_ = materialise(at.join(main.filter("parts > 1").drop("parts"), "band"))
+    few = open_.filter(F.col("size") <= DIRECT)
+    rest = few.filter("component <> main").select("band", F.col("key").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"))
+    pairs = few.join(rest, "band").filter((F.col("component") != F.col("of")) & similar_size("n", "m", percent)).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+    large = open_.filter(F.col("size") > DIRECT)
+    if not large.isEmpty():
+        # buckets that share members are one family, so that a pair of many buckets is compared once
+        hubs = large.join(large.groupBy("band").agg(F.min("key").alias("hub")), "band").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+        asks = large.groupBy("key").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("asks"))
+        rows = asks.join(components(hubs).withColumnsRenamed({"node": "key", "component": "family"}), "key")
+        rows = materialise(hashes(sets.join(rows.select("key"), "key", "left_semi")).join(rows, "key"))
+        pairs = pairs.union(block_links(rows, percent))
+    pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+    return materialise(confirm(pairs, sets, percent))
+
+
+def block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components of a family of which one asks, with 100 * intersection >= percent * union of
+    their hashes. rows: family, key, component, asks, hashes.
+
+    Queries of a family come in blocks of about BLOCK hashes, its rows in chunks of about PART hashes; each task meets
+    one block, as an inverted index, and streams one chunk past it. So no pair is made but links, a task holds one block
+    whatever the size of the family, and a large family is split."""
+    size = F.size("hashes").cast("long")
+    work = rows.groupBy("family").agg(F.sum(F.when(F.col("asks"), size).otherwise(0)).alias("q"), F.sum(size).alias("t")).filter("q > 0")
+    work = work.select("family", F.ceil(F.col("q") / BLOCK).cast("long").alias("blocks"), F.ceil(F.col("t") / PART).cast("long").alias("chunks"))
+    rows = rows.join(work, "family")
+    of = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries = rows.filter("asks").select("family", of("blocks", 1).alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("kind"), "key", "component", "hashes")
+    others = rows.select("family", each("blocks").alias("block"), of("chunks", 2).alias("chunk"), F.lit(1).alias("kind"), "key", "component", "hashes")
+    met = queries.union(others).repartition("family", "block", "chunk").sortWithinPartitions("family", "block", "chunk", "kind")
+
+    def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, keys, labels, held, index = None, [], [], [], None
+        for part in parts:
+            a, b = [], []
+            names = list(zip(*[part.column(k).to_pylist() for k in range(6)], strict=True))
+            for row, (family, block, chunk, kind, key, component) in enumerate(names):
+                if (family, block, chunk) != group:
+                    group, keys, labels, held, index = (family, block, chunk), [], [], [], None
+                own = part.column(6)[row].values.to_numpy()
+                if kind == 0:
+                    keys.append(key)
+                    labels.append(component)
+                    held.append(own.copy())
+                    continue
+                if index is None:
+                    tokens = np.concatenate(held) if held else np.zeros(0, np.int64)
+                    order = np.argsort(tokens, kind="stable")
+                    owners = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])[order]
+                    unique, starts = np.unique(tokens[order], return_index=True)
+                    index, sizes, held = (unique, np.append(starts, len(tokens)), owners), np.array([len(h) for h in held]), []
+                unique, starts, owners = index
+                if not len(unique):
+                    continue
+                at = np.minimum(np.searchsorted(unique, own), len(unique) - 1)
+                at = at[unique[at] == own]
+                if not len(at):
+                    continue
+                both = np.bincount(np.concatenate([owners[starts[i] : starts[i + 1]] for i in at]), minlength=len(keys))
+                for k in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)):
+                    if labels[k] != component:
+                        a.append(min(key, keys[k]))
+                        b.append(max(key, keys[k]))
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return met.mapInArrow(probe, "a binary, b binary").distinct()

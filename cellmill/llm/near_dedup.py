@@ -33,8 +33,6 @@ from .textkit import SPACED, mix, runs_of, texts_in_chunks, word_hashes
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-#: Shingles of the queries that are compared at once (a broadcast of 16 bytes each).
-BLOCK_HASHES = 1_000_000
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64))
 
@@ -110,53 +108,6 @@ def _sets(size: int):
     return make
 
 
-def in_blocks(at: DataFrame, sets: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Links between different components among the members of buckets with several components.
-
-    Members outside the largest component of a bucket are the queries, in blocks of about BLOCK_HASHES shingles, of
-    which the driver holds one at a time. A block's inverted index is broadcast, and every member's full set is counted
-    against it: intersections with all queries come out of one pass, exact, and only links are emitted."""
-    parts = at.groupBy("band", "component").agg(F.count("*").alias("k"))
-    main = parts.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
-    open_ = materialise(at.join(main, "band").groupBy("key").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("asks")))
-    own = materialise(sets.join(open_, "key"))
-    asking = own.filter("asks")
-    blocks = max(1, -(-(asking.agg(F.sum(F.size("hashes"))).first()[0] or 0) // BLOCK_HASHES))
-    found = own.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    for block in range(blocks):
-        # Arrow keeps a block as plain buffers on the driver
-        rows = asking.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("key", "component", "hashes").toArrow().combine_chunks()
-        if not rows.num_rows:
-            continue
-        hashes_ = rows["hashes"].combine_chunks()
-        tokens = hashes_.flatten().to_numpy()
-        owners = np.repeat(np.arange(rows.num_rows, dtype=np.int32), np.diff(hashes_.offsets.to_numpy()))
-        order = np.argsort(tokens, kind="stable")
-        unique, starts = np.unique(tokens[order], return_index=True)
-        del hashes_
-        index = own.sparkSession.sparkContext.broadcast((unique, np.append(starts, len(tokens)), owners[order], np.bincount(owners, minlength=rows.num_rows), rows["key"].to_pylist(), rows["component"].to_pylist()))
-
-        def probe(parts_: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            unique, starts, owners, sizes, keys, components_ = index.value
-            for part in parts_:
-                a, b = [], []
-                for key, component, hashes in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    own_ = hashes.values.to_numpy()
-                    at_ = np.minimum(np.searchsorted(unique, own_), len(unique) - 1)
-                    at_ = at_[unique[at_] == own_]
-                    if not len(at_):
-                        continue
-                    both = np.bincount(np.concatenate([owners[starts[i] : starts[i + 1]] for i in at_]), minlength=len(keys))
-                    for k in np.flatnonzero(100 * both >= percent * (len(own_) + sizes - both)):
-                        if components_[k] != component:
-                            a.append(min(key, keys[k]))
-                            b.append(max(key, keys[k]))
-                yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-        found = found.union(materialise(own.select("key", "component", "hashes").mapInArrow(probe, "a binary, b binary").distinct()))
-    return found
-
-
 def _verdicts(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """rows: id, text. One row each: id, n, key (of its shingle set; null if empty), component_id, kept."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -169,7 +120,7 @@ def _verdicts(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     chosen = materialise(members.select(F.col("rep").alias("__id")).distinct())
     texts = rows.join(bounded(chosen), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
     sets = materialise(texts.mapInArrow(_sets(shingle), "key binary, hashes array<long>").filter("key is not null").groupBy("key").agg(F.first("hashes").alias("hashes")))
-    found = links(members.select("band", "key", "n"), sets, percent, in_blocks)
+    found = links(members.select("band", "key", "n"), sets, percent)
 
     roots = reps.select("key", "rep").join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     first = roots.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("first"))  # null is the largest

@@ -45,13 +45,17 @@ def materialise(df: DataFrame) -> DataFrame:
     global _count
     _count += 1
     if _count % GC_EVERY == 0:
-        # shuffle files of what is now cut off, and the driver's own garbage, go only when the driver collects
-        spark.sparkContext._jvm.System.gc()
+        clean(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._cellmill_path = path
     return out
 
 
+def clean(spark: SparkSession) -> None:
+    """Shuffle files of what is cut off, and the driver's own garbage, go only when the driver collects."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
