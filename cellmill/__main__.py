@@ -1,4 +1,4 @@
-"""python -m cellmill SOURCE DEST [--overwrite] [--gzip LEVEL] [--quiet]"""
+"""python -m cellmill SOURCE DEST [--overwrite] [--gzip LEVEL] [--assay NAME] [--quiet]"""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("dest")
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--gzip", type=int, default=1, help="compression level, 0 to 9")
+    p.add_argument("--assay", help="the assay or modality to convert")
     p.add_argument("--quiet", action="store_true")
     a = p.parse_args(args)
     from .sources.formats import convert
@@ -22,7 +23,7 @@ def main(args: list[str] | None = None) -> int:
     if a.quiet:
         spark.sparkContext.setLogLevel("ERROR")
     try:
-        convert(spark, a.source, a.dest, a.overwrite, level=a.gzip)
+        convert(spark, a.source, a.dest, a.overwrite, a.assay, level=a.gzip)
     except ValueError as e:
         print(f"cellmill: {e}", file=sys.stderr)
         return 1

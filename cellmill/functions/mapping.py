@@ -12,7 +12,10 @@ LAYERS_OUT = {"scale.data": "scaled"}
 GRAPHS_IN = {"connectivities": "snn", "distances": "nn"}
 MODALITY_TO_ASSAY = {"rna": "RNA", "prot": "ADT", "atac": "ATAC", "spatial": "Spatial", "hto": "HTO", "sct": "SCT"}
 ASSAY_TO_MODALITY = {"RNA": "rna", "SCT": "sct", "ADT": "prot", "Protein": "prot", "ATAC": "atac", "Spatial": "spatial", "HTO": "hto"}
+LOADINGS_OUT = {"pca": "PCs"}
 COLUMNS_OUT = {"nCount_RNA": "n_counts", "nFeature_RNA": "n_genes", "percent.mt": "percent_mito", "seurat_clusters": "clusters"}
+COLUMNS_OUT_DIRECT = {"nCount_RNA": "n_counts", "nFeature_RNA": "n_genes", "percent.mt": "pct_counts_mt", "orig.ident": "batch"}
+FEATURE_COLUMNS_OUT = {"vst.variable": "highly_variable", "vst.mean": "means", "vst.variance": "dispersions", "vst.variance.standardized": "dispersions_norm", "vst.variance.expected": "dispersions_expected"}
 SCALE_FACTORS_OUT = {"spot": "spot_diameter_fullres", "fiducial": "fiducial_diameter_fullres", "hires": "tissue_hires_scalef", "lowres": "tissue_lowres_scalef"}
 
 
@@ -66,8 +69,9 @@ def assay_to_modality(a: Column) -> Column:
     return mapped(a, ASSAY_TO_MODALITY, F.lower(a))
 
 
-def standard_column(c: Column) -> Column:
-    return mapped(c, COLUMNS_OUT)
+def standard_column(c: Column, table: str = "obs", direct: bool = False) -> Column:
+    """The other tools' name of a column. The writer of whole files (direct) has a map of its own for cells."""
+    return mapped(c, FEATURE_COLUMNS_OUT if table == "var" else COLUMNS_OUT_DIRECT if direct else COLUMNS_OUT)
 
 
 def scale_factor(name: Column) -> Column:

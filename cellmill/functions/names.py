@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,29 +28,38 @@ def image_key(name: Column) -> Column:
     return F.when(F.length(F.coalesce(s, F.lit(""))) == 0, F.lit("spatial_")).otherwise(F.concat(s, F.lit("_")))
 
 
-def repeat_number(name: str, order: str) -> Column:
-    """0 for the first row with a name, 1 for the next one, ..."""
-    return (F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1).cast("long")
+def repeat_number(name: str, order: str, by: tuple[str, ...] = ()) -> Column:
+    """0 for the first row with a name, 1 for the next one, ... within ``by``."""
+    return (F.row_number().over(Window.partitionBy(*by, name).orderBy(order)) - 1).cast("long")
 
 
-def make_unique(df: DataFrame, name: str, order: str, out: str = "unique_name", sep: str = ".") -> DataFrame:
-    """The first row with a name keeps it, later ones get .1, .2, ... and skip suffixes that are taken by other names.
+def make_unique(df: DataFrame, name: str, order: str, out: str = "unique_name", sep: str = ".", by: tuple[str, ...] = ()) -> DataFrame:
+    """The first row with a name keeps it, later ones get .1, .2, ... and skip suffixes that are taken by other names;
+    within ``by``.
 
     order: a unique column. A suffixed name may meet a name that stands in the table; such suffixes are counted per
     name and skipped, so one pass is enough: the k-th repeat takes the k-th free suffix.
     """
     n = F.col("__n")
-    ranked = df.withColumn("__n", repeat_number(name, order))
+    ranked = df.withColumn("__n", repeat_number(name, order, by))
     # taken suffixes: names in the table of the form <other name><sep><number>
-    parts = F.regexp_extract(F.col(name), rf"^(.*){'[.]' if sep == '.' else sep}([1-9][0-9]{{0,8}})$", 1)
-    number = F.regexp_extract(F.col(name), rf"^(.*){'[.]' if sep == '.' else sep}([1-9][0-9]{{0,8}})$", 2)
-    taken = df.select(parts.alias("__base"), number.alias("__num")).filter("__num <> ''").distinct()
-    taken = taken.groupBy("__base").agg(F.sort_array(F.collect_list(F.col("__num").cast("long"))).alias("__taken"))
-    joined = ranked.join(taken, ranked[name] == taken["__base"], "left")
+    pattern = rf"^(.*){re.escape(sep)}([1-9][0-9]{{0,8}})$"
+    parts, number = F.regexp_extract(F.col(name), pattern, 1), F.regexp_extract(F.col(name), pattern, 2)
+    taken = df.select(*[F.col(c).alias(f"__by_{c}") for c in by], parts.alias("__base"), number.alias("__num")).filter("__num <> ''").distinct()
+    taken = taken.groupBy(*[f"__by_{c}" for c in by], "__base").agg(F.sort_array(F.collect_list(F.col("__num").cast("long"))).alias("__taken"))
+    same = ranked[name] == taken["__base"]
+    for c in by:
+        same = same & ranked[c].eqNullSafe(taken[f"__by_{c}"])
+    joined = ranked.join(taken, same, "left")
     # walking the sorted taken numbers, each one at or below the candidate pushes it up by one
     free = F.aggregate(F.coalesce("__taken", F.array().cast("array<bigint>")), n, lambda k, t: F.when(t <= k, k + 1).otherwise(k))
     unique = F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit(sep), free))
-    return joined.withColumn(out, unique).drop("__n", "__base", "__taken")
+    return joined.withColumn(out, unique).drop("__n", "__base", "__taken", *[f"__by_{c}" for c in by])
+
+
+def conflicts(df: DataFrame, name: str) -> DataFrame:
+    """Clean names that several names become: clean, n (distinct names), first_name and last_name."""
+    return df.select(name).distinct().groupBy(sanitize_column(F.col(name)).alias("clean")).agg(F.count("*").cast("long").alias("n"), F.min(name).alias("first_name"), F.max(name).alias("last_name")).filter("n > 1")
 
 
 def suffix_duplicates(df: DataFrame, name: str, order: str, out: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import positions
@@ -26,13 +26,21 @@ def slice_rows(df: DataFrame, idx: str, picks: list[int] | list[bool], size: int
     return near.join(wanted, F.col(idx) == F.col("__idx")).drop("__idx", idx)
 
 
-def select_items(df: DataFrame, key: str, names: list[str] | None) -> DataFrame:
-    """None keeps all; an empty list nothing; else those that exist, in the order of names (pos)."""
+def select_items(df: DataFrame, key: str, names: list[str] | None, order: str | None = None) -> DataFrame:
+    """None keeps all; an empty list nothing; else those that exist, in the order of names (pos), items of one name by the
+    unique whole-number column ``order``."""
     if names is None:
         return df
     place = F.array_position(F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>"), F.col(key))
     present = df.drop("pos").filter(place > 0).withColumn("__at", place)
-    return positions(present, "__at", out="pos").drop("__at").select("pos", *[c for c in df.columns if c != "pos"])
+    if order:
+        inside = positions(present, order, ("__at",), "__in")
+        sizes = present.groupBy("__at").agg(F.count("*").alias("__n"))  # a row a name
+        before = F.coalesce(F.sum("__n").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        present = inside.join(sizes.withColumn("__start", before), "__at").withColumn("pos", (F.col("__start") + F.col("__in")).cast("long"))
+    else:
+        present = positions(present, "__at", out="pos")
+    return present.select("pos", *[c for c in df.columns if c != "pos"])
 
 
 def valid_rows(coo: DataFrame, axis: DataFrame, idx: str, valid: Column) -> DataFrame:

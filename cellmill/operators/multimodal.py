@@ -6,21 +6,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mapping import assay_to_modality, reduction_name
+from ..functions.names import make_unique
 from .order import positions
 
 
-def reduction_plan(obsm: DataFrame) -> DataFrame:
-    """Embeddings to reductions: coordinates are left out, X_ is stripped; the first claimant of a name gets it, later
-    ones keep their key."""
-    clean = obsm.filter("key <> 'spatial'").withColumn("__c", reduction_name(F.col("key")))
-    first = F.row_number().over(Window.partitionBy("__c").orderBy("pos")) == 1
-    return clean.withColumn("reduction", F.when(first, F.col("__c")).otherwise(F.col("key"))).drop("__c")
+def reduction_stem(key: str) -> str:
+    return key.removeprefix("X_")
+
+
+def reduction_plan(obsm: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Embeddings (pos, key) to reductions, within ``by`` (a file): coordinates are left out, X_ is stripped. The first
+    claimant of a name gets it, later ones take their key; names that still meet get a suffix, as make_unique() gives it."""
+    clean = obsm.withColumn("__c", reduction_name(F.col("key"))).filter("__c <> 'spatial'")
+    first = F.row_number().over(Window.partitionBy(*by, "__c").orderBy("pos")) == 1
+    raw = clean.withColumn("__r", F.when(first, F.col("__c")).otherwise(F.col("key")))
+    return make_unique(raw, "__r", "pos", "reduction", by=by).drop("__c", "__r")
+
+
+def reduction_names(keys: list[str]) -> list[str]:
+    """reduction_plan() for the keys of one file."""
+    raw, claimed = [], set()
+    for k in keys:
+        raw.append(k if reduction_stem(k) in claimed else reduction_stem(k))
+        claimed.add(reduction_stem(k))
+    out, taken, count = [], set(raw), {}
+    for name in raw:
+        if name not in count:
+            count[name] = 0
+            out.append(name)
+            continue
+        while (new := f"{name}.{count[name] + 1}") in taken:
+            count[name] += 1
+        count[name] += 1
+        taken.add(new)
+        out.append(new)
+    return out
 
 
-def modalities(assays: DataFrame) -> DataFrame:
-    """A modality's name for each assay; the second claimant of a name carries its assay's name too."""
+def modalities(assays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A modality's name for each assay, within ``by`` (a file); the second claimant of a name carries its assay's name
+    too."""
     plain = assays.withColumn("__m", assay_to_modality(F.col("assay")))
-    first = F.row_number().over(Window.partitionBy("__m").orderBy("pos")) == 1
+    first = F.row_number().over(Window.partitionBy(*by, "__m").orderBy("pos")) == 1
     return plain.withColumn("modality", F.when(first, F.col("__m")).otherwise(F.concat("__m", F.lit("_"), F.lower("assay")))).drop("__m")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mapping import scale_factor, scale_value
+from .joins import DataError
 from .order import positions, running_sum
 
 
@@ -54,6 +55,38 @@ def normalise_pixels(pixels: DataFrame, value: str = "v") -> DataFrame:
     return pixels.withColumn(value, F.least(F.greatest(F.col(value) / k, F.lit(0.0)), F.lit(1.0)))
 
 
+def image_axes(shape: list[int], names: list[str] | None = None) -> dict[str, int]:
+    """Which axes of an image are h, w and c (absent: one channel). Names settle it; else four and five axes begin with
+    time, and the channels are a first axis of up to four, else a last one of up to four, else the first. Further axes
+    (time, depth) are read at 0."""
+    if names and sorted(names) == sorted("cyx"[-len(names) :] if len(names) < 4 else names) and {"y", "x"} <= {*names}:
+        return {"h": names.index("y"), "w": names.index("x")} | ({"c": names.index("c")} if "c" in names else {})
+    n = len(shape)
+    if n == 2:
+        return {"h": 0, "w": 1}
+    if n not in (3, 4, 5):
+        raise DataError(f"an image of {n} axes")
+    c, h, w = {3: (0, 1, 2), 4: (1, 2, 3), 5: (1, 3, 4)}[n]
+    if shape[c] > 4 and shape[w] <= 4:
+        return {"h": c, "w": h, "c": w}
+    return {"c": c, "h": h, "w": w}
+
+
+def to_hwc(flat: DataFrame, shape: list[int], names: list[str] | None = None) -> DataFrame:
+    """Pixels (pos: flat place in row-major order) with h, w, c and their channels-last place hwc; time and depth at 0."""
+    axes = image_axes(shape, names)
+    place, step = {}, 1
+    for k in reversed(range(len(shape))):
+        place[k], step = F.floor(F.col("pos") / step) % shape[k], step * shape[k]
+    rest = [k for k in range(len(shape)) if k not in axes.values()]
+    out = flat
+    for k in rest:
+        out = out.filter(place[k] == 0)
+    c = place[axes["c"]] if "c" in axes else F.lit(0)
+    out = out.withColumns({"h": place[axes["h"]].cast("long"), "w": place[axes["w"]].cast("long"), "c": c.cast("long")})
+    return out.withColumn("hwc", (F.col("h") * shape[axes["w"]] + F.col("w")) * (shape[axes["c"]] if "c" in axes else 1) + F.col("c"))
+
+
 def chw_to_hwc(flat: DataFrame, c: int, h: int, w: int) -> DataFrame:
     """Flat positions of a channels-first image with their coordinates and channels-last positions."""
     rest = F.col("pos") % (h * w)
@@ -67,19 +100,27 @@ def tiles(pixels: DataFrame, size: int) -> DataFrame:
     return t.withColumn("padding", F.lit(size * size).cast("long") - F.col("pixels"))
 
 
-def scale_factors(factors: DataFrame) -> DataFrame:
-    """Stored names and values; a missing low-resolution factor falls back to the high-resolution one."""
-    out = factors.select(scale_factor(F.col("name")).alias("stored"), scale_value(F.col("name"), F.col("value")).alias("value"))
-    low = out.filter("stored = 'tissue_lowres_scalef'")
+def scale_factors(factors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Stored names and values; a missing low-resolution factor falls back to the high-resolution one, within ``by`` (a
+    library)."""
+    out = factors.select(*by, scale_factor(F.col("name")).alias("stored"), scale_value(F.col("name"), F.col("value")).alias("value"))
+    low = out.filter("stored = 'tissue_lowres_scalef'").select(*by, "stored")
     fallback = out.filter("stored = 'tissue_hires_scalef'").withColumn("stored", F.lit("tissue_lowres_scalef"))
-    return out.unionByName(fallback.join(low.select("stored"), "stored", "left_anti"))
+    return out.unionByName(fallback.join(low, [*by, "stored"], "left_anti"))
+
+
+#: Rows of a column that are joined with the column in one task.
+HOT_COLUMN = 4096
 
 
 def overlap_graph(coo: DataFrame) -> DataFrame:
-    """Edges (i, j, w) between rows that share columns: w sums the smaller value of each shared column."""
-    a = coo.select(F.col("obs_idx").alias("i"), "var_idx", F.col("value").alias("x"))
-    b = coo.select(F.col("obs_idx").alias("j"), "var_idx", F.col("value").alias("y"))
-    return a.join(b, "var_idx").filter("i <> j").groupBy("i", "j").agg(F.sum(F.least("x", "y")).cast("long").alias("w"))
+    """Edges (i, j, w) between rows that share columns: w sums the smaller value of each shared column. A column of many
+    rows is dealt out: each part of it meets the whole column in a task of its own, and sums are made there first."""
+    parts = coo.groupBy("var_idx").agg(F.ceil(F.count("*") / HOT_COLUMN).cast("int").alias("parts"))
+    sized = coo.join(parts, "var_idx")
+    a = sized.select(F.col("obs_idx").alias("i"), "var_idx", F.pmod(F.xxhash64("obs_idx"), F.col("parts")).cast("int").alias("part"), F.col("value").alias("x"))
+    b = sized.select(F.col("obs_idx").alias("j"), "var_idx", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("value").alias("y"))
+    return a.join(b, ["var_idx", "part"]).filter("i <> j").groupBy("i", "j").agg(F.sum(F.least("x", "y")).cast("long").alias("w"))
 
 
 def top_neighbours(edges: DataFrame, k: int) -> DataFrame:

@@ -23,10 +23,16 @@ def inferred_dims(coo: DataFrame) -> DataFrame:
     return coo.agg((F.max("obs_idx") + 1).alias("n_rows"), (F.max("var_idx") + 1).alias("n_cols"))
 
 
-def as_flag(text: Column) -> Column:
-    """'True', 'TRUE', a number that isn't 0, or a boolean as text."""
-    number = F.try_to_number(text, F.lit("999999"))
-    return F.coalesce(F.lower(text) == "true", F.lit(False)) | F.coalesce(number != 0, F.lit(False))
+def as_flag(value: Column, kind: str) -> Column:
+    """A stored highly_variable column as a flag: a text is true if it is 'True', a number if it isn't 0 (null for NaN)."""
+    if kind == "string":
+        return value == "True"
+    return value if kind == "boolean" else F.when(~F.isnan(value.cast("double")), value != 0)
+
+
+def stdev_of(variances: Column) -> Column:
+    """Standard deviations of a vector of variances."""
+    return F.transform(variances, lambda v: F.sqrt(v))
 
 
 def counts_source(manifest: DataFrame) -> DataFrame:
@@ -37,6 +43,12 @@ def counts_source(manifest: DataFrame) -> DataFrame:
     return paths.select("file", F.coalesce(stamp, F.when(has("layers/counts"), "layers/counts").when(has("raw/X"), "raw/X").otherwise("X")).alias("counts_from"))
 
 
+def counts_place(stamp: str | None, layer: bool, raw: bool) -> str:
+    """counts_source() for one file: its stamp, and whether it has layers/counts and raw/X."""
+    there = {"layers/counts": layer, "raw/X": raw, "X": True}
+    return stamp if there.get(stamp or "") else "layers/counts" if layer else "raw/X" if raw else "X"
+
+
 def counts_convention(x: DataFrame, raw: DataFrame | None = None, counts: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
     """Matrices to the layers counts and data: from layers/counts, from raw (features in common), or from X for both."""
     named = lambda m, layer: m.select(F.lit(layer).alias("layer"), "obs_idx", "var_idx", "value")
@@ -71,3 +83,24 @@ def identity(stored: DataFrame, loaded: DataFrame, idx: str, name: str) -> DataF
 def latest(log: DataFrame, name: str, ts: str, tie: str) -> DataFrame:
     """The latest entry of each name."""
     return log.groupBy(F.col(name).alias("name")).agg(F.max(ts).alias("latest"), F.max_by(tie, F.struct(ts, tie)).alias(tie))
+
+
+def flatten_json(df: DataFrame, json: str, keep: list[str]) -> DataFrame:
+    """A row for each leaf of a JSON column: keep, path (keys and places of lists, joined by slashes), value (as text; {}
+    and [] for empty ones). Each round opens one more level of all that is still nested, as VARIANT; the number of rounds
+    is the depth of the JSON."""
+    kind = lambda c: F.regexp_extract(F.schema_of_variant(c), "^[A-Z]+", 0)
+    rows = df.select(*keep, F.lit("").alias("path"), F.try_parse_json(F.col(json)).alias("v")).filter("v is not null")
+    leaves = None
+    while True:
+        text = F.to_json("v")
+        nested = kind(F.col("v")).isin("OBJECT", "ARRAY") & ~text.isin("{}", "[]")
+        own = rows.filter(~nested).select(*keep, "path", F.when(text.isin("{}", "[]"), text).otherwise(F.coalesce(F.try_variant_get("v", "$", "string"), F.lit("null"))).alias("value"))
+        leaves = own if leaves is None else leaves.unionByName(own)
+        rows = rows.filter(nested)
+        if rows.isEmpty():
+            return leaves
+        # an object gives keys, a list places
+        opened = rows.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("at", "name", "inner"))
+        step = F.coalesce("name", F.col("at").cast("string"))
+        rows = opened.select(*keep, F.when(F.col("path") == "", step).otherwise(F.concat("path", F.lit("/"), step)).alias("path"), F.col("inner").alias("v"))

@@ -213,71 +213,85 @@ def q_image_keys(spark, d):
     return names.withColumn("key", N.image_key(F.col("name")))
 
 
-def _named(spark, values: list[str], col: str = "name") -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"pos long, {col} string")
+def _picked(spark, d, values: list[str], step: int = 1) -> DataFrame:
+    """A file for every len(values) parts, with its names in another order each: file, pos, name."""
+    n = len(values)
+    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / n).cast("long").alias("file"), (F.col("p_partkey") % n).alias("pos"))
+    return p.withColumn("name", F.element_at(F.array(*[F.lit(v) for v in values]), ((F.col("pos") * step + F.col("file")) % n + 1).cast("int")))
+
+
+def _picks(values: list[str], step: int = 1) -> str:
+    n = len(values)
+    return f"o as (select (p_partkey // {n})::bigint as file, (p_partkey % {n})::bigint as pos, [{', '.join(f"'{v}'" for v in values)}][(p_partkey % {n} * {step} + p_partkey // {n}) % {n} + 1] as name from part)"
 
 
 def _values(values: list[str]) -> str:
     return ", ".join(f"({k}, '{v}')" for k, v in enumerate(values))
 
 
-_OBSM = ["X_pca", "spatial", "pca", "X_umap", "umap", "X_scVI", "X_pca_harmony", "X_tsne"]
+_OBSM = ["X_pca", "spatial", "pca", "X_umap", "umap", "X_scVI", "X_spatial", "X_pca_harmony", "X_tsne", "X_X_pca", "X_umap.1"]
 
 
-@query(f"""with o(pos, key) as (values {_values(_OBSM)}), c as (select pos, key, regexp_replace(key, '^X_', '') as clean from o where key <> 'spatial'),
-r as (select *, row_number() over (partition by clean order by pos) as k from c) select pos::bigint as pos, key, case when k = 1 then clean else key end as reduction from r""", base=False)
+@query(f"""with {_picks(_OBSM, 3)}, c as (select file, pos, name, case when starts_with(name, 'X_') then substr(name, 3) else name end as clean from o), k as (select * from c where clean <> 'spatial'),
+r as (select *, case when exists (select 1 from k e where e.file = k.file and e.clean = k.clean and e.pos < k.pos) then name else clean end as raw from k),
+t as (select *, (select count(*) from r e where e.file = r.file and e.raw = r.raw and e.pos < r.pos) as n from r),
+s as (select t.*, (select list(q order by q) from range(1, 20) g(q) where not exists (select 1 from r e where e.file = t.file and e.raw = t.raw || '.' || q)) as free from t)
+select file, pos, name as key, case when n = 0 then raw else raw || '.' || free[n] end as reduction from s""", base=False)
 def q_reduction_plan(spark, d):
-    return MM.reduction_plan(_named(spark, _OBSM, "key"))
+    return MM.reduction_plan(_picked(spark, d, _OBSM, 3).withColumnRenamed("name", "key"), ("file",))
 
 
-_REDS = ["pca", "tSNE", "umap", "harmony", "scVI", "mds"]
+_REDS = ["pca", "PCA", "tSNE", "umap", "harmony", "scVI", "mds"]
 
 
-@query(f"with o(pos, name) as (values {_values(_REDS)}) select pos::bigint as pos, name, case lower(name) when 'pca' then 'PC_' when 'tsne' then 'tSNE_' when 'umap' then 'UMAP_' when 'harmony' then 'harmony_' when 'scvi' then 'scVI_' else upper(name) || '_' end as key from o", base=False)
+@query(f"with {_picks(_REDS)} select file, pos, name, case lower(name) when 'pca' then 'PC_' when 'tsne' then 'tSNE_' when 'umap' then 'UMAP_' when 'harmony' then 'harmony_' when 'scvi' then 'scVI_' else upper(name) || '_' end as key from o", base=False)
 def q_reduction_keys(spark, d):
-    return _named(spark, _REDS).withColumn("key", M.reduction_key(F.col("name")))
+    return _picked(spark, d, _REDS).withColumn("key", M.reduction_key(F.col("name")))
 
 
-_LAYERS = ["counts", "log_normalized", "scaled", "spliced"]
+_LAYERS = ["counts", "log_normalized", "scaled", "spliced", "data"]
 
 
-@query(f"with o(pos, name) as (values {_values(_LAYERS)}) select pos::bigint as pos, name, case name when 'log_normalized' then 'data' when 'scaled' then 'scale.data' else name end as layer from o", base=False)
+@query(f"with {_picks(_LAYERS)}, i as (select *, case name when 'log_normalized' then 'data' when 'scaled' then 'scale.data' else name end as layer from o) select *, case layer when 'scale.data' then 'scaled' else layer end as stored from i", base=False)
 def q_layer_map(spark, d):
-    return _named(spark, _LAYERS).withColumn("layer", M.layer_in(F.col("name")))
+    return _picked(spark, d, _LAYERS).withColumn("layer", M.layer_in(F.col("name"))).withColumn("stored", M.layer_out(F.col("layer")))
 
 
-_GRAPHS = ["connectivities", "distances", "knn"]
+_GRAPHS = ["connectivities", "distances", "knn", "RNA_snn", "snn"]
 
 
-@query(f"with o(pos, name) as (values {_values(_GRAPHS)}) select pos::bigint as pos, name, case name when 'connectivities' then 'RNA_snn' when 'distances' then 'RNA_nn' else name end as graph, name as stored from o", base=False)
+@query(f"with {_picks(_GRAPHS)}, g as (select *, case name when 'connectivities' then 'RNA_snn' when 'distances' then 'RNA_nn' else name end as graph from o), b as (select *, case when starts_with(graph, 'RNA_') then substr(graph, 5) else graph end as bare from g) select file, pos, name, graph, case bare when 'snn' then 'connectivities' when 'nn' then 'distances' else bare end as stored from b", base=False)
 def q_graph_map(spark, d):
-    g = _named(spark, _GRAPHS).withColumn("graph", M.graph_in(F.col("name"), F.lit("RNA")))
+    g = _picked(spark, d, _GRAPHS).withColumn("graph", M.graph_in(F.col("name"), F.lit("RNA")))
     return g.withColumn("stored", M.graph_out(F.col("graph"), F.lit("RNA")))
 
 
-_ASSAYS = ["RNA", "SCT", "ADT", "Protein", "ATAC", "Custom"]
+_ASSAYS = ["RNA", "SCT", "ADT", "Protein", "ATAC", "Custom", "custom"]
 
 
-@query(f"""with o(pos, assay) as (values {_values(_ASSAYS)}), m as (select pos, assay, case assay when 'RNA' then 'rna' when 'SCT' then 'sct' when 'ADT' then 'prot' when 'Protein' then 'prot' when 'ATAC' then 'atac' else lower(assay) end as plain from o)
-select pos::bigint as pos, assay, case when row_number() over (partition by plain order by pos) = 1 then plain else plain || '_' || lower(assay) end as modality from m""", base=False)
+@query(f"""with {_picks(_ASSAYS, 2)}, m as (select file, pos, name as assay, case name when 'RNA' then 'rna' when 'SCT' then 'sct' when 'ADT' then 'prot' when 'Protein' then 'prot' when 'ATAC' then 'atac' else lower(name) end as plain from o)
+select file, pos, assay, case when exists (select 1 from m e where e.file = m.file and e.plain = m.plain and e.pos < m.pos) then plain || '_' || lower(assay) else plain end as modality from m""", base=False)
 def q_modality_map(spark, d):
-    return MM.modalities(_named(spark, _ASSAYS, "assay"))
+    return MM.modalities(_picked(spark, d, _ASSAYS, 2).withColumnRenamed("name", "assay"), ("file",))
 
 
-_COLS = ["nCount_RNA", "nFeature_RNA", "percent.mt", "seurat_clusters", "batch"]
+_COLS = ["nCount_RNA", "nFeature_RNA", "percent.mt", "seurat_clusters", "orig.ident", "vst.mean", "vst.variable", "batch"]
 
 
-@query(f"with o(pos, name) as (values {_values(_COLS)}) select pos::bigint as pos, name, case name when 'nCount_RNA' then 'n_counts' when 'nFeature_RNA' then 'n_genes' when 'percent.mt' then 'percent_mito' when 'seurat_clusters' then 'clusters' else name end as standard from o", base=False)
+@query(f"""with {_picks(_COLS)} select file, pos, name, case name when 'nCount_RNA' then 'n_counts' when 'nFeature_RNA' then 'n_genes' when 'percent.mt' then 'percent_mito' when 'seurat_clusters' then 'clusters' else name end as standard,
+  case name when 'nCount_RNA' then 'n_counts' when 'nFeature_RNA' then 'n_genes' when 'percent.mt' then 'pct_counts_mt' when 'orig.ident' then 'batch' else name end as direct,
+  case name when 'vst.mean' then 'means' when 'vst.variable' then 'highly_variable' else name end as feature from o""", base=False)
 def q_standardize(spark, d):
-    return _named(spark, _COLS).withColumn("standard", M.standard_column(F.col("name")))
+    name = F.col("name")
+    return _picked(spark, d, _COLS).withColumns({"standard": M.standard_column(name), "direct": M.standard_column(name, direct=True), "feature": M.standard_column(name, "var")})
 
 
-_VARM = ["PCs", "LSI", "pca_extra"]
+_VARM = ["PCs", "LSI", "pca_extra", "ICs"]
 
 
-@query(f"with o(pos, name) as (values {_values(_VARM)}) select pos::bigint as pos, name, case name when 'PCs' then 'pca' else lower(name) end as reduction, case when name = 'PCs' then 'PCs' else upper(name) end as stored from o", base=False)
+@query(f"with {_picks(_VARM)} select file, pos, name, case name when 'PCs' then 'pca' else lower(name) end as reduction, case when name = 'PCs' then 'PCs' else upper(name) end as stored from o", base=False)
 def q_loadings_map(spark, d):
-    g = _named(spark, _VARM).withColumn("reduction", M.loadings_in(F.col("name")))
+    g = _picked(spark, d, _VARM).withColumn("reduction", M.loadings_in(F.col("name")))
     return g.withColumn("stored", M.loadings_out(F.col("reduction")))
 
 
@@ -297,9 +311,10 @@ def q_slice_both(spark, d):
     return J.slice_rows(rows, "var_idx", [3 * i for i in range(30)]).withColumnRenamed("new_idx", "new_var")
 
 
-@query("with o(pos, key) as (values (0, 'pca'), (1, 'umap')) select 0::bigint as pos, 'umap' as key union all select 1, 'pca'", base=False)
+@query("with w(name, place) as (values ('Brand#7', 0), ('Brand#3', 2), ('Brand#25', 3)), k as (select p_partkey, p_brand, place from part join w on p_brand = name) select (row_number() over (order by place, p_partkey) - 1)::bigint as pos, p_partkey, p_brand from k", base=False)
 def q_select_items(spark, d):
-    return J.select_items(_named(spark, ["pca", "tsne", "umap"], "key"), "key", ["umap", "gone", "pca"])
+    p = table(spark, d, "part").select("p_partkey", "p_brand")
+    return J.select_items(p, "p_brand", ["Brand#7", "gone", "Brand#3", "Brand#25"], "p_partkey")
 
 
 @query(", v as (select obs_idx, row_number() over (order by obs_idx) - 1 as new_idx from obs where s_acctbal > 0) select new_idx, var_idx, value from coo join v using (obs_idx)")
@@ -318,10 +333,15 @@ def q_hvg_flag(spark, d):
     return J.membership(v, v.filter("p_retailprice > 1500"), "var_idx", "highly_variable", "n_variable_features").select("var_idx", "highly_variable", "n_variable_features")
 
 
-@query("select var_idx, p_size = 7 or (p_size > 20 and p_size % 2 = 0) as hv from var")
+_HV = ["True", "TRUE", "False", "1", "true"]
+_HV_NUMBER = "[0, 1, 1.5, -1, 1000]"
+
+
+@query(f"select var_idx, [{', '.join(f"'{v}'" for v in _HV)}][p_size % 5 + 1] = 'True' as text_flag, {_HV_NUMBER}[p_size % 5 + 1] <> 0 as number_flag, highly_variable as plain_flag from var")
 def q_hv_coerce(spark, d):
-    kind = F.when(F.col("p_size") == 7, "True").when((F.col("p_size") > 20) & (F.col("p_size") % 2 == 0), "1").otherwise("False")
-    return var(spark, d).select("var_idx", V.as_flag(kind).alias("hv"))
+    at = (F.col("p_size") % 5 + 1).cast("int")
+    text, number = F.element_at(F.array(*[F.lit(v) for v in _HV]), at), F.element_at(F.array(*[F.lit(v) for v in (0.0, 1.0, 1.5, -1.0, 1000.0)]), at)
+    return var(spark, d).select("var_idx", V.as_flag(text, "string").alias("text_flag"), V.as_flag(number, "double").alias("number_flag"), V.as_flag(F.col("highly_variable"), "boolean").alias("plain_flag"))
 
 
 @query("select obs_id, grp, s_acctbal from obs where s_acctbal > 1000 and grp like 'N%'")
@@ -374,15 +394,24 @@ def q_semi_scaled(spark, d):
     return positions(J.semi(v, v.filter("p_size = 50"), "var_id").select("var_idx"), "var_idx", out="new_idx")
 
 
-@query("select x.i::bigint as i, o.grp, o.obs_id from (select i from range(0, 40) r(i)) x join obs o on o.obs_idx = x.i")
+@query("select c_custkey as i, obs_id, c_name from customer join obs on c_custkey = obs_idx")
 def q_positional_join(spark, d):
-    return J.zip_positions(spark.range(40).withColumnRenamed("id", "i"), obs(spark, d).select("obs_idx", "grp", "obs_id"), "i", "obs_idx")
+    left = table(spark, d, "customer").select(F.col("c_custkey").alias("i"), "c_name")
+    return J.zip_positions(left, obs(spark, d).select("obs_idx", "obs_id"), "i", "obs_idx")
+
 
+def _thresholds(share: int) -> str:
+    """Parts that have a match: share of 12 of them."""
+    return f"select v.var_idx, case when how <> 'none' then m.x end as x, how from var v left join (select var_idx, p_size as x from var where var_idx % 12 < {share}) m using (var_idx), (select case when count(*) = count(*) filter (var_idx % 12 < {share}) then 'matched' when count(*) filter (var_idx % 12 < {share}) > 0.5 * count(*) then 'filled' else 'none' end as how from var) h"
 
-@query("select v.var_idx, m.x, 'filled' as how from var v left join (select var_idx, p_size as x from var where var_idx % 4 <> 0) m using (var_idx)")
+
+@query(" union all ".join(f"select {k}::int as share, * from ({_thresholds(k)})" for k in (12, 9, 4)))
 def q_threshold_join(spark, d):
-    v = var(spark, d).select("var_idx", "p_size")
-    return J.threshold(v.select("var_idx"), v.filter("var_idx % 4 <> 0").select("var_idx", F.col("p_size").alias("x")), "var_idx", 0.5)
+    v, out = var(spark, d).select("var_idx", "p_size"), None
+    for k in (12, 9, 4):
+        one = J.threshold(v.select("var_idx"), v.filter(F.col("var_idx") % 12 < k).select("var_idx", F.col("p_size").alias("x")), "var_idx", 0.5).select(F.lit(k).alias("share"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(", n as (select o_custkey % 50 as g, count(*) as k from orders group by 1), s as (select g, k, coalesce(sum(k) over (order by g rows between unbounded preceding and 1 preceding), 0) as start from n) select g::bigint as g, unnest(range(start::bigint, (start + k)::bigint)) as pos from s")
@@ -444,15 +473,23 @@ def q_tech_detect(spark, d):
     return S.technology(_molecules(spark, d))
 
 
-@query("with px as (select event_id as pos, abs(value) as v from events where event_id < 3000), k as (select case when max(v) <= 1 then 1 when max(v) <= 255 then 255 when max(v) <= 65535 then 65535 else max(v) end as top from px) select pos, round(least(greatest(v / top, 0), 1), 9) as v from px, k", base=False)
+@query("with px as (select event_id as pos, abs(value) as v from events), k as (select case when max(v) <= 1 then 1 when max(v) <= 255 then 255 when max(v) <= 65535 then 65535 else max(v) end as top from px) select pos, round(least(greatest(v / top, 0), 1), 9) as v from px, k", base=False)
 def q_image_norm(spark, d):
-    px = table(spark, d, "events").filter("event_id < 3000").select(F.col("event_id").alias("pos"), F.abs("value").alias("v"))
+    px = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.abs("value").alias("v"))
     return S.normalise_pixels(px).select("pos", F.round("v", 9).alias("v"))
 
 
-@query("with px as (select event_id as pos from events where event_id < 3 * 20 * 30) select pos, (pos // 600)::bigint as c, ((pos % 600) // 30)::bigint as h, (pos % 30)::bigint as w, (((pos % 600) // 30 * 30 + pos % 30) * 3 + pos // 600)::bigint as hwc from px", base=False)
+@query("with px as (select event_id, event_id // 1800 as image, event_id % 1800 as pos from events) select event_id, (pos // 600)::bigint as c, ((pos % 600) // 30)::bigint as h, (pos % 30)::bigint as w, (((pos % 600) // 30 * 30 + pos % 30) * 3 + pos // 600)::bigint as hwc, image::bigint as image from px", base=False)
 def q_hwc_permute(spark, d):
-    return S.chw_to_hwc(table(spark, d, "events").filter("event_id < 1800").select(F.col("event_id").alias("pos")), 3, 20, 30)
+    images = table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 1800).alias("image"), (F.col("event_id") % 1800).alias("pos"))
+    return S.chw_to_hwc(images, 3, 20, 30).drop("pos")
+
+
+@query("with px as (select event_id, event_id // 960 as image, event_id % 960 as pos from events) select image::bigint as image, event_id, ((pos % 120) // 4 // 5)::bigint as h, ((pos % 120) // 4 % 5)::bigint as w, (pos % 4)::bigint as c, (pos % 120)::bigint as hwc from px where pos // 480 = 0 and pos % 480 // 120 = 0", base=False)
+def q_image_axes(spark, d):
+    """Time and depth at 0, channels last: 2 x 4 x 6 x 5 x 4."""
+    images = table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 960).alias("image"), (F.col("event_id") % 960).alias("pos"))
+    return S.to_hwc(images, [2, 4, 6, 5, 4], ["t", "z", "y", "x", "c"]).select("image", "event_id", "h", "w", "c", "hwc")
 
 
 @query("with t as (select event_id as pos, event_id // 100 as h, event_id % 100 as w from events) select (h // 16)::bigint as tile_y, (w // 16)::bigint as tile_x, count(*)::bigint as pixels, (256 - count(*))::bigint as padding from t group by 1, 2", base=False)
@@ -461,24 +498,27 @@ def q_image_tiles(spark, d):
     return S.tiles(px, 16)
 
 
-_SCALES = ["spot", "fiducial", "hires"]
+_SCALES = ["spot", "fiducial", "hires", "lowres", "other"]
 
 
-@query(f"with o(pos, name) as (values {_values(_SCALES)}), v as (select name, (pos + 1) * 10.0 as value from o) select case name when 'spot' then 'spot_diameter_fullres' when 'fiducial' then 'fiducial_diameter_fullres' when 'hires' then 'tissue_hires_scalef' else 'tissue_lowres_scalef' end as stored, (case when name in ('spot', 'fiducial') then value / 2 else value end)::double as value from v union all select 'tissue_lowres_scalef', 30.0", base=False)
+@query(f"""with {_picks(_SCALES)}, k as (select file, name, (file * 10 + pos + 1)::double as value from o where not (name = 'lowres' and file % 2 = 0)),
+v as (select file, case name when 'spot' then 'spot_diameter_fullres' when 'fiducial' then 'fiducial_diameter_fullres' when 'hires' then 'tissue_hires_scalef' when 'lowres' then 'tissue_lowres_scalef' else name end as stored, case when name in ('spot', 'fiducial') then value / 2 else value end as value from k)
+select * from v union all select file, 'tissue_lowres_scalef', value from v where stored = 'tissue_hires_scalef' and file % 2 = 0 or stored = 'tissue_hires_scalef' and file not in (select file from v where stored = 'tissue_lowres_scalef')""", base=False)
 def q_scalefactors(spark, d):
-    return S.scale_factors(_named(spark, _SCALES).select("name", ((F.col("pos") + 1) * 10.0).alias("value")))
+    f = _picked(spark, d, _SCALES).filter("not (name = 'lowres' and file % 2 = 0)")
+    return S.scale_factors(f.select("file", "name", (F.col("file") * 10 + F.col("pos") + 1).cast("double").alias("value")), ("file",))
 
 
 # --- multimodal --------------------------------------------------------------------------------------------------
 
-_MODS = "m as (select 'rna' as modality, 0 as ord, var_idx as idx, var_id as name from var where var_idx < 120 union all select 'prot', 1, var_idx - 100, var_id from var where var_idx between 100 and 159)"
+_MODS = "m as (select 'rna' as modality, 0 as ord, var_idx as idx, var_id || ' ' || brand as name from var union all select 'prot', 1, row_number() over (order by var_idx) - 1, var_id || ' ' || brand from var where highly_variable)"
 
 
 def _modality_vars(spark, d):
-    v = var(spark, d)
-    rna = v.filter("var_idx < 120").select(F.lit("rna").alias("modality"), F.lit(0).alias("ord"), F.col("var_idx").alias("idx"), F.col("var_id").alias("name"))
-    prot = v.filter("var_idx between 100 and 159").select(F.lit("prot").alias("modality"), F.lit(1).alias("ord"), (F.col("var_idx") - 100).alias("idx"), F.col("var_id").alias("name"))
-    return rna.unionByName(prot)
+    v = var(spark, d).withColumn("name", F.concat("var_id", F.lit(" "), "brand"))
+    rna = v.select(F.lit("rna").alias("modality"), F.lit(0).alias("ord"), F.col("var_idx").alias("idx"), "name")
+    some = positions(v.filter("highly_variable").select("var_idx", "name"), "var_idx", out="idx")
+    return rna.unionByName(some.select(F.lit("prot").alias("modality"), F.lit(1).alias("ord"), "idx", "name"))
 
 
 @query(f", {_MODS}, g as (select *, row_number() over (order by ord, idx) - 1 as global_idx from m), c as (select name from m group by 1 having count(distinct modality) > 1) select modality, idx, global_idx, case when name in (select name from c) then modality || ':' || name else name end as global_name from g")
@@ -515,14 +555,18 @@ def q_library_split(spark, d):
 
 # --- integrity and provenance ------------------------------------------------------------------------------------
 
-_LOCS = "(values ('a', 'stamp', 'layers/counts'), ('a', 'X', null), ('a', 'layers/counts', null), ('b', 'X', null), ('b', 'raw/X', null), ('b', 'layers/counts', null), ('c', 'X', null), ('c', 'raw/X', null), ('d', 'X', null), ('e', 'stamp', 'raw/X'), ('e', 'X', null)) m(file, path, value)"
-_MANIFEST = [("a", "stamp", "layers/counts"), ("a", "X", None), ("a", "layers/counts", None), ("b", "X", None), ("b", "raw/X", None), ("b", "layers/counts", None), ("c", "X", None), ("c", "raw/X", None), ("d", "X", None), ("e", "stamp", "raw/X"), ("e", "X", None)]
+_PLACES = ["layers/counts", "raw/X", "X", "nowhere"]
 
 
-@query(f"""with m as (select * from {_LOCS}) select f.file, coalesce((select s.value from m s where s.file = f.file and s.path = 'stamp' and exists (select 1 from m p where p.file = f.file and p.path = s.value)),
-  case when exists (select 1 from m p where p.file = f.file and p.path = 'layers/counts') then 'layers/counts' when exists (select 1 from m p where p.file = f.file and p.path = 'raw/X') then 'raw/X' else 'X' end) as counts_from from (select distinct file from m) f""", base=False)
+@query("""with f as (select p_partkey as file, p_size % 2 = 1 as layer, p_size // 2 % 2 = 1 as raw, case when p_size // 4 % 2 = 1 then ['layers/counts', 'raw/X', 'X', 'nowhere'][p_partkey % 4 + 1] end as stamp from part)
+select file, case when stamp = 'layers/counts' and layer or stamp = 'raw/X' and raw or stamp = 'X' then stamp when layer then 'layers/counts' when raw then 'raw/X' else 'X' end as counts_from from f""", base=False)
 def q_counts_source(spark, d):
-    return V.counts_source(spark.createDataFrame(_MANIFEST, "file string, path string, value string"))
+    p, size = table(spark, d, "part"), F.col("p_size")
+    stamp = F.element_at(F.array(*[F.lit(x) for x in _PLACES]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    place = lambda path, value=None: F.struct(F.lit(path).alias("path"), (F.lit(None).cast("string") if value is None else value).alias("value"))
+    entries = F.array(place("X"), F.when(size % 2 == 1, place("layers/counts")), F.when(F.floor(size / 2) % 2 == 1, place("raw/X")), F.when(F.floor(size / 4) % 2 == 1, place("stamp", stamp)))
+    manifest = p.select(F.col("p_partkey").alias("file"), F.explode(F.array_compact(entries)).alias("e")).select("file", "e.path", "e.value")
+    return V.counts_source(manifest)
 
 
 @query(", raw as (select obs_idx, var_idx, value from coo where var_idx % 5 <> 0) select 'counts' as layer, obs_idx, var_idx, value::double as value from raw union all select 'data', obs_idx, var_idx, round(ln(1 + value), 6) from coo")
@@ -543,9 +587,15 @@ def q_verify_identity(spark, d):
     return V.identity(o, o.filter("obs_idx <> 5").withColumn("obs_id", F.when(F.col("obs_idx") == 3, "other").otherwise(F.col("obs_id"))), "obs_idx", "obs_id")
 
 
-@query("select l_suppkey, count(*)::bigint as cells, sum(case when l_tax is null then 1 else 0 end)::bigint as missing, count(distinct l_partkey)::bigint as parts from lineitem group by 1 having count(*) > 1", base=False)
+_SPELT = "(case when p_partkey % 3 = 0 then ' ' else '' end || p_name || case when p_partkey % 2 = 0 then ' / ' else ';' end || p_brand)"
+_SPELT_CLEAN = f"regexp_replace(regexp_replace(regexp_replace({_SPELT}, '[/\\s,;:\\\\]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
+
+
+@query(f"with n as (select distinct {_SPELT} as name, {_SPELT_CLEAN} as clean from part) select clean, count(*)::bigint as n, min(name) as first_name, max(name) as last_name from n group by 1 having count(*) > 1", base=False)
 def q_conflicts(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(long(F.count("*")).alias("cells"), long(F.sum(F.col("l_tax").isNull().cast("int"))).alias("missing"), long(F.count_distinct("l_partkey")).alias("parts")).filter("cells > 1")
+    k = F.col("p_partkey")
+    spelt = F.concat(F.when(k % 3 == 0, " ").otherwise(""), "p_name", F.when(k % 2 == 0, " / ").otherwise(";"), "p_brand")
+    return N.conflicts(table(spark, d, "part").select(spelt.alias("name")), "name")
 
 
 @query("select event_type as name, max(ts) as latest, max_by(event_id, (ts, event_id)) as event_id from events group by 1", base=False)
@@ -553,14 +603,20 @@ def q_latest_command(spark, d):
     return V.latest(table(spark, d, "events"), "event_type", "ts", "event_id")
 
 
-@query("select vec_id, round(sqrt(var_samp(x)), 5) as stdev from (select vec_id, unnest(embedding)::double as x from embeddings) group by 1", base=False)
+@query("select vec_id, list_transform(embedding, lambda x: round(sqrt(x::double * x::double + 0.25), 6)) as stdev from embeddings", base=False)
 def q_stdev(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("x")).groupBy("vec_id").agg(F.round(F.sqrt(F.var_samp(F.col("x").cast("double"))), 5).alias("stdev"))
+    variances = F.transform("embedding", lambda x: x.cast("double") * x.cast("double") + 0.25)
+    return table(spark, d, "embeddings").select("vec_id", F.transform(V.stdev_of(variances), lambda x: F.round(x, 6)).alias("stdev"))
+
+
+_NESTED = """('{"p":' || props || ',"user":{"id":' || user_id || ',"tags":["' || event_type || '",' || (event_id % 7) || ',{"deep":{"er":true}}]},"none":null,"empty":{},"v":"x"}')"""
 
 
-@query("select event_id, json_extract_string(props, '$.k') as k, 'props/k' as path from events", base=False)
+@query(f"""select e.event_id, replace(replace(replace(replace(t.fullkey, '$.', ''), '[', '/'), ']', ''), '.', '/') as path, case when t.type = 'OBJECT' then '{{}}' when t.type = 'VARCHAR' then json_extract_string(t.value, '$') else t.value::varchar end as value
+from events e, json_tree(({_NESTED})::json) t where t.type not in ('OBJECT', 'ARRAY') or t.value::varchar in ('{{}}', '[]')""", base=False)
 def q_uns_flatten(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.lit("props/k").alias("path"))
+    props = F.concat(F.lit('{"p":'), "props", F.lit(',"user":{"id":'), "user_id", F.lit(',"tags":["'), "event_type", F.lit('",'), (F.col("event_id") % 7).cast("string"), F.lit(',{"deep":{"er":true}}]},"none":null,"empty":{},"v":"x"}'))
+    return V.flatten_json(table(spark, d, "events").select("event_id", props.alias("json")), "json", ["event_id"])
 
 
 @query("select vec_id, k::bigint - 1 as dim, round(embedding[k]::double, 6) as value from embeddings, range(1, 65) r(k)", base=False)
@@ -573,23 +629,19 @@ _FILES = ["a.H5AD", "b.cellbin.gef", "c.gef", "d.spatialdata.zarr", "e.zarr", "s
 _TYPES = ["h5ad", "cellbin.gef", "gef", "spatialdata.zarr", "zarr", "soma", "loom", "h5mu", "h5seurat", "rds"]
 
 
-@query(f"with o(pos, name) as (values {_values(_FILES)}), t(pos, kind) as (values {_values(_TYPES)}) select pos::bigint as pos, name, kind from o join t using (pos)", base=False)
+@query(f"with {_picks(_FILES)}, t(pos, ending) as (values {_values(_FILES)}), k(pos, kind) as (values {_values(_TYPES)}) select file, o.pos, file || '-' || name as name, kind from o join t on t.ending = o.name join k on k.pos = t.pos where not starts_with(name, 'soma') union all select file, pos, name, 'soma' from o where starts_with(name, 'soma')", base=False)
 def q_file_type(spark, d):
     from ..sources.registry import file_type_column
 
-    return _named(spark, _FILES).withColumn("kind", file_type_column(F.col("name")))
+    name = F.col("name")
+    return _picked(spark, d, _FILES).withColumn("name", F.when(F.startswith(name, F.lit("soma")), name).otherwise(F.concat(F.col("file").cast("string"), F.lit("-"), name))).withColumn("kind", file_type_column(F.col("name")))
 
 
-_WI = ", s as materialized (select obs_idx, var_idx, value from coo where var_idx < 20)"
-
-
-@query(_WI + " select a.obs_idx as i, b.obs_idx as j, sum(least(a.value, b.value))::bigint as w from s a join s b on a.var_idx = b.var_idx and a.obs_idx <> b.obs_idx group by 1, 2")
+@query("select a.obs_idx as i, b.obs_idx as j, sum(least(a.value, b.value))::bigint as w from coo a join coo b on a.var_idx = b.var_idx and a.obs_idx <> b.obs_idx group by 1, 2")
 def q_obsp_edges(spark, d):
-    return S.overlap_graph(coo(spark, d).filter("var_idx < 20"))
+    return S.overlap_graph(coo(spark, d))
 
 
-@query(_WI + ", e as (select a.obs_idx as i, b.obs_idx as j, sum(least(a.value, b.value)) as w from s a join s b on a.var_idx = b.var_idx and a.obs_idx <> b.obs_idx group by 1, 2), r as (select *, row_number() over (partition by i order by w desc, j) as k from e) select i, k::bigint as rank, j, w::bigint as w from r where k <= 5")
+@query(", e as (select a.obs_idx as i, b.obs_idx as j, sum(least(a.value, b.value)) as w from coo a join coo b on a.var_idx = b.var_idx and a.obs_idx <> b.obs_idx group by 1, 2), r as (select *, row_number() over (partition by i order by w desc, j) as k from e) select i, k::bigint as rank, j, w::bigint as w from r where k <= 5")
 def q_neighbors(spark, d):
-    return S.top_neighbours(S.overlap_graph(coo(spark, d).filter("var_idx < 20")), 5)
-
-
+    return S.top_neighbours(S.overlap_graph(coo(spark, d)), 5)

@@ -10,12 +10,15 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import DataError
+from ..operators.joins import DataError, append, overlay
+from ..operators.multimodal import reduction_names, reduction_stem
 
 SCHEMAS = {
     "obs": "obs_idx long, obs_id string", "var": "var_idx long, var_id string", "matrix": "layer string, obs_idx long, var_idx long, value double", "obsm": "key string, obs_idx long, vec array<double>",
@@ -56,41 +59,122 @@ class Container:
     def keys(self, table: str) -> list[str]:
         return sorted(r.key for r in self.tables[table].select("key").distinct().collect())
 
+    def cells(self) -> DataFrame:
+        return self.obs.select("obs_idx", "obs_id")
+
+    def features(self) -> DataFrame:
+        return self.var.select("var_idx", "var_id")
+
+    @property
+    def default_assay(self) -> str:
+        return self.attrs.get("assay", "RNA")
+
+    def counts(self) -> DataFrame:
+        """obs_idx, var_idx, value of the counts: their own layer, or X where that holds them."""
+        layer = "X" if self.attrs.get("x_holds") == "counts" or self.matrix.filter("layer = 'counts'").isEmpty() else "counts"
+        return self.matrix.filter(F.col("layer") == layer).drop("layer")
+
+    def reductions(self) -> dict[str, str]:
+        """Name of each reduction -> its key among the embeddings."""
+        return dict(zip(reduction_names(keys := [k for k in self.keys("obsm") if reduction_stem(k) != "spatial"]), keys, strict=True))
+
+    def query(self, obs_query: str | None = None, var_query: str | None = None, obs_columns: list[str] | None = None, var_columns: list[str] | None = None) -> Container:
+        """Rows by predicates on obs and var, and their columns. Predicates reach the scans of these tables; matrix,
+        embeddings and graphs keep the rows that are left, by semi-joins. Positions stay."""
+        obs, var = (self.obs.filter(obs_query) if obs_query else self.obs), (self.var.filter(var_query) if var_query else self.var)
+        tables = dict(self.tables)
+        for axis, asked, left, vectors, graphs in (("obs", obs_query, obs, "obsm", "obsp"), ("var", var_query, var, "varm", "varp")):
+            if asked:
+                ids = left.select(f"{axis}_idx")
+                tables |= {t: tables[t].join(ids, f"{axis}_idx", "left_semi") for t in ("matrix", vectors)}
+                tables[graphs] = tables[graphs].join(ids.withColumnRenamed(f"{axis}_idx", "i"), "i", "left_semi").join(ids.withColumnRenamed(f"{axis}_idx", "j"), "j", "left_semi")
+        tables["obs"] = obs.select("obs_idx", "obs_id", *obs_columns) if obs_columns is not None else obs
+        tables["var"] = var.select("var_idx", "var_id", *var_columns) if var_columns is not None else var
+        return replace(self, tables=tables)
+
+    def append(self, other: Container, components: Iterable[str] = ("layers", "obsm", "varm", "obsp", "varp", "uns"), overwrite: bool = False) -> Container:
+        """This container with what other has and it lacks (or, overwriting, with all that other has). Cells must be the
+        same ones in the same order; so must features, where entries of features are taken."""
+        for axis, k in (("obs", 0), ("var", 1)):
+            if axis == "var" and not {"layers", "varm", "varp"} & {*components}:
+                continue
+            ids = lambda c, as_: c.tables[axis].select(F.col(f"{axis}_idx").alias(as_), F.col(f"{axis}_id").alias(f"{as_}_id"))  # noqa: E731,B023
+            moved = ids(self, "a").join(ids(other, "b"), F.col("a") == F.col("b"), "full").filter(~F.col("a_id").eqNullSafe(F.col("b_id")))
+            if self.shape[k] != other.shape[k] or not moved.isEmpty():
+                raise DataError(f"the two have other {'cells' if axis == 'obs' else 'features'}, or in another order")
+        tables = dict(self.tables)
+        for part in components:
+            name, key = {"layers": ("matrix", "layer"), "uns": ("uns", "path")}.get(part, (part, "key"))
+            tables[name] = append(self.tables[name], other.tables[name], key, overwrite)
+        return replace(self, tables=tables)
+
+    def load_more(self, path: str, components: Iterable[str], **options) -> Container:
+        """This container with further components of a file; obs columns come by position, the file's count."""
+        from . import formats
+
+        more = formats.load(self.spark, path, components=components, **options)
+        out = self.append(more, [c for c in components if c not in ("obs", "var")], overwrite=True) if {*components} - {"obs", "var"} else self
+        tables = dict(out.tables)
+        for axis in ("obs", "var"):
+            if axis in components:
+                tables[axis] = overlay(self.tables[axis], more.tables[axis], f"{axis}_idx")
+        return replace(out, tables=tables)
+
 
 def fs_of(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark reaches; empty if it is none."""
+    at, fs = fs_of(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) and fs.getFileStatus(at).isDirectory() else []
+
+
 def replace_dir(spark: SparkSession, path: str, overwrite: bool):
     """A temporary sibling to write to, and a function that puts it in place. An existing target is an error unless
-    overwrite is set, and stays until the new one is complete."""
+    overwrite is set; it steps aside when the new one is complete, and goes when that is in place."""
     at, fs = fs_of(spark, path)
     if fs.exists(at) and not overwrite:
         raise DataError(f"{path} exists; set overwrite to replace it")
     tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex[:8]}"
 
     def commit() -> None:
-        fs.delete(at, True)
+        old = fs_of(spark, f"{tmp}.old")[0]
+        there = fs.exists(at) and fs.rename(at, old)
         if not fs.rename(fs_of(spark, tmp)[0], at):
+            if there:
+                fs.rename(old, at)
             raise DataError(f"{tmp} can't be renamed to {path}")
+        if there:
+            fs.delete(old, True)
 
     return tmp, commit
 
 
-def write_container(c: Container, path: str, overwrite: bool = False, compression: str = "zstd", **_) -> None:
-    """Parquet tables, the matrix partitioned by layer and sorted by row, then a manifest; atomic."""
+def write_container(c: Container, path: str, overwrite: bool = False, compression: str = "zstd", level: int | None = None) -> None:
+    """Parquet tables, the matrix partitioned by layer and sorted by row, then a manifest; atomic. Level 0 stores as it
+    is. The tables are written side by side."""
     tmp, commit = replace_dir(c.spark, path, overwrite)
-    for name, df in c.tables.items():
-        out = df.repartitionByRange("layer", "obs_idx").sortWithinPartitions("layer", "obs_idx", "var_idx") if name == "matrix" else df
-        writer = out.write.option("compression", compression)
-        (writer.partitionBy("layer") if name == "matrix" else writer).parquet(f"{tmp}/{name}")
+    codec = "none" if level == 0 else compression
+
+    def write(item: tuple[str, DataFrame]) -> None:
+        name, df = item
+        if name == "matrix":
+            # a part's rows are of one range of rows, so that row groups can be skipped
+            df.repartitionByRange("layer", "obs_idx").sortWithinPartitions("layer", "obs_idx", "var_idx").write.option("compression", codec).partitionBy("layer").parquet(f"{tmp}/{name}")
+        else:
+            df.write.option("compression", codec).parquet(f"{tmp}/{name}")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(inheritable_thread_target(c.spark)(write), c.tables.items()))
     manifest = json.dumps({"version": 1, "shape": list(c.shape), "attrs": c.attrs, "schemas": {n: d.schema.json() for n, d in c.tables.items()}})
     c.spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{tmp}/manifest")
     commit()
 
 
-def read_container(spark: SparkSession, path: str, components: Iterable[str] | None = None, **_) -> Container:
+def read_container(spark: SparkSession, path: str, components: Iterable[str] | None = None, obs_query: str | None = None, var_query: str | None = None, obs_columns: list[str] | None = None, var_columns: list[str] | None = None) -> Container:
     from pyspark.sql.types import StructType
 
     facts = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/manifest").collect()))
@@ -98,28 +182,7 @@ def read_container(spark: SparkSession, path: str, components: Iterable[str] | N
     for name, schema in facts["schemas"].items():
         want = StructType.fromJson(json.loads(schema))
         tables[name] = spark.read.schema(want).parquet(f"{path}/{name}").select(want.names)
-    return Container(spark, tables, tuple(facts["shape"]), facts["attrs"]).only(components)
-
-
-def read_soma(spark: SparkSession, uri: str, obs_query: str | None = None, var_query: str | None = None, obs_column_names: list[str] | None = None, **_) -> Container:
-    """The native form under a soma:// URI (or a plain path), with predicates on obs and var: they reach the scans of
-    these tables, and the matrix, embeddings and graphs keep the rows that are left, by semi-joins."""
-    c = read_container(spark, uri.removeprefix("soma://"))
-    obs, var = (c.obs.filter(obs_query) if obs_query else c.obs), (c.var.filter(var_query) if var_query else c.var)
-    tables = dict(c.tables)
-    if obs_query:
-        ids = obs.select("obs_idx")
-        tables |= {t: c.tables[t].join(ids, "obs_idx", "left_semi") for t in ("matrix", "obsm")}
-        tables["obsp"] = c.obsp.join(ids.withColumnRenamed("obs_idx", "i"), "i", "left_semi").join(ids.withColumnRenamed("obs_idx", "j"), "j", "left_semi")
-    if var_query:
-        ids = var.select("var_idx")
-        tables |= {"matrix": tables["matrix"].join(ids, "var_idx", "left_semi"), "varm": c.varm.join(ids, "var_idx", "left_semi")}
-    tables |= {"obs": obs.select("obs_idx", "obs_id", *obs_column_names) if obs_column_names is not None else obs, "var": var}
-    return replace(c, tables=tables)
-
-
-def write_soma(c: Container, uri: str, overwrite: bool = False, **options) -> None:
-    write_container(c, uri.removeprefix("soma://"), overwrite, **options)
+    return Container(spark, tables, tuple(facts["shape"]), facts["attrs"]).only(components).query(obs_query, var_query, obs_columns, var_columns)
 
 
 def from_tables(spark: SparkSession, sf_dir: str) -> Container:

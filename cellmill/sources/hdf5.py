@@ -2,7 +2,8 @@
 
 Reads superblocks 0 to 3, object headers 1 and 2, groups by symbol table or link messages, compact, contiguous and
 chunked (version 1 B-tree) data with deflate, shuffle and fletcher32, numbers, enumerations, fixed and variable strings.
-Anything else raises Hdf5Error. Writes superblock 0 with symbol-table groups and contiguous data, in one pass.
+Anything else raises Hdf5Error. Writes superblock 0 with symbol-table groups, contiguous data, and chunked data (deflate)
+for datasets that grow side by side, in one pass.
 """
 
 from __future__ import annotations
@@ -346,8 +347,9 @@ class Dataset:
 class Writer:
     """Writes datasets as their parts come, and groups at the end. Use as a context manager; the file appears complete."""
 
-    def __init__(self, path: str):
-        self.path, self.tmp = path, f"{path}.{os.getpid()}.part"
+    def __init__(self, path: str, level: int = 0):
+        """level: of deflate, for datasets that grow (0: none)."""
+        self.path, self.tmp, self.level = path, f"{path}.{os.getpid()}.part", level
         self.file = open(self.tmp, "wb")  # noqa: SIM115  closed by __exit__
         self.file.write(b"\0" * 96)
         self.nodes: dict[str, dict] = {"": {"attrs": {}, "at": None}}
@@ -396,6 +398,11 @@ class Writer:
         messages = [(1, _space(shape)), (3, type_), (5, b"\x02\x01\x00\x00"), (8, layout)]
         self.nodes[key] = {"at": self._header(messages + self._attributes(attributes or {}))}
 
+    def grow(self, key: str, dtype: str, tail: tuple[int, ...] = (), attributes: dict | None = None) -> Growing:
+        """A dataset whose rows come a part at a time, while others grow too; close() it when all have come."""
+        self.group(key.rpartition("/")[0])
+        return Growing(self, key, dtype, tail, attributes or {})
+
     def _strings(self, values: list[str | None]) -> bytes:
         refs = []
         for k in range(0, len(values), 4000):
@@ -454,6 +461,81 @@ class Writer:
         self.file.write(SIGNATURE + struct.pack("<BBBBBBBBHHI", 0, 0, 0, 0, 0, 8, 8, 0, leaf, 16, 0) + struct.pack("<QQQQ", 0, NONE, end, NONE) + struct.pack("<QQII", 0, self.nodes[""]["at"], 1, 0) + self.nodes[""]["link"])
 
 
+class Growing:
+    """Rows are kept until a chunk of CHUNK values is full; chunks are appended to the file, their index at the end."""
+
+    CHUNK, FANOUT = 1 << 16, 64
+
+    def __init__(self, w: Writer, key: str, dtype: str, tail: tuple[int, ...], attributes: dict):
+        self.w, self.key, self.tail, self.attributes = w, key, tail, attributes
+        self.text = dtype == "string"
+        self.type = _VLEN if self.text else _BOOL if dtype == "bool" else _number(np.dtype(dtype))
+        self.width = 16 if self.text else np.dtype("u1" if dtype == "bool" else dtype).itemsize
+        self.numpy = None if self.text else np.dtype("u1" if dtype == "bool" else dtype)
+        self.row = self.width * math.prod(tail)
+        self.rows = max(1, self.CHUNK // max(1, math.prod(tail)))
+        self.held, self.size, self.count = [], 0, 0
+        self.chunks: list[tuple[int, int, int]] = []  # first row, bytes, place
+
+    def add(self, part) -> None:
+        """An array, or a list of strings."""
+        raw = self.w._strings(list(part)) if self.text else np.ascontiguousarray(part, self.numpy).tobytes()
+        self.held.append(raw)
+        self.size += len(raw)
+        if self.size >= self.rows * self.row:
+            raw = b"".join(self.held)
+            whole = len(raw) // (self.rows * self.row) * (self.rows * self.row)
+            for at in range(0, whole, self.rows * self.row):
+                self._chunk(raw[at : at + self.rows * self.row])
+            self.held, self.size = [raw[whole:]], len(raw) - whole
+
+    def _chunk(self, raw: bytes) -> None:
+        if self.w.level:
+            raw = zlib.compress(raw, self.w.level)
+        self.chunks.append((self.count, len(raw), self.w._put(raw)))
+        self.count += self.rows
+
+    def close(self) -> int:
+        """Writes what is left, the index and the header; returns the number of rows."""
+        rest, before = b"".join(self.held), self.count
+        if self.row == 0 or (not self.chunks and not (self.w.level and rest)):  # all of it at once
+            rows = len(rest) // self.row if self.row else 0
+            layout, fill = struct.pack("<BBQQ", 3, 1, self.w._put(rest) if rest else NONE, len(rest)), b"\x02\x01\x00\x00"
+            messages = []
+        else:
+            rows = before + len(rest) // self.row
+            if not self.chunks:
+                self.rows = rows  # a chunk isn't larger than its dataset
+            if rest:
+                self._chunk(rest.ljust(self.rows * self.row, b"\0"))
+            chunk = [self.rows, *self.tail]
+            layout = struct.pack(f"<BBBQ{len(chunk) + 1}I", 3, 2, len(chunk) + 1, self._index(len(chunk)), *chunk, self.width)
+            fill = b"\x02\x03\x00\x00"
+            messages = [(11, struct.pack("<BB6xHHHHII", 1, 1, 1, 0, 1, 1, self.w.level, 0))] if self.w.level else []
+        head = [(1, _space([rows, *self.tail])), (3, self.type), (5, fill), (8, layout), *messages]
+        self.w.nodes[self.key] = {"at": self.w._header(head + self.w._attributes(self.attributes))}
+        return rows
+
+    def _index(self, rank: int) -> int:
+        """A version 1 B-tree over the chunks, level by level; the place of its root."""
+        row = lambda first, size: struct.pack(f"<II{rank + 1}Q", size, 0, first, *[0] * rank)
+        width, level, nodes = 8 + 8 * (rank + 1), 0, self.chunks
+        while True:
+            groups = [nodes[k : k + self.FANOUT] for k in range(0, len(nodes), self.FANOUT)]
+            room = 24 + (self.FANOUT + 1) * width + self.FANOUT * 8
+            room += -room % 8
+            at = self.w._put(b"\0" * (room * len(groups)))
+            for k, own in enumerate(groups):
+                after = groups[k + 1][0][0] if k + 1 < len(groups) else self.count
+                body = b"".join(row(first, size) + struct.pack("<Q", place) for first, size, place in own) + row(after, 0)
+                left, right = at + (k - 1) * room if k else NONE, at + (k + 1) * room if k + 1 < len(groups) else NONE
+                self.w.file.seek(at + k * room)
+                self.w.file.write(struct.pack("<4sBBHQQ", b"TREE", 1, level, len(own), left, right) + body)
+            nodes, level = [(own[0][0], own[0][1], at + k * room) for k, own in enumerate(groups)], level + 1
+            if len(nodes) == 1:
+                return nodes[0][2]
+
+
 def _space(shape: list[int]) -> bytes:
     return struct.pack("<BBB5x", 1, len(shape), 0) + struct.pack(f"<{len(shape)}Q", *shape)
 

@@ -1,133 +1,187 @@
 """h5ad, h5mu, h5Seurat, Loom and GEF files on the pure-Python HDF5 layer.
 
-Reading is the same data source as for Zarr: executors open the file and read their rows. A file has one writer, so
-writing streams rows to the driver a partition at a time; nothing is held but one partition.
+Reading is the same data source as for Zarr, over views that show each layout as one tree: executors open the file and
+read their rows. A file has one writer: sorted Arrow batches stream through the driver, each table in one pass, and its
+datasets grow side by side; nothing is held but a batch and a chunk of each dataset. The path must be one that driver and
+executors share.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import DataError
+from . import views
 from .container import Container
 from .hdf5 import Tree, Writer
-from .zarr import read_zarr
+from .uns import write_uns
+from .zarr import _CSR, TEXT, Columns, all_matrices, all_vectors, read_tree
 
+#: Rows of an axis that are written at once where nothing stands in them.
 PART = 65536
 
 
 def read_h5ad(spark: SparkSession, path: str, components: Iterable[str] | None = None, **options) -> Container:
-    return read_zarr(spark, path, components, **options)
+    return read_tree(spark, path, components, **options)
 
 
-def _parts(df: DataFrame, column: str, order: list[str], make: Callable[[list], np.ndarray]) -> Iterator[np.ndarray]:
-    """A column's values in a total order, a bounded part at a time."""
-    held: list = []
-    for row in df.orderBy(*order).select(column).toLocalIterator():
-        held.append(row[0])
-        if len(held) == PART:
-            yield make(held)
-            held = []
-    if held:
-        yield make(held)
-
-
-def _numbers(values: list) -> np.ndarray:
-    return np.array(values)
+def batches(df: DataFrame, *order: str) -> Iterator[pa.RecordBatch]:
+    """The rows in a total order, as Arrow batches, a partition at a time."""
 
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["b"])
 
-def _texts(values: list) -> np.ndarray:
-    return np.array([*["" if v is None else v for v in values], None], dtype=object)[:-1]
+    for row in df.orderBy(*order).mapInArrow(pack, "b binary").toLocalIterator(prefetchPartitions=True):
+        yield pa.ipc.open_stream(row.b).read_next_batch()
 
 
 def _target(path: str, overwrite: bool) -> str:
     path = path.removeprefix("file://")
+    if "://" in path:
+        raise DataError(f"{path}: HDF5 files are written to shared file systems, not to object stores; write Zarr or Parquet there")
     if os.path.exists(path) and not overwrite:
         raise DataError(f"{path} exists; set overwrite to replace it")
     return path
 
 
-def _csr(w: Writer, key: str, coo: DataFrame, rows: int, cols: int) -> None:
-    """coo: i, j, v."""
-    coo = coo.cache()
-    w.group(key, {"encoding-type": "csr_matrix", "encoding-version": "0.1.0", "shape": [rows, cols]})
-    axis = coo.sparkSession.range(rows).withColumnRenamed("id", "i").join(coo.groupBy("i").agg(F.count("*").alias("n")), "i", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+class _Csr:
+    """indptr, indices and data of one matrix, from entries in order."""
+
+    def __init__(self, w: Writer, key: str, shape: tuple[int, int], attributes: dict | None = None):
+        w.group(key, (_CSR | {"shape": list(shape)}) | (attributes or {}))
+        self.rows, self.at, self.count = shape[0], 0, 0
+        self.ptr, self.indices, self.data = (w.grow(f"{key}/{k}", t) for k, t in (("indptr", "<i8"), ("indices", "<i8"), ("data", "<f8")))
+        self.ptr.add(np.zeros(1, np.int64))
+
+    def add(self, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> None:
+        self._close_rows(int(i[-1]), i)
+        self.indices.add(j)
+        self.data.add(v)
+        self.count += len(i)
+
+    def _close_rows(self, until: int, i: np.ndarray | None = None) -> None:
+        """Ends of the rows before ``until``."""
+        for a in range(self.at, until, PART):
+            rows = np.arange(a, min(until, a + PART))
+            self.ptr.add(self.count + (np.searchsorted(i, rows, "right") if i is not None else np.zeros(len(rows), np.int64)))
+        self.at = max(self.at, until)
+
+    def close(self) -> None:
+        self._close_rows(self.rows)
+        for d in (self.ptr, self.indices, self.data):
+            d.close()
+
+
+def _matrices(w: Writer, coo: DataFrame, shapes: dict[str, tuple[int, int]], places: dict[str, str] | None = None, attributes: dict[str, dict] | None = None) -> None:
+    """coo: name, i, j, v. places: where each name is written."""
+    place = lambda name: (places or {}).get(name, name)
+    extra = attributes or {}
+    at, done = None, set()
+    current = None
+    for part in batches(coo, "name", "i", "j"):
+        names = part.column(0).dictionary_encode()
+        codes, (i, j, v) = np.asarray(names.indices), (np.asarray(part.column(k)) for k in (1, 2, 3))
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            name = names.dictionary[int(codes[a])].as_py()
+            if name != at:
+                if current:
+                    current.close()
+                current, at = _Csr(w, place(name), shapes[name], extra.get(name)), name
+                done.add(name)
+            current.add(i[a:b], j[a:b], v[a:b])
+    if current:
+        current.close()
+    for name in shapes.keys() - done:
+        _Csr(w, place(name), shapes[name], extra.get(name)).close()
+
+
+def _vectors(w: Writer, rows: DataFrame | None, shapes: dict[str, tuple[int, int]], places: dict[str, str] | None = None, flip: bool = False) -> None:
+    """rows: name, i, vec; rows that are missing are NaN."""
+    open_, at = {}, {}
+    encoded = {"encoding-type": "array", "encoding-version": "0.2.0"}
+
+    def blank(name: str, until: int) -> None:
+        for a in range(at[name], until, PART):
+            open_[name].add(np.full((min(until, a + PART) - a, shapes[name][1]), np.nan))
+        at[name] = until
+
+    for name, (_, k) in shapes.items():
+        open_[name], at[name] = w.grow((places or {}).get(name, name), "<f8", (k,), encoded), 0
+    for part in batches(rows, "name", "i") if rows is not None else []:
+        for name, i, vec in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            blank(name, i)
+            line = np.full((1, shapes[name][1]), np.nan)
+            line[0, : len(vec)] = vec
+            open_[name].add(line)
+            at[name] = i + 1
+    for name, (n, _) in shapes.items():
+        blank(name, n)
+        open_[name].close()
 
-    def pointers() -> Iterator[np.ndarray]:
-        yield np.zeros(1, np.int64)
-        last = 0
-        for part in _parts(axis, "n", ["i"], _numbers):
-            ends = last + np.cumsum(part)
-            last = int(ends[-1])
-            yield ends
 
-    nnz = coo.count()
-    w.dataset(f"{key}/indptr", pointers(), [rows + 1], "<i8")
-    w.dataset(f"{key}/indices", _parts(coo, "j", ["i", "j"], _numbers), [nnz], "<i8")
-    w.dataset(f"{key}/data", _parts(coo, "v", ["i", "j"], _numbers), [nnz], "<f8")
-    coo.unpersist()
+def _frame(w: Writer, top: str, df: DataFrame, n: int, levels: DataFrame, at: str = "") -> None:
+    columns = Columns(df, top, levels)
+    w.group(f"{at}{top}", columns.attrs)
+    for c, attributes in columns.groups.items():
+        w.group(f"{at}{top}/{c}", attributes)
+        if c in columns.labels:
+            w.dataset(f"{at}{top}/{c}/categories", [columns.labels[c]], [len(columns.labels[c])], "string", TEXT)
+    open_ = [(w.grow(f"{at}{top}/{key}", dtype, (), TEXT if dtype == "string" else None), c, part, dtype) for key, c, part, dtype in columns.plan]
+    _stream(df, columns, open_, n, top)
 
 
-def _frame(w: Writer, top: str, df: DataFrame, n: int, levels: DataFrame, at: str = "") -> None:
-    idx, names = f"{top}_idx", [c for c in df.columns if c not in (f"{top}_idx", f"{top}_id")]
-    known: dict[str, list] = {}
-    for r in levels.filter(F.col("tbl") == top).orderBy("col", "code").collect():
-        known.setdefault(r.col, []).append(r)
-    text = {"encoding-type": "string-array", "encoding-version": "0.2.0"}
-    w.group(f"{at}{top}", {"encoding-type": "dataframe", "encoding-version": "0.2.0", "_index": "_index", "column-order": names})
-    w.dataset(f"{at}{top}/_index", _parts(df, f"{top}_id", [idx], _texts), [n], "string", text)
-    for c in names:
-        kind, key = dict(df.dtypes)[c], f"{at}{top}/{c}"
-        if c in known:
-            labels = [r.label for r in known[c]]
-            w.group(key, {"encoding-type": "categorical", "encoding-version": "0.2.0", "ordered": bool(known[c][0].ordered)})
-            w.dataset(f"{key}/categories", [_texts(labels)], [len(labels)], "string", text)
-            code = df.withColumn("__c", F.coalesce(F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(c)) - 1, F.lit(-1)))
-            w.dataset(f"{key}/codes", _parts(code, "__c", [idx], _numbers), [n], "<i1" if len(labels) <= 127 else "<i2" if len(labels) <= 32767 else "<i4")
-        elif kind == "string":
-            w.dataset(key, _parts(df, c, [idx], _texts), [n], "string", text)
-        else:
-            dtype = "bool" if kind == "boolean" else "<f8" if kind in ("double", "float") else "<i8"
-            zero = F.lit(False) if kind == "boolean" else F.lit(0).cast(kind)
-            if df.filter(F.col(c).isNull()).isEmpty():
-                w.dataset(key, _parts(df, c, [idx], _numbers), [n], dtype)
-            else:
-                w.group(key, {"encoding-type": "nullable-boolean" if kind == "boolean" else "nullable-integer", "encoding-version": "0.1.0"})
-                w.dataset(f"{key}/values", _parts(df.withColumn(c, F.coalesce(c, zero)), c, [idx], _numbers), [n], dtype)
-                w.dataset(f"{key}/mask", _parts(df.withColumn(c, F.col(c).isNull()), c, [idx], _numbers), [n], "bool")
+def _stream(df: DataFrame, columns: Columns, open_: list, n: int, what: str) -> None:
+    """One pass over a frame: each batch goes to all of its datasets."""
+    for batch in batches(df, columns.index):
+        for d, c, part, dtype in open_:
+            d.add(columns.values(batch.column(batch.schema.get_field_index(c)), c, part, dtype))
+    for d, c, *_ in open_:
+        if (got := d.close()) != n:
+            raise DataError(f"{what}/{c}: {got} rows for {n} places")
+
+
+def _put(w: Writer, key: str, value: np.ndarray, attributes: dict) -> None:
+    text = value.dtype == object
+    w.dataset(key, [value.reshape(-1).tolist() if text else value], list(value.shape), "string" if text else "bool" if value.dtype == bool else value.dtype.str, attributes)
+
+
+def _uns(w: Writer, c: Container, top: str) -> None:
+    write_uns(((r.path, r.value) for r in c.uns.orderBy("path").toLocalIterator()), w.group, lambda key, value, attributes: _put(w, key, value, attributes), top)
 
 
 def _anndata(w: Writer, c: Container, at: str = "") -> None:
-    """X, layers, obs, var, obsm, varm, obsp, varp under a prefix."""
-    n, p = c.shape
+    """X, layers, obs, var, obsm, varm, obsp, varp and uns under a prefix."""
     w.group(at.rstrip("/"), {"encoding-type": "anndata", "encoding-version": "0.1.0"})
-    for top in ("layers", "obsm", "varm", "obsp", "varp", "uns"):
+    for top in ("layers", "obsm", "varm", "obsp", "varp"):
         w.group(f"{at}{top}", {"encoding-type": "dict", "encoding-version": "0.1.0"})
-    for layer in c.layers():
-        coo = c.matrix.filter(F.col("layer") == layer).select(F.col("obs_idx").alias("i"), F.col("var_idx").alias("j"), F.col("value").alias("v"))
-        _csr(w, f"{at}X" if layer == "X" else f"{at}layers/{layer}", coo, n, p)
-    _frame(w, "obs", c.obs, n, c.levels, at)
-    _frame(w, "var", c.var, p, c.levels, at)
-    for top, idx, size in (("obsm", "obs_idx", n), ("varm", "var_idx", p)):
-        for key in c.keys(top):
-            rows = c.tables[top].filter(F.col("key") == key)
-            k = rows.agg(F.max(F.size("vec"))).first()[0] or 1
-            whole = c.spark.range(size).withColumnRenamed("id", "__i").join(rows, F.col("__i") == F.col(idx), "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(float("nan")), k)))
-            w.dataset(f"{at}{top}/{key}", _parts(whole, "vec", ["__i"], _numbers), [size, k], "<f8", {"encoding-type": "array", "encoding-version": "0.2.0"})
-    for top, size in (("obsp", n), ("varp", p)):
-        for key in c.keys(top):
-            _csr(w, f"{at}{top}/{key}", c.tables[top].filter(F.col("key") == key).select("i", "j", F.col("w").alias("v")), size, size)
-
-
-def write_h5ad(c: Container, path: str, overwrite: bool = False, **_) -> None:
-    """The file appears when it is complete."""
-    with Writer(_target(path, overwrite)) as w:
+    _matrices(w, *all_matrices(c, at))
+    _frame(w, "obs", c.obs, c.shape[0], c.levels, at)
+    _frame(w, "var", c.var, c.shape[1], c.levels, at)
+    _vectors(w, *all_vectors(c, at))
+    _uns(w, c, f"{at}uns")
+
+
+def write_h5ad(c: Container, path: str, overwrite: bool = False, level: int = 0, raw: Container | None = None) -> None:
+    """The file appears when it is complete. level: of deflate. raw: cells of the same order with features of its own,
+    whose X and var go to raw."""
+    with Writer(_target(path, overwrite), level) as w:
         _anndata(w, c)
+        if raw is not None:
+            coo, shapes = all_matrices(Container.of(raw.spark, raw.shape, matrix=raw.matrix.filter("layer = 'X'")), "raw/")
+            _matrices(w, coo, shapes)
+            _frame(w, "var", raw.var, raw.shape[1], raw.levels, "raw/")
 
 
 def read_h5mu(spark: SparkSession, path: str, modalities: list[str] | None = None, **options) -> dict[str, Container]:
@@ -136,18 +190,22 @@ def read_h5mu(spark: SparkSession, path: str, modalities: list[str] | None = Non
     there = tree.attrs("mod").get("mod-order") or tree.children("mod")
     if not there:
         raise DataError(f"{path} has no modalities")
-    return {m: read_zarr(spark, path, prefix=f"mod/{m}", **options) for m in there if modalities is None or m in modalities}
+    if missing := [m for m in modalities or [] if m not in there]:
+        raise DataError(f"{path} has no modalities {missing}; there are {there}")
+    return {m: read_tree(spark, path, prefix=f"mod/{m}", **options) for m in there if modalities is None or m in modalities}
 
 
-def write_h5mu(mods: dict[str, Container], path: str, overwrite: bool = False, **_) -> None:
+def write_h5mu(mods: dict[str, Container], path: str, overwrite: bool = False, level: int = 0) -> None:
     """Modalities of the same cells, with global obs and var and the maps between global and local positions."""
     first = next(iter(mods.values()))
     n = first.shape[0]
     for m, c in mods.items():
+        if c is first:
+            continue
         moved = c.obs.select(F.col("obs_idx").alias("i"), F.col("obs_id").alias("x")).join(first.obs, F.col("i") == F.col("obs_idx"), "full").filter(~F.col("x").eqNullSafe(F.col("obs_id")))
         if c.shape[0] != n or not moved.isEmpty():
             raise DataError(f"modality {m} has other cells, or in another order")
-    with Writer(_target(path, overwrite)) as w:
+    with Writer(_target(path, overwrite), level) as w:
         w.group("", {"encoding-type": "MuData", "encoding-version": "0.1.0"})
         w.group("mod", {"mod-order": list(mods)})
         for m, c in mods.items():
@@ -163,181 +221,245 @@ def write_h5mu(mods: dict[str, Container], path: str, overwrite: bool = False, *
             own = c.var.join(twice, F.col("var_id") == F.col("d"), "left").select((F.col("var_idx") + start).alias("var_idx"), F.when(F.col("d").isNotNull(), F.concat(F.lit(f"{m}:"), "var_id")).otherwise(F.col("var_id")).alias("var_id"))
             var = own if var is None else var.unionByName(own)
             p = c.shape[1]
-            w.dataset(f"obsmap/{m}", [np.arange(n)], [n], "<i8")
-            w.dataset(f"varmap/{m}", [np.concatenate([np.full(start, -1), np.arange(p), np.full(total - start - p, -1)])], [total], "<i8")
+            for key, size, low, high in ((f"obsmap/{m}", n, 0, n), (f"varmap/{m}", total, start, start + p)):
+                d = w.grow(key, "<i8")
+                for a in range(0, size, PART):
+                    at = np.arange(a, min(size, a + PART))
+                    d.add(np.where((at >= low) & (at < high), at - low, -1))
+                d.close()
             start += p
         _frame(w, "var", var, total, first.levels.limit(0))
 
 
-def write_h5seurat(c: Container, path: str, overwrite: bool = False, assay: str = "RNA", **_) -> None:
-    """Features x cells by columns, which is our rows x features by rows; factors are 1-based values with levels."""
+def _seurat_frame(w: Writer, top: str, key: str, names: str, df: DataFrame, n: int, levels: DataFrame) -> None:
+    """Names in one dataset and columns in a group: factors as 1-based values and levels, logicals as 0, 1 and 2 for null;
+    other nulls are noted beside."""
+    columns = Columns(df, top, levels)
+    w.group(key, {"colnames": list(columns.names)})
+    open_ = []
+    for at, c, part, dtype in columns.plan:
+        if at == "_index":
+            open_.append((w.grow(names, "string"), c, part, dtype))
+        elif c in columns.labels and part == "codes":
+            w.group(f"{key}/{c}", {"ordered": columns.ordered[c]})
+            w.dataset(f"{key}/{c}/levels", [columns.labels[c]], [len(columns.labels[c])], "string")
+            open_.append((_Shifted(w.grow(f"{key}/{c}/values", "<i4")), c, part, "<i4"))
+        elif dtype == "bool" and part == "value":
+            open_.append((_Logical(w.grow(f"{key}/{c}", "<i4", (), {"s3class": "logical"})), c, "whole", dtype))
+        elif part == "mask" and dict(df.dtypes)[c] == "boolean":
+            continue  # the 2 says it
+        else:
+            open_.append((w.grow(f"{key}/{c}" if part == "value" else f"{views.NULLS}/{key}/{c}", dtype), c, part, dtype))
+    for batch in batches(df, columns.index):
+        for d, c, part, dtype in open_:
+            column = batch.column(batch.schema.get_field_index(c))
+            d.add(column if part == "whole" else columns.values(column, c, part, dtype))
+    for d, c, *_ in open_:
+        if (got := d.close()) != n:
+            raise DataError(f"{key}/{c}: {got} rows for {n} places")
+
+
+class _Shifted:
+    """0-based codes to 1-based values; null is 0."""
+
+    def __init__(self, inner):
+        self.inner, self.close = inner, inner.close
+
+    def add(self, codes: np.ndarray) -> None:
+        self.inner.add(codes.astype(np.int64) + 1)
+
+
+class _Logical:
+    def __init__(self, inner):
+        self.inner, self.close = inner, inner.close
+
+    def add(self, flags: pa.Array) -> None:
+        self.inner.add(np.array([2 if v is None else int(v) for v in flags.to_pylist()]))
+
+
+def write_h5seurat(c: Container, path: str, overwrite: bool = False, assay: str = "RNA", level: int = 0) -> None:
+    """Features x cells by columns, which is our rows x features by rows; X is the layer data."""
     n, p = c.shape
-    with Writer(_target(path, overwrite)) as w:
-        w.group("", {"version": "3.1.5.9900", "project": "cellmill", "active.assay": assay})
-        w.dataset("cell.names", _parts(c.obs, "obs_id", ["obs_idx"], _texts), [n], "string")
-        w.group(f"assays/{assay}", {"key": f"{assay.lower()}_"})
-        w.dataset(f"assays/{assay}/features", _parts(c.var, "var_id", ["var_idx"], _texts), [p], "string")
-        for layer in c.layers():
-            coo = c.matrix.filter(F.col("layer") == layer).select(F.col("obs_idx").alias("i"), F.col("var_idx").alias("j"), F.col("value").alias("v"))
-            name = {"X": "data", "scaled": "scale.data"}.get(layer, layer)
-            _csr(w, f"assays/{assay}/{name}", coo, n, p)
-            w.group(f"assays/{assay}/{name}", {"dims": [p, n]})
-        known: dict[str, list[str]] = {}
-        for r in c.levels.filter("tbl = 'obs'").orderBy("col", "code").collect():
-            known.setdefault(r.col, []).append(r.label)
-        w.group("meta.data", {"colnames": [x for x in c.obs.columns if x not in ("obs_idx", "obs_id")]})
-        for col, kind in c.obs.dtypes:
-            if col in ("obs_idx", "obs_id"):
-                continue
-            if col in known:
-                value = c.obs.withColumn("__v", F.coalesce(F.array_position(F.array(*[F.lit(x) for x in known[col]]), F.col(col)), F.lit(0)))
-                w.dataset(f"meta.data/{col}/values", _parts(value, "__v", ["obs_idx"], _numbers), [n], "<i4")
-                w.dataset(f"meta.data/{col}/levels", [_texts(known[col])], [len(known[col])], "string")
-            elif kind == "string":
-                w.dataset(f"meta.data/{col}", _parts(c.obs, col, ["obs_idx"], _texts), [n], "string")
+    at = f"assays/{assay}"
+    with Writer(_target(path, overwrite), level) as w:
+        w.group("", {"version": "3.1.5.9900", "project": str(c.attrs.get("project", "cellmill")), "active.assay": assay})
+        w.group(at, {"key": f"{assay.lower()}_"})
+        _seurat_frame(w, "obs", "meta.data", "cell.names", c.obs, n, c.levels)
+        _seurat_frame(w, "var", f"{at}/meta.features", f"{at}/features", c.var, p, c.levels)
+        coo, shapes = all_matrices(c)
+        places, extra = {}, {}
+        for name in shapes:
+            top, _, own = name.partition("/")
+            if top in ("X", "layers"):
+                stored = "data" if top == "X" else {"scaled": "scale.data", "data": "data.layer"}.get(own, own)
+                places[name], extra[name] = f"{at}/{stored}", {"dims": [p, n]} | ({"layer": own} if own else {})
             else:
-                stored = F.coalesce(F.col(col).cast("int"), F.lit(2)) if kind == "boolean" else F.coalesce(F.col(col).cast("double"), F.lit(float("nan")))
-                w.dataset(f"meta.data/{col}", _parts(c.obs.withColumn(col, stored), col, ["obs_idx"], _numbers), [n], "<i4" if kind == "boolean" else "<f8", {"s3class": "logical"} if kind == "boolean" else {})
-        for key in c.keys("obsm"):
-            rows = c.obsm.filter(F.col("key") == key)
-            k = rows.agg(F.max(F.size("vec"))).first()[0] or 1
-            name = key.removeprefix("X_")
-            w.group(f"reductions/{name}", {"active.assay": assay, "key": f"{name.upper()}_"})
-            w.dataset(f"reductions/{name}/cell.embeddings", _parts(rows, "vec", ["obs_idx"], _numbers), [n, k], "<f8")
+                places[name], extra[name] = (f"graphs/{own}" if top == "obsp" else f"{at}/misc/varp/{own}"), {"key": own, "assay.used": assay}
+        _matrices(w, coo, shapes, places, extra)
+        rows, sizes = all_vectors(c)
+        places = {}
+        loadings = {k: r for r, k in ((r, views.M.LOADINGS_OUT.get(r, r.upper())) for r in (x.partition("/")[2].removeprefix("X_") for x in sizes if x.startswith("obsm/")))}
+        for name in sizes:
+            top, _, own = name.partition("/")
+            reduction = own.removeprefix("X_") if top == "obsm" else loadings.get(own, own)
+            w.group(f"reductions/{reduction}", {"active.assay": assay, "key": f"{views.M.REDUCTION_KEYS.get(reduction.lower(), reduction.upper() + '_')}", top: own})
+            places[name] = f"reductions/{reduction}/{'cell.embeddings' if top == 'obsm' else 'feature.loadings'}"
+        if len(set(places.values())) < len(places):
+            raise DataError(f"embeddings {sorted(sizes)} would have one name in the file")
+        _vectors(w, rows, sizes, places)
+        _uns(w, c, "misc")
+
+
+def read_h5seurat(spark: SparkSession, path: str, components: Iterable[str] | None = None, assay: str | None = None, **options) -> Container:
+    """One assay: layers, cell and feature tables, reductions with loadings, graphs, misc."""
+    return read_tree(spark, path, components, view="h5seurat", assay=assay, **options)
+
+
+def gef_expression(spark: SparkSession, path: str, key: str, columns: dict[str, str], step: int = 1 << 18) -> DataFrame:
+    """pos and columns (name -> field) of a table of records, read by the executors in ranges."""
+    tree = Tree(path)
 
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for begin in part.column(0).to_pylist():
+                e = tree.array(key).read(begin, begin + step)
+                yield pa.record_batch([pa.array(np.arange(len(e)) + begin), *[pa.array(e[f].astype(np.int64)) for f in columns.values()]], ["pos", *columns])
 
-def read_h5seurat(spark: SparkSession, path: str, assay: str | None = None, **_) -> Container:
-    """One assay's layers, cell table and reductions; sparse layers are read by the executors, by ranges of cells."""
-    from .zarr import component
+    return spark.range(0, tree.array(key).shape[0], step).mapInArrow(read, ", ".join(f"{c} long" for c in ("pos", *columns)))
 
-    tree = Tree(path)
-    assays = tree.children("assays")
-    if not assays or tree.kind("cell.names") != "array":
-        raise DataError(f"{path} has no assays or cell names")
-    name = assay or tree.attrs("").get("active.assay") or assays[0]
-    cells, features = tree.array("cell.names").read().tolist(), tree.array(f"assays/{name}/features").read().tolist()
-    n, p = len(cells), len(features)
-    matrix = None
-    for layer in ("counts", "data", "scale.data", *[k for k in tree.children(f"assays/{name}") if k not in ("counts", "data", "scale.data", "features", "meta.features", "misc", "variable.features")]):
-        if tree.kind(f"assays/{name}/{layer}") != "group" or tree.kind(f"assays/{name}/{layer}/indptr") != "array":
-            continue
-        own = component(spark, path, f"layers/{layer}", prefix="", layerpath=f"assays/{name}/{layer}", length=n).select(F.lit({"data": "X", "scale.data": "scaled"}.get(layer, layer)).alias("layer"), "*")
-        matrix = own if matrix is None else matrix.unionByName(own)
-    columns: dict[str, list] = {}
-    levels: list[tuple] = []
-    for col in tree.children("meta.data"):
-        key = f"meta.data/{col}"
-        if tree.kind(key) == "group":
-            labels = tree.array(f"{key}/levels").read().tolist()
-            columns[col] = [labels[v - 1] if 1 <= v <= len(labels) else None for v in tree.array(f"{key}/values").read().tolist()]
-            levels += [("obs", col, k, x, False) for k, x in enumerate(labels)]
-        elif tree.array(key).shape == [n]:
-            values = tree.array(key).read().tolist()
-            columns[col] = [None if v == 2 else bool(v) for v in values] if tree.attrs(key).get("s3class") == "logical" else [v if isinstance(v, str) else float(v) for v in values]
-    kind = lambda v: next(("string" if isinstance(x, str) else "boolean" if isinstance(x, bool) else "double" for x in v if x is not None), "string")
-    obs = spark.createDataFrame(list(zip(range(n), cells, *columns.values(), strict=True)), ", ".join(["obs_idx long, obs_id string", *[f"`{k}` {kind(v)}" for k, v in columns.items()]]))
-    var = spark.createDataFrame(list(enumerate(features)), "var_idx long, var_id string")
-    reductions = [(f"X_{r}", k, [float(x) for x in v]) for r in tree.children("reductions") if tree.kind(f"reductions/{r}/cell.embeddings") == "array" for k, v in enumerate(tree.array(f"reductions/{r}/cell.embeddings").read())]
-    return Container.of(spark, (n, p), {"assay": name}, obs=obs, var=var, matrix=matrix, obsm=spark.createDataFrame(reductions, "key string, obs_idx long, vec array<double>"), levels=spark.createDataFrame(levels, "tbl string, col string, code long, label string, ordered boolean"))
-
-
-def read_gef(spark: SparkSession, path: str, bin_size: int = 50, **_) -> Container:
+
+def _names(records: np.ndarray, fields: tuple[str, ...]) -> list[str]:
+    label = next(f for f in fields if f in records.dtype.names)
+    return [x.split(b"\0")[0].decode() for x in records[label].tolist()]
+
+
+def read_gef(spark: SparkSession, path: str, bin_size: int = 50) -> Container:
     """Stereo-seq square bins: run lengths of genes over rows (x, y, count)."""
     from .vendor import square_bins
 
     tree = Tree(path)
     at = f"geneExp/bin{bin_size}"
     if tree.kind(f"{at}/gene") != "array" or tree.kind(f"{at}/expression") != "array":
-        raise DataError(f"{path} has no bin{bin_size}")
+        raise DataError(f"{path} has no bin{bin_size}; there are {tree.children('geneExp')}")
     g = tree.array(f"{at}/gene").read()
-    label = next(f for f in ("geneName", "gene", "geneID") if f in g.dtype.names)
-    names = [x[label].split(b"\0")[0].decode() for x in g]
+    names = _names(g, ("geneName", "gene", "geneID"))
     genes = spark.createDataFrame([(k, int(x["offset"]), int(x["count"])) for k, x in enumerate(g)], "gene long, offset long, count long")
-    rows, step = tree.array(f"{at}/expression").shape[0], 1 << 18
-
-    def read(parts):
-        import pandas as pd
-
-        for part in parts:
-            for begin in part["id"]:
-                e = tree.array(f"{at}/expression").read(int(begin), int(begin) + step)
-                yield pd.DataFrame({"pos": np.arange(len(e)) + begin, "x": e["x"].astype("int64"), "y": e["y"].astype("int64"), "n": e["count"].astype("int64")})
-
-    expression = spark.range(0, rows, step).mapInPandas(read, "pos long, x long, y long, n long")
-    spots, sums = square_bins(genes, expression)
+    spots, sums = square_bins(genes, gef_expression(spark, path, f"{at}/expression", {"x": "x", "y": "y", "n": "count"}))
     obs = spots.select(F.col("spot").alias("obs_idx"), F.col("spot_id").alias("obs_id"), "x", "y")
     matrix = sums.select(F.lit("X").alias("layer"), F.col("spot").alias("obs_idx"), F.col("gene").alias("var_idx"), F.col("value").cast("double"))
-    return Container.of(spark, (obs.count(), len(names)), {"format": "gef"}, obs=obs, var=spark.createDataFrame(list(enumerate(names)), "var_idx long, var_id string"), matrix=matrix)
-
+    return Container.of(spark, (obs.count(), len(names)), {"format": "gef", "bin_size": bin_size}, obs=obs, var=spark.createDataFrame(list(enumerate(names)), "var_idx long, var_id string"), matrix=matrix)
 
-def write_loom(c: Container, path: str, overwrite: bool = False, **_) -> None:
-    """Loom 3: a dense genes x cells matrix, a gene at a time, with row and column attributes."""
-    n, p = c.shape
-    wide = c.matrix.filter("layer = 'X'").groupBy("var_idx").agg(F.collect_list(F.struct("obs_idx", "value")).alias("cells"))
-    rows = c.spark.range(p).withColumnRenamed("id", "var_idx").join(wide, "var_idx", "left").orderBy("var_idx")
 
-    def genes() -> Iterator[np.ndarray]:
-        for r in rows.toLocalIterator():
-            line = np.zeros((1, n))
-            if r.cells:
-                line[0, [x[0] for x in r.cells]] = [x[1] for x in r.cells]
-            yield line
+def read_cellbin_gef(spark: SparkSession, path: str) -> Container:
+    """Stereo-seq cell bins: each cell has a run of (gene, count) records."""
+    from .vendor import cell_bins
 
-    with Writer(_target(path, overwrite)) as w:
+    tree = Tree(path)
+    for k in ("cell", "cellExp", "gene"):
+        if tree.kind(f"cellBin/{k}") != "array":
+            raise DataError(f"{path} has no cellBin/{k}")
+    names = _names(tree.array("cellBin/gene").read(), ("geneName", "gene", "geneID"))
+    fields = tree.array("cellBin/cell").dtype.names
+    kept = {c: f for c, f in (("offset", "offset"), ("gene_count", "geneCount"), ("x", "x"), ("y", "y"), ("area", "area")) if f in fields}
+    cells = gef_expression(spark, path, "cellBin/cell", kept).withColumnRenamed("pos", "cell")
+    shown = tree.array("cellBin/cellExp").dtype.names
+    expression = gef_expression(spark, path, "cellBin/cellExp", {"gene": next(f for f in ("geneID", "gene") if f in shown), "n": "count"})
+    sums = cell_bins(cells, expression)
+    obs = cells.select(F.col("cell").alias("obs_idx"), F.format_string("cell_%d", "cell").alias("obs_id"), *[c for c in ("x", "y", "area") if c in kept])
+    matrix = sums.select(F.lit("X").alias("layer"), F.col("cell").alias("obs_idx"), F.col("gene").alias("var_idx"), F.col("value").cast("double"))
+    n = tree.array("cellBin/cell").shape[0]
+    return Container.of(spark, (n, len(names)), {"format": "cellbin.gef"}, obs=obs, var=spark.createDataFrame(list(enumerate(names)), "var_idx long, var_id string"), matrix=matrix)
+
+
+def _dense(w: Writer, c: Container) -> None:
+    """Layers as dense genes x cells, a gene at a time."""
+    n, p = c.shape
+    entries = F.collect_list(F.struct("obs_idx", F.col("value").cast("double").alias("value")))  # a gene's row is dense anyway
+    wide = c.matrix.groupBy("layer", "var_idx").agg(entries.alias("cells"))
+    open_ = {x: w.grow("matrix" if x == "X" else f"layers/{x}", "<f8", (n,)) for x in sorted({"X", *c.layers()})}
+    at = dict.fromkeys(open_, 0)
+
+    def blank(x: str, until: int) -> None:
+        for _ in range(at[x], until):
+            open_[x].add(np.zeros((1, n)))
+        at[x] = until
+
+    for part in batches(wide, "layer", "var_idx"):
+        for x, g, cells in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+            blank(x, g)
+            line, flat = np.zeros((1, n)), cells.values
+            line[0, np.asarray(flat.field("obs_idx"))] = np.asarray(flat.field("value"))
+            open_[x].add(line)
+            at[x] = g + 1
+    for x in open_:
+        blank(x, p)
+        open_[x].close()
+
+
+def write_loom(c: Container, path: str, overwrite: bool = False, level: int = 0) -> None:
+    """Loom 3: dense layers of genes x cells, attributes (embeddings are those of two dimensions), graphs as edges; levels
+    of factors, nulls and unstructured metadata, for which Loom has no place, stand beside."""
+    n, p = c.shape
+    with Writer(_target(path, overwrite), level) as w:
         w.group("", {"LOOM_SPEC_VERSION": "3.0.0"})
         for g in ("layers", "row_attrs", "col_attrs", "row_graphs", "col_graphs", "attrs"):
             w.group(g)
-        w.dataset("attrs/LOOM_SPEC_VERSION", [_texts(["3.0.0"])], [1], "string")
-        w.dataset("matrix", genes(), [p, n], "<f8")
-        for top, df, name, size in (("row_attrs", c.var, "Gene", p), ("col_attrs", c.obs, "CellID", n)):
-            idx, ident = df.columns[:2]
-            w.dataset(f"{top}/{name}", _parts(df, ident, [idx], _texts), [size], "string")
-            for col, kind in df.dtypes[2:]:
-                if kind == "string":
-                    w.dataset(f"{top}/{col}", _parts(df, col, [idx], _texts), [size], "string")
-                else:
-                    w.dataset(f"{top}/{col}", _parts(df.withColumn(col, F.coalesce(F.col(col).cast("double"), F.lit(float("nan")))), col, [idx], _numbers), [size], "<f8")
-
-
-def read_loom(spark: SparkSession, path: str, genes: str = "Gene", cells: str = "CellID", rows: int = 1024, valid_only: bool = False, **_) -> Container:
-    """A dense matrix by ranges of genes, read by the executors; attributes as columns. valid_only: keep rows and columns
-    whose Valid attribute is 1."""
-    tree = Tree(path)
-    if tree.kind("matrix") != "array":
-        raise DataError(f"{path} has no matrix")
-    p, n = tree.array("matrix").shape
-
-    def read(parts):
-        import pandas as pd
-
-        for part in parts:
-            for begin in part["id"]:
-                dense = tree.array("matrix").read(int(begin), int(begin) + rows)
-                g, o = np.nonzero(dense)
-                yield pd.DataFrame({"layer": "X", "obs_idx": o.astype("int64"), "var_idx": (g + begin).astype("int64"), "value": dense[g, o].astype(float)})
-
-    starts = spark.range(0, p, rows)
-    matrix = starts.repartition(max(1, min(256, -(-p // rows)))).mapInPandas(read, "layer string, obs_idx long, var_idx long, value double")
-
-    def frame(top: str, size: int, axis: str, name: str) -> DataFrame:
-        own = {k: tree.array(f"{top}/{k}").read().tolist() for k in tree.children(top) if tree.kind(f"{top}/{k}") == "array" and tree.array(f"{top}/{k}").shape == [size]}
-        ids = own.pop(name, None) or [f"{'Cell' if axis == 'obs' else 'Gene'}{k + 1}" for k in range(size)]
-        kinds = ", ".join([f"{axis}_idx long, {axis}_id string", *[f"`{k}` {'string' if tree.array(f'{top}/{k}').strings else 'double'}" for k in own]])
-        values = [[float(x) if not isinstance(x, str) else x for x in v] for v in own.values()]
-        return spark.createDataFrame(list(zip(range(size), ids, *values, strict=True)), kinds)
-
-    obs, var = frame("col_attrs", n, "obs", cells), frame("row_attrs", p, "var", genes)
-    if valid_only:
-        from ..operators.joins import valid_rows
-        from ..operators.order import positions
-
-        for axis in ("obs", "var"):
-            own = obs if axis == "obs" else var
-            if "Valid" in own.columns:
-                matrix = valid_rows(matrix, own, f"{axis}_idx", F.col("Valid") == 1).withColumnRenamed("new_idx", f"{axis}_idx")
-                kept = positions(own.filter("Valid = 1"), f"{axis}_idx", out="__new").drop(f"{axis}_idx").withColumnRenamed("__new", f"{axis}_idx")
-                kept = kept.select(*own.columns)
-                obs, var = (kept, var) if axis == "obs" else (obs, kept)
-        matrix = matrix.select("layer", "obs_idx", "var_idx", "value")
-        n, p = obs.count(), var.count()
-    return Container.of(spark, (n, p), {"format": "loom"}, obs=obs, var=var, matrix=matrix)
+        w.dataset("attrs/LOOM_SPEC_VERSION", [["3.0.0"]], [1], "string")
+        _dense(w, c)
+        none = c.levels.limit(0)
+        for top, file, df, name, size in (("var", "row_attrs", c.var, "Gene", p), ("obs", "col_attrs", c.obs, "CellID", n)):
+            columns = Columns(df, top, none)
+            if name in columns.names:
+                raise DataError(f"{top} has a column {name}, which is where Loom keeps its names")
+            w.group(file, {"colnames": list(columns.names)})
+            open_ = [(w.grow(f"{file}/{name}" if at == "_index" else f"{file}/{k}" if part == "value" else f"{views.NULLS}/{file}/{k}", dtype), k, part, dtype) for at, k, part, dtype in columns.plan]
+            _stream(df, columns, open_, size, file)
+        rows, shapes = all_vectors(c)
+        _vectors(w, rows, shapes, {k: k.replace("obsm/", "col_attrs/").replace("varm/", "row_attrs/") for k in shapes})
+        for top, file in (("obsp", "col_graphs"), ("varp", "row_graphs")):
+            at, open_ = None, []
+            for part in batches(c.tables[top].select("key", "i", "j", F.col("w").cast("double").alias("w")), "key", "i", "j"):
+                keys = part.column(0).to_pylist()
+                cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if keys[a] != at:
+                        for d in open_:
+                            d.close()
+                        at, open_ = keys[a], [w.grow(f"{file}/{keys[a]}/{x}", t) for x, t in (("a", "<i8"), ("b", "<i8"), ("w", "<f8"))]
+                    for d, k in zip(open_, (1, 2, 3), strict=True):
+                        d.add(np.asarray(part.column(k))[a:b])
+            for d in open_:
+                d.close()
+        labels: dict[tuple[str, str], list] = {}
+        for r in c.levels.orderBy("tbl", "col", "code").toLocalIterator():
+            labels.setdefault((r.tbl, r.col), []).append(r)
+        for (tbl, col), own in labels.items():
+            w.dataset(f"attrs/levels/{tbl}/{col}", [[r.label for r in own]], [len(own)], "string", {"ordered": bool(own[0].ordered)})
+        _uns(w, c, "attrs/uns")
+
+
+def read_loom(spark: SparkSession, path: str, components: Iterable[str] | None = None, genes: str = "Gene", cells: str = "CellID", valid_only: bool = False, **options) -> Container:
+    """Dense layers by ranges of genes, read by the executors; attributes as columns and embeddings. valid_only: keep rows
+    and columns whose Valid attribute is 1."""
+    c = read_tree(spark, path, components, view="loom", genes=genes, cells=cells, **options)
+    return keep_valid(c) if valid_only else c
+
+
+def keep_valid(c: Container) -> Container:
+    from ..operators.joins import valid_rows
+    from ..operators.order import positions
+
+    tables, shape = dict(c.tables), list(c.shape)
+    for k, (axis, pairs, vectors) in enumerate((("obs", "obsp", "obsm"), ("var", "varp", "varm"))):
+        own, idx = tables[axis], f"{axis}_idx"
+        if "Valid" not in own.columns:
+            continue
+        good = F.col("Valid") == 1
+        for t in ("matrix", vectors):
+            tables[t] = valid_rows(tables[t], own, idx, good).withColumnRenamed("new_idx", idx).select(*tables[t].columns)
+        for end in ("i", "j"):
+            axis_of = own.withColumnRenamed(idx, end)
+            tables[pairs] = valid_rows(tables[pairs], axis_of, end, good).withColumnRenamed("new_idx", end).select(*tables[pairs].columns)
+        tables[axis] = positions(own.filter(good), idx, out="__new").drop(idx).withColumnRenamed("__new", idx).select(*own.columns)
+        shape[k] = tables[axis].count()
+    return Container(c.spark, tables, tuple(shape), c.attrs)

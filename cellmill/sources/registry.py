@@ -22,16 +22,16 @@ class FormatError(ValueError):
     """A format that isn't known or can't do what is asked."""
 
 
-def file_type(path: str) -> str:
-    """The format's name by scheme, bundle or extension."""
+def file_type(path: str, listing: Callable[[str], list[str]] | None = None) -> str:
+    """The format's name by scheme, bundle or extension. listing: names in a folder (empty if it is none); by default of
+    this machine's folders."""
     if path.lower().startswith("soma://"):
         return "soma"
     bare = path.rstrip("/").lower()
     for suffix in DOUBLE_SUFFIXES:
         if bare.endswith(f".{suffix}"):
             return suffix
-    if os.path.isdir(path):
-        names = os.listdir(path)
+    if names := listing(path) if listing else os.listdir(path) if os.path.isdir(path) else []:
         if sum(any(n.endswith(s) for n in names) for s in COSMX_FILES) >= 2:
             return "cosmx"
         if sum(s in names for s in XENIUM_FILES) >= 2:

@@ -7,27 +7,33 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import DataError
 from ..operators.spatial import spot_index
-from .container import Container
+from .container import Container, names_in
 from .registry import COSMX_FILES, XENIUM_FILES
 
 
+#: Names that a dense index is split at, and names sampled for one of them.
+SPLITS, SAMPLED = 256, 16
+
+
 def _found(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, str]:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    here = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    here = names_in(spark, path)
     return {n: f"{path}/{h}" for n in names for h in here if h.endswith(n)}
 
 
 def _index(df: DataFrame, name: str, idx: str) -> DataFrame:
-    """A dense index by name (names are unique): ranks within two-letter heads, then where each head begins."""
-    head = df.withColumn("__head", F.substring(name, 1, 2))
-    heads = head.groupBy("__head").agg(F.count("*").alias("__n"))  # a row for each head
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = head.withColumn("__rank", F.row_number().over(Window.partitionBy("__head").orderBy(name))).join(heads.withColumn("__start", before), "__head")
-    return ranked.withColumn(idx, (F.col("__start") + F.col("__rank") - 1).cast("long")).drop("__head", "__n", "__rank", "__start")
+    """A dense index by name (names are unique): ranks within ranges between sampled names, then where each begins."""
+    every = max(1, df.count() // (SPLITS * SAMPLED))
+    # about SPLITS * SAMPLED names
+    some = sorted(r[0] for r in df.select(name).filter(F.pmod(F.xxhash64(name), F.lit(every)) == 0).collect())[SAMPLED::SAMPLED]
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in some]).cast("array<string>"), lambda x: x <= F.col(name)))
+    ranged = df.withColumn("__range", at)
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # SPLITS rows
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy(name))).join(sizes.withColumn("__start", before), "__range")
+    return ranked.withColumn(idx, (F.col("__start") + F.col("__rank") - 1).cast("long")).drop("__range", "__n", "__rank", "__start")
 
 
-def read_cosmx(spark: SparkSession, path: str, **_) -> Container:
+def read_cosmx(spark: SparkSession, path: str) -> Container:
     """Counts, metadata, positions and molecules of a bundle; cells are those in both counts and metadata."""
     files = _found(spark, path, COSMX_FILES)
     if len(files) < 2 or COSMX_FILES[0] not in files or COSMX_FILES[1] not in files:
@@ -50,15 +56,21 @@ def read_cosmx(spark: SparkSession, path: str, **_) -> Container:
     return c
 
 
-def read_xenium(spark: SparkSession, path: str, **_) -> Container:
-    """Counts from transcripts assigned to cells; cells, boundaries and molecules as tables."""
+def read_xenium(spark: SparkSession, path: str, min_quality: float = 20.0) -> Container:
+    """Counts from the matrix file if the bundle has one, else from transcripts of at least min_quality (the vendor's own
+    limit) that are assigned to a cell; cells, boundaries and molecules as tables."""
     files = _found(spark, path, XENIUM_FILES)
     if "cells.parquet" not in files or "transcripts.parquet" not in files:
         raise DataError(f"{path} is no Xenium bundle: it has {sorted(files)}")
     cells, found = spark.read.parquet(files["cells.parquet"]), spark.read.parquet(files["transcripts.parquet"])
     obs = _index(cells.withColumn("obs_id", F.col("cell_id").cast("string")), "obs_id", "obs_idx")
-    sums = found.withColumn("obs_id", F.col("cell_id").cast("string")).groupBy("obs_id", F.col("feature_name").cast("string").alias("var_id")).agg(F.count("*").cast("double").alias("value"))
-    var = _index(sums.select("var_id").distinct(), "var_id", "var_idx").select("var_idx", "var_id")
+    if "cell_feature_matrix.h5" in files:
+        sums, var = _tenx(spark, files["cell_feature_matrix.h5"])
+    else:
+        good = found.filter(F.col("qv") >= min_quality) if "qv" in found.columns else found
+        good = good.withColumn("obs_id", F.col("cell_id").cast("string")).filter(~F.col("obs_id").isin("UNASSIGNED", "-1"))
+        sums = good.groupBy("obs_id", F.col("feature_name").cast("string").alias("var_id")).agg(F.count("*").cast("double").alias("value"))
+        var = _index(sums.select("var_id").distinct(), "var_id", "var_idx").select("var_idx", "var_id")
     matrix = sums.join(obs.select("obs_idx", "obs_id"), "obs_id").join(var, "var_id").select(F.lit("X").alias("layer"), "obs_idx", "var_idx", "value")
     c = Container.of(spark, (obs.count(), var.count()), {"format": "xenium"}, obs=obs.select("obs_idx", "obs_id", *[x for x in cells.columns if x != "obs_id"]), var=var, matrix=matrix)
     c.tables["molecules"] = found.select(F.col("feature_name").alias("gene"), F.col("x_location").alias("x"), F.col("y_location").alias("y"))
@@ -67,6 +79,30 @@ def read_xenium(spark: SparkSession, path: str, **_) -> Container:
     return c
 
 
+def _tenx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(obs_id, var_id, value) and var of a matrix file: features x cells by columns, under the group matrix."""
+    from .hdf5 import Tree
+
+    tree = Tree(path)
+    n, step = tree.array("matrix/barcodes").shape[0], 1024
+    names = [str(x) for x in tree.array("matrix/features/name").read().tolist()]
+
+    def read(parts):
+        import numpy as np
+        import pandas as pd
+
+        for part in parts:
+            for begin in part["id"]:
+                ptr = tree.array("matrix/indptr").read(int(begin), int(begin) + step + 1).astype("int64")
+                cells = tree.array("matrix/barcodes").read(int(begin), int(begin) + step)
+                at = tree.array("matrix/indices").read(int(ptr[0]), int(ptr[-1]))
+                yield pd.DataFrame({"obs_id": np.repeat(cells, np.diff(ptr)), "var_idx": at.astype("int64"), "value": tree.array("matrix/data").read(int(ptr[0]), int(ptr[-1])).astype(float)})
+
+    var = spark.createDataFrame(list(enumerate(names)), "var_idx long, var_id string")
+    entries = spark.range(0, n, step).mapInPandas(read, "obs_id string, var_idx long, value double")
+    return entries.join(var, "var_idx").select("obs_id", "var_id", "value"), var
+
+
 def square_bins(genes: DataFrame, expression: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stereo-seq square bins. genes: gene, offset, count (runs of expression rows); expression: pos, x, y, n. Returns
     spots and (spot, gene, value); counts of one spot and gene are summed. Runs must cover all rows."""

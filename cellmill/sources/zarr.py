@@ -2,27 +2,50 @@
 
     spark.read.format("anndata_zarr").option("path", p).option("component", "X").load()
 
-Components: X, layers/<name> (obs_idx, var_idx, value), obs, var, obsm/<key>, varm/<key> (idx, vec), obsp/<key>, varp/<key>
-(i, j, w). A partition is a range of rows; filters on the row index drop ranges before anything is fetched.
+Components: X, layers/<name>, raw/X (obs_idx, var_idx, value), obs, var, raw/var, obsm/<key>, varm/<key> (idx, vec),
+obsp/<key>, varp/<key> (i, j, w). A partition is a range of rows; filters on the row index drop ranges before anything is fetched.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..functions.names import make_unique
 from ..operators.joins import DataError
-from ..operators.order import positions, running_sum
+from ..operators.order import running_sum
+from ..operators.verify import counts_place
 from . import zarr_store as Z
-from .container import Container, replace_dir
+from .container import SCHEMAS, Container, replace_dir
+from .uns import read_uns, write_uns
+
+#: BUCKET: rows of a matrix whose entries are ordered in one task.
+ROWS, CHUNK, BUCKET = 4096, 1 << 16, 512
+
+
+class ReadWarning(UserWarning):
+    """Something in a file was read otherwise than it stands there, or left out."""
+
+
+class ShapeWarning(ReadWarning):
+    pass
+
+
+class NamesWarning(ReadWarning):
+    pass
+
+
+class CountsWarning(ReadWarning):
+    pass
 
-ROWS, CHUNK = 4096, 1 << 16
 
 
 class Sub:
@@ -44,17 +67,30 @@ class Sub:
         return self.tree.array(Z.join(self.prefix, key))
 
 
-def open_tree(path: str, prefix: str = ""):
-    """A Zarr store or an HDF5 file, or what is under a prefix in it: all answer kind, attrs, children and array."""
+def open_tree(path: str, prefix: str = "", view: str = "", **options):
+    """A Zarr store or an HDF5 file, what is under a prefix in it, or a view of it: all answer kind, attrs, children and
+    array."""
     if path.lower().endswith((".h5ad", ".h5mu", ".h5seurat", ".loom", ".gef", ".h5")):
         from .hdf5 import Tree
 
         tree = Tree(path)
     else:
         tree = Z.Store(path)
+    if view:
+        from .views import VIEWS
+
+        return VIEWS[view](tree, **options)
     return Sub(tree, prefix) if prefix else tree
 
 
+#: Options that open_tree() takes.
+_OPENING = ("prefix", "view", "assay", "genes", "cells")
+
+
+def _open(options: dict):
+    return open_tree(options["path"], **{k: v for k in _OPENING if (v := options.get(k)) is not None})
+
+
 class Range(InputPartition):
     def __init__(self, begin: int, end: int):
         self.begin, self.end = begin, end
@@ -73,16 +109,63 @@ def index_of(store: Z.Store, key: str) -> Z.Array | None:
     return None
 
 
+def axis_length(store: Z.Store, top: str) -> int | None:
+    """Entries of obs or var, by its index or its first column."""
+    if (index := index_of(store, top)) is not None:
+        return index.shape[0]
+    for c in frame_columns(store, top):
+        key = Z.join(top, c)
+        return store.array(key if store.kind(key) == "array" else Z.join(key, "codes" if store.kind(Z.join(key, "codes")) else "values")).shape[0]
+    return None
+
+
+def matrix_shape(store: Z.Store, key: str, sizes: tuple[int | None, int | None] = (None, None)) -> tuple[int, int] | None:
+    """Rows and columns as stored; sizes of the axes settle what a file leaves open."""
+    known = store.attrs(key)
+    if store.kind(key) == "array":
+        shape = tuple(store.array(key).shape)
+        return (shape[1], shape[0]) if known.get("transposed") else shape
+    if store.kind(key) != "group":
+        return None
+    for name in ("shape", "h5sparse_shape", "dims"):
+        if name in known:
+            return tuple(int(x) for x in known[name])
+    if store.kind(Z.join(key, "shape")) == "array":
+        return tuple(store.array(Z.join(key, "shape")).read().tolist())
+    return sizes if None not in sizes else None
+
+
+def layout(store: Z.Store, key: str, sizes: tuple[int | None, int | None]) -> dict:
+    """How a sparse group is laid out: kind (csr, csc or coo), and the names of its parts. Files that don't say are
+    settled by the length of the pointers, then by rows."""
+    known = store.attrs(key)
+    names = ("data", "indices", "indptr")
+    if store.kind(Z.join(key, "indptr")) is None and all(store.kind(Z.join(key, x)) == "array" for x in "xip"):
+        names = ("x", "i", "p")
+    kind = known.get("encoding-type") or known.get("h5sparse_format") or known.get("format")
+    if kind is not None:
+        return {"kind": kind.removesuffix("_matrix"), "names": names}
+    length = store.array(Z.join(key, names[2])).shape[0] - 1
+    n, p = sizes
+    return {"kind": "csc" if length == p and length != n else "csr", "names": names}
+
+
 def shape_of(store: Z.Store) -> tuple[int, int]:
-    if store.kind("X") == "array":
-        return tuple(store.array("X").shape)
-    if store.kind("X") == "group":
-        a = store.attrs("X")
-        if "shape" in a:
-            return tuple(a["shape"])
+    sizes = (axis_length(store, "obs"), axis_length(store, "var"))
+    if None not in sizes:
+        return sizes
+    if (shape := matrix_shape(store, "X")) is not None:
+        return shape
     raise DataError("the store has no X of known shape")
 
 
+def _legacy(store: Z.Store, key: str) -> str | None:
+    """Where old files keep the categories of a column of codes."""
+    top, _, name = key.rpartition("/")
+    found = Z.join(top, "__categories", name)
+    return found if store.kind(found) == "array" else None
+
+
 def column_type(store: Z.Store, key: str) -> str:
     if store.kind(key) == "group":
         a = store.attrs(key)
@@ -90,28 +173,44 @@ def column_type(store: Z.Store, key: str) -> str:
             return "string"
         return column_type(store, Z.join(key, "values"))
     array = store.array(key)
-    return "string" if array.strings else {"b": "boolean", "f": "double"}.get(array.dtype.kind, "long")
+    return "string" if array.strings or _legacy(store, key) else {"b": "boolean", "f": "double"}.get(array.dtype.kind, "long")
 
 
 def read_column(store: Z.Store, key: str, begin: int, end: int) -> list:
     """Values of a column: plain, categorical (-1 and codes out of range: null) or with a mask."""
+    names = codes = None
     if store.kind(key) == "group":
-        if store.attrs(key).get("encoding-type") == "categorical":
-            labels = list(store.array(Z.join(key, "categories")).read())
-            codes = store.array(Z.join(key, "codes")).read(begin, end)
-            return [str(labels[c]) if 0 <= c < len(labels) else None for c in codes]
-        mask = store.array(Z.join(key, "mask")).read(begin, end)
-        return [None if m else v for m, v in zip(mask, store.array(Z.join(key, "values")).read(begin, end).tolist(), strict=True)]
-    return store.array(key).read(begin, end).tolist()
+        if store.attrs(key).get("encoding-type") != "categorical":
+            mask = store.array(Z.join(key, "mask")).read(begin, end)
+            return [None if m else v for m, v in zip(mask, store.array(Z.join(key, "values")).read(begin, end).tolist(), strict=True)]
+        names, codes = Z.join(key, "categories"), Z.join(key, "codes")
+    elif legacy := _legacy(store, key):
+        names, codes = legacy, key
+    if names is None:
+        return store.array(key).read(begin, end).tolist()
+    labels = [str(x) for x in store.array(names).read()]
+    return [labels[c] if 0 <= c < len(labels) else None for c in store.array(codes).read(begin, end).tolist()]
 
 
 class ZarrReader(DataSourceReader):
     def __init__(self, options: dict, schema):
-        self.store, self.part = open_tree(options["path"], options.get("prefix", "")), options.get("component", "X")
+        self.store, self.part = _open(options), options.get("component", "X")
         self.schema_, self.low, self.high, self.some = schema, 0, None, None
         self.rows = int(options.get("rows", ROWS))
-        # another path for the rows of a matrix, and how many there are (files without a shape of X)
-        self.path, self.length = options.get("layerpath") or self.part, options.get("length")
+        self.sizes = shape_of(self.store) if self.part.split("/")[0] != "raw" else (axis_length(self.store, "obs"), axis_length(self.store, "raw/var"))
+        top, key = self.part.split("/")[0], self.part
+        self.square = top in ("obsp", "varp")
+        #: A matrix whose stored rows are the second axis, and why.
+        self.swap = self.layout = None
+        if top in ("X", "layers", "obsp", "varp", "raw") and not key.endswith("/var"):
+            sizes = (self.sizes[top == "varp"],) * 2 if self.square else self.sizes
+            if self.store.kind(key) == "group":
+                self.layout = layout(self.store, key, sizes)
+                self.swap = self.layout["kind"] == "csc"
+            else:
+                stored = tuple(self.store.array(key).shape)
+                # stored the other way round if only that fits
+                self.swap = bool(self.store.attrs(key).get("transposed")) or (stored != sizes and stored == sizes[::-1])
 
     @property
     def axis(self) -> str:
@@ -133,19 +232,17 @@ class ZarrReader(DataSourceReader):
 
     def _length(self) -> int:
         top = self.part.split("/")[0]
-        if self.length is not None:
-            return int(self.length)
-        if top in ("var", "varm", "varp"):
-            return shape_of(self.store)[1]
-        if top in ("X", "layers") and self.store.attrs(self.part).get("encoding-type") == "csc_matrix":
-            return shape_of(self.store)[1]
-        return shape_of(self.store)[0]
+        if self.layout and self.layout["kind"] == "coo":
+            return self.store.array(Z.join(self.part, "data")).shape[0]
+        if top in ("var", "varm", "varp") or self.part == "raw/var":
+            return self.sizes[1]
+        return self.sizes[1] if self.swap and not self.square else self.sizes[0]
 
     def partitions(self) -> list[Range]:
         n = self._length()
         out = [Range(a, min(n, a + self.rows)) for a in range(0, n, self.rows)]
-        if self.length is None and self.store.attrs(self.part).get("encoding-type") == "csc_matrix":
-            return out  # filters are on the other axis
+        if self.swap or self.layout and self.layout["kind"] == "coo":
+            return out or [Range(0, 0)]  # filters are on the other axis
         out = [r for r in out if r.end > self.low and (self.high is None or r.begin < self.high)]
         out = [r for r in out if self.some is None or any(r.begin <= v < r.end for v in self.some)]
         return out or [Range(0, 0)]  # Spark reads at least one partition
@@ -153,36 +250,45 @@ class ZarrReader(DataSourceReader):
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         store, key, a, b = self.store, self.part, part.begin, part.end
         top = key.split("/")[0]
-        if top in ("obs", "var"):
+        if top in ("obs", "var") or key == "raw/var":
             index = index_of(store, key)
             names = index.read(a, b).tolist() if index else [f"{'Cell' if top == 'obs' else 'Gene'}{k + 1}" for k in range(a, b)]
-            columns = [pa.array(range(a, b), pa.int64()), pa.array(names, pa.string())]
+            columns = [pa.array(range(a, b), pa.int64()), pa.array([str(x) for x in names], pa.string())]
             for field in self.schema_.fields[2:]:
                 kind = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64()}[field.dataType.simpleString()]
                 columns.append(pa.array(read_column(store, Z.join(key, field.name), a, b), kind))
             yield pa.RecordBatch.from_arrays(columns, names=self.schema_.names)
         elif top in ("obsm", "varm"):
-            values = store.array(key).read(a, b).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array(values.tolist(), pa.list_(pa.float64()))], names=self.schema_.names)
+            if store.kind(key) == "group":  # a table of numbers: its columns side by side
+                values = np.stack([np.array([np.nan if v is None else v for v in read_column(store, Z.join(key, c), a, b)], float) for c in frame_columns(store, key)], axis=1)
+            else:
+                values = store.array(key).read(a, b).astype(float)
+            values = values.reshape(len(values), -1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), flat], names=self.schema_.names)
         else:
-            yield from self._matrix(self.path, a, b)
+            yield from self._matrix(key, a, b)
 
     def _matrix(self, key: str, a: int, b: int) -> Iterator[pa.RecordBatch]:
         store = self.store
-        if store.kind(key) == "array":
+        if self.layout is None:
             dense = store.array(key).read(a, b)
             major, minor = np.nonzero(dense)
-            value, swap = dense[major, minor], False
+            value = dense[major, minor]
             major = major + a
+        elif self.layout["kind"] == "coo":
+            major, minor, value = (store.array(Z.join(key, x)).read(a, b) for x in ("row", "col", "data"))
         else:
-            swap = store.attrs(key).get("encoding-type") == "csc_matrix"
-            ptr = store.array(Z.join(key, "indptr")).read(a, b + 1).astype(np.int64)
-            data, indices = store.array(Z.join(key, "data")), store.array(Z.join(key, "indices"))
+            names = self.layout["names"]
+            ptr = store.array(Z.join(key, names[2])).read(a, b + 1).astype(np.int64)
+            data, indices = store.array(Z.join(key, names[0])), store.array(Z.join(key, names[1]))
             if len(ptr) != b - a + 1 or ptr[-1] > data.shape[0] or data.shape != indices.shape:
                 raise DataError(f"{key}: data, indices and indptr don't fit")
+            if b == self._length() and ptr[-1] != data.shape[0]:
+                raise DataError(f"{key}: indptr ends at {ptr[-1]}, there are {data.shape[0]} values")
             value, minor = data.read(int(ptr[0]), int(ptr[-1])), indices.read(int(ptr[0]), int(ptr[-1]))
             major = np.repeat(np.arange(a, b), np.diff(ptr))
-        rows, cols = (minor, major) if swap else (major, minor)
+        rows, cols = (minor, major) if self.swap else (major, minor)
         for at in range(0, len(value), CHUNK):
             s = slice(at, at + CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(rows[s].astype(np.int64)), pa.array(cols[s].astype(np.int64)), pa.array(value[s].astype(float))], names=self.schema_.names)
@@ -194,12 +300,13 @@ class AnnDataZarr(DataSource):
         return "anndata_zarr"
 
     def schema(self) -> str:
-        store, part = open_tree(self.options["path"], self.options.get("prefix", "")), self.options.get("component", "X")
+        store, part = _open(self.options), self.options.get("component", "X")
         top = part.split("/")[0]
-        if store.kind(self.options.get("layerpath") or part) is None:
+        if store.kind(part) is None:
             raise DataError(f"the store has no {part}")
-        if top in ("obs", "var"):
-            return ", ".join([f"{top}_idx long, {top}_id string", *[f"`{c}` {column_type(store, Z.join(top, c))}" for c in frame_columns(store, top)]])
+        if top in ("obs", "var") or part == "raw/var":
+            axis = "var" if top == "raw" else top
+            return ", ".join([f"{axis}_idx long, {axis}_id string", *[f"`{c}` {column_type(store, Z.join(part, c))}" for c in frame_columns(store, part)]])
         if top in ("obsm", "varm"):
             return f"{top[:3]}_idx long, vec array<double>"
         return "i long, j long, w double" if top in ("obsp", "varp") else "obs_idx long, var_idx long, value double"
@@ -209,29 +316,158 @@ class AnnDataZarr(DataSource):
 
 
 def component(spark: SparkSession, path: str, part: str, **options) -> DataFrame:
+    """One part of a file or store, lazily. Filters on the row index drop ranges of rows where the session allows
+    filter push-down to Python sources, which this turns on."""
     spark.dataSource.register(AnnDataZarr)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("anndata_zarr").option("path", path).option("component", part).options(**options).load()
+    return spark.read.format("anndata_zarr").option("path", path).option("component", part).options(**{k: v for k, v in options.items() if v is not None}).load()
 
 
-def read_zarr(spark: SparkSession, path: str, components: Iterable[str] | None = None, **options) -> Container:
-    """A lazy container of a store; parts that aren't asked for are not even listed."""
-    store = open_tree(path, options.get("prefix", ""))
-    for part in ("X", "obs", "var"):
+def _fitting(store: Z.Store, top: str, size: int, square: bool) -> list[str]:
+    """The keys of a group whose entries fit the axis; others are left out with a warning."""
+    out = []
+    for k in store.children(top):
+        key = Z.join(top, k)
+        if square:
+            shape = matrix_shape(store, key, (size, size))
+            fits = shape == (size, size)
+        else:
+            shape = axis_length(store, key) if store.kind(key) == "group" else store.array(key).shape[0]
+            fits = shape == size
+        if fits:
+            out.append(k)
+        else:
+            warnings.warn(f"{key} is left out: its shape is {shape}, its axis has {size} entries", ShapeWarning, stacklevel=4)
+    return out
+
+
+def read_tree(spark: SparkSession, path: str, components: Iterable[str] | None = None, include_x: bool = True, layers: list[str] | None = None, obsm: list[str] | None = None, obsp: list[str] | None = None, check: bool = True, **options) -> Container:
+    """A lazy container of a store, a file or a view of one; parts that aren't asked for are not even listed.
+
+    layers, obsm, obsp: names to read (None: all). include_x=False gives an empty X of the right shape. Where X is missing
+    raw/X stands in for it. Counts come from the place that verify.counts_place() finds; those of raw/X become the layer
+    ``counts``, for features that obs and raw share. check: repeated names are made unique (the stored ones are kept in
+    orig_obs_index or orig_var_index) and counts that aren't whole numbers are noted, both with a warning."""
+    store = _open({"path": path, **options})
+    for part in ("obs", "var"):
         if store.kind(part) is None:
             raise DataError(f"{path} has no {part}")
+    main = "X" if store.kind("X") is not None else "raw/X" if store.kind("raw/X") is not None else None
+    if main is None and include_x:
+        raise DataError(f"{path} has no X")
+    n, p = shape_of(store)
+    if main == "X" and (shape := matrix_shape(store, "X", (n, p))) not in ((n, p), (p, n)):
+        raise DataError(f"{path}: X is {shape}, obs and var have {(n, p)}")
     want = None if components is None else {*components}
-    keyed = lambda top, extra: _union([component(spark, path, f"{top}/{k}", **options).select(F.lit(k).alias(extra), "*") for k in store.children(top)] if want is None or top in want else [])
-    matrix = _union([component(spark, path, "X", **options).select(F.lit("X").alias("layer"), "*"), *([keyed("layers", "layer")] if store.children("layers") and (want is None or "layers" in want) else [])])
-    levels = []
+    asked = lambda part: want is None or part in want
+    read = lambda part: component(spark, path, part, **options)
+
+    def keyed(top: str, keys: list[str], name: str = "key") -> DataFrame | None:
+        return _union([read(f"{top}/{k}").select(F.lit(k).alias(name), "*") for k in keys])
+
+    def chosen(top: str, names: list[str] | None, size: int, square: bool) -> list[str]:
+        if not asked(top):
+            return []
+        there = _fitting(store, top, size, square)
+        if names is None:
+            return there
+        if missing := [k for k in names if k not in there]:
+            warnings.warn(f"{path} has no {top} {missing}; there are {there}", ShapeWarning, stacklevel=3)
+        return [k for k in names if k in there]
+
+    parts = [read(main).select(F.lit("X").alias("layer"), "*")] if include_x and main == "X" else []
+    stored = [k for k in store.children("layers") if asked("layers") and (layers is None or k in layers)]
+    for k in stored:
+        if (shape := matrix_shape(store, f"layers/{k}", (n, p))) not in ((n, p), (p, n)):
+            raise DataError(f"{path}: layer {k} is {shape}, obs and var have {(n, p)}")
+    if stored:
+        parts.append(keyed("layers", stored, "layer"))
+    place = counts_place(stamp_of(store), "counts" in store.children("layers"), store.kind("raw/X") is not None)
+    if store.kind("raw/X") is not None and (place == "raw/X" or main == "raw/X") and include_x:
+        raw = raw_counts(read("raw/X"), read("raw/var") if store.kind("raw/var") is not None else None, read("var"))
+        if main == "raw/X":
+            parts.append(raw.select(F.lit("X").alias("layer"), "*"))
+        elif "counts" not in stored:
+            parts.append(raw.select(F.lit("counts").alias("layer"), "*"))
+    tables = {
+        "obsm": keyed("obsm", chosen("obsm", obsm, n, False)), "varm": keyed("varm", chosen("varm", None, p, False)),
+        "obsp": keyed("obsp", chosen("obsp", obsp, n, True)), "varp": keyed("varp", chosen("varp", None, p, True)),
+        "uns": spark.createDataFrame(read_uns(store), "path string, value string") if asked("uns") else None,
+    }
+    levels = [] if not hasattr(store, "levels") else store.levels()
     for top in ("obs", "var"):
         for c in frame_columns(store, top):
             key = Z.join(top, c)
             if store.kind(key) == "group" and store.attrs(key).get("encoding-type") == "categorical":
                 ordered = bool(store.attrs(key).get("ordered", False))
                 levels += [(top, c, k, str(v), ordered) for k, v in enumerate(store.array(Z.join(key, "categories")).read().tolist())]
-    tables = {n: keyed(n, "key") for n in ("obsm", "varm", "obsp", "varp")}
-    return Container.of(spark, shape_of(store), dict(store.attrs("")), obs=component(spark, path, "obs", **options), var=component(spark, path, "var", **options), matrix=matrix, levels=spark.createDataFrame(levels, "tbl string, col string, code long, label string, ordered boolean"), **tables)
+    obs, var = read("obs"), read("var")
+    if check:
+        obs, var = unique_names(obs, "obs"), unique_names(var, "var")
+        if include_x:
+            warn_fractional(store, place if store.kind(place) is not None else main)
+    facts = dict(store.attrs("")) | {"counts_from": place, "x_holds": "counts" if place == "X" else "data"}
+    return Container.of(spark, (n, p), facts, obs=obs, var=var, matrix=_union(parts), levels=spark.createDataFrame(levels, "tbl string, col string, code long, label string, ordered boolean"), **tables)
+
+
+def read_zarr(spark: SparkSession, path: str, components: Iterable[str] | None = None, **options) -> Container:
+    return read_tree(spark, path, components, **options)
+
+
+def read_obs(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The cell table alone: nothing else of the file is opened."""
+    return component(spark, path, "obs", **options)
+
+
+def read_embeddings(spark: SparkSession, path: str, keys: list[str] | None = None, **options) -> DataFrame:
+    """key, obs_idx, vec of the embeddings alone."""
+    store = _open({"path": path, **options})
+    names = [k for k in store.children("obsm") if keys is None or k in keys]
+    found = _union([component(spark, path, f"obsm/{k}", **options).select(F.lit(k).alias("key"), "*") for k in names])
+    return found if found is not None else spark.createDataFrame([], SCHEMAS["obsm"])
+
+
+def stamp_of(store: Z.Store) -> str | None:
+    """Where a writer says that it put the counts: uns/<any>/counts_location."""
+    for k in store.children("uns"):
+        if store.kind(f"uns/{k}/counts_location") == "array":
+            return str(np.asarray(store.array(f"uns/{k}/counts_location").read()).reshape(-1)[0])
+    return None
+
+
+def raw_counts(raw: DataFrame, raw_var: DataFrame | None, var: DataFrame) -> DataFrame:
+    """The raw matrix on the positions of var: features in common, by name (underscores count as dashes); the first of
+    repeated names stands for all. Without names raw must have var's positions."""
+    if raw_var is None:
+        return raw.select("obs_idx", "var_idx", "value")
+    name = F.replace("var_id", F.lit("_"), F.lit("-"))
+    new = var.groupBy(name.alias("__n")).agg(F.min("var_idx").alias("__new"))
+    old = raw_var.groupBy(name.alias("__n")).agg(F.min("var_idx").alias("var_idx"))
+    return raw.join(old.join(new, "__n"), "var_idx").select("obs_idx", F.col("__new").alias("var_idx"), "value")
+
+
+def unique_names(frame: DataFrame, axis: str) -> DataFrame:
+    """frame with unique names; where some were repeated, orig_<axis>_index holds those that were stored."""
+    ident = f"{axis}_id"
+    if frame.groupBy(ident).count().filter("count > 1").isEmpty():
+        return frame
+    warnings.warn(f"names in {axis} are repeated; later ones get a suffix", NamesWarning, stacklevel=3)
+    named = make_unique(frame, ident, f"{axis}_idx", "__unique")
+    rest = [F.col(f"`{c}`") for c in frame.columns if c not in (f"{axis}_idx", ident)]
+    return named.select(f"{axis}_idx", F.col("__unique").alias(ident), *rest, F.col(ident).alias(f"orig_{axis}_index"))
+
+
+def warn_fractional(store: Z.Store, key: str, head: int = 100_000) -> None:
+    """Warns if the first stored values of the counts aren't whole numbers."""
+    if store.kind(key) == "group":
+        names = layout(store, key, (None, 0))["names"] if store.attrs(key).get("encoding-type") is None else ("data",)
+        values = store.array(Z.join(key, names[0])).read(0, head)
+    else:
+        array = store.array(key)
+        values = array.read(0, max(1, head // max(1, array.shape[-1])))
+    values = np.asarray(values, float)
+    if values.size and not np.equal(np.mod(values, 1), 0).all():
+        warnings.warn(f"{key} should hold counts, but has values that aren't whole numbers", CountsWarning, stacklevel=3)
 
 
 def _union(parts: list[DataFrame | None]) -> DataFrame | None:
@@ -242,107 +478,217 @@ def _union(parts: list[DataFrame | None]) -> DataFrame | None:
     return out
 
 
-def _write_array(df: DataFrame, store: Z.Store, key: str, pos: str, value: str, dtype: str, n: int, codec: str, level: int, version: int, attributes: dict | None = None) -> None:
-    """A one-dimensional array from (pos, value): each chunk is one group of at most CHUNK rows, written by its task."""
-    Z.write_meta(store, key, [n], [max(1, min(CHUNK, n))], dtype, codec, level, version, attributes)
-    size = max(1, min(CHUNK, n))
+TEXT = {"encoding-type": "string-array", "encoding-version": "0.2.0"}
+_CSR = {"encoding-type": "csr_matrix", "encoding-version": "0.1.0"}
+
+
+class Columns:
+    """The arrays that a frame is stored as, and how they follow from a batch of its rows.
+
+    plan: (key below the frame, column, part, dtype); part is value, mask or codes."""
+
+    def __init__(self, df: DataFrame, top: str, levels: DataFrame):
+        self.index, ident = df.columns[:2]
+        kinds = dict(df.dtypes)
+        self.names = df.columns[2:]
+        self.labels: dict[str, list[str]] = {}
+        self.ordered: dict[str, bool] = {}
+        for r in levels.filter(F.col("tbl") == top).orderBy("col", "code").toLocalIterator():
+            self.labels.setdefault(r.col, []).append(r.label)
+            self.ordered[r.col] = bool(r.ordered)
+        null = df.agg(*[F.max(F.col(f"`{c}`").isNull()).alias(f"n{k}") for k, c in enumerate(self.names)]).first() if self.names else []
+        self.groups: dict[str, dict] = {}
+        self.plan = [("_index", ident, "value", "string")]
+        for c, some in zip(self.names, null, strict=True):
+            kind = kinds[c]
+            if c in self.labels and kind == "string":
+                self.groups[c] = {"encoding-type": "categorical", "encoding-version": "0.2.0", "ordered": self.ordered[c]}
+                self.plan.append((f"{c}/codes", c, "codes", code_type(len(self.labels[c]), bool(some))))
+                continue
+            if kind not in _STORED:
+                raise DataError(f"column {c} of {top} is {kind}, which can't be stored; there are {sorted(_STORED)}")
+            dtype, encoding = _STORED[kind]
+            if some:
+                self.groups[c] = {"encoding-type": encoding, "encoding-version": "0.1.0"}
+                self.plan += [(f"{c}/values", c, "value", dtype), (f"{c}/mask", c, "mask", "bool")]
+            else:
+                self.plan.append((c, c, "value", dtype))
 
-    def put(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos")
-        at = int(part.pos.iloc[0]) // size
+    @property
+    def attrs(self) -> dict:
+        return {"encoding-type": "dataframe", "encoding-version": "0.2.0", "_index": "_index", "column-order": self.names}
+
+    def values(self, part: pa.Array | pa.ChunkedArray, column: str, how: str, dtype: str):
+        """A list of strings or an array."""
+        if how == "mask":
+            return np.asarray(part.is_null())
+        if how == "codes":
+            at = pc.index_in(part, value_set=pa.array(self.labels[column], pa.string()))
+            return np.asarray(pc.fill_null(at, -1)).astype(dtype)
         if dtype == "string":
-            values = [v if isinstance(v, str) else None for v in part.value]
-        else:
-            values = part.value.to_numpy()
-        if dtype != "string" or len(values):
-            Z.write_chunk(store, key, (at,), values, [size], dtype, codec, level, version)
-        return pd.DataFrame({"n": [len(part)]})
-
-    rows = df.select(F.col(pos).alias("pos"), F.col(value).alias("value")).withColumn("__chunk", F.floor(F.col("pos") / size))
-    written = rows.groupBy("__chunk").applyInPandas(lambda p: put(p), "n long").agg(F.sum("n").alias("n")).first().n or 0
-    if written != n:
-        raise DataError(f"{key}: {written} values for {n} places")
-
-
-def _write_csr(coo: DataFrame, store: Z.Store, key: str, rows: int, cols: int, codec: str, level: int, version: int) -> None:
-    """coo: i, j, v."""
-    Z.write_group(store, key, {"encoding-type": "csr_matrix", "encoding-version": "0.1.0", "shape": [rows, cols]}, version)
-    axis = coo.sparkSession.range(rows).withColumnRenamed("id", "i")
-    counts = axis.join(coo.groupBy("i").agg(F.count("*").alias("n")), "i", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ptr = running_sum(counts, "n", "i", out="ptr").select((F.col("i") + 1).alias("pos"), F.col("ptr").alias("value"))
-    ptr = ptr.unionByName(coo.sparkSession.createDataFrame([(0, 0)], "pos long, value long"))
-    nnz = coo.count()
-    placed = positions(coo, "j", ("i",), "k").join(ptr.select(F.col("pos").alias("i"), F.col("value").alias("start")), "i").withColumn("pos", F.col("start") + F.col("k"))
-    _write_array(ptr, store, f"{key}/indptr", "pos", "value", "<i8", rows + 1, codec, level, version)
-    _write_array(placed, store, f"{key}/indices", "pos", "j", "<i8", nnz, codec, level, version)
-    _write_array(placed, store, f"{key}/data", "pos", "v", "<f8", nnz, codec, level, version)
-
-
-def _write_frame(df: DataFrame, store: Z.Store, top: str, n: int, codec: str, level: int, version: int, levels: DataFrame) -> None:
-    idx, names = f"{top}_idx", [c for c in df.columns if c not in (f"{top}_idx", f"{top}_id")]
-    known: dict[str, list] = {}
-    for r in levels.filter(F.col("tbl") == top).orderBy("col", "code").collect():
-        known.setdefault(r.col, []).append(r)
-    Z.write_group(store, top, {"encoding-type": "dataframe", "encoding-version": "0.2.0", "_index": "_index", "column-order": names}, version)
-    text = {"encoding-type": "string-array", "encoding-version": "0.2.0"}
-    _write_array(df, store, f"{top}/_index", idx, f"{top}_id", "string", n, codec, level, version, text)
-    for c in names:
-        kind, key = dict(df.dtypes)[c], f"{top}/{c}"
-        if c in known:
-            labels = [r.label for r in known[c]]
-            width = "|i1" if len(labels) <= 127 else "<i2" if len(labels) <= 32767 else "<i4"
-            Z.write_group(store, key, {"encoding-type": "categorical", "encoding-version": "0.2.0", "ordered": bool(known[c][0].ordered)}, version)
-            Z.write_meta(store, f"{key}/categories", [len(labels)], [max(1, len(labels))], "string", codec, level, version, text)
-            Z.write_chunk(store, f"{key}/categories", (0,), labels, [max(1, len(labels))], "string", codec, level, version)
-            codes = df.withColumn("__code", F.coalesce(F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(c)) - 1, F.lit(-1)))
-            _write_array(codes, store, f"{key}/codes", idx, "__code", width, n, codec, level, version)
-        elif kind == "string":
-            _write_array(df, store, key, idx, c, "string", n, codec, level, version, text)
-        else:
-            dtype = "|b1" if kind == "boolean" else "<f8" if kind in ("double", "float") else "<i8"
-            if df.filter(F.col(c).isNull()).isEmpty():
-                _write_array(df, store, key, idx, c, dtype, n, codec, level, version)
-            else:
-                Z.write_group(store, key, {"encoding-type": "nullable-boolean" if kind == "boolean" else "nullable-integer", "encoding-version": "0.1.0"}, version)
-                both = df.select(idx, F.coalesce(c, F.lit(0).cast(kind) if kind != "boolean" else F.lit(False)).alias("v"), F.col(c).isNull().alias("m"))
-                _write_array(both, store, f"{key}/values", idx, "v", dtype, n, codec, level, version)
-                _write_array(both, store, f"{key}/mask", idx, "m", "|b1", n, codec, level, version)
+            return [v if v is not None else "" for v in part.to_pylist()]
+        return np.asarray(pc.fill_null(part.cast(pa.bool_() if dtype == "bool" else pa.float64() if dtype == "<f8" else pa.int64()), 0 if dtype != "bool" else False))
 
 
-def write_zarr(c: Container, path: str, overwrite: bool = False, codec: str = "zlib", level: int = 1, version: int = 2, **_) -> None:
-    """X, layers, obs, var, obsm, varm, obsp and varp; atomic: the store appears when all of it is written."""
-    tmp, commit = replace_dir(c.spark, path, overwrite)
-    store, (n, p), how = Z.Store(tmp), c.shape, (codec, level, version)
-    Z.write_group(store, "", {"encoding-type": "anndata", "encoding-version": "0.1.0"}, version)
-    for top in ("layers", "obsm", "varm", "obsp", "varp", "uns"):
-        Z.write_group(store, top, {"encoding-type": "dict", "encoding-version": "0.1.0"}, version)
-    for layer in c.layers():
-        coo = c.matrix.filter(F.col("layer") == layer).select(F.col("obs_idx").alias("i"), F.col("var_idx").alias("j"), F.col("value").alias("v"))
-        _write_csr(coo, store, "X" if layer == "X" else f"layers/{layer}", n, p, *how)
-    _write_frame(c.obs, store, "obs", n, *how, c.levels)
-    _write_frame(c.var, store, "var", p, *how, c.levels)
-    for top, size in (("obsm", n), ("varm", p)):
-        for key in c.keys(top):
-            _write_dense(c.tables[top].filter(F.col("key") == key), store, f"{top}/{key}", f"{top[:3]}_idx", size, *how)
-    for top, size in (("obsp", n), ("varp", p)):
-        for key in c.keys(top):
-            _write_csr(c.tables[top].filter(F.col("key") == key).select("i", "j", F.col("w").alias("v")), store, f"{top}/{key}", size, size, *how)
-    commit()
+#: Spark type -> stored type and the encoding of a column with nulls.
+_STORED = {"string": ("string", "nullable-string-array"), "boolean": ("bool", "nullable-boolean")} | {k: ("<f8", "nullable-integer") for k in ("double", "float")} | {k: ("<i8", "nullable-integer") for k in ("bigint", "int", "smallint", "tinyint")}
 
 
-def _write_dense(df: DataFrame, store: Z.Store, key: str, idx: str, n: int, codec: str, level: int, version: int) -> None:
-    k = df.agg(F.max(F.size("vec"))).first()[0] or 1
-    size = max(1, min(n, CHUNK // k))
-    Z.write_meta(store, key, [n, k], [size, k], "<f8", codec, level, version, {"encoding-type": "array", "encoding-version": "0.2.0"})
+def code_type(n: int, nulls: bool) -> str:
+    """The narrowest type that holds the codes of n categories (and -1, where there are nulls)."""
+    for most, signed, dtype in ((127, True, "|i1"), (255, False, "|u1"), (32767, True, "<i2"), (65535, False, "<u2")):
+        if n <= most and (signed or not nulls):
+            return dtype
+    return "<i4"
 
-    def put(part: pd.DataFrame) -> pd.DataFrame:
-        at = int(part.pos.iloc[0]) // size
-        values = np.full((size, k), np.nan)
-        values[part.pos.to_numpy() - at * size] = np.stack(part.vec.to_list())
-        Z.write_chunk(store, key, (at, 0), values, [size, k], "<f8", codec, level, version)
-        return pd.DataFrame({"n": [len(part)]})
 
-    df.select(F.col(idx).alias("pos"), "vec").withColumn("__chunk", F.floor(F.col("pos") / size)).groupBy("__chunk").applyInPandas(lambda p: put(p), "n long").agg(F.sum("n")).collect()
+def all_matrices(c: Container, at: str = "") -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """(name, i, j, v) of layers and graphs, name being the key in the tree, and the shape of each."""
+    n, p = c.shape
+    layer = F.when(F.col("layer") == "X", f"{at}X").otherwise(F.concat(F.lit(f"{at}layers/"), "layer"))
+    out = c.matrix.select(layer.alias("name"), F.col("obs_idx").alias("i"), F.col("var_idx").alias("j"), F.col("value").cast("double").alias("v"))
+    shapes = {f"{at}X": (n, p)} | {f"{at}layers/{x}": (n, p) for x in c.layers() if x != "X"}
+    for top, size in (("obsp", n), ("varp", p)):
+        keys = c.keys(top)
+        shapes |= {f"{at}{top}/{k}": (size, size) for k in keys}
+        if keys:
+            out = out.unionByName(c.tables[top].select(F.concat(F.lit(f"{at}{top}/"), "key").alias("name"), "i", "j", F.col("w").cast("double").alias("v")))
+    return out, shapes
+
+
+def all_vectors(c: Container, at: str = "") -> tuple[DataFrame | None, dict[str, tuple[int, int]]]:
+    """(name, i, vec) of embeddings and loadings, and rows and columns of each."""
+    out, shapes = None, {}
+    for top, size in (("obsm", c.shape[0]), ("varm", c.shape[1])):
+        sizes = c.tables[top].groupBy("key").agg(F.max(F.size("vec")).alias("k")).collect()  # a row a key
+        shapes |= {f"{at}{top}/{r.key}": (size, max(1, r.k)) for r in sizes}
+        if sizes:
+            own = c.tables[top].select(F.concat(F.lit(f"{at}{top}/"), "key").alias("name"), F.col(f"{top[:3]}_idx").alias("i"), F.col("vec").cast("array<double>").alias("vec"))
+            out = own if out is None else out.unionByName(own)
+    return out, shapes
+
+
+class ZarrSink:
+    """Writes arrays of a store; each task writes whole chunks, all arrays of a chunk at once."""
+
+    def __init__(self, store: Z.Store, codec: str, level: int, version: int):
+        self.store, self.how = store, (codec, level, version)
+
+    def group(self, key: str, attributes: dict) -> None:
+        Z.write_group(self.store, key, attributes, self.how[2])
+
+    def put(self, key: str, value: np.ndarray, attributes: dict) -> None:
+        """A small array, from the driver."""
+        dtype = "string" if value.dtype == object else value.dtype.str
+        chunks = [max(1, s) for s in value.shape]
+        Z.write_meta(self.store, key, list(value.shape), chunks, dtype, *self.how, attributes)
+        if value.size:
+            Z.write_chunk(self.store, key, (0,) * value.ndim, value.reshape(-1).tolist() if dtype == "string" else value, chunks, dtype, *self.how)
+
+    def _chunks(self, df: DataFrame, pos: str, keys: list[str], write, what: dict) -> None:
+        """write(table in the order of pos, chunk, *keys) for each chunk; what: rows expected of each key."""
+
+        def put(table: pa.Table) -> pa.Table:
+            table = table.sort_by(pos)
+            write(table, int(table["__chunk"][0].as_py()), *[table[k][0].as_py() for k in keys])
+            return pa.table({"name": pa.array(["/".join(str(table[k][0]) for k in keys)]), "n": pa.array([table.num_rows], pa.int64())})
+
+        found = df.groupBy(*keys, "__chunk").applyInArrow(put, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).collect()
+        got = {r.name: r.n for r in found}
+        for key, n in what.items():
+            if got.get(key, 0) != n:
+                raise DataError(f"{key or pos}: {got.get(key, 0)} rows for {n} places")
+
+    def frame(self, df: DataFrame, top: str, n: int, levels: DataFrame) -> None:
+        columns, size, store, how = Columns(df, top, levels), max(1, min(CHUNK, n)), self.store, self.how
+        self.group(top, columns.attrs)
+        for c, attributes in columns.groups.items():
+            self.group(f"{top}/{c}", attributes)
+        for c in columns.groups:
+            if c in columns.labels:
+                self.put(f"{top}/{c}/categories", np.array([*columns.labels[c], None], dtype=object)[:-1], TEXT)
+        for key, _, _, dtype in columns.plan:
+            Z.write_meta(store, f"{top}/{key}", [n], [size], dtype, *how, TEXT if dtype == "string" else None)
+
+        def write(table: pa.Table, chunk: int) -> None:
+            for key, c, part, dtype in columns.plan:
+                Z.write_chunk(store, f"{top}/{key}", (chunk,), columns.values(table[c].combine_chunks(), c, part, dtype), [size], dtype, *how)
+
+        self._chunks(df.withColumn("__chunk", F.floor(F.col(columns.index) / size)), columns.index, [], write, {"": n} if n else {})
+
+    def matrices(self, coo: DataFrame, shapes: dict[str, tuple[int, int]]) -> None:
+        """coo: name, i, j, v. The entries of BUCKET rows in a row are placed after those of the buckets before."""
+        store, how = self.store, self.how
+        coo = coo.withColumn("b", F.floor(F.col("i") / BUCKET)).persist(StorageLevel.DISK_ONLY)
+        try:
+            counts = coo.groupBy("name", "b", "i").agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
+            sums = counts.groupBy("name", "b").agg(F.sum("n").alias("n"))
+            before = F.sum("n").over(Window.partitionBy("name").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+            starts = sums.select("name", "b", F.coalesce(before, F.lit(0)).alias("start"))
+            nnz = {r.name: r.n for r in sums.groupBy("name").agg(F.sum("n").alias("n")).collect()}
+            for name, (rows, cols) in shapes.items():
+                self.group(name, _CSR | {"shape": [rows, cols]})
+                for part, n, dtype in (("indptr", rows + 1, "<i8"), ("indices", nnz.get(name, 0), "<i8"), ("data", nnz.get(name, 0), "<f8")):
+                    Z.write_meta(store, f"{name}/{part}", [n], [CHUNK], dtype, *how)
+
+            def entries(table: pa.Table, chunk: int, name: str) -> None:
+                Z.write_chunk(store, f"{name}/indices", (chunk,), np.asarray(table["j"]), [CHUNK], "<i8", *how)
+                Z.write_chunk(store, f"{name}/data", (chunk,), np.asarray(table["v"]), [CHUNK], "<f8", *how)
+
+            rank = F.row_number().over(Window.partitionBy("name", "b").orderBy("i", "j")) - 1
+            placed = coo.withColumn("__rank", rank).join(starts, ["name", "b"]).select("name", "j", "v", (F.col("start") + F.col("__rank")).alias("pos"))
+            self._chunks(placed.withColumn("__chunk", F.floor(F.col("pos") / CHUNK)), "pos", ["name"], entries, nnz)
+
+            def pointers(table: pa.Table, chunk: int, name: str) -> None:
+                Z.write_chunk(store, f"{name}/indptr", (chunk,), np.asarray(table["ptr"]), [CHUNK], "<i8", *how)
+
+            spark = coo.sparkSession
+            axis = spark.createDataFrame([(k, r + 1) for k, (r, _) in shapes.items()], "name string, rows long")
+            axis = axis.select("name", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / BUCKET))).alias("b"), "rows")  # then BUCKET places of each
+            axis = axis.select("name", "b", F.explode(F.sequence(F.col("b") * BUCKET, F.least(F.col("rows"), (F.col("b") + 1) * BUCKET) - 1)).alias("pos"))
+            # place k + 1 holds the end of row k
+            ends = axis.join(counts.select("name", (F.col("i") + 1).alias("pos"), "n"), ["name", "pos"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+            ends = running_sum(ends.drop("b"), "n", "pos", ("name",), "ptr")
+            self._chunks(ends.withColumn("__chunk", F.floor(F.col("pos") / CHUNK)), "pos", ["name"], pointers, {k: r + 1 for k, (r, _) in shapes.items()})
+            counts.unpersist()
+        finally:
+            coo.unpersist()
+
+    def vectors(self, rows: DataFrame | None, shapes: dict[str, tuple[int, int]]) -> None:
+        """rows: name, i, vec. Rows that are missing are NaN."""
+        if rows is None:
+            return
+        store, how = self.store, self.how
+        sizes = {k: max(1, min(n, CHUNK // d)) for k, (n, d) in shapes.items()}
+        for k, (n, d) in shapes.items():
+            Z.write_meta(store, k, [n, d], [sizes[k], d], "<f8", *how, {"encoding-type": "array", "encoding-version": "0.2.0"}, fill="NaN")
+
+        def write(table: pa.Table, chunk: int, name: str) -> None:
+            values = np.full((sizes[name], shapes[name][1]), np.nan)
+            for at, vec in zip(np.asarray(table["i"]) - chunk * sizes[name], table["vec"].to_pylist(), strict=True):
+                values[at, : len(vec)] = vec
+            Z.write_chunk(store, name, (chunk, 0), values, list(values.shape), "<f8", *how)
+
+        size = F.lit(1)
+        for k, v in sizes.items():
+            size = F.when(F.col("name") == k, v).otherwise(size)
+        self._chunks(rows.withColumn("__chunk", F.floor(F.col("i") / size)), "i", ["name"], write, {})
+
+
+def write_zarr(c: Container, path: str, overwrite: bool = False, codec: str = "zlib", level: int = 1, version: int = 2) -> None:
+    """X, layers, obs, var, obsm, varm, obsp, varp and uns; atomic: the store appears when all of it is written. Level 0
+    stores chunks as they are."""
+    tmp, commit = replace_dir(c.spark, path, overwrite)
+    sink = ZarrSink(Z.Store(tmp), codec if level else "none", level, version)
+    sink.group("", {"encoding-type": "anndata", "encoding-version": "0.1.0"})
+    for top in ("layers", "obsm", "varm", "obsp", "varp"):
+        sink.group(top, {"encoding-type": "dict", "encoding-version": "0.1.0"})
+    sink.matrices(*all_matrices(c))
+    sink.frame(c.obs, "obs", c.shape[0], c.levels)
+    sink.frame(c.var, "var", c.shape[1], c.levels)
+    sink.vectors(*all_vectors(c))
+    write_uns(((r.path, r.value) for r in c.uns.orderBy("path").toLocalIterator()), sink.group, sink.put)
+    commit()
 
 
 def read_spatialdata(spark: SparkSession, path: str, table: str = "table", **options) -> Container:

@@ -231,8 +231,8 @@ def write_group(store: Store, key: str, attributes: dict, version: int = 2) -> N
         store.put(join(key, ".zattrs"), json.dumps(attributes).encode())
 
 
-def write_meta(store: Store, key: str, shape, chunks, dtype: str, codec: str | None = "zlib", level: int = 1, version: int = 2, attributes: dict | None = None) -> None:
-    """dtype: a numpy type or 'string'."""
+def write_meta(store: Store, key: str, shape, chunks, dtype: str, codec: str | None = "zlib", level: int = 1, version: int = 2, attributes: dict | None = None, fill=None) -> None:
+    """dtype: a numpy type or 'string'. fill: the value of missing chunks (JSON form)."""
     text = dtype == "string"
     if version == 3:
         names = {v: k for k, v in _V3.items()}
@@ -240,10 +240,10 @@ def write_meta(store: Store, key: str, shape, chunks, dtype: str, codec: str | N
         if codec not in (None, "none"):
             codecs.append({"name": codec, "configuration": {"level": level}})
         kind_ = "string" if text else names[np.dtype(dtype).str]
-        m = {"zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": kind_, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": "" if text else False if kind_ == "bool" else 0, "codecs": codecs, "attributes": attributes or {}}
+        m = {"zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": kind_, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill if fill is not None else "" if text else False if kind_ == "bool" else 0, "codecs": codecs, "attributes": attributes or {}}
         store.put(join(key, "zarr.json"), json.dumps(m).encode())
         return
-    m = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": "|O" if text else np.dtype(dtype).str, "compressor": None if codec in (None, "none") else {"id": codec, "level": level}, "fill_value": "" if text else 0, "order": "C", "filters": [{"id": "vlen-utf8"}] if text else None}
+    m = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": "|O" if text else np.dtype(dtype).str, "compressor": None if codec in (None, "none") else {"id": codec, "level": level}, "fill_value": fill if fill is not None else "" if text else 0, "order": "C", "filters": [{"id": "vlen-utf8"}] if text else None}
     store.put(join(key, ".zarray"), json.dumps(m).encode())
     if attributes is not None:
         store.put(join(key, ".zattrs"), json.dumps(attributes).encode())
@@ -257,5 +257,5 @@ def write_chunk(store: Store, key: str, index: tuple[int, ...], values, chunks,
         full = np.zeros(chunks, dtype=dtype)
         full[tuple(slice(0, s) for s in np.shape(values))] = values
         raw = full.tobytes()
-    name = "/".join(["c", *map(str, index)]) if version == 3 else ".".join(map(str, index))
+    name = "/".join(["c", *map(str, index)]) if version == 3 else ".".join(map(str, index)) or "0"
     store.put(join(key, name), compress(raw, codec, level))

@@ -16,30 +16,44 @@ from cellmill.sources.registry import FormatError, file_type, list_formats
 from cellmill.sources.zarr import component
 
 
+#: Scalars, lists, matrices, nested and empty groups, frames, sparse matrices, mixed lists, null.
+UNS = {
+    "name": "é", "count": 7, "share": 0.5, "flag": True, "none": {"encoding": "null"}, "empty": {}, "words": ["a", "", "é"], "numbers": [1, 2, 3], "floats": [1.5, 2.0], "flags": [True, False],
+    "matrix": [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]], "mixed": [1, "a", None, [2]], "big": 2**70, "no": [], "pca/params/n": 3, "pca/params/solver": "arpack", "pca/variance": [0.5, 0.25],
+    "frame": {"encoding": "dataframe", "index": ["r0", "r1"], "columns": {"x": [1, 2], "y": ["p", "q"], "z": {"encoding": "categorical", "categories": ["lo", "hi"], "codes": [1, 0], "ordered": False}}},
+    "sparse": {"encoding": "csr_matrix", "data": [1.0, 2.0], "indices": [0, 1], "indptr": [0, 1, 2], "shape": [2, 2]},
+}
+
+
 @pytest.fixture(scope="module")
 def box(spark):
     """Unused levels, nulls, an empty row, an ordered factor."""
     obs = spark.createDataFrame([(0, "c0", 1.5, "A", True, 7), (1, "c1", None, "C", None, 8), (2, "c2", -2.0, None, False, 9), (3, "é", 0.0, "A", True, -1)], "obs_idx long, obs_id string, num double, fct string, flag boolean, n long")
-    var = spark.createDataFrame([(0, "g0", "x"), (1, "g1", ""), (2, "g2", "z")], "var_idx long, var_id string, tag string")
+    var = spark.createDataFrame([(0, "g0", "x", 1, True, "lo"), (1, "g1", "", None, False, "hi"), (2, "g2", None, 3, True, "lo")], "var_idx long, var_id string, tag string, rank long, hv boolean, level string")
     matrix = spark.createDataFrame([("X", 0, 2, 3.0), ("X", 0, 0, 1.0), ("X", 3, 1, 2.5), ("counts", 1, 1, 4.0)], "layer string, obs_idx long, var_idx long, value double")
-    levels = spark.createDataFrame([("obs", "fct", k, x, True) for k, x in enumerate(["C", "A", "D_unused"])], "tbl string, col string, code long, label string, ordered boolean")
+    levels = spark.createDataFrame([("obs", "fct", k, x, True) for k, x in enumerate(["C", "A", "D_unused"])] + [("var", "level", k, x, False) for k, x in enumerate(["lo", "hi"])], "tbl string, col string, code long, label string, ordered boolean")
     obsm = spark.createDataFrame([("X_pca", k, [float(k), 1.0]) for k in range(4)], "key string, obs_idx long, vec array<double>")
     obsp = spark.createDataFrame([("distances", 0, 3, 0.5), ("distances", 3, 0, 0.25)], "key string, i long, j long, w double")
-    return Container.of(spark, (4, 3), obs=obs, var=var, matrix=matrix, levels=levels, obsm=obsm, obsp=obsp)
+    varm = spark.createDataFrame([("PCs", k, [0.5 * k, float(-k)]) for k in range(3)] + [("other", k, [1.0]) for k in range(3)], "key string, var_idx long, vec array<double>")
+    varp = spark.createDataFrame([("corr", 0, 1, 0.5), ("corr", 2, 2, 1.0)], "key string, i long, j long, w double")
+    uns = spark.createDataFrame([(k, json.dumps(v)) for k, v in UNS.items()], "path string, value string")
+    return Container.of(spark, (4, 3), obs=obs, var=var, matrix=matrix, levels=levels, obsm=obsm, obsp=obsp, varm=varm, varp=varp, uns=uns)
 
 
 def rows(df):
     return sorted((tuple(r.asDict(True).items()) for r in df.collect()), key=str)
 
 
-def same(a, b, tables=("obs", "var", "matrix", "obsm", "obsp", "levels")):
+def same(a, b, tables=("obs", "var", "matrix", "obsm", "varm", "obsp", "varp", "levels")):
     assert a.shape == tuple(b.shape)
     for t in tables:
         x, y = a.tables[t], b.tables[t]
-        assert rows(x) == rows(y.select(x.columns)), t
+        assert x.dtypes == y.dtypes and rows(x) == rows(y.select(x.columns)), t
+    values = lambda c: {r.path: json.loads(r.value) for r in c.uns.collect()}
+    assert values(a) == values(b)
 
 
-@pytest.mark.parametrize("ext", ["parquet", "zarr", "h5ad"])
+@pytest.mark.parametrize("ext", ["parquet", "zarr", "h5ad", "h5seurat", "loom"])
 def test_double_round_trip(spark, box, tmp_path, ext):
     one, two = f"{tmp_path}/one.{ext}", f"{tmp_path}/two.{ext}"
     formats.save(box, one)
@@ -51,6 +65,8 @@ def test_double_round_trip(spark, box, tmp_path, ext):
     formats.save(box, one, overwrite=True)
     part = formats.load(spark, one, components=["obs"])
     assert part.obsm.count() == 0 and part.matrix.count() == 3
+    whole = part.load_more(one, ["obsm", "uns", "layers"])
+    assert rows(whole.obsm) == rows(box.obsm) and whole.uns.count() == len(UNS) and rows(whole.matrix) == rows(box.matrix)
 
 
 def test_zarr_v3_and_zstd(spark, box, tmp_path):
@@ -66,11 +82,30 @@ def test_hop_through_all(spark, box, tmp_path):
     same(box, formats.load(spark, steps[-1]))
 
 
-def test_loom(spark, box, tmp_path):
+def test_loom_layout(spark, box, tmp_path):
     formats.save(box, f"{tmp_path}/a.loom")
-    got = formats.load(spark, f"{tmp_path}/a.loom")
-    assert rows(got.matrix) == rows(box.matrix.filter("layer = 'X'"))
-    assert [r.obs_id for r in got.obs.orderBy("obs_idx").collect()] == ["c0", "c1", "c2", "é"]
+    t = Tree(f"{tmp_path}/a.loom")
+    assert t.array("matrix").read().tolist() == [[1, 0, 0, 0], [0, 0, 0, 2.5], [3, 0, 0, 0]] and t.array("layers/counts").shape == [3, 4]
+    assert t.array("col_attrs/X_pca").shape == [4, 2] and t.array("col_graphs/distances/a").read().tolist() == [0, 3]
+    valid = Container(spark, box.tables | {"obs": box.obs.withColumn("Valid", (F.col("obs_idx") != 1).cast("long"))}, box.shape)
+    formats.save(valid, f"{tmp_path}/v.loom")
+    got = formats.load(spark, f"{tmp_path}/v.loom", valid_only=True)
+    assert got.shape == (3, 3) and [r.obs_id for r in got.obs.orderBy("obs_idx").collect()] == ["c0", "c2", "é"]
+    assert sorted((r.obs_idx, r.vec[0]) for r in got.obsm.collect()) == [(0, 0.0), (1, 2.0), (2, 3.0)] and sorted((r.i, r.j) for r in got.obsp.collect()) == [(0, 2), (2, 0)]
+
+
+def test_gzip_level(spark, box, tmp_path):
+    big = box.matrix.filter("layer = 'X'").unionByName(spark.range(4 * 3).select(F.lit("ones").alias("layer"), F.floor(F.col("id") / 3).alias("obs_idx"), (F.col("id") % 3).alias("var_idx"), F.lit(1.0).alias("value")))
+    c = Container(spark, box.tables | {"matrix": big}, box.shape)
+    for ext in ("h5ad", "h5seurat", "loom", "zarr", "parquet"):
+        for level in (0, 6):
+            formats.save(c, f"{tmp_path}/l{level}.{ext}", level=level)
+            same(c, formats.load(spark, f"{tmp_path}/l{level}.{ext}"))
+    from cellmill.sources.hdf5 import Tree as T
+
+    assert T(f"{tmp_path}/l6.h5ad").array("X/data").filters == [1] and not T(f"{tmp_path}/l0.h5ad").array("X/data").filters
+    with pytest.raises(FormatError):
+        formats.save(c, f"{tmp_path}/x.h5ad", colour="red")
 
 
 def test_slices_are_pushed_down(spark, tmp_path):
@@ -125,7 +160,7 @@ def test_file_types(tmp_path):
     assert list_formats()["h5ad"] == (True, True) and list_formats()["cosmx"] == (True, False)
 
 
-def test_h5seurat_h5mu_soma_spatialdata(spark, box, tmp_path):
+def test_h5seurat_h5mu_query_spatialdata(spark, box, tmp_path):
     formats.save(box, f"{tmp_path}/a.h5seurat")
     got = formats.load(spark, f"{tmp_path}/a.h5seurat")
     assert rows(got.matrix) == rows(box.matrix) and rows(got.obs.select("obs_id", "fct", "flag")) == rows(box.obs.select("obs_id", "fct", "flag"))
@@ -136,8 +171,10 @@ def test_h5seurat_h5mu_soma_spatialdata(spark, box, tmp_path):
     same(box, both["prot"])
     t = Tree(f"{tmp_path}/a.h5mu")
     assert t.array("varmap/prot").read().tolist() == [-1, -1, -1, 0, 1, 2] and t.array("var/_index").read().tolist()[0] == "rna:g0"
-    formats.save(box, f"soma://{tmp_path}/s")
-    part = formats.load(spark, f"soma://{tmp_path}/s", obs_query="n < 8 and num is not null")
+    with pytest.raises(FormatError):
+        formats.load(spark, f"soma://{tmp_path}/s")
+    formats.save(box, f"{tmp_path}/s.parquet")
+    part = formats.load(spark, f"{tmp_path}/s.parquet", obs_query="n < 8 and num is not null")
     assert sorted(r.obs_idx for r in part.obs.collect()) == [0, 3] and {r.obs_idx for r in part.matrix.collect()} == {0, 3} and part.obsp.count() == 2
     box.tables["points/genes"] = spark.createDataFrame([(1.0, 2.0, "g")], "x double, y double, gene string")
     formats.save(box, f"{tmp_path}/a.spatialdata.zarr")
