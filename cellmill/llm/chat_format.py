@@ -8,12 +8,14 @@ no conversation is ever gathered in one task.
 
 Defined results: a result without a call is an ``orphan``, a call without a result ``open``, a call or result whose
 identifier occurs again among its kind ``repeated`` (still linked); a message in a cycle of links, or behind one, has null
-depth; arguments that are no JSON object give the error ``not an object``; a null text is the empty text; an empty table
-gives no rows.
+depth; arguments that are no JSON object, or one that repeats a key, give the error ``not an object``; a null text is the
+empty text; texts of any length are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from json import dumps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,30 +29,92 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+_KINDS = {"string": ("STRING",), "number": ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",), "null": ("VOID",)}
+#: Rules that are checked, and words that say nothing about validity.
+RULES = {
+    "type", "enum", "const", "properties", "required", "additionalProperties", "items", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf",
+    "minItems", "maxItems", "uniqueItems", "minProperties", "maxProperties",
+}
+NOTES = {"title", "description", "default", "examples", "$comment"}
+
+
+def _problems(value: Column, schema: dict, at: str) -> Column:
+    """An array of complaints about a variant that stands at a place (empty for the whole)."""
+    if unknown := sorted(schema.keys() - RULES - NOTES):
+        raise ValueError(f"rules {unknown} at {at or 'the top'} aren't supported; there are {sorted(RULES)}")
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    number = F.when(kind.isin(*_KINDS["number"]), F.try_variant_get(value, "$", "double"))
+    json = F.to_json(value)
+    say = lambda bad, what: F.when(bad, F.lit(f"{at}: {what}" if at else what))
+    checks: list[Column] = []
+    if "type" in schema:
+        types = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
+        fits = F.lit(False)
+        for t in types:
+            # a number without a fraction is an integer, however it is written
+            fits = fits | ((number % 1 == 0) if t == "integer" else kind.isin(*_KINDS[t]))
+        checks.append(say(~F.coalesce(fits, F.lit(False)), f"not {' or '.join(types)}"))
+    canonical_of = lambda x: F.to_json(F.parse_json(F.lit(dumps(x))))
+    same = lambda x: (number == float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else json == canonical_of(x)
+    if "enum" in schema:
+        any_ = F.lit(False)
+        for x in schema["enum"]:
+            any_ = any_ | F.coalesce(same(x), F.lit(False))
+        checks.append(say(~any_, "not one of the values"))
+    if "const" in schema:
+        checks.append(say(~F.coalesce(same(schema["const"]), F.lit(False)), "not the value"))
+    for rule, bad in (
+        ("minLength", lambda x: F.char_length(text) < x), ("maxLength", lambda x: F.char_length(text) > x), ("pattern", lambda x: ~text.rlike(x)), ("minimum", lambda x: number < x), ("maximum", lambda x: number > x),
+        ("exclusiveMinimum", lambda x: number <= x), ("exclusiveMaximum", lambda x: number >= x), ("multipleOf", lambda x: F.abs(number / x - F.round(number / x)) > 1e-9),
+    ):
+        if rule in schema:
+            word = {"minLength": "too short", "maxLength": "too long", "pattern": "not of the pattern", "minimum": "too small", "maximum": "too large", "exclusiveMinimum": "too small", "exclusiveMaximum": "too large", "multipleOf": "no multiple"}[rule]
+            checks.append(say(bad(schema[rule]), word))
+    nested: list[Column] = []
+    if schema.keys() & {"items", "minItems", "maxItems", "uniqueItems"}:
+        parts = F.when(kind == "ARRAY", F.try_variant_get(value, "$", "array<variant>"))
+        if "minItems" in schema:
+            checks.append(say(F.size(parts) < schema["minItems"], "too few"))
+        if "maxItems" in schema:
+            checks.append(say(F.size(parts) > schema["maxItems"], "too many"))
+        if schema.get("uniqueItems"):
+            shown = F.transform(parts, lambda x: F.to_json(x))
+            checks.append(say(F.size(F.array_distinct(shown)) < F.size(shown), "repeated"))
+        if "items" in schema:
+            nested.append(F.coalesce(F.flatten(F.transform(parts, lambda x: _problems(x, schema["items"], f"{at}[]"))), F.array().cast("array<string>")))
+    if schema.keys() & {"properties", "required", "additionalProperties", "minProperties", "maxProperties"}:
+        keys = F.when(kind == "OBJECT", F.json_object_keys(json))
+        place = lambda f: f"{at}.{f}" if at else f
+        checks += [F.when(~F.array_contains(keys, f), F.lit(f"{place(f)}: missing")) for f in schema.get("required", [])]
+        if "minProperties" in schema:
+            checks.append(say(F.size(keys) < schema["minProperties"], "too few"))
+        if "maxProperties" in schema:
+            checks.append(say(F.size(keys) > schema["maxProperties"], "too many"))
+        for field, rule in schema.get("properties", {}).items():
+            if "'" in field and '"' in field:
+                raise ValueError(f"{field}: a name with both kinds of quotes can't be looked up")
+            quote = '"' if "'" in field else "'"
+            here = F.when(kind == "OBJECT", F.try_variant_get(value, f"$[{quote}{field}{quote}]", "variant"))
+            nested.append(F.when(F.array_contains(keys, field), _problems(here, rule, place(field))).otherwise(F.array().cast("array<string>")))
+        if schema.get("additionalProperties", True) is False:
+            unknown = F.array_except(keys, F.array(*[F.lit(p) for p in schema.get("properties", {})]).cast("array<string>"))
+            nested.append(F.coalesce(F.transform(unknown, lambda k: F.concat(F.lit(f"{at}." if at else ""), k, F.lit(": unknown"))), F.array().cast("array<string>")))
+        elif isinstance(schema.get("additionalProperties", True), dict):
+            raise ValueError("additionalProperties is true or false")
+    own = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+    return F.concat(own, *nested) if nested else own
+
+
 def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
-    """Sorted complaints about a call's arguments. schemas: function -> {"properties": {field: {"type": string, integer,
-    number, boolean, array or object; "minLength", "maxLength"}}, "required": [...], "additionalProperties": bool}."""
-    kinds = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
+    """Sorted complaints about a call's arguments. schemas: function -> JSON schema of its arguments, which are an object;
+    rules in RULES are checked at any depth (places in lists as []), those in NOTES are notes, others raise ValueError."""
     value = F.try_parse_json(arguments)
-    keys = F.json_object_keys(F.to_json(value))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
     out = F.when(name.isNull(), F.array().cast("array<string>"))
     for function, schema in schemas.items():
-        checks = [F.when(~F.array_contains(keys, f), f"{f}: missing") for f in schema.get("required", [])]
-        for field, rule in schema.get("properties", {}).items():
-            here = F.try_variant_get(value, f"$.{field}", "variant")
-            kind = F.regexp_extract(F.schema_of_variant(here), "^[A-Z]+", 0)
-            checks.append(F.when(here.isNotNull() & ~kind.isin(*kinds[rule["type"]]), f"{field}: not {rule['type']}"))
-            size = F.length(F.try_variant_get(value, f"$.{field}", "string"))
-            if "minLength" in rule:
-                checks.append(F.when(size < rule["minLength"], f"{field}: too short"))
-            if "maxLength" in rule:
-                checks.append(F.when(size > rule["maxLength"], f"{field}: too long"))
-        unknown = F.array_except(keys, F.array(*[F.lit(p) for p in schema.get("properties", {})]).cast("array<string>"))
-        found = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
-        if schema.get("additionalProperties", True) is False:
-            found = F.concat(found, F.transform(unknown, lambda k: F.concat(k, F.lit(": unknown"))))
-        # keys are null unless the arguments are an object
-        out = out.when(name == function, F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(F.sort_array(found)))
+        found = F.sort_array(F.array_distinct(_problems(value, {k: v for k, v in schema.items() if k != "type"}, "")))
+        out = out.when(name == function, F.when(is_object, found).otherwise(F.array(F.lit("not an object"))))
     return out.otherwise(F.array(F.concat(name, F.lit(": no such function"))))
 
 
@@ -85,7 +149,8 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     base = materialise(base)
     calls = base.filter("call_id is not null").groupBy("call_id").agg(F.count("*").alias("n_calls"), F.min("after").alias("after"))
     results = base.filter("result_of is not null and call_id is null").groupBy(F.col("result_of").alias("call_id")).agg(F.count("*").alias("n_results"))
-    both = materialise(calls.join(results, "call_id", "full"))
+    # one row an identifier on either side, so a task's hash table is its share of them
+    both = materialise(calls.join(results.hint("shuffle_hash"), "call_id", "full"))
     # a call comes after the result of the call it names, or after that call if there is no result
     named = both.filter("n_calls is not null").select(F.col("call_id").alias("after"), F.when(F.col("n_results").isNotNull(), F.concat(F.lit("r:"), "call_id")).otherwise(F.concat(F.lit("c:"), "call_id")).alias("parent"))
     links = both.filter("n_calls is not null").join(named, "after", "left").select(F.concat(F.lit("c:"), "call_id").alias("node"), "parent")
@@ -94,7 +159,7 @@ def link_tools(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     facts = both.filter("n_calls is not null").select(F.concat(F.lit("c:"), "call_id").alias(key), F.col("n_calls").alias("same"), F.coalesce(F.col("n_results") > 0, F.lit(False)).alias("linked"))
     facts = facts.union(both.filter("n_results is not null").select(F.concat(F.lit("r:"), "call_id"), "n_results", F.coalesce(F.col("n_calls") > 0, F.lit(False))))
     facts = materialise(facts.join(depth.withColumnRenamed("node", key), key))
-    out = base.join(facts, key, "left")
+    out = base.join(facts.hint("shuffle_hash"), key, "left")
     none = F.col(key).isNull()
     status = F.when(none, "plain").when(F.col("same") > 1, "repeated").when(F.col("linked"), "linked").when(F.col("call_id").isNotNull(), "open").otherwise("orphan")
     arguments = F.try_parse_json("arguments")

@@ -20,7 +20,7 @@ from .shared import free, materialise
 BROADCAST_IDS = 500_000
 PIVOT_ROUNDS = 1
 #: Members of a bucket up to which its queries are paired with its members.
-DIRECT = 64
+DIRECT = 16
 #: Hashes of the queries that a task holds, and of the rows that it compares with them.
 BLOCK, PART = 1_000_000, 20_000_000
 

@@ -3,15 +3,16 @@
 An item's windows are its runs of WINDOW consecutive words (an item of fewer words is one window). A window's set is its
 shingles of SHINGLE words, ordered by rarity in the corpus (counted over all documents). Containment asks for all of
 them, so the necessary prefix is one shingle, the rarest: a document joins a window only where it has that shingle.
-The shingle's place fixes where the window must begin (positional bound) and end (length bound); there the words are
-compared one by one with those of the window.
+The shingle's place fixes where the window must begin (positional bound) and end (length bound); there the hashes of the
+words, then the words themselves are compared. (Windows of a block with one 64-bit hash are taken for equal.)
 
-The index of a block of items, at most ``BLOCK_WORDS`` item words, is broadcast; a larger benchmark is passed over in
-several blocks, with the rows and what was hit so far written to the shared folder in between. Documents are never
-shuffled.
+The index of a block of items, at most ``BLOCK_WORDS`` item words, is a few flat arrays (about 60 bytes a word) in a
+broadcast of its own. A task holds about ``HELD`` bytes of texts at a time and takes the blocks one after another, so its
+memory is bounded whatever the size of the benchmark, and the corpus is read twice (to count and to probe), however many
+blocks there are. Documents are never shuffled or written.
 
 Defined results: null or empty texts have no words and no hits; items without words have no windows; repeated rows each
-keep their row; an empty benchmark hits nothing; items with one text count each.
+keep their row; an empty benchmark hits nothing; items with one text count each; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -20,79 +21,127 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialise, without
-from .textkit import ALNUM, runs_of, texts_in_chunks, word_hashes
+from .textkit import ALNUM, FOLD, placed_hashes, runs_of, texts_in_chunks
 
-WINDOW, SHINGLE, BLOCK_WORDS = 13, 4, 2_000_000
+WINDOW, SHINGLE, BLOCK_WORDS, HELD = 13, 4, 250_000, 16 << 20
 OUTPUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-_SPANS, _FOUND = "__dc_spans", "__dc_items"
+_PLACES = T.ArrayType(T.LongType())
 
 
-def _words(texts: list[str | None]) -> Iterator[np.ndarray]:
+class Words:
+    """A text's words: their hashes, and the bytes that they are."""
+
+    def __init__(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray):
+        self.hashes, self.data, self.starts, self.stops = hashes, data, starts, stops
+
+    def joined(self, begin: int, end: int) -> bytes:
+        """Folded words, joined by spaces."""
+        return b" ".join(FOLD[self.data[a:b]].tobytes() for a, b in zip(self.starts[begin:end].tolist(), self.stops[begin:end].tolist(), strict=True))
+
+
+def _words(texts: list[str | None]) -> Iterator[Words]:
     for _, _, data, offsets in texts_in_chunks(texts):
-        words, at = word_hashes(data, offsets, ALNUM)
+        hashes, at, starts, stops = placed_hashes(data, offsets, ALNUM)
         for a, b in zip(at[:-1], at[1:], strict=True):
-            yield words[a:b]
+            yield Words(hashes[a:b], data, starts[a:b], stops[a:b])
 
 
 class Index:
-    """Distinct windows of a block of items under the hash of their rarest shingle."""
-
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int, shingle: int):
-        self.windows: list[np.ndarray] = []
-        self.owners: list[list[int]] = []
-        self.names = [name for name, _ in items]
-        known: dict[bytes, int] = {}
-        for owner, (_, words) in enumerate(items):
-            size = min(window, len(words))
-            for at in range(len(words) - size + 1 if size else 0):
-                part = words[at : at + size]
-                k = known.setdefault(part.tobytes(), len(self.windows))
-                if k == len(self.windows):
-                    self.windows.append(part)
-                    self.owners.append([])
-                if not self.owners[k] or self.owners[k][-1] != owner:
-                    self.owners[k].append(owner)
-        self.shingles = [runs_of(w, min(shingle, len(w))) for w in self.windows]
-        self.lengths = sorted({min(shingle, len(w)) for w in self.windows})
-        #: For each shingle length, the sorted shingles to count.
-        self.counted = {m: np.unique(np.concatenate([s for s, w in zip(self.shingles, self.windows, strict=True) if min(shingle, len(w)) == m])) for m in self.lengths}
-        self.shingle = shingle
-
-    def order(self, counts: dict[int, int]) -> None:
+    """Distinct windows of a block of items, under the hash of their rarest shingle."""
+
+    def __init__(self, items: list[tuple[str, Words]], window: int, shingle: int):
+        self.names, self.window, self.shingle = [name for name, _ in items], window, shingle
+        counts = np.array([len(w.hashes) for _, w in items], np.int64)
+        self.ends = np.cumsum(counts)
+        self.hashes = np.concatenate([w.hashes for _, w in items])
+        whole = [w.joined(0, len(w.hashes)) for _, w in items]
+        self.text = b" ".join(whole)
+        # a word's place in the text: words are separated by one space, items too
+        sizes = np.concatenate([w.stops - w.starts for _, w in items])
+        self.at = np.zeros(len(sizes) + 1, np.int64)
+        empty = np.repeat(np.cumsum(counts == 0) - (counts == 0), counts)  # items without words still have their space
+        np.cumsum(sizes + 1, out=self.at[1:])
+        self.at[:-1] += empty
+        starts, lengths, keys, owners = [], [], [], []
+        for k, n in enumerate(counts.tolist()):
+            if not n:
+                continue
+            size, first = min(window, n), int(self.ends[k]) - n
+            own = self.hashes[first : first + n]
+            starts.append(np.arange(first, first + n - size + 1))
+            lengths.append(np.full(n - size + 1, size, np.int8))
+            keys.append(runs_of(own, size))
+            owners.append(np.full(n - size + 1, k, np.int32))
+        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        keys, starts, lengths, owners = cat(keys, np.uint64), cat(starts, np.int64), cat(lengths, np.int8), cat(owners, np.int32)
+        order = np.lexsort((owners, lengths, keys))
+        keys, starts, lengths, owners = keys[order], starts[order], lengths[order], owners[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (lengths[1:] != lengths[:-1])
+        #: One window stands for all that are equal; owned[k] to owned[k + 1] are the items of window k.
+        self.starts, self.lengths = starts[new], lengths[new].astype(np.int64)
+        number = np.cumsum(new) - 1
+        once = np.ones(len(keys), bool)
+        once[1:] = new[1:] | (owners[1:] != owners[:-1])
+        self.owners = owners[once]
+        self.owned = np.searchsorted(number[once], np.arange(len(self.starts) + 1))
+        self.sizes = np.unique(np.minimum(shingle, self.lengths)).tolist()
+
+    def _shingles(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows whose shingles have m words, and a row of shingles for each."""
+        rows = np.flatnonzero(np.minimum(self.shingle, self.lengths) == m)
+        if not len(rows):
+            return rows, np.zeros((0, 1), np.uint64)
+        runs = runs_of(self.hashes, m)  # over the ends of items too: those aren't taken
+        span = int(self.lengths[rows].max()) - m + 1
+        at = self.starts[rows][:, None] + np.arange(span)
+        out = runs[np.minimum(at, max(0, len(runs) - 1))]
+        return rows, np.where(np.arange(span) < (self.lengths[rows] - m + 1)[:, None], out, out[:, :1])
+
+    def counted(self) -> dict[int, np.ndarray]:
+        """For each length of shingles, the sorted shingles to count."""
+        return {m: np.unique(self._shingles(m)[1]) for m in self.sizes}
+
+    def order(self, counted: dict[int, np.ndarray], totals: dict[int, np.ndarray]) -> None:
         """Choose each window's rarest shingle (its first one if several are as rare)."""
-        self.prefix: dict[int, dict[int, list[tuple[int, int]]]] = {m: {} for m in self.lengths}
-        for k, s in enumerate(self.shingles):
-            at = min(range(len(s)), key=lambda i: (counts.get(int(s[i]), 0), i))
-            self.prefix[min(self.shingle, len(self.windows[k]))].setdefault(int(s[at]), []).append((k, at))
-        self.keys = {m: np.array(sorted(p), dtype=np.uint64) for m, p in self.prefix.items()}
-        self.counted = {}
-        self.shingles = []
-
-    def hits(self, words: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
+        self.prefix = {}
+        for m in self.sizes:
+            rows, own = self._shingles(m)
+            often = totals[m][np.searchsorted(counted[m], own)]
+            place = np.argmin(often, axis=1)
+            keys = own[np.arange(len(rows)), place]
+            order = np.argsort(keys, kind="stable")
+            self.prefix[m] = (keys[order], rows[order].astype(np.int32), place[order].astype(np.int32))
+
+    def hits(self, words: Words) -> tuple[list[tuple[int, int]], list[str]]:
         """Word spans of all occurrences of windows, and the items whose windows occur."""
         spans, items = [], set()
-        for m, keys in self.keys.items():
-            runs = runs_of(words, m)
-            for at in np.flatnonzero(present(runs, keys)):
-                for k, offset in self.prefix[m][int(runs[at])]:
-                    own, begin = self.windows[k], int(at) - offset
-                    if begin >= 0 and begin + len(own) <= len(words) and np.array_equal(words[begin : begin + len(own)], own):
-                        spans.append((begin, begin + len(own)))
-                        items.update(self.owners[k])
-        return spans, items
+        for m, (keys, rows, place) in self.prefix.items():
+            runs = runs_of(words.hashes, m)
+            low = np.searchsorted(keys, runs)
+            found = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == runs) if len(keys) else []
+            for at in found:
+                high = int(np.searchsorted(keys, runs[at], "right"))
+                for k in range(int(low[at]), high):
+                    w, begin = int(rows[k]), int(at) - int(place[k])
+                    size, first = int(self.lengths[w]), int(self.starts[w])
+                    if begin < 0 or begin + size > len(words.hashes) or not np.array_equal(words.hashes[begin : begin + size], self.hashes[first : first + size]):
+                        continue
+                    if words.joined(begin, begin + size) == self.text[self.at[first] : self.at[first + size - 1]] + self._last(first + size - 1):
+                        spans.append((begin, begin + size))
+                        items.update(self.owners[self.owned[w] : self.owned[w + 1]].tolist())
+        return spans, [self.names[k] for k in items]
 
-
-def present(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which values are among the sorted keys."""
-    if not len(keys) or not len(values):
-        return np.zeros(len(values), dtype=bool)
-    at = np.searchsorted(keys, values)
-    return keys[np.minimum(at, len(keys) - 1)] == values
+    def _last(self, word: int) -> bytes:
+        """The bytes of one word."""
+        end = self.text.find(b" ", self.at[word])
+        return self.text[self.at[word] : end if end >= 0 else len(self.text)]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,14 +154,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, np.ndarray]]]:
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, Words]]]:
     """Items with their words, in blocks of about BLOCK_WORDS words; the driver holds one block at a time."""
     block, size = [], 0
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
     for row in rows.toLocalIterator():
         words = next(_words([row.t]))
         block.append((row.i, words))
-        size += len(words)
+        size += len(words.hashes)
         if size >= BLOCK_WORDS:
             yield block
             block, size = [], 0
@@ -120,70 +169,110 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[li
         yield block
 
 
-def _counts(docs: DataFrame, text_col: str, index: Index) -> dict[int, int]:
-    """How often each shingle of the index stands in all documents; tallied in each task before anything moves."""
-    shared = docs.sparkSession.sparkContext.broadcast(index.counted)
+def _held(parts: Iterator[pa.RecordBatch], place: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches, as many as have about HELD bytes of text."""
+    held, size = [], 0
+    for part in parts:
+        for at in range(0, part.num_rows, 512):
+            own = part.slice(at, 512)
+            text = own.column(place)
+            held.append(own)
+            size += int(pc.sum(pc.binary_length(text)).as_py() or 0) + 64 * own.num_rows
+            if size >= HELD:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+class Shared:
+    """Broadcasts of which a process loads one at a time."""
+
+    def __init__(self, sc):
+        self.sc, self.all = sc, []
+
+    def add(self, value) -> None:
+        self.all.append(self.sc.broadcast(value))
+
+    def each(self) -> Iterator:
+        for b in self.all:
+            value = b.value
+            yield value
+            if len(self.all) > 1:
+                b.__dict__.pop("_value", None)  # loaded again from the executor's copy when it is needed
+
+    def __getstate__(self) -> dict:
+        return {"sc": None, "all": self.all}
+
+
+def _counts(docs: DataFrame, text_col: str, counted: Shared) -> DataFrame:
+    """block, m, place, n: how often the shingle at a place of a block's list stands in all documents; tallied for each
+    portion of texts before anything moves."""
 
     def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
-        totals = {m: np.zeros(len(k), np.int64) for m, k in keys.items()}
-        for part in parts:
-            for at in range(0, part.num_rows, 512):
-                for words in _words(part.column(0).slice(at, 512).to_pylist()):
-                    for m, k in keys.items():
-                        runs = runs_of(words, m)
-                        runs = runs[present(runs, k)]
-                        np.add.at(totals[m], np.searchsorted(k, runs), 1)
-        for m, k in keys.items():
-            some = totals[m] > 0
-            yield pa.record_batch([pa.array(k[some].view(np.int64)), pa.array(totals[m][some])], ["s", "n"])
-
-    rows = docs.select(text_col).mapInArrow(tally, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()  # shingles of one block at most
-    return {r.s & 0xFFFFFFFFFFFFFFFF: r.n for r in rows}
+        for held in _held(parts, 0):
+            texts = [w for part in held for w in _words(part.column(0).to_pylist())]
+            for block, lists in enumerate(counted.each()):
+                for m, keys in lists.items():
+                    totals = np.zeros(len(keys), np.int64)
+                    for words in texts:
+                        runs = runs_of(words.hashes, m)
+                        at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+                        np.add.at(totals, at[keys[at] == runs], 1)
+                    some = np.flatnonzero(totals)
+                    yield pa.record_batch([pa.array(np.full(len(some), block)), pa.array(np.full(len(some), m)), pa.array(some), pa.array(totals[some])], ["block", "m", "place", "n"])
+
+    return docs.select(text_col).mapInArrow(tally, "block long, m long, place long, n long").groupBy("block", "m", "place").agg(F.sum("n").alias("n"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, share: int = 20) -> DataFrame:
     """Every row of docs with n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and
     share * n_hit >= n_words)."""
     rest = without(docs, *OUTPUT)
-    spans, found = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
-    state = rest.withColumns({"n_words": F.lit(0).cast("long"), _SPANS: F.lit(None).cast(spans), _FOUND: F.lit(None).cast(found)})
-    schema = T.StructType([*state.schema.fields[:-3], *[T.StructField(n, t) for n, t in (("n_words", T.LongType()), (_SPANS, spans), (_FOUND, found))]])
-    place = state.columns.index(text_col)
     sc = docs.sparkSession.sparkContext
-    first = True
+    bare, counted, indexes = [], Shared(sc), Shared(sc)
     for block in blocks_of(benchmark, item_col, item_text):
         index = Index(block, window, shingle)
-        index.order(_counts(docs, text_col, index) if index.windows else {})
-        shared = sc.broadcast(index)
-
-        def probe(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for part in parts:
-                for at in range(0, part.num_rows, 512):
-                    own = part.slice(at, 512)
-                    texts = own.column(place).to_pylist()
-                    before = list(zip(own.column(own.num_columns - 2).to_pylist(), own.column(own.num_columns - 1).to_pylist(), strict=True))
-                    sizes, all_spans, all_items = [], [], []
-                    for words, (spans_, items_) in zip(_words(texts), before, strict=True):
-                        hit, items = index.hits(words)
-                        old = list(zip((spans_ or [])[::2], (spans_ or [])[1::2], strict=True))
-                        sizes.append(len(words))
-                        all_spans.append([x for pair in merged(old + hit) for x in pair] or None)
-                        all_items.append(sorted([*(items_ or []), *(index.names[i] for i in items)]) or None)
-                    columns = own.columns[:-3]
-                    columns += [pa.array(sizes, pa.int64()), pa.array(all_spans, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=own.schema.names)
-
-        state = (state if first else materialise(state)).mapInArrow(probe, schema)
-        first = False
-    if first:
-        state = state.withColumn("n_words", F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long"))
+        if len(index.starts):
+            bare.append(sc.broadcast(index))
+            counted.add(index.counted())
+    if bare:
+        totals = materialise(_counts(docs, text_col, counted))
+        for k, lists in enumerate(counted.each()):
+            found = totals.filter(F.col("block") == k).toArrow()  # a row a shingle of one block
+            m_, at, n = (found[c].to_numpy() for c in ("m", "place", "n"))
+            index, sums = bare[k].value, {m: np.zeros(len(keys), np.int64) for m, keys in lists.items()}
+            for m in sums:
+                sums[m][at[m_ == m]] = n[m_ == m]
+            index.order(lists, sums)
+            indexes.add(index)
+            bare[k].destroy()
+
+    schema = T.StructType([*rest.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("__dc_spans", _PLACES), T.StructField("__dc_items", T.ArrayType(T.StringType()))])
+    place = rest.columns.index(text_col)
+
+    def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(parts, place):
+            texts = [list(_words(part.column(place).to_pylist())) for part in held]
+            spans, items = [[[] for _ in own] for own in texts], [[[] for _ in own] for own in texts]
+            for index in indexes.each():
+                for own, s, i in zip(texts, spans, items, strict=True):
+                    for k, words in enumerate(own):
+                        hit, names = index.hits(words)
+                        if hit:
+                            s[k] = merged(s[k] + hit)
+                            i[k] += names
+            for part, own, s, i in zip(held, texts, spans, items, strict=True):
+                flat = [[x for pair in pairs for x in pair] or None for pairs in s]
+                columns = [*part.columns, pa.array([len(w.hashes) for w in own], pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(names) or None for names in i], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    state = rest.mapInArrow(probe, schema)
     # begins and ends alternate: ends count for, begins against
-    hit = F.aggregate(F.transform(_SPANS, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda n, x: n + x)
+    hit = F.aggregate(F.transform("__dc_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda n, x: n + x)
     out = state.withColumns({
         "n_hit": F.coalesce(hit, F.lit(0).cast("long")),
-        "n_items": F.coalesce(F.size(_FOUND), F.lit(0)).cast("long"),
-        "items_sha256": F.sha2(F.coalesce(F.array_join(_FOUND, ","), F.lit("")), 256),
-    }).drop(_SPANS, _FOUND)
+        "n_items": F.coalesce(F.size("__dc_items"), F.lit(0)).cast("long"),
+        "items_sha256": F.sha2(F.coalesce(F.array_join("__dc_items", ","), F.lit("")), 256),
+    }).drop("__dc_spans", "__dc_items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))

@@ -3,13 +3,17 @@
 Sampled splitters range-partition the normalised text, an external sort puts equal texts next to each other, and a
 window over the sorted run compares neighbours in full and keeps the smallest identifier. DataFrame operations only.
 
-A text that holds a large share of the rows would land in one range. A first pass pre-aggregates a digest of every
-text map-side; at most ``1 / HOT_SHARE`` digests can exceed that share, so their list is of proven size. The rows of
-such a text get a salt as second sort key, so splitters fall inside the group, and the pre-aggregated minimum and size
-of that digest (SHA-256) join the salted runs.
+Splitters go through the driver, so they are sampled from a short order-preserving key: the first HEAD characters, then a
+hash. Texts that begin alike are ordered by that hash before they are compared in full, and equal texts stay adjacent.
+
+A text of many rows, or of many bytes in all rows, would land in one range. A first pass counts hashes map-side and finds
+those of more than HOT_ROWS rows or HOT_BYTES bytes, limits that do not depend on the size of the table. Their rows are
+sorted apart from the others with a salt as last sort key, so splitters fall inside a group; what each salted run found
+(the text, its smallest identifier and number of rows) is compared in full again and merged.
 
 Defined results: a null text is the empty text; a null identifier sorts last; among rows with one identifier and equal
-texts, one stays; an empty table gives an empty result; an input column named like an output is replaced.
+texts, one stays; texts of any length are compared whole; an empty table gives an empty result; an input column named
+like an output is replaced.
 """
 
 from __future__ import annotations
@@ -17,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import without
+from .components import bounded
+from .shared import materialise, without
 
-#: Above this share of all rows (and above HOT_ROWS rows) a text is salted.
-HOT_SHARE, HOT_ROWS = 1 / 1000, 256
-#: Characters of a text in the range key.
-HEAD = 32
+#: A hash with more rows than this, or with as many bytes in more than one row, is salted.
+HOT_ROWS, HOT_BYTES = 4096, 64 << 20
+#: Characters of a text in the range key, and salts of a hot text.
+HEAD, SALTS = 32, 1024
 OUTPUT = ("keep_id", "group_size", "kept", "text_sha256")
+_ID, _NORM, _SALT, _RUN, _HEAD, _HASH = "__xd_id", "__xd_norm", "__xd_salt", "__xd_run", "__xd_head", "__xd_hash"
 
 
 def normalised(text):
@@ -31,34 +37,36 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with keep_id, group_size, kept and text_sha256."""
-    spark = docs.sparkSession
-    ident, norm, salt, run, head, mixed = "__xd_id", "__xd_norm", "__xd_salt", "__xd_run", "__xd_head", "__xd_hash"
-    base = without(docs, *OUTPUT).withColumn(norm, normalised(F.col(text_col))).withColumn(ident, F.col(id_col))
-    groups = base.select(F.sha2(norm, 256).alias("h"), ident).groupBy("h").agg(F.count("*").alias("n"), F.min(ident).alias("k"))
-    limit = max(HOT_ROWS, int(docs.count() * HOT_SHARE))
-    hot = groups.filter(F.col("n") > limit).collect()  # fewer than 1 / HOT_SHARE rows
-    salts = min(65536, max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    if hot:  # a constant salt would be dropped from the window's keys, and rows dealt out once more
-        base = base.withColumn(salt, F.when(F.sha2(norm, 256).isin([r.h for r in hot]), F.pmod(F.xxhash64(ident), F.lit(salts)) + 1).otherwise(F.lit(0).cast("long")))
-    # Splitters are sampled from a short order-preserving key, for they go through the driver: texts that begin alike are
-    # ordered by a hash before they are compared in full, and equal texts stay adjacent.
-    base = base.withColumns({head: F.substring(norm, 1, HEAD), mixed: F.xxhash64(norm)})
-    keys = [head, mixed, salt] if hot else [head, mixed]
-    same = Window.partitionBy(*keys, norm)
-    out = (
-        base.repartitionByRange(*[F.col(k) for k in keys])
-        .withColumn(run, F.row_number().over(same.orderBy(F.col(ident).asc_nulls_last())))
-        .withColumn("keep_id", F.min(ident).over(same))
+def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows in ranges of keys, with the place in its run of equal texts, and the run's smallest identifier and size."""
+    same = Window.partitionBy(*keys, _NORM)
+    return (
+        rows.repartitionByRange(*[F.col(k) for k in keys])
+        .withColumn(_RUN, F.row_number().over(same.orderBy(F.col(_ID).asc_nulls_last())))
+        .withColumn("keep_id", F.min(_ID).over(same))
         .withColumn("group_size", F.count("*").over(same))
-        .withColumn("text_sha256", F.sha2(norm, 256))
     )
-    first = F.col(run) == 1
-    if hot:
-        known = spark.createDataFrame([(r.h, r.k, r.n) for r in hot], groups.select("h", "k", "n").schema).toDF("__xd_h", "__xd_k", "__xd_n")
-        out = out.join(F.broadcast(known), F.col("text_sha256") == F.col("__xd_h"), "left")
-        first = first & (F.col("__xd_h").isNull() | F.col(ident).eqNullSafe(F.col("__xd_k")))
-        out = out.withColumn("keep_id", F.coalesce("__xd_k", "keep_id")).withColumn("group_size", F.coalesce("__xd_n", "group_size"))
-    out = out.withColumn("kept", first)
-    return out.drop(norm, run, ident, head, mixed, *([salt, "__xd_h", "__xd_k", "__xd_n"] if hot else []))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of docs with keep_id, group_size, kept and text_sha256."""
+    text = normalised(F.col(text_col))
+    base = without(docs, *OUTPUT).withColumns({_NORM: text, _ID: F.col(id_col)}).withColumns({_HEAD: F.substring(_NORM, 1, HEAD), _HASH: F.xxhash64(_NORM)})
+    sizes = docs.select(F.xxhash64(text).alias("h"), F.octet_length(text).alias("b")).groupBy("h").agg(F.count("*").alias("n"), F.max("b").cast("long").alias("b"))
+    hot = materialise(sizes.filter((F.col("n") > HOT_ROWS) | ((F.col("n") > 1) & (F.col("n") * F.col("b") > HOT_BYTES))).select(F.col("h").alias("__xd_hot")))
+    if hot.isEmpty():
+        out = _sorted(base, _HEAD, _HASH)
+    else:
+        marked = base.join(bounded(hot), F.col(_HASH) == F.col("__xd_hot"), "left")
+        cold = _sorted(marked.filter("__xd_hot is null").drop("__xd_hot"), _HEAD, _HASH)
+        salted = marked.filter("__xd_hot is not null").drop("__xd_hot").withColumn(_SALT, F.pmod(F.xxhash64(_ID), F.lit(SALTS)))
+        runs = _sorted(salted.select(_ID, _NORM, _HEAD, _HASH, _SALT), _HEAD, _HASH, _SALT).filter(F.col(_RUN) == 1)
+        # at most SALTS rows a hot text; what is handed back is a digest and two numbers for each
+        whole = runs.groupBy(_HASH, _NORM).agg(F.min("keep_id").alias("__xd_k"), F.sum("group_size").alias("__xd_s"))
+        whole = materialise(whole.select(F.sha2(_NORM, 256).alias("__xd_h"), "__xd_k", "__xd_s"))
+        warm = _sorted(salted, _HEAD, _HASH, _SALT).join(bounded(whole), F.sha2(_NORM, 256) == F.col("__xd_h"))
+        warm = warm.withColumns({"keep_id": F.col("__xd_k"), "group_size": F.col("__xd_s")}).drop(_SALT, "__xd_h", "__xd_k", "__xd_s")
+        out = cold.unionByName(warm)
+    # a salt is a hash of the identifier, so rows of one identifier are in one run
+    out = out.withColumns({"kept": (F.col(_RUN) == 1) & F.col(_ID).eqNullSafe(F.col("keep_id")), "text_sha256": F.sha2(_NORM, 256)})
+    return out.drop(_NORM, _RUN, _ID, _HEAD, _HASH)

@@ -12,7 +12,8 @@ from .shared import LOWER, UPPER, table
 TOKENIZER = "piece_bpe_32k.model"
 #: (host, path, verdict) of the fixed rules, and what the method lists itself.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-LISTED = (("spam-farm.example.org", "", "block"), ("spam-farm.example.com", "", "block"), ("cheap-pills.example.org", "", "block"), ("cheap-pills.example.com", "", "block"))
+#: Sites that the method lists under each domain, and whose pages it lists one by one.
+SITES, DOMAINS = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x"), ("example.com", "example.org", "example.net")
 
 #: No source is repeated more often.
 REPETITION = 2.0
@@ -177,11 +178,14 @@ def op8_quality(spark, sf_dir):
 
 @query
 def op9_url_filter(spark, sf_dir):
-    from .url_filter import url_filter
+    from .url_filter import canonical_host, canonical_path, host_of, path_of, url_filter
 
-    entries = spark.createDataFrame([(*r, True) for r in RULES] + [(*r, False) for r in LISTED], "host string, path string, verdict string, named boolean")
+    entries = spark.createDataFrame([(*r, True, False) for r in RULES] + [(f"{s}.{d}", "", "block", False, False) for s in SITES for d in DOMAINS], "host string, path string, verdict string, named boolean, exact boolean")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter(pages, entries).select("page_id", "host", "path", "rule", "verdict")
+    # the pages of listed sites, as a crawl's own list of URLs; it grows with the crawl
+    seen = pages.select(canonical_host(host_of(F.col("url"))).alias("host"), canonical_path(path_of(F.col("url"))).alias("path")).filter(F.col("host").rlike(rf"(^|[.])({'|'.join(SITES)})[.]"))
+    seen = seen.distinct().select("host", "path", F.lit("block").alias("verdict"), F.lit(False).alias("named"), F.lit(True).alias("exact"))
+    return url_filter(pages, entries.unionByName(seen)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _values(rows) -> str:
@@ -189,17 +193,19 @@ def _values(rows) -> str:
 
 
 _FITS = "(u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path)"
+_CANONICAL = "regexp_replace(regexp_replace(host, '^[^@]*@', ''), '[.]*(:(80|443)?)?$', '')"
 SQL["op9_url_filter"] = rf"""
 with rules(host, path, verdict) as (values {_values(RULES)}),
-listed(host, path, verdict) as (values {_values(LISTED)}),
+sites(site) as (values {', '.join(f"('{s}.{d}')" for s in SITES for d in DOMAINS)}),
 u as (
   select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') as host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
-  from pages)
+  from pages),
+c as (select distinct host, {_CANONICAL} as own from u),
+b as (select host from c where exists (select 1 from sites where own = site or ends_with(own, '.' || site)) or regexp_matches(own, '(^|[.])({'|'.join(SITES)})[.]'))
 select page_id, host, path,
   (select max_by(r.host || r.path, length(r.host || r.path)) from rules r where {_FITS}) as rule,
-  coalesce((select max_by(r.verdict, length(r.host || r.path)) from rules r where {_FITS}),
-    (select max_by(r.verdict, length(r.host || r.path)) from listed r where {_FITS}), 'allow') as verdict
+  coalesce((select max_by(r.verdict, length(r.host || r.path)) from rules r where {_FITS}), case when host in (select host from b) then 'block' else 'allow' end) as verdict
 from u"""
 
 

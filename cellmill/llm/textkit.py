@@ -66,10 +66,8 @@ def texts_in_chunks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndar
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the A-Z-folded words of all texts, and where each text's words begin (n + 1 offsets)."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+def word_places(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all texts begin and end in data."""
     word = inside[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
@@ -78,12 +76,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tu
     cuts = offsets[(offsets > 0) & (offsets < len(data))]
     begins[cuts] = word[cuts]
     ends[cuts - 1] = word[cuts - 1]
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def placed_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes() with the words' begins and ends in data."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts, stops = word_places(data, offsets, inside)
     up, down = _power(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_VALUE[FOLD[data]] * up[: len(data)], out=sums[1:])
     hashes = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), starts, stops
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the A-Z-folded words of all texts, and where each text's words begin (n + 1 offsets)."""
+    return placed_hashes(data, offsets, inside)[:2]
 
 
 def runs_of(words: np.ndarray, length: int) -> np.ndarray:

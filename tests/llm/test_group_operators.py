@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from cellmill.llm.chat_format import canonical, depths, link_tools
+from cellmill.llm.chat_format import argument_errors, canonical, depths, link_tools
 from cellmill.llm.components import components
 from cellmill.llm.line_dedup import line_dedup
 from cellmill.llm.mixing import mix_sources
@@ -219,3 +219,42 @@ def test_drop_near_decides_by_row(spark):
     assert sorted((r for r in got if r[0] is not None), key=str) == sorted([(3, one), (7, other), (9, long), (11, None), (11, ""), (12, None)], key=str)
     assert nameless in ([third], [third + " x"])
     assert drop_near(docs.limit(0)).count() == 0
+
+
+def test_argument_schemas(spark):
+    schema = {
+        "type": "object", "description": "checked at any depth", "required": ["n"], "additionalProperties": False, "maxProperties": 9,
+        "properties": {
+            "n": {"type": "integer", "minimum": 1, "exclusiveMaximum": 1e30}, "kind": {"enum": ["a", 1, None, {"x": 1}]}, "one": {"const": True}, "part": {"type": ["number", "null"], "multipleOf": 0.5}, "it's": {"type": "string", "pattern": "^[a-z]+$"},
+            "list": {"type": "array", "minItems": 1, "maxItems": 3, "uniqueItems": True, "items": {"type": "object", "properties": {"deep": {"type": "array", "items": {"type": "string", "maxLength": 2}}}, "required": ["deep"]}},
+        },
+    }
+    cases = {
+        '{"n": 12345678901234567890}': [], '{"n": 1.0}': [], '{"n": 1.5}': ["n: not integer"], '{"n": 0, "one": false}': ["n: too small", "one: not the value"], '{"n": 1, "kind": {"x": 1}, "one": true}': [],
+        '{"n": 1, "kind": 1.0}': [], '{"n": 1, "kind": "b"}': ["kind: not one of the values"], '{"n": 1, "part": null}': [], '{"n": 1, "part": 0.75}': ["part: no multiple"], '{"n": 1, "part": "x"}': ["part: not number or null"],
+        '{"n": 1, "it\'s": "A", "zz": 1}': ["it's: not of the pattern", "zz: unknown"], '{"n": 1, "list": []}': ["list: too few"], '{"n": 1, "list": [{"deep": ["ab"]}, {"deep": ["ab"]}]}': ["list: repeated"],
+        '{"n": 1, "list": [{"deep": ["abc", 1]}, {}]}': ["list[].deep: missing", "list[].deep[]: not string", "list[].deep[]: too long"], '{"n": 1, "n": 2}': ["not an object"], "": ["not an object"], '"x"': ["not an object"], "{}": ["n: missing"],
+        '{"n": null}': ["n: not integer"], '{"n": 1, "list": 7}': ["list: not array"],
+    }
+    F = __import__("pyspark").sql.functions
+    df = spark.createDataFrame([(k,) for k in cases], "j string")
+    got = {r.j: r.e for r in df.select("j", argument_errors(F.lit("f"), F.col("j"), {"f": schema}).alias("e")).collect()}
+    assert got == cases
+    empty = {r.j: r.e for r in df.select("j", argument_errors(F.lit("f"), F.col("j"), {"f": {}}).alias("e")).collect()}
+    assert empty['{"n": 1.5}'] == [] and empty['"x"'] == ["not an object"]
+    with pytest.raises(ValueError, match="oneOf"):
+        argument_errors(F.lit("f"), F.col("j"), {"f": {"properties": {"a": {"oneOf": []}}}})
+
+
+def test_chat_format_long_texts(spark):
+    text = "é\n" * 400_000
+    rows = [(0, "assistant", text, "c", "add", json.dumps({"note": text}), None, None), (1, "tool", text, None, None, None, "c", None)]
+    out = link_tools(spark.createDataFrame(rows, "turn int, role string, text string, call_id string, name string, arguments string, result_of string, after string"), {"add": {}}).collect()
+    assert {json.loads(r.json)["content"] == text for r in out} == {True} and {r.turn: r.depth for r in out} == {0: 0, 1: 1}
+
+
+def test_mixing_long_texts_and_components_without_edges(spark):
+    docs = spark.createDataFrame([(1, "x" * 3_000_000, "a"), (2, "y", "b")], "doc_id long, text string, source string")
+    out = mix_sources(docs, repetition=2.0).collect()
+    assert {r.doc_id: r.tokens for r in out} == {1: 750_000, 2: 1}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

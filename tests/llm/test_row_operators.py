@@ -163,3 +163,19 @@ def test_url_filter(spark):
     }
     assert url_filter(pages, entries.limit(0)).filter("verdict = 'allow' and rule is null").count() == len(urls)
     assert url_filter(pages.limit(0), entries).count() == 0
+
+
+def test_url_filter_canonical_and_long_lists(spark, monkeypatch):
+    rules = [("net", "/", "block", True, False)]
+    listed = [(f"h{k}.test", f"/p//{k}", "block", False, True) for k in range(3000)] + [("Bad.org.", "", "block", False, False), ("user@odd.org:443", "/x", "block", False, True), ("bare.org", "", "allow", False, True)]
+    entries = spark.createDataFrame(rules + listed, "host string, path string, verdict string, named boolean, exact boolean")
+    urls = {
+        "http://h7.test/p/7?q#f": "block", "http://H7.TEST:80//p/7": "block", "https://h7.test./p/7": "block", "http://h7.test/p/70": "allow", "http://h7.test:8080/p/7": "allow", "http://a.h7.test/p/7": "allow",
+        "http://x.bad.org:443/any": "block", "http://me:pw@bad.org": "block", "http://odd.org/x": "block", "http://odd.org/x/": "allow", "http://a.net:80/x": "allow", "http://a.net/x": "block", "http://bare.org": "allow",
+    }
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    for most, rows in ((1 << 18, 500_000), (2, 0)):  # also with a filter that is too small, and a list that isn't broadcast
+        monkeypatch.setattr("cellmill.llm.url_filter.MAX_BLOCKS", most)
+        monkeypatch.setattr("cellmill.llm.components.BROADCAST_IDS", rows)
+        got = {r.url: r.verdict for r in url_filter(pages, entries).collect()}
+        assert got == urls
