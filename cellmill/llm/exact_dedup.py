@@ -25,7 +25,7 @@ from .components import bounded
 from .shared import materialise, without
 
 #: A hash with more rows than this, or with as many bytes in more than one row, is salted.
-HOT_ROWS, HOT_BYTES = 4096, 64 << 20
+HOT_ROWS, HOT_BYTES = 1024, 64 << 20
 #: Characters of a text in the range key, and salts of a hot text.
 HEAD, SALTS = 32, 1024
 OUTPUT = ("keep_id", "group_size", "kept", "text_sha256")

@@ -10,6 +10,8 @@ Defined results: a null or empty text has no words, no labels and score 0; repea
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,22 +22,44 @@ from .shared import without
 from .textkit import alnum_words
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notice -> label.
+#: Short notices and grants of licences, as they are usually worded (words only) -> label. No two are within
+#: each other's bound of edits.
 NOTICES = {
     "released under the mit license": "mit-notice",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit-grant",
     "licensed under the apache license version 2 0": "apache-2.0-notice",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-2.0-grant",
     "licensed under the gnu general public license version 3": "gpl-3.0-notice",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0-notice",
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit-grant",
+    "gnu general public license as published": "gpl-grant",
+    "gnu lesser general public license as published": "lgpl-grant",
+    "gnu affero general public license as published": "agpl-grant",
+    "either version 2 of the license or at your option any later version": "gpl-2.0-or-later",
     "redistribution and use in source and binary forms with or without modification": "bsd-grant",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd-3-clause",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee": "isc-grant",
     "subject to the terms of the mozilla public license v 2 0": "mpl-2.0-notice",
+    "made available under the terms of the eclipse public license": "epl-notice",
+    "distributed under the boost software license version 1 0": "boost-1.0-notice",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "this work is dedicated to the public domain": "public-domain",
-    "spdx license identifier": "spdx",
-    "all rights reserved": "all-rights-reserved",
+    "creative commons cc0 1 0 universal public domain dedication": "cc0-1.0",
+    "licensed under cc by nc 4 0": "cc-by-nc-4.0-notice",
+    "creative commons attribution 4 0 international": "cc-by-4.0",
+    "creative commons attribution sharealike 4 0 international": "cc-by-sa-4.0",
+    "creative commons attribution noncommercial 4 0 international": "cc-by-nc-4.0",
+    "creative commons attribution noderivatives 4 0 international": "cc-by-nd-4.0",
+    "licensed under the european union public licence": "eupl-notice",
+    "this font software is licensed under the sil open font license version 1 1": "ofl-1.1-notice",
+    "licensed under the academic free license version 3 0": "afl-3.0-notice",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "spdx license identifier apache 2 0": "apache-2.0-spdx",
+    "spdx license identifier bsd 3 clause": "bsd-3-clause-spdx",
+    "spdx license identifier gpl 3 0 or later": "gpl-3.0-spdx",
 }
 #: One edit for so many characters of a notice.
 CHARS_AN_EDIT = 9
 SPAN = "label string, start_word long, end_word long, edits int"
+_SPACE = re.compile(" ")
 OUTPUT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 SCHEMA = f"struct<n_words:long,n_base:long,first_word:long,last_word:long,base_labels:string,labels:string,score:double,spans:array<struct<{SPAN.replace(' long', ':long').replace(' string', ':string').replace(' int', ':int')}>>>"
 
@@ -87,12 +111,19 @@ class Scanner:
     def scan(self, text: str | None) -> tuple:
         words = alnum_words(text)
         joined = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} " if words else ""
-        base, places = set(), []
+        base, places, spaces = set(), [], []
+
+        def word_at(place: int) -> int:
+            """Words that begin before a space of the text."""
+            if not spaces:
+                spaces.extend(m.start() for m in _SPACE.finditer(joined))
+            return bisect_left(spaces, place)
+
         for phrase, label in self.phrases.items():
             at = joined.find(phrase)
             while at >= 0:
                 base.add(label)
-                places.append(joined.count(" ", 0, at))
+                places.append(word_at(at))
                 at = joined.find(phrase, at + 1)
         labels, spans, score = set(base), [], 1.0 if base else 0.0
         for which, parts in self.windows(joined).items():
@@ -102,7 +133,7 @@ class Scanner:
                     edits = sum(m.fuzzy_counts)
                     labels.add(label)
                     score = max(score, 1 - edits / len(n))
-                    spans.append((label, joined.count(" ", 0, m.start()) - 1, joined.count(" ", 0, m.end()), edits))
+                    spans.append((label, word_at(m.start()) - 1, word_at(m.end()), edits))
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, sorted(spans)
 
 

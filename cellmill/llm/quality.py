@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Terms of a text are hashed byte trigrams, hashed words, and lengths of runs of one repeated word. Their log-scaled,
-rarity-weighted, centred counts are projected to DIMS dimensions by a truncated SVD of the labelled rows. The labelled
+Terms of a text are hashed byte trigrams, hashed words, and repeats: a word that stands again right after itself gives the
+term of how often it did so far, by doublings. Their log-scaled, rarity-weighted, centred counts are projected to DIMS dimensions by a truncated SVD of the labelled rows. The labelled
 vectors are broadcast (at most FIT_ROWS of DIMS numbers); every document's cosine with all of them is computed exactly,
 block by block, and its K nearest vote, weighted by similarity.
 
@@ -10,7 +10,8 @@ and every row is scored on its whole text. Labels, language, source and identifi
 trained here, on the driver, from numpy alone; a fixed seed makes them repeatable.
 
 Defined results: a null or empty text, or one whose vector is zero, gets the labelled rows' mean; without labelled rows
-each score is 1 (nothing is known against a text); repeated rows each keep their row; an empty table gives no rows.
+each score is 1 (nothing is known against a text); of neighbours that are as near, any may be left out of the K; repeated
+rows each keep their row; texts of any length are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .shared import without
 from .textkit import SPACED, mix, texts_in_chunks, word_hashes
 
 FIT_ROWS, DIMS, K, FOLDS, THRESHOLD = 4000, 48, 8, 5, 0.3
-HASHED, RUNS = 1024, 64
+HASHED, RUNS = 1024, 24
 TERMS = 2 * HASHED + RUNS
 OUTPUT = ("held_out", "score", "predicted")
 _U = np.uint64
@@ -48,9 +49,8 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
             same = own[1:] == own[:-1]
             if same.any():
                 place = np.arange(len(same))
-                length = np.minimum(place - np.maximum.accumulate(np.where(same, -1, place)), RUNS)
-                # six times: a repeat tells as much as the letters of a word do
-                row[2 * HASHED :] = 6 * np.bincount(length[same] - 1, minlength=RUNS)
+                length = place - np.maximum.accumulate(np.where(same, -1, place))
+                row[2 * HASHED :] = np.bincount(np.log2(length[same]).astype(np.int64), minlength=RUNS)[:RUNS]
     total = out.sum(axis=1, keepdims=True)
     return np.log1p(out * (300 / np.maximum(total, 1)))
 

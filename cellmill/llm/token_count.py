@@ -2,11 +2,11 @@
 
 Texts are split into pre-tokens (a run of spaces with the letters after it, a line end, or letters after a line end)
 that no vocabulary entry crosses, so counts add up. Tier one is a broadcast table of the token counts of frequent
-pre-tokens, bounded by ``FREQUENT`` entries; it comes from a bounded sample of rows and only saves time. Tier two is a
-bounded cache in each Python worker; misses of a batch are encoded together by the library. No pre-token is shuffled.
+pre-tokens, bounded by ``FREQUENT`` entries; they are tallied over all documents, in a summary of bounded size in each
+task. Tier two is a bounded cache in each Python worker; misses of a batch are encoded together by the library. No
+pre-token is shuffled but those of the summaries.
 
-A vocabulary that breaks the splitting rule (an entry with an inner word mark or a line end, user-defined symbols, a
-normaliser other than identity) is noticed when the model is loaded, and whole texts are then encoded.
+Whether texts may be split is read from the model itself (see splits()); if not, whole texts are encoded.
 
 Defined results: null is the empty text and has 0 tokens; repeated rows each keep their row; nothing is truncated.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import without
 
-FREQUENT, SAMPLE_ROWS, CACHE, LONGEST = 50_000, 1_500, 400_000, 128
+FREQUENT, SUMMARY, CACHE, LONGEST = 50_000, 200_000, 400_000, 128
 MARK = "▁"
 _SPLIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 OUTPUT = ("n_bytes", "n_tokens", "over_limit")
@@ -34,6 +34,62 @@ def pre_tokens(text: str) -> list[str]:
     return _SPLIT.findall(f" {text}")
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7)
+            size = varint() if size is None else size
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+#: Fixed values of the model's format: field numbers, and the types of pieces.
+_PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
+_PIECE, _TYPE, _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 3, 1, 2, 3, 4, 6
+_CHARSMAP, _PREFIX, _TRIMS, _MARKS, _RULES, _SUFFIX = 2, 3, 4, 5, 6, 24
+
+
+def splits(proto: bytes) -> bool:
+    """Whether token counts of pre-tokens add up to those of texts under this model: texts are taken as they are (no
+    character map or rules, white space isn't trimmed, spaces become marks, and one is put first), no symbol of a user
+    cuts them otherwise, and no piece crosses a boundary: none has a mark after its first letters, or a line end."""
+    pieces, normalizer, trainer = [], {}, {}
+    for number, value in _fields(proto):
+        if number == _PIECES:
+            pieces.append(dict(_fields(value)))
+        elif number == _NORMALIZER:
+            normalizer = dict(_fields(value))
+        elif number == _TRAINER:
+            trainer = dict(_fields(value))
+    if normalizer.get(_CHARSMAP) or normalizer.get(_RULES) or normalizer.get(_TRIMS, 1) or not normalizer.get(_PREFIX, 1) or not normalizer.get(_MARKS, 1) or trainer.get(_SUFFIX, 0):
+        return False
+    for p in pieces:
+        kind = p.get(_TYPE, _NORMAL)
+        if kind == _USER:
+            return False
+        text = p[_PIECE].decode()
+        if kind not in (_UNKNOWN, _CONTROL, _BYTE) and ("\n" in text or MARK in text.lstrip(MARK)):
+            return False
+    return True
+
+
 class Counts(dict):
     """Pre-token -> number of tokens, for one model in one worker."""
 
@@ -42,24 +98,9 @@ class Counts(dict):
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.frequent = frequent
-        self.split = self._splits()
+        self.split = splits(self.model.serialized_model_proto())
         super().__init__(frequent)
 
-    def _splits(self) -> bool:
-        m = self.model
-        for i in range(m.get_piece_size()):
-            piece = m.id_to_piece(i)
-            if m.is_control(i) or m.is_unknown(i) or m.is_byte(i):
-                continue
-            if "\n" in piece or MARK in piece.lstrip(MARK):
-                return False
-        probes = ("　a", "ﬁ", "a\tb", "é", "  a  b ", " x", "\r\nA", "​q", f"a{MARK}b", "Ａ\x00b")
-        return all(self._plain(p) == len(m.encode(p)) for p in probes)
-
-    def _plain(self, text: str) -> int:
-        found = pre_tokens(text.replace(MARK, " "))
-        return sum(self.fresh(found))
-
     def fresh(self, found: list[str]) -> list[int]:
         """Token counts of pre-tokens, by the library."""
         # A pre-token with its spaces is a text without its first space; another follows a line end, whose
@@ -113,11 +154,8 @@ def counts_for(path: str, frequent) -> Counts:
 
 
 def frequent_counts(docs: DataFrame, text_col: str, path: str) -> dict[str, int]:
-    """Token counts of the FREQUENT most frequent pre-tokens of about SAMPLE_ROWS sampled rows."""
-    total = docs.count()
-    if not total:
-        return {}
-    sample = docs.select(F.col(text_col).alias("text")).sample(min(1.0, SAMPLE_ROWS / total), 7)
+    """Token counts of the FREQUENT most frequent pre-tokens of all documents. A task keeps SUMMARY pre-tokens at most: the
+    rarer half goes when there are more, so a frequent one is undercounted at worst, and no text's count depends on it."""
 
     def tally(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -125,13 +163,17 @@ def frequent_counts(docs: DataFrame, text_col: str, path: str) -> dict[str, int]
             for text in part.text:
                 if text:
                     seen.update(p for p in pre_tokens(text.replace(MARK, " ")) if len(p) <= 64)
+                    if len(seen) > SUMMARY:
+                        seen = Counter(dict(seen.most_common(SUMMARY // 2)))
         top = seen.most_common(FREQUENT)
         yield pd.DataFrame({"token": [t for t, _ in top], "n": [n for _, n in top]})
 
-    rows = sample.mapInPandas(tally, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()
-    tokens = [r.token for r in rows]
     model = Counts(path, {})
-    return dict(zip(tokens, model.fresh(tokens), strict=True)) if model.split and tokens else {}
+    if not model.split:
+        return {}
+    found = docs.select(F.col(text_col).alias("text")).mapInPandas(tally, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tokens = [r.token for r in found.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").collect()]
+    return dict(zip(tokens, model.fresh(tokens), strict=True)) if tokens else {}
 
 
 def token_counts(docs: DataFrame, model_path: str, text_col: str = "text", limit: int = 4096) -> DataFrame:

@@ -4,14 +4,15 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cellmill.llm.decontaminate import decontaminate
 from cellmill.llm.exact_dedup import exact_dedup
 from cellmill.llm.license_scan import NOTICES, PHRASES, Scanner, edits_of, license_scan
-from cellmill.llm.quality import Model, score_quality
+from cellmill.llm.quality import K, Model, fit, score_quality, term_counts
 from cellmill.llm.textkit import ALNUM, alnum_words, texts_in_chunks, word_hashes
-from cellmill.llm.token_count import Counts, token_counts
+from cellmill.llm.token_count import Counts, splits, token_counts
 from cellmill.llm.url_filter import url_filter
 
 DOCS = "doc_id long, text string, source string, n_words long, kept string"
@@ -133,6 +134,29 @@ def test_quality(spark, odd):
     assert Model(["a b", "c d"], [1, 0]).scores(["", None]).tolist() == [0.5, 0.5]
 
 
+def test_quality_votes(spark):
+    """Scores against a vote that goes through the labelled rows one by one; ties and repeated rows."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit(docs, labels)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    counts = term_counts(texts).astype(float) * model.rarity
+    for text, row, score in zip(texts, counts, model.scores(texts), strict=True):
+        v = (row / (np.linalg.norm(row) + 1e-9) - model.mean) @ model.axes
+        near = sorted(((float(v @ u) / (np.linalg.norm(v) + 1e-9), k) for k, u in enumerate(model.vectors)), reverse=True)[:K]
+        total = sum(max(c, 0) for c, _ in near)
+        assert not text or abs(score - sum(max(c, 0) * model.labels[k] for c, k in near) / total) < 1e-4
+    same = Model(["good words here"] * 20 + ["bad bad bad bad"] * 20, [1] * 20 + [0] * 20)
+    assert same.scores(["good words here", "bad bad bad bad"] * 2).round(6).tolist() == [1, 0, 1, 0]
+    twice = score_quality(docs.limit(3).union(docs.limit(3)), labels)
+    assert twice.groupBy("doc_id").agg({"score": "count", "predicted": "sum"}).count() <= 3 and twice.count() == 6
+
+
+def test_repeats():
+    at = lambda text: np.flatnonzero(term_counts([text])[0][-24:]).tolist()
+    assert at("a b c") == [] and at("a a") == [0] and at("a a a") == [0, 1] and at("x a a a a a b b") == [0, 1, 2] and at("a") == []
+
+
 def test_exact_dedup(spark, odd, monkeypatch):
     for hot in (256, 2):
         monkeypatch.setattr("cellmill.llm.exact_dedup.HOT_ROWS", hot)
@@ -179,3 +203,49 @@ def test_url_filter_canonical_and_long_lists(spark, monkeypatch):
         monkeypatch.setattr("cellmill.llm.components.BROADCAST_IDS", rows)
         got = {r.url: r.verdict for r in url_filter(pages, entries).collect()}
         assert got == urls
+
+
+def test_split_rule_is_read_from_the_model():
+    sentencepiece, public = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
+    proto = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model")).serialized_model_proto()
+    field = lambda number, raw: bytes([number << 3 | 2, len(raw)]) + raw
+    assert splits(proto)
+    assert not splits(proto + field(3, b"\x20\x01"))  # white space is trimmed
+    assert not splits(proto + field(3, b"\x12\x01x\x20\x00"))  # a character map
+    for piece, kind in (("a▁b".encode(), 1), (b"a\nb", 1), (b"<user>", 4)):
+        assert not splits(proto + field(1, b"\x0a" + bytes([len(piece)]) + piece + b"\x18" + bytes([kind])))
+    assert splits(proto + field(1, b"\x0a\x02ab"))
+
+
+def test_token_counts_with_small_summaries(spark, monkeypatch):
+    sentencepiece, public = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr("cellmill.llm.token_count.SUMMARY", 40)
+    monkeypatch.setattr("cellmill.llm.token_count.FREQUENT", 10)
+    path = public.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert all(r.n_tokens == len(model.encode(r.text or "")) for r in token_counts(docs, path).collect())
+
+
+def test_license_spans():
+    """Places of spans and phrases against counting; notices are out of each other's reach."""
+    random.seed(6)
+    scanner = Scanner(PHRASES, NOTICES)
+    for _ in range(200):
+        n, label, k = random.choice(scanner.notices)
+        s = list(n)
+        for _ in range(random.randint(0, k)):
+            s[random.randrange(len(s))] = random.choice("qz")
+        before, after = ["w"] * random.randint(0, 30), ["v"] * random.randint(0, 30)
+        text = "  ".join([*before, "".join(s), "MIT  license", *after])
+        n_words, n_base, first, last, _, labels, score, spans = scanner.scan(text)
+        w = words(text)
+        at = [i for p in PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert (n_words, n_base, first, last) == (len(w), len(at), min(at), max(at)) and score == 1
+        for name, a, b, edits in spans:
+            got = " ".join(w[a:b])
+            assert edits <= edits_of(next(x for x, lab, _ in scanner.notices if lab == name)) and " ".join(w[a : a + 1]) in got
+        if label in labels.split(","):
+            assert any(a <= len(before) + 2 and b >= len(before) for name, a, b, _ in spans if name == label)
+    for n, label, _ in scanner.notices:
+        assert [lab for (_, lab, _), p in zip(scanner.notices, scanner.patterns, strict=True) if p.search(f" {n} ")] == [label]
