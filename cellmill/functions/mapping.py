@@ -11,7 +11,7 @@ LAYERS_IN = {"log_normalized": "data", "scaled": "scale.data"}
 LAYERS_OUT = {"scale.data": "scaled"}
 GRAPHS_IN = {"connectivities": "snn", "distances": "nn"}
 MODALITY_TO_ASSAY = {"rna": "RNA", "prot": "ADT", "atac": "ATAC", "spatial": "Spatial", "hto": "HTO", "sct": "SCT"}
-ASSAY_TO_MODALITY = {"RNA": "rna", "SCT": "sct", "ADT": "prot", "Protein": "prot", "ATAC": "atac", "Spatial": "spatial", "HTO": "hto"}
+ASSAY_TO_MODALITY = {"RNA": "rna", "ADT": "prot", "ATAC": "atac", "Spatial": "spatial", "HTO": "hto", "SCT": "rna", "Protein": "prot", "Peaks": "atac"}
 LOADINGS_OUT = {"pca": "PCs"}
 COLUMNS_OUT = {"nCount_RNA": "n_counts", "nFeature_RNA": "n_genes", "percent.mt": "percent_mito", "seurat_clusters": "clusters"}
 COLUMNS_OUT_DIRECT = {"nCount_RNA": "n_counts", "nFeature_RNA": "n_genes", "percent.mt": "pct_counts_mt", "orig.ident": "batch"}

@@ -66,3 +66,30 @@ def suffix_duplicates(df: DataFrame, name: str, order: str, out: str) -> DataFra
     """Columns that share a sanitised name: later ones get __dup1, __dup2, ..."""
     n = repeat_number(name, order)
     return df.withColumn(out, F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("__dup"), n)))
+
+
+def update_key(key: Column, fallback: Column | None = None) -> Column:
+    """A key of letters and digits that ends in one underscore; what has none of these gets the fallback (three random
+    letters where none is given)."""
+    bare = F.regexp_replace(key, "[^A-Za-z0-9]", "")
+    other = fallback if fallback is not None else random_name(3)
+    return F.when(key.rlike("^[A-Za-z0-9]+_$"), key).when(bare == "", F.concat(other, F.lit("_"))).otherwise(F.concat(bare, F.lit("_")))
+
+
+def random_name(length: int = 5, seed: int | None = None) -> Column:
+    """Lower-case letters, no two alike."""
+    return F.array_join(F.slice(F.shuffle(F.array(*[F.lit(chr(97 + k)) for k in range(26)]), seed), 1, length), "")
+
+
+def pad_name(name: Column, pos: Column, prefix: str = "index") -> Column:
+    """Nameless items are called by their place, from 1."""
+    return F.when(F.coalesce(name, F.lit("")) == "", F.concat(F.lit(prefix), (pos + 1).cast("string"))).otherwise(name)
+
+
+#: Metadata keys that a session keeps for itself and no writer stores.
+PRIVATE_KEYS = ("__varp__",)
+
+
+def is_private(key: Column) -> Column:
+    """Keys that are private, or those of graphs of features that were kept as metadata, or hidden ones."""
+    return key.isin(*PRIVATE_KEYS) | key.rlike(r"^__varp__\.|^\.__")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import positions
+from .order import positions, running_sum
 
 
 class DataError(ValueError):
@@ -113,3 +113,11 @@ def threshold(left: DataFrame, right: DataFrame, key: str, share: float) -> Data
     how = "matched" if hit == n else "filled" if hit > share * n else "none"
     out = left.join(right if how != "none" else right.limit(0), key, "left")
     return out.withColumn("how", F.lit(how))
+
+
+def by_stored_index(df: DataFrame, index: str, tie: str, out: str) -> DataFrame:
+    """Rows with their place by a stored index (ties by a unique whole number), which goes."""
+    ranked = df.groupBy(index).agg(F.count("*").alias("__n"))
+    ranked = running_sum(ranked, "__n", index, out="__end")
+    inside = positions(df, tie, (index,), "__in")
+    return inside.join(ranked, index).withColumn(out, (F.col("__end") - F.col("__n") + F.col("__in")).cast("long")).drop(index, "__in", "__n", "__end")

@@ -44,11 +44,16 @@ def reduction_names(keys: list[str]) -> list[str]:
 
 
 def modalities(assays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """A modality's name for each assay, within ``by`` (a file); the second claimant of a name carries its assay's name
-    too."""
+    """A modality's name for each assay (pos, assay), within ``by`` (a file). Where several assays have one name, SCT beside
+    RNA is sct, later protein assays carry their own name too, other later ones take their own name. What still meets gets
+    a suffix."""
     plain = assays.withColumn("__m", assay_to_modality(F.col("assay")))
-    first = F.row_number().over(Window.partitionBy(*by, "__m").orderBy("pos")) == 1
-    return plain.withColumn("modality", F.when(first, F.col("__m")).otherwise(F.concat("__m", F.lit("_"), F.lower("assay")))).drop("__m")
+    same = Window.partitionBy(*by, "__m")
+    first = F.row_number().over(same.orderBy("pos")) == 1
+    both = F.max(F.col("assay") == "RNA").over(same) & F.max(F.col("assay") == "SCT").over(same) & (F.col("__m") == "rna")
+    own = F.lower("assay")
+    named = F.when(both & (F.col("assay") == "SCT"), "sct").when(both | first, F.col("__m")).when(F.col("__m") == "prot", F.concat(F.lit("prot_"), own)).otherwise(own)
+    return make_unique(plain.withColumn("__name", named), "__name", "pos", "modality", by=by).drop("__m", "__name")
 
 
 def concat_names(parts: DataFrame) -> DataFrame:
@@ -102,3 +107,22 @@ def libraries(obs: DataFrame, col: str) -> DataFrame:
 def split_libraries(df: DataFrame, col: str) -> dict[str, DataFrame]:
     """One lazy DataFrame per library."""
     return {r[0]: df.filter(F.col(col).eqNullSafe(F.lit(r[0]))) for r in df.select(col).distinct().orderBy(col).collect()}
+
+
+def item_union(lists: DataFrame, group: str, items: str, order: str) -> DataFrame:
+    """Distinct items of several lists of a group, with their place by first mention (list, then place in it)."""
+    each = lists.select(group, order, F.posexplode(items).alias("__at", "item"))
+    first = each.groupBy(group, "item").agg(F.min(F.struct(order, "__at")).alias("__first"))
+    return first.withColumn("pos", (F.row_number().over(Window.partitionBy(group).orderBy("__first")) - 1).cast("long")).drop("__first")
+
+
+def primary_image(images: DataFrame, by: tuple[str, ...], name: str = "image") -> DataFrame:
+    """Images in the order of their names; the first one of each ``by`` is the primary one."""
+    rank = (F.row_number().over(Window.partitionBy(*by).orderBy(name)) - 1).cast("long")
+    return images.withColumn("rank", rank).withColumn("is_primary", F.col("rank") == 0)
+
+
+def default_first(assays: DataFrame, by: tuple[str, ...], default: str = "is_default") -> DataFrame:
+    """Assays in the order of a listing: the default one first, then by place."""
+    rank = (F.row_number().over(Window.partitionBy(*by).orderBy(F.col(default).desc(), "pos")) - 1).cast("long")
+    return assays.withColumn("shown", rank)

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import encode as E
 from ..functions import mapping as M
 from ..functions import names as N
+from ..functions import values as X
 from ..operators import joins as J
 from ..operators import layout as L
 from ..operators import multimodal as MM
 from ..operators import spatial as S
 from ..operators import verify as V
 from ..operators.order import chunk_of, islands, positions, running_sum
+from ..streaming.arrivals import sessions, windowed_spots
 from .derive import CTE, coo, obs, table, var
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,13 +268,15 @@ def q_graph_map(spark, d):
     return g.withColumn("stored", M.graph_out(F.col("graph"), F.lit("RNA")))
 
 
-_ASSAYS = ["RNA", "SCT", "ADT", "Protein", "ATAC", "Custom", "custom"]
+_ASSAYS = ["RNA", "SCT", "ADT", "Protein", "ATAC", "Peaks", "Custom"]
 
 
-@query(f"""with {_picks(_ASSAYS, 2)}, m as (select file, pos, name as assay, case name when 'RNA' then 'rna' when 'SCT' then 'sct' when 'ADT' then 'prot' when 'Protein' then 'prot' when 'ATAC' then 'atac' else lower(name) end as plain from o)
-select file, pos, assay, case when exists (select 1 from m e where e.file = m.file and e.plain = m.plain and e.pos < m.pos) then plain || '_' || lower(assay) else plain end as modality from m""", base=False)
+@query(f"""with {_picks(_ASSAYS, 2)}, k as (select * from o where not (file % 3 = 0 and name = 'RNA')),
+m as (select file, pos, name as assay, case name when 'RNA' then 'rna' when 'SCT' then 'rna' when 'ADT' then 'prot' when 'Protein' then 'prot' when 'ATAC' then 'atac' when 'Peaks' then 'atac' else lower(name) end as plain from k),
+c as (select *, exists (select 1 from m e where e.file = m.file and e.plain = m.plain and e.pos < m.pos) as later, exists (select 1 from m e where e.file = m.file and e.assay = 'RNA') as has_rna from m)
+select file, pos, assay, case when plain = 'rna' then case when assay = 'SCT' and has_rna then 'sct' else 'rna' end when not later then plain when plain = 'prot' then 'prot_' || lower(assay) when lower(assay) = plain then plain || '.1' else lower(assay) end as modality from c""", base=False)
 def q_modality_map(spark, d):
-    return MM.modalities(_picked(spark, d, _ASSAYS, 2).withColumnRenamed("name", "assay"), ("file",))
+    return MM.modalities(_picked(spark, d, _ASSAYS, 2).filter("not (file % 3 = 0 and name = 'RNA')").withColumnRenamed("name", "assay"), ("file",))
 
 
 _COLS = ["nCount_RNA", "nFeature_RNA", "percent.mt", "seurat_clusters", "orig.ident", "vst.mean", "vst.variable", "batch"]
@@ -645,3 +649,85 @@ def q_obsp_edges(spark, d):
 @query(", e as (select a.obs_idx as i, b.obs_idx as j, sum(least(a.value, b.value)) as w from coo a join coo b on a.var_idx = b.var_idx and a.obs_idx <> b.obs_idx group by 1, 2), r as (select *, row_number() over (partition by i order by w desc, j) as k from e) select i, k::bigint as rank, j, w::bigint as w from r where k <= 5")
 def q_neighbors(spark, d):
     return S.top_neighbours(S.overlap_graph(coo(spark, d)), 5)
+
+
+# --- names, times, versions, addresses ------------------------------------------------------------------------------
+
+_KEYS = ["pca_", "PC 1_", "__", "tSNE-2", "ümlaut_", "", "_x_y_"]
+
+
+@query(f"with {_picks(_KEYS)}, b as (select *, regexp_replace(name, '[^A-Za-z0-9]', '', 'g') as bare from o) select file, pos, name, case when regexp_matches(name, '^[A-Za-z0-9]+_$') then name when bare = '' then 'key' || file || '_' else bare || '_' end as key, case when name = '' then 'index' || (pos + 1) else name end as padded from b", base=False)
+def q_update_key(spark, d):
+    return _picked(spark, d, _KEYS).withColumns({"key": N.update_key(F.col("name"), F.concat(F.lit("key"), F.col("file").cast("string"))), "padded": N.pad_name(F.col("name"), F.col("pos"))})
+
+
+_MISC = ["params", "__varp__", "__varp__.corr", ".__path__", "varp", "x.__y"]
+
+
+@query(f"with {_picks(_MISC)} select file, pos, name from o where name in ('params', 'varp', 'x.__y')", base=False)
+def q_misc_keys(spark, d):
+    return _picked(spark, d, _MISC).filter(~N.is_private(F.col("name")))
+
+
+@query("select event_id, strftime(ts, '%Y%m%dT%H%M%SZ') as plain, strftime(ts, '%Y%m%dT%H%M%S.%fZ') as loom, date_trunc('second', ts) as back from events", base=False)
+def q_timestamps(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    e = e.withColumns({"plain": X.format_time(F.col("ts")), "loom": X.format_time(F.col("ts"), "loom")})
+    return e.select("event_id", "plain", "loom", X.parse_time(F.col("plain")).cast("timestamp_ntz").alias("back"))
+
+
+_VERSIONS = ["3.1.2", "3.1.5.9900", "3.2.0", "4.0.0"]
+
+
+@query(f"""with v as (select p_partkey, (p_size // 10)::varchar || '.' || (p_size % 10)::varchar || '.' || (p_partkey % 7)::varchar as version from part), t as (select unnest([{', '.join(f"'{x}'" for x in _VERSIONS)}]) as target),
+n as (select p_partkey, version, target, list_transform(string_split(version, '.'), lambda x: x::bigint) as a, list_transform(string_split(target, '.'), lambda x: x::bigint) as b from v, t)
+select p_partkey, version, max_by(target, b) filter (b <= a) as floor_version, min_by(target, b) filter (b > a) as ceil_version from n group by 1, 2""", base=False)
+def q_closest_version(spark, d):
+    v = table(spark, d, "part").select("p_partkey", F.concat_ws(".", F.floor(F.col("p_size") / 10).cast("string"), (F.col("p_size") % 10).cast("string"), (F.col("p_partkey") % 7).cast("string")).alias("version"))
+    return v.withColumns({"floor_version": X.closest_version(F.col("version"), _VERSIONS), "ceil_version": X.closest_version(F.col("version"), _VERSIONS, up=True)})
+
+
+@query("""with u as (select page_id, case page_id % 4 when 0 then 'S3://bucket-' || page_id || '/a/b.zarr/' when 1 then 'gs://store' || page_id || '/x.zarr' when 2 then 's3://only' || page_id else url end as url from pages),
+p as (select *, regexp_replace(url, '/+$', '') as bare from u), q as (select *, lower(regexp_extract(bare, '^([A-Za-z0-9]+)://', 1)) as scheme, regexp_replace(bare, '^[A-Za-z0-9]+://', '') as rest from p),
+r as (select *, split_part(rest, '/', 1) as bucket, case when contains(rest, '/') then substr(rest, strpos(rest, '/') + 1) else '' end as prefix from q)
+select page_id, case when scheme in ('s3', 'gs') then scheme else 'http' end as kind, case scheme when 's3' then 'https://' || bucket || '.s3.amazonaws.com' when 'gs' then 'https://storage.googleapis.com/' || bucket else bare end || case when scheme in ('s3', 'gs') and prefix <> '' then '/' || prefix else '' end as base,
+  case when scheme in ('s3', 'gs') then bucket end as bucket, case when scheme in ('s3', 'gs') then prefix end as prefix, md5(url || chr(10)) as cache from r""", base=False)
+def q_store_address(spark, d):
+    k = F.col("page_id")
+    url = F.when(k % 4 == 0, F.concat(F.lit("S3://bucket-"), k, F.lit("/a/b.zarr/"))).when(k % 4 == 1, F.concat(F.lit("gs://store"), k, F.lit("/x.zarr"))).when(k % 4 == 2, F.concat(F.lit("s3://only"), k)).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", X.store_address(url).alias("a"), X.cache_key(url).alias("cache")).select("page_id", "a.*", "cache")
+
+
+@query("with g as (select event_type as grp, user_id as list_no, list(distinct value::varchar order by value::varchar) as items from events group by 1, 2), e as (select grp, list_no, unnest(items) as item, generate_subscripts(items, 1) as k from g), f as (select grp, item, min((list_no, k)) as first from e group by 1, 2) select grp, item, row_number() over (partition by grp order by first) - 1 as pos from f", base=False)
+def q_item_union(spark, d):
+    g = table(spark, d, "events").groupBy(F.col("event_type").alias("grp"), F.col("user_id").alias("list_no")).agg(F.sort_array(F.collect_set(F.col("value").cast("string"))).alias("items"))
+    return MM.item_union(g, "grp", "items", "list_no")
+
+
+@query(f"with {_picks(_OBSM, 5)} select file, name as image, row_number() over (partition by file order by name) - 1 as rank, name = min(name) over (partition by file) as is_primary from o", base=False)
+def q_image_order(spark, d):
+    return MM.primary_image(_picked(spark, d, _OBSM, 5).select("file", F.col("name").alias("image")), ("file",))
+
+
+@query(f"with {_picks(_ASSAYS, 2)} select file, pos, name, (row_number() over (partition by file order by name <> 'ADT', pos) - 1)::bigint as shown from o", base=False)
+def q_default_first(spark, d):
+    return MM.default_first(_picked(spark, d, _ASSAYS, 2).withColumn("d", F.col("name") == "ADT"), ("file",), "d").drop("d")
+
+
+@query("select event_id, value, row_number() over (order by (event_id * 7919) % 1000003, event_id) - 1 as stored from events", base=False)
+def q_stored_order(spark, d):
+    e = table(spark, d, "events").select("event_id", "value").withColumn("at", (F.col("event_id") * 7919) % 1000003)
+    return J.by_stored_index(e, "at", "event_id", "stored")
+
+
+@query("select date_trunc('day', ts) as begin, (event_id % 97)::bigint as x, (user_id % 89)::bigint as y, event_type as gene, count(*)::bigint as value from events group by all", base=False)
+def q_window_spots(spark, d):
+    rows = table(spark, d, "events").select("ts", (F.col("event_id") % 97).alias("x"), (F.col("user_id") % 89).alias("y"), F.col("event_type").alias("gene"))
+    return windowed_spots(rows).withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+
+
+@query("""with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 30 minutes then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as n from g)
+select user_id, min(ts) as begin, max(ts) + interval 30 minutes as end, count(*)::bigint as rows from s group by user_id, n""", base=False)
+def q_sessions(spark, d):
+    found = sessions(table(spark, d, "events").select("user_id", "ts"), "user_id")
+    return found.withColumns({"begin": F.col("begin").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
