@@ -59,7 +59,7 @@ def image_axes(shape: list[int], names: list[str] | None = None) -> dict[str, in
     """Which axes of an image are h, w and c (absent: one channel). Names settle it; else four and five axes begin with
     time, and the channels are a first axis of up to four, else a last one of up to four, else the first. Further axes
     (time, depth) are read at 0."""
-    if names and sorted(names) == sorted("cyx"[-len(names) :] if len(names) < 4 else names) and {"y", "x"} <= {*names}:
+    if names and len(names) == len(shape) and {"y", "x"} <= {*names}:
         return {"h": names.index("y"), "w": names.index("x")} | ({"c": names.index("c")} if "c" in names else {})
     n = len(shape)
     if n == 2:

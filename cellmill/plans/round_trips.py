@@ -207,3 +207,51 @@ def q_counts_stamp(spark, d):
         own = got.counts().select(F.lit(got.attrs["counts_from"]).alias("place"), "obs_idx", "var_idx", "value")
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def _tissue(spark, d):
+    """Suppliers as cells with polygons, events as molecules and pixels, in a library a nation key modulo 3."""
+    c = from_tables(spark, d)
+    cells = c.obs.select((F.col("obs_idx") % 3).alias("lib"), F.col("obs_idx").alias("cell_idx"), F.col("obs_id").alias("cell"))
+    rank = positions(cells, "cell_idx", ("lib",), "at").withColumn("cell_idx", F.col("at"))
+    v = rank.withColumn("vertex", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")))
+    boundaries = v.select(F.format_string("lib%d", "lib").alias("library"), F.lit("cells").alias("boundary"), F.lit("Segmentation").alias("type"), "cell_idx", "cell", "vertex", (F.col("cell_idx") * 10.0 + F.col("vertex") / 4).alias("x"), (F.col("cell_idx") * 20.0 - F.col("vertex") / 4).alias("y"))
+    e = table(spark, d, "events")
+    molecules = e.select(F.lit("lib0").alias("library"), F.lit("molecules").alias("set"), F.col("event_id").alias("pos"), F.col("value").alias("x"), (F.col("user_id") * 0.5).alias("y"), F.col("event_type").alias("gene"))
+    images = e.select(F.format_string("lib%d", F.col("event_id") % 3).alias("library"), F.lit("hires").alias("image"), F.floor(F.col("event_id") / 3 / 60).alias("h"), (F.floor(F.col("event_id") / 3) % 60 / 3).cast("long").alias("w"), (F.floor(F.col("event_id") / 3) % 3).alias("c"), "value")
+    factors = spark.createDataFrame([(f"lib{k}", n, k + x) for k in range(3) for n, x in (("tissue_hires_scalef", 0.5), ("spot_diameter_fullres", 8.25))], "library string, name string, value double")
+    return Container(spark, c.tables | {"boundaries": boundaries, "molecules": molecules, "images": images, "scalefactors": factors}, c.shape, c.attrs)
+
+
+@query(""", b as (select obs_idx % 3 as lib, row_number() over (partition by obs_idx % 3 order by obs_idx) - 1 as cell_idx, obs_id as cell from obs)
+select 'lib' || lib as library, cell_idx, cell, v::bigint as vertex, cell_idx * 10.0::double + v / 4 as x, cell_idx * 20.0::double - v / 4 as y from b, range(0, 4) r(v)""")
+def q_fov_roundtrip(spark, d):
+    path = scratch(spark, ".h5ad")
+    formats.save(_tissue(spark, d), path)
+    return formats.load(spark, path, check=False).tables["boundaries"].filter("boundary = 'cells' and type = 'Segmentation'").drop("boundary", "type")
+
+
+@query("select event_id as pos, value as x, user_id * 0.5::double as y, event_type as gene from events", base=False)
+def q_molecules_roundtrip(spark, d):
+    path = scratch(spark, ".zarr")
+    formats.save(_tissue(spark, d), path)
+    return formats.load(spark, path, check=False).tables["molecules"].select("pos", "x", "y", "gene")
+
+
+@query(""", i as (select 'lib' || event_id % 3 as library, event_id // 3 // 60 as h, event_id // 3 % 60 // 3 as w, event_id // 3 % 3 as c, value from events), g as (select library, h, w, c from (select library, max(h) as top from i group by 1) m, range(0, 100000) r(h), range(0, 20) s(w), range(0, 3) t(c) where h <= top)
+select library, h::bigint as h, w::bigint as w, c::bigint as c, coalesce(value, 0) as value from g left join i using (library, h, w, c) union all select library, null, null, null, value from (values ('lib0', 0.5), ('lib0', 8.25), ('lib1', 1.5), ('lib1', 9.25), ('lib2', 2.5), ('lib2', 10.25)) f(library, value)""")
+def q_visium_roundtrip(spark, d):
+    """Images (what has no pixel is 0) and scale factors."""
+    path = scratch(spark, ".h5ad")
+    formats.save(_tissue(spark, d), path)
+    t = formats.load(spark, path, check=False).tables
+    return t["images"].select("library", "h", "w", "c", "value").unionByName(t["scalefactors"].select("library", "value"), allowMissingColumns=True)
+
+
+@query("select event_id // 300 as h, event_id % 300 as w, value from events where value <> 0", base=False)
+def q_ome_roundtrip(spark, d):
+    px = table(spark, d, "events").select(F.floor(F.col("event_id") / 300).alias("h"), (F.col("event_id") % 300).alias("w"), F.lit(0).cast("long").alias("c"), "value")
+    path = scratch(spark, ".spatialdata.zarr")
+    c = Container.of(spark, (1, 1), obs=spark.createDataFrame([(0, "c")], "obs_idx long, obs_id string"), var=spark.createDataFrame([(0, "g")], "var_idx long, var_id string"))
+    formats.save(Container(spark, c.tables | {"images/tissue": px}, c.shape), path)
+    return formats.load(spark, path, check=False).tables["images/tissue"].filter("value <> 0").select("h", "w", "value")

@@ -20,8 +20,9 @@ from ..operators.joins import DataError
 from . import views
 from .container import Container
 from .hdf5 import Tree, Writer
+from .spatial import write_spatial
 from .uns import write_uns
-from .zarr import _CSR, TEXT, Columns, all_matrices, all_vectors, read_tree
+from .zarr import _CSR, TEXT, Columns, all_matrices, all_vectors, batches, read_tree
 
 #: Rows of an axis that are written at once where nothing stands in them.
 PART = 65536
@@ -31,21 +32,6 @@ def read_h5ad(spark: SparkSession, path: str, components: Iterable[str] | None =
     return read_tree(spark, path, components, **options)
 
 
-def batches(df: DataFrame, *order: str) -> Iterator[pa.RecordBatch]:
-    """The rows in a total order, as Arrow batches, a partition at a time."""
-
-    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if part.num_rows:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as out:
-                    out.write_batch(part)
-                yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["b"])
-
-    for row in df.orderBy(*order).mapInArrow(pack, "b binary").toLocalIterator(prefetchPartitions=True):
-        yield pa.ipc.open_stream(row.b).read_next_batch()
-
-
 def _target(path: str, overwrite: bool) -> str:
     path = path.removeprefix("file://")
     if "://" in path:
@@ -159,6 +145,7 @@ def _put(w: Writer, key: str, value: np.ndarray, attributes: dict) -> None:
 
 def _uns(w: Writer, c: Container, top: str) -> None:
     write_uns(((r.path, r.value) for r in c.uns.orderBy("path").toLocalIterator()), w.group, lambda key, value, attributes: _put(w, key, value, attributes), top)
+    write_spatial(c.tables, w.group, lambda key, value, attributes: _put(w, key, value, attributes), w.grow, batches, f"{top}/spatial")
 
 
 def _anndata(w: Writer, c: Container, at: str = "") -> None:

@@ -50,10 +50,13 @@ def _node(tree, key: str):
     return None
 
 
-def read_uns(tree, top: str = "uns") -> list[tuple[str, str]]:
+def read_uns(tree, top: str = "uns", skip=None) -> list[tuple[str, str]]:
+    """skip: a pattern of paths that are read elsewhere."""
     out: list[tuple[str, str]] = []
 
     def walk(key: str, path: str) -> None:
+        if skip is not None and skip.match(path):
+            return
         if tree.kind(key) == "array":
             out.append((path, json.dumps(_value(tree, key))))
             return

@@ -25,6 +25,7 @@ from ..operators.order import running_sum
 from ..operators.verify import counts_place
 from . import zarr_store as Z
 from .container import SCHEMAS, Container, replace_dir
+from .spatial import HELD, ZarrGrowing, pixels, read_spatial, write_spatial
 from .uns import read_uns, write_uns
 
 #: BUCKET: rows of a matrix whose entries are ordered in one task.
@@ -392,8 +393,9 @@ def read_tree(spark: SparkSession, path: str, components: Iterable[str] | None =
     tables = {
         "obsm": keyed("obsm", chosen("obsm", obsm, n, False)), "varm": keyed("varm", chosen("varm", None, p, False)),
         "obsp": keyed("obsp", chosen("obsp", obsp, n, True)), "varp": keyed("varp", chosen("varp", None, p, True)),
-        "uns": spark.createDataFrame(read_uns(store), "path string, value string") if asked("uns") else None,
+        "uns": spark.createDataFrame(read_uns(store, skip=HELD), "path string, value string") if asked("uns") else None,
     }
+    drawn = read_spatial(spark, store) if asked("uns") or asked("spatial") else {}
     levels = [] if not hasattr(store, "levels") else store.levels()
     for top in ("obs", "var"):
         for c in frame_columns(store, top):
@@ -407,7 +409,9 @@ def read_tree(spark: SparkSession, path: str, components: Iterable[str] | None =
         if include_x:
             warn_fractional(store, place if store.kind(place) is not None else main)
     facts = dict(store.attrs("")) | {"counts_from": place, "x_holds": "counts" if place == "X" else "data"}
-    return Container.of(spark, (n, p), facts, obs=obs, var=var, matrix=_union(parts), levels=spark.createDataFrame(levels, "tbl string, col string, code long, label string, ordered boolean"), **tables)
+    c = Container.of(spark, (n, p), facts, obs=obs, var=var, matrix=_union(parts), levels=spark.createDataFrame(levels, "tbl string, col string, code long, label string, ordered boolean"), **tables)
+    c.tables |= drawn
+    return c
 
 
 def read_zarr(spark: SparkSession, path: str, components: Iterable[str] | None = None, **options) -> Container:
@@ -688,11 +692,36 @@ def write_zarr(c: Container, path: str, overwrite: bool = False, codec: str = "z
     sink.frame(c.var, "var", c.shape[1], c.levels)
     sink.vectors(*all_vectors(c))
     write_uns(((r.path, r.value) for r in c.uns.orderBy("path").toLocalIterator()), sink.group, sink.put)
+    write_spatial(c.tables, sink.group, sink.put, lambda *what: ZarrGrowing(sink.store, sink.how, *what), batches)
     commit()
 
 
-def read_spatialdata(spark: SparkSession, path: str, table: str = "table", **options) -> Container:
-    """The table of a SpatialData store, with its shapes and points as further tables (Parquet inside the store)."""
+def batches(df: DataFrame, *order: str) -> Iterator[pa.RecordBatch]:
+    """The rows in a total order, as Arrow batches, a partition at a time."""
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["b"])
+
+    for row in df.orderBy(*order).mapInArrow(pack, "b binary").toLocalIterator(prefetchPartitions=True):
+        yield pa.ipc.open_stream(row.b).read_next_batch()
+
+
+def _axes(store: Z.Store, key: str) -> tuple[list[str] | None, str]:
+    """Names of an image's axes, and where its largest resolution is."""
+    known = store.attrs(key)
+    known = known.get("ome", known).get("multiscales") or [{}]
+    names = [a["name"] if isinstance(a, dict) else a for a in known[0].get("axes", [])] or None
+    return names, Z.join(key, (known[0].get("datasets") or [{"path": "0"}])[0]["path"])
+
+
+def read_spatialdata(spark: SparkSession, path: str, table: str = "table", images: bool = True, **options) -> Container:
+    """The table of a SpatialData store, with its shapes and points as further tables (Parquet inside the store), and
+    images and labels as tables of pixels (h, w, c, value) of their largest resolution."""
     store = Z.Store(path)
     if store.kind(f"tables/{table}") is None:
         raise DataError(f"{path} has no table {table}; there are {store.children('tables')}")
@@ -700,20 +729,52 @@ def read_spatialdata(spark: SparkSession, path: str, table: str = "table", **opt
     for top, file in (("shapes", "shapes.parquet"), ("points", "points.parquet")):
         for name in store.children(top):
             c.tables[f"{top}/{name}"] = spark.read.parquet(f"{path}/{top}/{name}/{file}")
+    for top in ("images", "labels") if images else ():
+        for name in store.children(top):
+            names, at = _axes(store, f"{top}/{name}")
+            c.tables[f"{top}/{name}"] = pixels(spark, store, at, names)
     c.attrs["labels"], c.attrs["images"] = store.children("labels"), store.children("images")
     return c
 
 
-def write_spatialdata(c: Container, path: str, overwrite: bool = False, table: str = "table", **options) -> None:
-    """The container as the store's table, and its extra tables shapes/<name> and points/<name>."""
+#: Rows and columns of a stored tile.
+TILE = 256
+
+
+def write_image(df: DataFrame, store: Z.Store, key: str, level: int = 1) -> None:
+    """df: h, w, c, value. Channels first, in tiles that tasks write whole; what has no pixel is 0."""
+    size = df.agg(F.max("h").alias("h"), F.max("w").alias("w"), F.max("c").alias("c")).first()
+    h, w, c = (0 if size.h is None else x + 1 for x in (size.h, size.w, size.c))
+    axes = [{"name": "c", "type": "channel"}, {"name": "y", "type": "space"}, {"name": "x", "type": "space"}]
+    Z.write_group(store, key, {"multiscales": [{"version": "0.4", "name": key.rpartition("/")[2], "axes": axes, "datasets": [{"path": "0", "coordinateTransformations": [{"type": "identity"}]}]}]})
+    chunks, how = [max(1, c), max(1, min(h, TILE)), max(1, min(w, TILE))], ("zlib" if level else "none", level, 2)
+    Z.write_meta(store, f"{key}/0", [c, h, w], chunks, "<f8", *how)
+
+    def put(table: pa.Table) -> pa.Table:
+        at = [np.asarray(table[k]) for k in ("c", "h", "w")]
+        tile = np.zeros(chunks)
+        y, x = int(at[1][0]) // chunks[1], int(at[2][0]) // chunks[2]
+        tile[at[0], at[1] - y * chunks[1], at[2] - x * chunks[2]] = np.asarray(table["value"])
+        Z.write_chunk(store, f"{key}/0", (0, y, x), tile, chunks, "<f8", *how)
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+    tiles = df.withColumns({"__y": F.floor(F.col("h") / chunks[1]), "__x": F.floor(F.col("w") / chunks[2])})
+    tiles.groupBy("__y", "__x").applyInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def write_spatialdata(c: Container, path: str, overwrite: bool = False, table: str = "table", level: int = 1, version: int = 2, codec: str = "zlib") -> None:
+    """The container as the store's table, and its extra tables shapes/<name>, points/<name>, images/<name> and
+    labels/<name>."""
     tmp, commit = replace_dir(c.spark, path, overwrite)
     store = Z.Store(tmp)
-    for key, attributes in (("", {"spatialdata_attrs": {"version": "0.1"}}), ("tables", {}), ("shapes", {}), ("points", {})):
+    for key, attributes in (("", {"spatialdata_attrs": {"version": "0.1"}}), ("tables", {}), ("shapes", {}), ("points", {}), ("images", {}), ("labels", {})):
         Z.write_group(store, key, attributes)
-    write_zarr(c, f"{tmp}/tables/{table}", **options)
+    write_zarr(c, f"{tmp}/tables/{table}", level=level, version=version, codec=codec)
     for name, df in c.tables.items():
         top, _, own = name.partition("/")
         if own and top in ("shapes", "points"):
             Z.write_group(store, name, {"encoding-type": f"ngff:{top}"})
             df.write.parquet(f"{tmp}/{name}/{top}.parquet")
+        elif own and top in ("images", "labels"):
+            write_image(df, store, name, level)
     commit()

@@ -12,6 +12,9 @@ from cellmill.sources import formats
 from cellmill.sources import zarr_store as Z
 from cellmill.sources.container import Container
 from cellmill.sources.hdf5 import Hdf5Error, Tree, Writer
+from cellmill.operators.spatial import image_axes
+from cellmill.sources.spatial import SCHEMAS as SPATIAL
+from cellmill.sources.spatial import image_coordinates
 from cellmill.sources.registry import FormatError, file_type, list_formats
 from cellmill.sources.zarr import component
 
@@ -212,3 +215,51 @@ def test_h5mu_modalities_are_not_dropped(spark, box, tmp_path):
     formats.save({"rna": box}, f"{tmp_path}/one.h5mu")
     formats.convert(spark, f"{tmp_path}/one.h5mu", f"{tmp_path}/one.h5ad")
     assert formats.load(spark, f"{tmp_path}/one.h5ad").shape == box.shape
+
+
+@pytest.fixture(scope="module")
+def tissue(spark, box):
+    """Two libraries: images, scale factors, polygons, centroids, molecules."""
+    px = [(lib, image, h, w, c, (h * 10 + w + c / 10) / 100) for lib, image, hh, ww in (("b", "hires", 5, 4), ("a", "lowres", 2, 3)) for h in range(hh) for w in range(ww) for c in range(3)]
+    polygons = [("a", "cells", "Segmentation", k, f"c{k}", v, 10.0 * k + (v in (1, 2)) * 2, 20.0 * k + (v in (2, 3)) * 2) for k in range(6) for v in range(4 if k != 2 else 3)]
+    points = [("a", "middles", "Centroids", k, f"c{k}", 0, 10.0 * k + 1, 20.0 * k + 1) for k in range(6)]
+    tables = {
+        "images": spark.createDataFrame(px, SPATIAL["images"]), "scalefactors": spark.createDataFrame([("a", "tissue_hires_scalef", 0.5), ("a", "spot_diameter_fullres", 89.0), ("b", "tissue_lowres_scalef", 0.25)], SPATIAL["scalefactors"]),
+        "boundaries": spark.createDataFrame(polygons + points, SPATIAL["boundaries"]), "molecules": spark.createDataFrame([("a", "molecules", k, k / 2, -1.0 * k, f"G{k % 2}") for k in range(5)], SPATIAL["molecules"]),
+    }
+    return Container(spark, box.tables | tables, box.shape)
+
+
+@pytest.mark.parametrize("ext", ["h5ad", "zarr", "h5seurat", "loom", "parquet"])
+def test_spatial_round_trip(spark, tissue, tmp_path, ext):
+    formats.save(tissue, f"{tmp_path}/one.{ext}")
+    formats.convert(spark, f"{tmp_path}/one.{ext}", f"{tmp_path}/two.{ext}")
+    got = formats.load(spark, f"{tmp_path}/two.{ext}")
+    same(tissue, got)
+    for t in SPATIAL:
+        assert rows(got.tables[t]) == rows(tissue.tables[t]), t
+
+
+def test_image_coordinates(spark, tissue):
+    spots = tissue.obsm.filter("key = 'X_pca'")
+    at = {r.obs_idx: (r.x, r.y) for r in image_coordinates(spots, tissue.tables["scalefactors"], "a").collect()}
+    assert at == {k: (k / 2, 0.5) for k in range(4)}
+    assert {r.x for r in image_coordinates(spots, tissue.tables["scalefactors"], "b").collect()} == {0, 0.25, 0.5, 0.75}
+
+
+def test_spatialdata_images(spark, box, tmp_path):
+    px = spark.range(300 * 270 * 2).select((F.col("id") % 300).alias("h"), (F.floor(F.col("id") / 300) % 270).alias("w"), F.floor(F.col("id") / 81000).alias("c"), (F.col("id") % 1009 + 1.0).alias("value"))
+    masks = px.filter("c = 0").withColumn("value", F.floor(F.col("value") / 100) + 1.0)
+    c = Container(spark, box.tables | {"images/tissue": px, "labels/cells": masks}, box.shape)
+    formats.save(c, f"{tmp_path}/a.spatialdata.zarr")
+    got = formats.load(spark, f"{tmp_path}/a.spatialdata.zarr")
+    for t in ("images/tissue", "labels/cells"):
+        assert got.tables[t].exceptAll(c.tables[t]).isEmpty() and got.tables[t].count() == c.tables[t].count()
+    store = Z.Store(f"{tmp_path}/a.spatialdata.zarr")
+    assert store.array("images/tissue/0").shape == [2, 300, 270] and store.array("images/tissue/0").chunks == [2, 256, 256] and got.attrs["images"] == ["tissue"]
+
+
+def test_image_axes():
+    assert image_axes([7, 9]) == {"h": 0, "w": 1} and image_axes([3, 7, 9]) == {"c": 0, "h": 1, "w": 2} and image_axes([7, 9, 4]) == {"h": 0, "w": 1, "c": 2}
+    assert image_axes([7, 9, 5]) == {"c": 0, "h": 1, "w": 2} and image_axes([2, 3, 7, 9]) == {"c": 1, "h": 2, "w": 3} and image_axes([2, 3, 1, 7, 9]) == {"c": 1, "h": 3, "w": 4}
+    assert image_axes([9, 3, 7], ["x", "c", "y"]) == {"h": 2, "w": 0, "c": 1}
