@@ -22,7 +22,7 @@ from .container import Container
 from .hdf5 import Tree, Writer
 from .spatial import write_spatial
 from .uns import write_uns
-from .zarr import _CSR, TEXT, Columns, all_matrices, all_vectors, batches, read_tree
+from .zarr import _CSR, TEXT, Columns, ahead, all_matrices, all_vectors, at_once, batches, matrix_shape_of, read_tree
 
 #: Rows of an axis that are written at once where nothing stands in them.
 PART = 65536
@@ -69,31 +69,34 @@ class _Csr:
             d.close()
 
 
-def _matrices(w: Writer, coo: DataFrame, shapes: dict[str, tuple[int, int]], places: dict[str, str] | None = None, attributes: dict[str, dict] | None = None) -> None:
-    """coo: name, i, j, v. places: where each name is written."""
-    place = lambda name: (places or {}).get(name, name)
-    extra = attributes or {}
-    at, done = None, set()
-    current = None
-    for part in batches(coo, "name", "i", "j"):
+def _matrices(w: Writer, parts: Iterator[pa.RecordBatch], shape: tuple[int, int], at: str = "", place=lambda name: (name, {}), always: tuple[str, ...] = ("X",)) -> None:
+    """parts: name, i, j, v in order. place(name) -> where it is written, and attributes."""
+    name = current = None
+    done = set()
+
+    def begin(name: str) -> _Csr:
+        key, attributes = place(name)
+        return _Csr(w, key, matrix_shape_of(name, shape, at), attributes)
+
+    for part in parts:
         names = part.column(0).dictionary_encode()
         codes, (i, j, v) = np.asarray(names.indices), (np.asarray(part.column(k)) for k in (1, 2, 3))
         cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            name = names.dictionary[int(codes[a])].as_py()
-            if name != at:
+            if (own := names.dictionary[int(codes[a])].as_py()) != name:
                 if current:
                     current.close()
-                current, at = _Csr(w, place(name), shapes[name], extra.get(name)), name
-                done.add(name)
+                name, current = own, begin(own)
+                done.add(own)
             current.add(i[a:b], j[a:b], v[a:b])
     if current:
         current.close()
-    for name in shapes.keys() - done:
-        _Csr(w, place(name), shapes[name], extra.get(name)).close()
+    for own in always:
+        if f"{at}{own}" not in done:
+            begin(f"{at}{own}").close()
 
 
-def _vectors(w: Writer, rows: DataFrame | None, shapes: dict[str, tuple[int, int]], places: dict[str, str] | None = None, flip: bool = False) -> None:
+def _vectors(w: Writer, rows: DataFrame, shapes: dict[str, tuple[int, int]], places: dict[str, str] | None = None) -> None:
     """rows: name, i, vec; rows that are missing are NaN."""
     open_, at = {}, {}
     encoded = {"encoding-type": "array", "encoding-version": "0.2.0"}
@@ -105,7 +108,7 @@ def _vectors(w: Writer, rows: DataFrame | None, shapes: dict[str, tuple[int, int
 
     for name, (_, k) in shapes.items():
         open_[name], at[name] = w.grow((places or {}).get(name, name), "<f8", (k,), encoded), 0
-    for part in batches(rows, "name", "i") if rows is not None else []:
+    for part in batches(rows, "name", "i") if shapes else []:
         for name, i, vec in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
             blank(name, i)
             line = np.full((1, shapes[name][1]), np.nan)
@@ -117,20 +120,23 @@ def _vectors(w: Writer, rows: DataFrame | None, shapes: dict[str, tuple[int, int
         open_[name].close()
 
 
-def _frame(w: Writer, top: str, df: DataFrame, n: int, levels: DataFrame, at: str = "") -> None:
-    columns = Columns(df, top, levels)
+def _frame(w: Writer, top: str, columns: Columns, parts: Iterator[pa.RecordBatch], n: int, at: str = "") -> None:
     w.group(f"{at}{top}", columns.attrs)
     for c, attributes in columns.groups.items():
         w.group(f"{at}{top}/{c}", attributes)
         if c in columns.labels:
             w.dataset(f"{at}{top}/{c}/categories", [columns.labels[c]], [len(columns.labels[c])], "string", TEXT)
     open_ = [(w.grow(f"{at}{top}/{key}", dtype, (), TEXT if dtype == "string" else None), c, part, dtype) for key, c, part, dtype in columns.plan]
-    _stream(df, columns, open_, n, top)
+    _stream(parts, columns, open_, n, top)
+
 
+def _whole_frame(w: Writer, top: str, df: DataFrame, n: int, levels: DataFrame, at: str = "") -> None:
+    _frame(w, top, Columns(df, top, levels), batches(df, df.columns[0]), n, at)
 
-def _stream(df: DataFrame, columns: Columns, open_: list, n: int, what: str) -> None:
+
+def _stream(parts: Iterator[pa.RecordBatch], columns: Columns, open_: list, n: int, what: str) -> None:
     """One pass over a frame: each batch goes to all of its datasets."""
-    for batch in batches(df, columns.index):
+    for batch in parts:
         for d, c, part, dtype in open_:
             d.add(columns.values(batch.column(batch.schema.get_field_index(c)), c, part, dtype))
     for d, c, *_ in open_:
@@ -153,10 +159,13 @@ def _anndata(w: Writer, c: Container, at: str = "") -> None:
     w.group(at.rstrip("/"), {"encoding-type": "anndata", "encoding-version": "0.1.0"})
     for top in ("layers", "obsm", "varm", "obsp", "varp"):
         w.group(f"{at}{top}", {"encoding-type": "dict", "encoding-version": "0.1.0"})
-    _matrices(w, *all_matrices(c, at))
-    _frame(w, "obs", c.obs, c.shape[0], c.levels, at)
-    _frame(w, "var", c.var, c.shape[1], c.levels, at)
-    _vectors(w, *all_vectors(c, at))
+    # all tables are on their way while the file takes one after another
+    matrices, obs, var = (ahead(c.spark, batches(df, *order)) for df, order in ((all_matrices(c, at), ("name", "i", "j")), (c.obs, ("obs_idx",)), (c.var, ("var_idx",))))
+    seen_obs, seen_var, (rows, sizes) = at_once(c.spark, lambda: Columns(c.obs, "obs", c.levels), lambda: Columns(c.var, "var", c.levels), lambda: all_vectors(c, at))
+    _matrices(w, matrices, c.shape, at)
+    _frame(w, "obs", seen_obs, obs, c.shape[0], at)
+    _frame(w, "var", seen_var, var, c.shape[1], at)
+    _vectors(w, rows, sizes)
     _uns(w, c, f"{at}uns")
 
 
@@ -166,9 +175,9 @@ def write_h5ad(c: Container, path: str, overwrite: bool = False, level: int = 0,
     with Writer(_target(path, overwrite), level) as w:
         _anndata(w, c)
         if raw is not None:
-            coo, shapes = all_matrices(Container.of(raw.spark, raw.shape, matrix=raw.matrix.filter("layer = 'X'")), "raw/")
-            _matrices(w, coo, shapes)
-            _frame(w, "var", raw.var, raw.shape[1], raw.levels, "raw/")
+            own = Container.of(raw.spark, raw.shape, matrix=raw.matrix.filter("layer = 'X'"))
+            _matrices(w, batches(all_matrices(own, "raw/"), "name", "i", "j"), raw.shape, "raw/")
+            _whole_frame(w, "var", raw.var, raw.shape[1], raw.levels, "raw/")
 
 
 def read_h5mu(spark: SparkSession, path: str, modalities: list[str] | None = None, **options) -> dict[str, Container]:
@@ -197,7 +206,7 @@ def write_h5mu(mods: dict[str, Container], path: str, overwrite: bool = False, l
         w.group("mod", {"mod-order": list(mods)})
         for m, c in mods.items():
             _anndata(w, c, f"mod/{m}/")
-        _frame(w, "obs", first.obs.select("obs_idx", "obs_id"), n, first.levels)
+        _whole_frame(w, "obs", first.obs.select("obs_idx", "obs_id"), n, first.levels)
         total, start, var = sum(c.shape[1] for c in mods.values()), 0, None
         twice = None
         for c in mods.values():
@@ -215,7 +224,7 @@ def write_h5mu(mods: dict[str, Container], path: str, overwrite: bool = False, l
                     d.add(np.where((at >= low) & (at < high), at - low, -1))
                 d.close()
             start += p
-        _frame(w, "var", var, total, first.levels.limit(0))
+        _whole_frame(w, "var", var, total, first.levels.limit(0))
 
 
 def _seurat_frame(w: Writer, top: str, key: str, names: str, df: DataFrame, n: int, levels: DataFrame) -> None:
@@ -273,16 +282,15 @@ def write_h5seurat(c: Container, path: str, overwrite: bool = False, assay: str
         w.group(at, {"key": f"{assay.lower()}_"})
         _seurat_frame(w, "obs", "meta.data", "cell.names", c.obs, n, c.levels)
         _seurat_frame(w, "var", f"{at}/meta.features", f"{at}/features", c.var, p, c.levels)
-        coo, shapes = all_matrices(c)
-        places, extra = {}, {}
-        for name in shapes:
+
+        def place(name: str) -> tuple[str, dict]:
             top, _, own = name.partition("/")
             if top in ("X", "layers"):
                 stored = "data" if top == "X" else {"scaled": "scale.data", "data": "data.layer"}.get(own, own)
-                places[name], extra[name] = f"{at}/{stored}", {"dims": [p, n]} | ({"layer": own} if own else {})
-            else:
-                places[name], extra[name] = (f"graphs/{own}" if top == "obsp" else f"{at}/misc/varp/{own}"), {"key": own, "assay.used": assay}
-        _matrices(w, coo, shapes, places, extra)
+                return f"{at}/{stored}", {"dims": [p, n]} | ({"layer": own} if own else {})
+            return (f"graphs/{own}" if top == "obsp" else f"{at}/misc/varp/{own}"), {"key": own, "assay.used": assay}
+
+        _matrices(w, batches(all_matrices(c), "name", "i", "j"), c.shape, place=place)
         rows, sizes = all_vectors(c)
         places = {}
         loadings = {k: r for r, k in ((r, views.M.LOADINGS_OUT.get(r, r.upper())) for r in (x.partition("/")[2].removeprefix("X_") for x in sizes if x.startswith("obsm/")))}
@@ -400,7 +408,7 @@ def write_loom(c: Container, path: str, overwrite: bool = False, level: int = 0)
                 raise DataError(f"{top} has a column {name}, which is where Loom keeps its names")
             w.group(file, {"colnames": list(columns.names)})
             open_ = [(w.grow(f"{file}/{name}" if at == "_index" else f"{file}/{k}" if part == "value" else f"{views.NULLS}/{file}/{k}", dtype), k, part, dtype) for at, k, part, dtype in columns.plan]
-            _stream(df, columns, open_, size, file)
+            _stream(batches(df, columns.index), columns, open_, size, file)
         rows, shapes = all_vectors(c)
         _vectors(w, rows, shapes, {k: k.replace("obsm/", "col_attrs/").replace("varm/", "row_attrs/") for k in shapes})
         for top, file in (("obsp", "col_graphs"), ("varp", "row_graphs")):

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from queue import Full, Queue
+from threading import Event, Thread
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -546,30 +549,35 @@ def code_type(n: int, nulls: bool) -> str:
     return "<i4"
 
 
-def all_matrices(c: Container, at: str = "") -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """(name, i, j, v) of layers and graphs, name being the key in the tree, and the shape of each."""
-    n, p = c.shape
+def all_matrices(c: Container, at: str = "") -> DataFrame:
+    """(name, i, j, v) of layers and graphs, name being the key in the tree."""
     layer = F.when(F.col("layer") == "X", f"{at}X").otherwise(F.concat(F.lit(f"{at}layers/"), "layer"))
     out = c.matrix.select(layer.alias("name"), F.col("obs_idx").alias("i"), F.col("var_idx").alias("j"), F.col("value").cast("double").alias("v"))
-    shapes = {f"{at}X": (n, p)} | {f"{at}layers/{x}": (n, p) for x in c.layers() if x != "X"}
-    for top, size in (("obsp", n), ("varp", p)):
-        keys = c.keys(top)
-        shapes |= {f"{at}{top}/{k}": (size, size) for k in keys}
-        if keys:
-            out = out.unionByName(c.tables[top].select(F.concat(F.lit(f"{at}{top}/"), "key").alias("name"), "i", "j", F.col("w").cast("double").alias("v")))
-    return out, shapes
+    for top in ("obsp", "varp"):
+        out = out.unionByName(c.tables[top].select(F.concat(F.lit(f"{at}{top}/"), "key").alias("name"), "i", "j", F.col("w").cast("double").alias("v")))
+    return out
+
+
+def matrix_shape_of(name: str, shape: tuple[int, int], at: str = "") -> tuple[int, int]:
+    """The shape of what all_matrices() calls so."""
+    top = name[len(at) :].partition("/")[0]
+    return (shape[0],) * 2 if top == "obsp" else (shape[1],) * 2 if top == "varp" else shape
 
 
-def all_vectors(c: Container, at: str = "") -> tuple[DataFrame | None, dict[str, tuple[int, int]]]:
+def all_vectors(c: Container, at: str = "") -> tuple[DataFrame, dict[str, tuple[int, int]]]:
     """(name, i, vec) of embeddings and loadings, and rows and columns of each."""
-    out, shapes = None, {}
-    for top, size in (("obsm", c.shape[0]), ("varm", c.shape[1])):
-        sizes = c.tables[top].groupBy("key").agg(F.max(F.size("vec")).alias("k")).collect()  # a row a key
-        shapes |= {f"{at}{top}/{r.key}": (size, max(1, r.k)) for r in sizes}
-        if sizes:
-            own = c.tables[top].select(F.concat(F.lit(f"{at}{top}/"), "key").alias("name"), F.col(f"{top[:3]}_idx").alias("i"), F.col("vec").cast("array<double>").alias("vec"))
-            out = own if out is None else out.unionByName(own)
-    return out, shapes
+    out = None
+    for top in ("obsm", "varm"):
+        own = c.tables[top].select(F.concat(F.lit(f"{at}{top}/"), "key").alias("name"), F.col(f"{top[:3]}_idx").alias("i"), F.col("vec").cast("array<double>").alias("vec"))
+        out = own if out is None else out.unionByName(own)
+    sizes = out.groupBy("name").agg(F.max(F.size("vec")).alias("k")).collect()  # a row a key
+    return out, {r.name: (c.shape[r.name[len(at) :].startswith("varm")], max(1, r.k)) for r in sizes}
+
+
+def at_once(spark: SparkSession, *calls) -> list:
+    """What the calls return; their jobs run side by side."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]]
 
 
 class ZarrSink:
@@ -620,47 +628,53 @@ class ZarrSink:
 
         self._chunks(df.withColumn("__chunk", F.floor(F.col(columns.index) / size)), columns.index, [], write, {"": n} if n else {})
 
-    def matrices(self, coo: DataFrame, shapes: dict[str, tuple[int, int]]) -> None:
-        """coo: name, i, j, v. The entries of BUCKET rows in a row are placed after those of the buckets before."""
+    def matrices(self, coo: DataFrame, shape: tuple[int, int], always: tuple[str, ...] = ("X",)) -> None:
+        """coo: name, i, j, v. The entries of BUCKET rows in a row are placed after those of the buckets before. always:
+        matrices that are written even if nothing stands in them."""
         store, how = self.store, self.how
         coo = coo.withColumn("b", F.floor(F.col("i") / BUCKET)).persist(StorageLevel.DISK_ONLY)
+        counts = coo.groupBy("name", "b", "i").agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
         try:
-            counts = coo.groupBy("name", "b", "i").agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
             sums = counts.groupBy("name", "b").agg(F.sum("n").alias("n"))
             before = F.sum("n").over(Window.partitionBy("name").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
             starts = sums.select("name", "b", F.coalesce(before, F.lit(0)).alias("start"))
-            nnz = {r.name: r.n for r in sums.groupBy("name").agg(F.sum("n").alias("n")).collect()}
+            nnz = dict.fromkeys(always, 0) | {r.name: r.n for r in sums.groupBy("name").agg(F.sum("n").alias("n")).collect()}
+            shapes = {name: matrix_shape_of(name, shape) for name in nnz}
             for name, (rows, cols) in shapes.items():
                 self.group(name, _CSR | {"shape": [rows, cols]})
-                for part, n, dtype in (("indptr", rows + 1, "<i8"), ("indices", nnz.get(name, 0), "<i8"), ("data", nnz.get(name, 0), "<f8")):
+                for part, n, dtype in (("indptr", rows + 1, "<i8"), ("indices", nnz[name], "<i8"), ("data", nnz[name], "<f8")):
                     Z.write_meta(store, f"{name}/{part}", [n], [CHUNK], dtype, *how)
 
-            def entries(table: pa.Table, chunk: int, name: str) -> None:
+            def put_entries(table: pa.Table, chunk: int, name: str) -> None:
                 Z.write_chunk(store, f"{name}/indices", (chunk,), np.asarray(table["j"]), [CHUNK], "<i8", *how)
                 Z.write_chunk(store, f"{name}/data", (chunk,), np.asarray(table["v"]), [CHUNK], "<f8", *how)
 
-            rank = F.row_number().over(Window.partitionBy("name", "b").orderBy("i", "j")) - 1
-            placed = coo.withColumn("__rank", rank).join(starts, ["name", "b"]).select("name", "j", "v", (F.col("start") + F.col("__rank")).alias("pos"))
-            self._chunks(placed.withColumn("__chunk", F.floor(F.col("pos") / CHUNK)), "pos", ["name"], entries, nnz)
-
-            def pointers(table: pa.Table, chunk: int, name: str) -> None:
+            def put_pointers(table: pa.Table, chunk: int, name: str) -> None:
                 Z.write_chunk(store, f"{name}/indptr", (chunk,), np.asarray(table["ptr"]), [CHUNK], "<i8", *how)
 
-            spark = coo.sparkSession
-            axis = spark.createDataFrame([(k, r + 1) for k, (r, _) in shapes.items()], "name string, rows long")
-            axis = axis.select("name", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / BUCKET))).alias("b"), "rows")  # then BUCKET places of each
-            axis = axis.select("name", "b", F.explode(F.sequence(F.col("b") * BUCKET, F.least(F.col("rows"), (F.col("b") + 1) * BUCKET) - 1)).alias("pos"))
-            # place k + 1 holds the end of row k
-            ends = axis.join(counts.select("name", (F.col("i") + 1).alias("pos"), "n"), ["name", "pos"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-            ends = running_sum(ends.drop("b"), "n", "pos", ("name",), "ptr")
-            self._chunks(ends.withColumn("__chunk", F.floor(F.col("pos") / CHUNK)), "pos", ["name"], pointers, {k: r + 1 for k, (r, _) in shapes.items()})
-            counts.unpersist()
+            def entries() -> None:
+                rank = F.row_number().over(Window.partitionBy("name", "b").orderBy("i", "j")) - 1
+                placed = coo.withColumn("__rank", rank).join(starts, ["name", "b"]).select("name", "j", "v", (F.col("start") + F.col("__rank")).alias("pos"))
+                self._chunks(placed.withColumn("__chunk", F.floor(F.col("pos") / CHUNK)), "pos", ["name"], put_entries, nnz)
+
+            def pointers() -> None:
+                spark = coo.sparkSession
+                axis = spark.createDataFrame([(k, r + 1) for k, (r, _) in shapes.items()], "name string, rows long")
+                axis = axis.select("name", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / BUCKET))).alias("b"), "rows")  # then BUCKET places of each
+                axis = axis.select("name", "b", F.explode(F.sequence(F.col("b") * BUCKET, F.least(F.col("rows"), (F.col("b") + 1) * BUCKET) - 1)).alias("pos"))
+                # place k + 1 holds the end of row k
+                ends = axis.join(counts.select("name", (F.col("i") + 1).alias("pos"), "n"), ["name", "pos"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+                ends = running_sum(ends.drop("b"), "n", "pos", ("name",), "ptr")
+                self._chunks(ends.withColumn("__chunk", F.floor(F.col("pos") / CHUNK)), "pos", ["name"], put_pointers, {k: r + 1 for k, (r, _) in shapes.items()})
+
+            at_once(coo.sparkSession, entries, pointers)
         finally:
+            counts.unpersist()
             coo.unpersist()
 
-    def vectors(self, rows: DataFrame | None, shapes: dict[str, tuple[int, int]]) -> None:
+    def vectors(self, rows: DataFrame, shapes: dict[str, tuple[int, int]]) -> None:
         """rows: name, i, vec. Rows that are missing are NaN."""
-        if rows is None:
+        if not shapes:
             return
         store, how = self.store, self.how
         sizes = {k: max(1, min(n, CHUNK // d)) for k, (n, d) in shapes.items()}
@@ -687,10 +701,10 @@ def write_zarr(c: Container, path: str, overwrite: bool = False, codec: str = "z
     sink.group("", {"encoding-type": "anndata", "encoding-version": "0.1.0"})
     for top in ("layers", "obsm", "varm", "obsp", "varp"):
         sink.group(top, {"encoding-type": "dict", "encoding-version": "0.1.0"})
-    sink.matrices(*all_matrices(c))
-    sink.frame(c.obs, "obs", c.shape[0], c.levels)
-    sink.frame(c.var, "var", c.shape[1], c.levels)
-    sink.vectors(*all_vectors(c))
+    at_once(
+        c.spark, lambda: sink.matrices(all_matrices(c), c.shape), lambda: sink.frame(c.obs, "obs", c.shape[0], c.levels), lambda: sink.frame(c.var, "var", c.shape[1], c.levels),
+        lambda: sink.vectors(*all_vectors(c)),
+    )
     write_uns(((r.path, r.value) for r in c.uns.orderBy("path").toLocalIterator()), sink.group, sink.put)
     write_spatial(c.tables, sink.group, sink.put, lambda *what: ZarrGrowing(sink.store, sink.how, *what), batches)
     commit()
@@ -711,6 +725,46 @@ def batches(df: DataFrame, *order: str) -> Iterator[pa.RecordBatch]:
         yield pa.ipc.open_stream(row.b).read_next_batch()
 
 
+def ahead(spark: SparkSession, parts: Iterator, room: int = 4) -> Iterator:
+    """What parts gives, produced by a thread that begins at once and is at most ``room`` parts ahead."""
+    queue: Queue = Queue(room)
+    stopped = Event()
+
+    def offer(item) -> bool:
+        while not stopped.is_set():
+            try:
+                queue.put(item, timeout=1)
+                return True
+            except Full:
+                continue
+        return False
+
+    def run() -> None:
+        try:
+            for part in parts:
+                if not offer((part, None)):
+                    return
+            offer((None, StopIteration()))
+        except BaseException as e:  # noqa: BLE001  handed to the reader
+            offer((None, e))
+
+    Thread(target=inheritable_thread_target(spark)(run), daemon=True).start()
+
+    def read() -> Iterator:
+        try:
+            while True:
+                part, end = queue.get()
+                if isinstance(end, StopIteration):
+                    return
+                if end is not None:
+                    raise end
+                yield part
+        finally:
+            stopped.set()
+
+    return read()
+
+
 def _axes(store: Z.Store, key: str) -> tuple[list[str] | None, str]:
     """Names of an image's axes, and where its largest resolution is."""
     known = store.attrs(key)
