@@ -5,7 +5,7 @@ coo: obs_idx, var_idx, value (no zeros). packed: major index, ptr (end offset),
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import running_sum
@@ -20,6 +20,19 @@ def pack(coo: DataFrame, majors: DataFrame, major: str = "obs_idx", minor: str =
     return running_sum(rows, "nnz", major, out="ptr")
 
 
+def pack_segments(coo: DataFrame, major: str = "obs_idx", minor: str = "var_idx", size: int = 1 << 20) -> DataFrame:
+    """Compressed rows (or columns) in segments: a segment holds a major index's entries of ``size`` minor indices in a row,
+    so no array outgrows that, however full a column is. ptr is where the segment ends among all entries; empty rows
+    have no segment."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(minor).alias("i"), F.col("value").alias("v"))))
+    rows = coo.groupBy(major, F.floor(F.col(minor) / size).alias("part")).agg(pairs.alias("p"))
+    rows = rows.select(major, "part", F.size("p").cast("long").alias("nnz"), F.col("p.i").alias("indices"), F.col("p.v").alias("vals"))
+    counts = coo.groupBy(major).agg(F.count("*").alias("__n"))
+    starts = running_sum(counts, "__n", major, out="__end").select(major, (F.col("__end") - F.col("__n")).alias("__start"))
+    inside = F.sum("nnz").over(Window.partitionBy(major).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__inside", inside).join(starts, major).withColumn("ptr", F.col("__start") + F.col("__inside")).drop("__inside", "__start")
+
+
 def unpack(packed: DataFrame, major: str = "obs_idx", minor: str = "var_idx") -> DataFrame:
     z = packed.select(major, F.explode(F.arrays_zip("indices", "vals")).alias("z"))
     return z.select(major, F.col("z.indices").alias(minor), F.col("z.vals").alias("value"))

@@ -66,6 +66,12 @@ def q_csc_pack(spark, d):
     return L.pack(coo(spark, d), var(spark, d), "var_idx", "obs_idx")
 
 
+@query(""", s as (select var_idx, obs_idx // 16 as part, count(*) as nnz, list(obs_idx order by obs_idx) as indices, list(value order by obs_idx) as vals from coo group by 1, 2)
+select var_idx, part::bigint as part, nnz::bigint as nnz, indices, vals, (sum(nnz) over (order by var_idx, part))::bigint as ptr from s""")
+def q_csc_segments(spark, d):
+    return L.pack_segments(coo(spark, d), "var_idx", "obs_idx", 16)
+
+
 @query("select var_idx as obs_idx, obs_idx as var_idx, value from coo")
 def q_transpose(spark, d):
     return L.transpose(coo(spark, d))

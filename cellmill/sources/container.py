@@ -185,6 +185,41 @@ def read_container(spark: SparkSession, path: str, components: Iterable[str] | N
     return Container(spark, tables, tuple(facts["shape"]), facts["attrs"]).only(components).query(obs_query, var_query, obs_columns, var_columns)
 
 
+def from_memory(spark: SparkSession, assays: dict[str, object], obs=None, var=None, obsm: dict[str, object] | None = None) -> Container:
+    """A container of what a session holds: assays are arrays or sparse matrices of features x cells, obs and var pandas
+    frames with names as index, obsm arrays of cells x dimensions. logcounts are X and counts a layer; without logcounts
+    the counts are X, without either the first assay is."""
+    import numpy as np
+    import pandas as pd
+
+    main = "logcounts" if "logcounts" in assays else "counts" if "counts" in assays else next(iter(assays))
+    p, n = assays[main].shape
+    frames = {}
+    for axis, frame, size, stem in (("obs", obs, n, "Cell"), ("var", var, p, "Gene")):
+        frame = pd.DataFrame(index=[f"{stem}{k + 1}" for k in range(size)]) if frame is None else frame
+        if len(frame) != size:
+            raise DataError(f"{axis} has {len(frame)} rows, the assays have {size}")
+        named = frame.copy()
+        named.insert(0, f"{axis}_id", [str(x) for x in frame.index])
+        named.insert(0, f"{axis}_idx", np.arange(size))
+        frames[axis] = spark.createDataFrame(named.reset_index(drop=True))
+    parts = []
+    for name, values in assays.items():
+        if values.shape != (p, n):
+            raise DataError(f"assay {name} is {values.shape}, {main} is {(p, n)}")
+        if hasattr(values, "tocoo"):
+            coo = values.tocoo()
+            g, o, v = coo.row, coo.col, coo.data
+        else:
+            g, o = np.nonzero(np.asarray(values))
+            v = np.asarray(values)[g, o]
+        parts.append(pd.DataFrame({"layer": "X" if name == main else name, "obs_idx": o.astype("int64"), "var_idx": g.astype("int64"), "value": v.astype(float)}))
+    matrix = spark.createDataFrame(pd.concat(parts), SCHEMAS["matrix"])
+    vectors = [(k, i, [float(x) for x in row]) for k, rows in (obsm or {}).items() for i, row in enumerate(np.asarray(rows))]
+    facts = {"x_holds": "counts" if main == "counts" else "data", "counts_from": "layers/counts" if main == "logcounts" and "counts" in assays else "X"}
+    return Container.of(spark, (n, p), facts, obs=frames["obs"], var=frames["var"], matrix=matrix, obsm=spark.createDataFrame(vectors, SCHEMAS["obsm"]))
+
+
 def from_tables(spark: SparkSession, sf_dir: str) -> Container:
     """The container that plans.derive makes of the star-schema tables."""
     from ..plans import derive

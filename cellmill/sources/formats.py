@@ -33,7 +33,8 @@ register_format("soma", no_soma, no_soma)
 
 def kind_of(spark: SparkSession, path: str) -> str:
     """file_type(), with bundles found on any store that Spark reaches."""
-    return file_type(path, None if path.lower().startswith("soma://") else lambda p: container.names_in(spark, p))
+    web = path.lower().startswith(("soma://", "http://", "https://", "s3://", "gs://"))
+    return file_type(path, (lambda _: []) if web else lambda p: container.names_in(spark, p))
 
 
 def _known(call, options: dict, what: str) -> None:

@@ -71,7 +71,7 @@ class Sub:
         return self.tree.array(Z.join(self.prefix, key))
 
 
-def open_tree(path: str, prefix: str = "", view: str = "", **options):
+def open_tree(path: str, prefix: str = "", view: str = "", endpoint: str | None = None, cache: str | None = None, **options):
     """A Zarr store or an HDF5 file, what is under a prefix in it, or a view of it: all answer kind, attrs, children and
     array."""
     if path.lower().endswith((".h5ad", ".h5mu", ".h5seurat", ".loom", ".gef", ".h5")):
@@ -79,7 +79,7 @@ def open_tree(path: str, prefix: str = "", view: str = "", **options):
 
         tree = Tree(path)
     else:
-        tree = Z.Store(path)
+        tree = Z.open_store(path, endpoint, cache)
     if view:
         from .views import VIEWS
 
@@ -88,7 +88,7 @@ def open_tree(path: str, prefix: str = "", view: str = "", **options):
 
 
 #: Options that open_tree() takes.
-_OPENING = ("prefix", "view", "assay", "genes", "cells")
+_OPENING = ("prefix", "view", "assay", "genes", "cells", "endpoint", "cache")
 
 
 def _open(options: dict):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import itertools
 import json
 import math
@@ -82,6 +83,99 @@ class Store:
         return None if raw is None else json.loads(raw)
 
 
+class WebStore(Store):
+    """A store that is read over HTTP: a plain address, or a bucket as s3://bucket/path or gs://bucket/path, without
+    credentials. Buckets are listed page by page; at a plain address the consolidated metadata says what is there.
+
+    endpoint: another address of the bucket's service than the public one. cache: a folder on this machine for what was
+    read, under a hash of the address; each machine has its own."""
+
+    def __init__(self, root: str, endpoint: str | None = None, cache: str | None = None):
+        self.root, self.remote, self.cache = root.rstrip("/"), True, cache
+        scheme, _, rest = self.root.partition("://")
+        bucket, _, self.prefix = rest.partition("/")
+        self.listed = scheme.lower() in ("s3", "gs")
+        if self.listed:
+            public = f"https://{bucket}.s3.amazonaws.com" if scheme.lower() == "s3" else f"https://storage.googleapis.com/{bucket}"
+            self.service = (endpoint or public).rstrip("/")
+            self.base = f"{self.service}/{self.prefix}".rstrip("/")
+        else:
+            self.base = self.root
+        self._known: dict | None = None
+
+    def _fetch(self, url: str) -> bytes | None:
+        from urllib.error import HTTPError
+        from urllib.request import urlopen
+
+        try:
+            with urlopen(url, timeout=60) as answer:  # noqa: S310  the scheme is http or https
+                return answer.read()
+        except HTTPError as e:
+            if e.code in (403, 404):  # buckets without a right to list answer 403 for what isn't there
+                return None
+            raise ZarrError(f"{url}: {e}") from e
+
+    def get(self, key: str) -> bytes | None:
+        from urllib.parse import quote
+
+        url = f"{self.base}/{quote(key)}"
+        if not self.cache:
+            return self._fetch(url)
+        place = os.path.join(self.cache, hashlib.md5(self.base.encode(), usedforsecurity=False).hexdigest(), key + ".bytes")
+        if os.path.exists(place):
+            with open(place, "rb") as f:
+                return f.read()
+        raw = self._fetch(url)
+        if raw is not None:
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            part = f"{place}.{os.getpid()}.part"
+            with open(part, "wb") as f:
+                f.write(raw)
+            os.replace(part, place)
+        return raw
+
+    def put(self, key: str, value: bytes) -> None:
+        raise ZarrError(f"{self.root} can only be read")
+
+    def _names(self) -> dict:
+        """Keys of the consolidated metadata."""
+        if self._known is None:
+            raw = self.get(".zmetadata")
+            self._known = json.loads(raw)["metadata"] if raw else {}
+        return self._known
+
+    def children(self, key: str = "") -> list[str]:
+        if not self.listed:
+            head = f"{key}/" if key else ""
+            return sorted({k[len(head) :].split("/")[0] for k in self._names() if k.startswith(head) and "/" in k[len(head) :]})
+        from urllib.parse import quote
+        from xml.etree import ElementTree
+
+        head, found, token = f"{join(self.prefix, key)}/".lstrip("/"), [], None
+        while True:
+            url = f"{self.service}/?list-type=2&delimiter=%2F&prefix={quote(head, safe='')}" + (f"&continuation-token={quote(token, safe='')}" if token else "")
+            raw = self._fetch(url)
+            if raw is None:
+                raise ZarrError(f"{self.service} can't be listed")
+            tree = ElementTree.fromstring(raw)  # noqa: S314  an answer of the store's own service
+            tag = lambda e: e.tag.rpartition("}")[2]
+            for e in tree:
+                if tag(e) == "CommonPrefixes":
+                    found += [p.text[len(head) :].rstrip("/") for p in e if tag(p) == "Prefix"]
+            token = next((e.text for e in tree if tag(e) == "NextContinuationToken"), None)
+            if not token:
+                return sorted(found)
+
+
+def open_store(root: str, endpoint: str | None = None, cache: str | None = None) -> Store:
+    """A Store, or a WebStore for addresses and buckets that are read without credentials (http, https; s3 and gs where an
+    endpoint is named or ``anonymous`` is)."""
+    scheme = root.partition("://")[0].lower() if "://" in root else ""
+    if scheme in ("http", "https") or endpoint:
+        return WebStore(root, None if endpoint == "anonymous" else endpoint, cache)
+    return Store(root)
+
+
 def join(*parts: str) -> str:
     return "/".join(p.strip("/") for p in parts if p)
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from cellmill.operators.joins import DataError
 from cellmill.sources import formats
 from cellmill.sources import zarr_store as Z
-from cellmill.sources.container import Container
+from cellmill.sources.container import Container, from_memory
 from cellmill.sources.hdf5 import Hdf5Error, Tree, Writer
 from cellmill.operators.spatial import image_axes
 from cellmill.sources.spatial import SCHEMAS as SPATIAL
 from cellmill.sources.spatial import image_coordinates
 from cellmill.sources.registry import FormatError, file_type, list_formats
-from cellmill.sources.zarr import component
+from cellmill.sources.zarr import ReadWarning, component, read_embeddings, read_obs
 
 
 #: Scalars, lists, matrices, nested and empty groups, frames, sparse matrices, mixed lists, null.
@@ -263,3 +263,162 @@ def test_image_axes():
     assert image_axes([7, 9]) == {"h": 0, "w": 1} and image_axes([3, 7, 9]) == {"c": 0, "h": 1, "w": 2} and image_axes([7, 9, 4]) == {"h": 0, "w": 1, "c": 2}
     assert image_axes([7, 9, 5]) == {"c": 0, "h": 1, "w": 2} and image_axes([2, 3, 7, 9]) == {"c": 1, "h": 2, "w": 3} and image_axes([2, 3, 1, 7, 9]) == {"c": 1, "h": 3, "w": 4}
     assert image_axes([9, 3, 7], ["x", "c", "y"]) == {"h": 2, "w": 0, "c": 1}
+
+
+@pytest.fixture
+def web(tmp_path):
+    """A server of tmp_path that also lists it, two names a page, as a bucket's service does."""
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    class Handler(SimpleHTTPRequestHandler):
+        asked = []
+
+        def do_GET(self):
+            self.asked.append(self.path)
+            query = parse_qs(urlparse(self.path).query)
+            if "list-type" not in query:
+                return super().do_GET()
+            prefix, after = query["prefix"][0], int(query.get("continuation-token", ["0"])[0])
+            folder = tmp_path / prefix
+            names = sorted(p.name for p in folder.iterdir() if p.is_dir()) if folder.is_dir() else []
+            page = "".join(f"<CommonPrefixes><Prefix>{prefix}{n}/</Prefix></CommonPrefixes>" for n in names[after : after + 2])
+            more = f"<NextContinuationToken>{after + 2}</NextContinuationToken>" if after + 2 < len(names) else ""
+            raw = f'<ListBucketResult xmlns="x">{page}{more}</ListBucketResult>'.encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(Handler, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", Handler.asked
+    server.shutdown()
+
+
+def test_web_store(spark, box, web, tmp_path):
+    address, asked = web
+    formats.save(box, f"{tmp_path}/data/a.zarr")
+    got = formats.load(spark, "s3://bucket/data/a.zarr", endpoint=address)
+    same(box, got)
+    cached = formats.load(spark, "s3://bucket/data/a.zarr", endpoint=address, cache=f"{tmp_path}/cache", check=False)
+    assert rows(cached.obs) == rows(box.obs)
+    asked.clear()
+    assert rows(cached.obs) == rows(box.obs) and not [a for a in asked if a.endswith("codes/0")]
+    base = tmp_path / "data/a.zarr"
+    names = {str(p.relative_to(base)): json.loads(p.read_text()) for p in base.rglob(".z*")}
+    (base / ".zmetadata").write_text(json.dumps({"metadata": names, "zarr_consolidated_format": 1}))
+    same(box, formats.load(spark, f"{address}/data/a.zarr"))
+    with pytest.raises(Z.ZarrError):
+        Z.open_store(address).put("x", b"")
+
+
+def test_from_memory(spark):
+    import pandas as pd
+
+    counts = np.array([[1, 0, 3], [0, 2, 0]])
+    c = from_memory(spark, {"counts": counts, "logcounts": np.log1p(counts)}, pd.DataFrame({"kind": ["a", "b", "c"]}, index=["x", "y", "z"]), None, {"X_pca": np.eye(3)})
+    assert c.shape == (3, 2) and [r.obs_id for r in c.obs.orderBy("obs_idx").collect()] == ["x", "y", "z"] and [r.var_id for r in c.var.orderBy("var_idx").collect()] == ["Gene1", "Gene2"]
+    assert {(r.obs_idx, r.var_idx): r.value for r in c.counts().collect()} == {(0, 0): 1, (2, 0): 3, (1, 1): 2} and c.layers() == ["X", "counts"] and c.obsm.count() == 3
+    assert from_memory(spark, {"counts": counts}).layers() == ["X"] and from_memory(spark, {"counts": counts}).attrs["x_holds"] == "counts"
+    with pytest.raises(DataError):
+        from_memory(spark, {"counts": counts, "other": counts.T})
+
+
+def test_ambiguous_sparse_and_old_layouts(spark, tmp_path):
+    """No shape, no encoding, parts called i, p, x, columns by length; codes beside __categories; X the other way round."""
+    def file(name, fill):
+        with Writer(f"{tmp_path}/{name}.h5ad") as w:
+            for axis, n in (("obs", 3), ("var", 2)):
+                w.group(axis, {"_index": "index"})
+                w.dataset(f"{axis}/index", [[f"{axis}{k}" for k in range(n)]], [n], "string")
+            fill(w)
+        return formats.load(spark, f"{tmp_path}/{name}.h5ad")
+
+    entries = lambda c: sorted((r.obs_idx, r.var_idx, r.value) for r in c.matrix.collect())
+    put = lambda w, key, values, dtype="<f8": w.dataset(key, [np.array(values)], list(np.shape(values)), dtype)
+
+    def by_columns(w):
+        put(w, "X/x", [1.0, 2.0, 3.0])
+        put(w, "X/i", [0, 2, 1], "<i4")
+        put(w, "X/p", [0, 2, 3], "<i4")
+        w.group("obs/__categories")
+        w.dataset("obs/__categories/kind", [["lo", "hi"]], [2], "string")
+        put(w, "obs/kind", [1, -1, 0], "|i1")
+
+    c = file("columns", by_columns)
+    assert entries(c) == [(0, 0, 1), (1, 1, 3), (2, 0, 2)] and [r.kind for r in c.obs.orderBy("obs_idx").collect()] == ["hi", None, "lo"]
+    assert entries(file("turned", lambda w: put(w, "X", [[1.0, 0, 2], [0, 3, 0]]))) == [(0, 0, 1), (1, 1, 3), (2, 0, 2)]
+    with pytest.raises(DataError):
+        file("wrong", lambda w: put(w, "X", [[1.0, 0], [0, 3]]))
+
+    def raw_only(w):
+        put(w, "raw/X", [[1.0, 0], [0, 3], [2, 0]])
+
+    assert entries(file("raw", raw_only)) == [(0, 0, 1), (1, 1, 3), (2, 0, 2)]
+
+    def odd_parts(w):
+        put(w, "X", [[1.5, 0], [0, 3], [2, 0]])
+        put(w, "obsm/X_ok", [[1.0], [2], [3]])
+        put(w, "obsm/X_short", [[1.0], [2]])
+
+    with pytest.warns(ReadWarning):
+        c = file("odd", odd_parts)
+    assert c.keys("obsm") == ["X_ok"]
+
+    def bad_layer(w):
+        put(w, "X", [[1.0, 0], [0, 3], [2, 0]])
+        put(w, "layers/l", [[1.0, 0]])
+
+    with pytest.raises(DataError):
+        file("layer", bad_layer)
+
+
+def test_selection(spark, box, tmp_path):
+    formats.save(box, f"{tmp_path}/a.h5ad")
+    none = formats.load(spark, f"{tmp_path}/a.h5ad", include_x=False, layers=[])
+    assert none.matrix.count() == 0 and none.shape == (4, 3)
+    some = formats.load(spark, f"{tmp_path}/a.h5ad", layers=["counts"], obsm=["X_pca"], obsp=[])
+    assert some.obsp.count() == 0 and some.layers() == ["X", "counts"] and some.reductions() == {"pca": "X_pca"}
+    with pytest.warns(ReadWarning):
+        formats.load(spark, f"{tmp_path}/a.h5ad", obsm=["gone"])
+    assert [r.obs_id for r in read_obs(spark, f"{tmp_path}/a.h5ad").orderBy("obs_idx").collect()] == ["c0", "c1", "c2", "é"]
+    assert read_embeddings(spark, f"{tmp_path}/a.h5ad").count() == 4
+    with pytest.raises(DataError):
+        box.append(some.query("obs_idx < 2"))
+    more = Container(spark, box.tables | {"obsm": box.obsm.limit(0), "matrix": box.matrix.filter("layer = 'X'")}, box.shape)
+    assert rows(more.append(box).obsm) == rows(box.obsm) and rows(more.append(box).matrix) == rows(box.matrix)
+
+
+def test_cell_bins_file(spark, monkeypatch):
+    """A file of cell bins as records; the HDF5 writer has no records, so the tree is made up."""
+    import cellmill.sources.hdf5_formats as h
+
+    class Rows:  # classes in here travel to the workers by value
+        def __init__(self, values):
+            self.values, self.shape, self.dtype = values, list(values.shape), values.dtype
+
+        def read(self, begin=0, end=None):
+            return self.values[begin:end]
+
+    class Records:
+        def __init__(self, nodes):
+            self.nodes = nodes
+
+        def kind(self, key):
+            return "array" if key in self.nodes else None
+
+        def array(self, key):
+            return Rows(self.nodes[key])
+
+    cells = np.array([(0, 2, 5, 6), (2, 1, 7, 8)], dtype=[("offset", "<u4"), ("geneCount", "<u2"), ("x", "<i4"), ("y", "<i4")])
+    genes = np.array([(b"A",), (b"B",)], dtype=[("geneName", "S32")])
+    entries = np.array([(0, 3), (1, 1), (1, 9)], dtype=[("geneID", "<u4"), ("count", "<u2")])
+    monkeypatch.setattr(h, "Tree", lambda path: Records({"cellBin/cell": cells, "cellBin/gene": genes, "cellBin/cellExp": entries}))
+    c = h.read_cellbin_gef(spark, "x.cellbin.gef")
+    assert {(r.obs_idx, r.var_idx): r.value for r in c.matrix.collect()} == {(0, 0): 3, (0, 1): 1, (1, 1): 9} and c.obs.orderBy("obs_idx").first().x == 5
+    assert list_formats()["cellbin.gef"] == (True, False)
