@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .shared import materialise, without
 from .textkit import ALNUM, FOLD, placed_hashes, runs_of, texts_in_chunks
 
-WINDOW, SHINGLE, BLOCK_WORDS, HELD = 13, 4, 250_000, 16 << 20
+WINDOW, SHINGLE, BLOCK_WORDS, HELD = 13, 4, 250_000, 4 << 20
 OUTPUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 _PLACES = T.ArrayType(T.LongType())
 
