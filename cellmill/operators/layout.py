@@ -12,12 +12,14 @@ from .order import running_sum
 
 
 def pack(coo: DataFrame, majors: DataFrame, major: str = "obs_idx", minor: str = "var_idx") -> DataFrame:
-    """Compressed rows (or columns) in the order of their minor index, with empty ones; a row a major index."""
+    """Compressed rows (or columns) in the order of their minor index, with empty ones; a row a major index. Pointers come
+    from counts, so the arrays are made once. (A column that may outgrow an array: see pack_segments().)"""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(minor).alias("i"), F.col("value").alias("v"))))
     rows = coo.groupBy(major).agg(pairs.alias("p"))
-    rows = majors.select(major).join(rows, major, "left").withColumn("p", F.coalesce("p", F.array().cast(rows.schema["p"].dataType)))
-    rows = rows.select(major, F.size("p").cast("long").alias("nnz"), F.col("p.i").alias("indices"), F.col("p.v").alias("vals"))
-    return running_sum(rows, "nnz", major, out="ptr")
+    counts = majors.select(major).join(coo.groupBy(major).agg(F.count("*").alias("nnz")), major, "left").withColumn("nnz", F.coalesce("nnz", F.lit(0).cast("long")))
+    ends = running_sum(counts, "nnz", major, out="ptr")
+    out = ends.join(rows, major, "left").withColumn("p", F.coalesce("p", F.array().cast(rows.schema["p"].dataType)))
+    return out.select(major, "nnz", F.col("p.i").alias("indices"), F.col("p.v").alias("vals"), "ptr")
 
 
 def pack_segments(coo: DataFrame, major: str = "obs_idx", minor: str = "var_idx", size: int = 1 << 20) -> DataFrame:

@@ -273,8 +273,9 @@ class _Logical:
         self.inner.add(np.array([2 if v is None else int(v) for v in flags.to_pylist()]))
 
 
-def write_h5seurat(c: Container, path: str, overwrite: bool = False, assay: str = "RNA", level: int = 0) -> None:
-    """Features x cells by columns, which is our rows x features by rows; X is the layer data."""
+def write_h5seurat(c: Container, path: str, overwrite: bool = False, assay: str = "RNA", level: int = 0, nested: bool = False) -> None:
+    """Features x cells by columns, which is our rows x features by rows; X is the layer data. nested: layers stand in a
+    group of their own, as newer files have them."""
     n, p = c.shape
     at = f"assays/{assay}"
     with Writer(_target(path, overwrite), level) as w:
@@ -287,7 +288,7 @@ def write_h5seurat(c: Container, path: str, overwrite: bool = False, assay: str
             top, _, own = name.partition("/")
             if top in ("X", "layers"):
                 stored = "data" if top == "X" else {"scaled": "scale.data", "data": "data.layer"}.get(own, own)
-                return f"{at}/{stored}", {"dims": [p, n]} | ({"layer": own} if own else {})
+                return f"{at}/layers/{stored}" if nested else f"{at}/{stored}", {"dims": [p, n]} | ({"layer": own} if own else {})
             return (f"graphs/{own}" if top == "obsp" else f"{at}/misc/varp/{own}"), {"key": own, "assay.used": assay}
 
         _matrices(w, batches(all_matrices(c), "name", "i", "j"), c.shape, place=place)
@@ -310,6 +311,12 @@ def read_h5seurat(spark: SparkSession, path: str, components: Iterable[str] | No
     return read_tree(spark, path, components, view="h5seurat", assay=assay, **options)
 
 
+def is_nested(path: str) -> bool:
+    """Whether an h5Seurat file keeps its layers in a group of their own."""
+    tree = Tree(path)
+    return any(tree.kind(f"assays/{a}/layers") == "group" for a in tree.children("assays"))
+
+
 def gef_expression(spark: SparkSession, path: str, key: str, columns: dict[str, str], step: int = 1 << 18) -> DataFrame:
     """pos and columns (name -> field) of a table of records, read by the executors in ranges."""
     tree = Tree(path)

@@ -12,6 +12,7 @@ from cellmill.sources import formats
 from cellmill.sources import zarr_store as Z
 from cellmill.sources.container import Container, from_memory
 from cellmill.sources.hdf5 import Hdf5Error, Tree, Writer
+from cellmill.sources.hdf5_formats import is_nested
 from cellmill.operators.spatial import image_axes
 from cellmill.sources.spatial import SCHEMAS as SPATIAL
 from cellmill.sources.spatial import image_coordinates
@@ -186,6 +187,17 @@ def test_h5seurat_h5mu_query_spatialdata(spark, box, tmp_path):
     assert rows(got.tables["points/genes"]) == rows(box.tables.pop("points/genes"))
 
 
+def test_h5seurat_nested_layers(spark, box, tmp_path):
+    formats.save(box, f"{tmp_path}/old.h5seurat")
+    formats.convert(spark, f"{tmp_path}/old.h5seurat", f"{tmp_path}/new.h5seurat", nested=True)
+    assert [is_nested(f"{tmp_path}/{n}.h5seurat") for n in ("old", "new")] == [False, True]
+    same(box, formats.load(spark, f"{tmp_path}/new.h5seurat"))
+    formats.convert(spark, f"{tmp_path}/new.h5seurat", f"{tmp_path}/adt.h5seurat", assay=None, nested=True)
+    formats.save({"rna": box, "prot": box}, f"{tmp_path}/two.h5mu")
+    formats.convert(spark, f"{tmp_path}/two.h5mu", f"{tmp_path}/one.h5ad", assay="ADT")
+    same(box, formats.load(spark, f"{tmp_path}/one.h5ad"))
+
+
 def test_gef(spark, tmp_path):
     from cellmill.sources.vendor import cell_bins, square_bins
 
