@@ -230,4 +230,5 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Container:
     obsm = o.select("obs_idx").join(e, F.col("obs_idx") == F.col("vec_id")).select(F.lit("X_pca").alias("key"), "obs_idx", F.col("embedding").cast("array<double>").alias("vec"))
     obs = o.select("obs_idx", "obs_id", "grp", "s_acctbal")
     var = v.select("var_idx", "var_id", "brand", "highly_variable", F.col("p_size").cast("long").alias("p_size"))
-    return Container.of(spark, (o.count(), v.count()), obs=obs, var=var, matrix=matrix, obsm=obsm)
+    cells = derive.table(spark, sf_dir, "supplier").join(derive.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    return Container.of(spark, (cells.count(), derive.table(spark, sf_dir, "part").count()), obs=obs, var=var, matrix=matrix, obsm=obsm)

@@ -22,7 +22,7 @@ from .container import Container
 from .hdf5 import Tree, Writer
 from .spatial import write_spatial
 from .uns import write_uns
-from .zarr import _CSR, TEXT, Columns, ahead, all_matrices, all_vectors, at_once, batches, matrix_shape_of, read_tree
+from .zarr import _CSR, TEXT, Columns, ahead, all_matrices, all_vectors, at_once, batches, matrix_shape_of, read_tree, vector_shapes
 
 #: Rows of an axis that are written at once where nothing stands in them.
 PART = 65536
@@ -96,8 +96,8 @@ def _matrices(w: Writer, parts: Iterator[pa.RecordBatch], shape: tuple[int, int]
             begin(f"{at}{own}").close()
 
 
-def _vectors(w: Writer, rows: DataFrame, shapes: dict[str, tuple[int, int]], places: dict[str, str] | None = None) -> None:
-    """rows: name, i, vec; rows that are missing are NaN."""
+def _vectors(w: Writer, parts: Iterator[pa.RecordBatch], shapes: dict[str, tuple[int, int]], places: dict[str, str] | None = None) -> None:
+    """parts: name, i, vec in order; rows that are missing are NaN."""
     open_, at = {}, {}
     encoded = {"encoding-type": "array", "encoding-version": "0.2.0"}
 
@@ -108,7 +108,7 @@ def _vectors(w: Writer, rows: DataFrame, shapes: dict[str, tuple[int, int]], pla
 
     for name, (_, k) in shapes.items():
         open_[name], at[name] = w.grow((places or {}).get(name, name), "<f8", (k,), encoded), 0
-    for part in batches(rows, "name", "i") if shapes else []:
+    for part in parts:
         for name, i, vec in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
             blank(name, i)
             line = np.full((1, shapes[name][1]), np.nan)
@@ -160,12 +160,13 @@ def _anndata(w: Writer, c: Container, at: str = "") -> None:
     for top in ("layers", "obsm", "varm", "obsp", "varp"):
         w.group(f"{at}{top}", {"encoding-type": "dict", "encoding-version": "0.1.0"})
     # all tables are on their way while the file takes one after another
-    matrices, obs, var = (ahead(c.spark, batches(df, *order)) for df, order in ((all_matrices(c, at), ("name", "i", "j")), (c.obs, ("obs_idx",)), (c.var, ("var_idx",))))
-    seen_obs, seen_var, (rows, sizes) = at_once(c.spark, lambda: Columns(c.obs, "obs", c.levels), lambda: Columns(c.var, "var", c.levels), lambda: all_vectors(c, at))
+    tables = ((all_matrices(c, at), ("name", "i", "j")), (c.obs, ("obs_idx",)), (c.var, ("var_idx",)), (all_vectors(c, at), ("name", "i")))
+    matrices, obs, var, vectors = (ahead(c.spark, batches(df, *order)) for df, order in tables)
+    seen_obs, seen_var, sizes = at_once(c.spark, lambda: Columns(c.obs, "obs", c.levels), lambda: Columns(c.var, "var", c.levels), lambda: vector_shapes(c, at))
     _matrices(w, matrices, c.shape, at)
     _frame(w, "obs", seen_obs, obs, c.shape[0], at)
     _frame(w, "var", seen_var, var, c.shape[1], at)
-    _vectors(w, rows, sizes)
+    _vectors(w, vectors, sizes)
     _uns(w, c, f"{at}uns")
 
 
@@ -292,7 +293,7 @@ def write_h5seurat(c: Container, path: str, overwrite: bool = False, assay: str
             return (f"graphs/{own}" if top == "obsp" else f"{at}/misc/varp/{own}"), {"key": own, "assay.used": assay}
 
         _matrices(w, batches(all_matrices(c), "name", "i", "j"), c.shape, place=place)
-        rows, sizes = all_vectors(c)
+        sizes = vector_shapes(c)
         places = {}
         loadings = {k: r for r, k in ((r, views.M.LOADINGS_OUT.get(r, r.upper())) for r in (x.partition("/")[2].removeprefix("X_") for x in sizes if x.startswith("obsm/")))}
         for name in sizes:
@@ -302,7 +303,7 @@ def write_h5seurat(c: Container, path: str, overwrite: bool = False, assay: str
             places[name] = f"reductions/{reduction}/{'cell.embeddings' if top == 'obsm' else 'feature.loadings'}"
         if len(set(places.values())) < len(places):
             raise DataError(f"embeddings {sorted(sizes)} would have one name in the file")
-        _vectors(w, rows, sizes, places)
+        _vectors(w, batches(all_vectors(c), "name", "i"), sizes, places)
         _uns(w, c, "misc")
 
 
@@ -416,8 +417,8 @@ def write_loom(c: Container, path: str, overwrite: bool = False, level: int = 0)
             w.group(file, {"colnames": list(columns.names)})
             open_ = [(w.grow(f"{file}/{name}" if at == "_index" else f"{file}/{k}" if part == "value" else f"{views.NULLS}/{file}/{k}", dtype), k, part, dtype) for at, k, part, dtype in columns.plan]
             _stream(batches(df, columns.index), columns, open_, size, file)
-        rows, shapes = all_vectors(c)
-        _vectors(w, rows, shapes, {k: k.replace("obsm/", "col_attrs/").replace("varm/", "row_attrs/") for k in shapes})
+        shapes = vector_shapes(c)
+        _vectors(w, batches(all_vectors(c), "name", "i"), shapes, {k: k.replace("obsm/", "col_attrs/").replace("varm/", "row_attrs/") for k in shapes})
         for top, file in (("obsp", "col_graphs"), ("varp", "row_graphs")):
             at, open_ = None, []
             for part in batches(c.tables[top].select("key", "i", "j", F.col("w").cast("double").alias("w")), "key", "i", "j"):

@@ -408,7 +408,7 @@ def read_tree(spark: SparkSession, path: str, components: Iterable[str] | None =
                 levels += [(top, c, k, str(v), ordered) for k, v in enumerate(store.array(Z.join(key, "categories")).read().tolist())]
     obs, var = read("obs"), read("var")
     if check:
-        obs, var = unique_names(obs, "obs"), unique_names(var, "var")
+        obs, var = at_once(spark, lambda: unique_names(obs, "obs"), lambda: unique_names(var, "var"))
         if include_x:
             warn_fractional(store, place if store.kind(place) is not None else main)
     facts = dict(store.attrs("")) | {"counts_from": place, "x_holds": "counts" if place == "X" else "data"}
@@ -564,14 +564,19 @@ def matrix_shape_of(name: str, shape: tuple[int, int], at: str = "") -> tuple[in
     return (shape[0],) * 2 if top == "obsp" else (shape[1],) * 2 if top == "varp" else shape
 
 
-def all_vectors(c: Container, at: str = "") -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """(name, i, vec) of embeddings and loadings, and rows and columns of each."""
+def all_vectors(c: Container, at: str = "") -> DataFrame:
+    """(name, i, vec) of embeddings and loadings."""
     out = None
     for top in ("obsm", "varm"):
         own = c.tables[top].select(F.concat(F.lit(f"{at}{top}/"), "key").alias("name"), F.col(f"{top[:3]}_idx").alias("i"), F.col("vec").cast("array<double>").alias("vec"))
         out = own if out is None else out.unionByName(own)
-    sizes = out.groupBy("name").agg(F.max(F.size("vec")).alias("k")).collect()  # a row a key
-    return out, {r.name: (c.shape[r.name[len(at) :].startswith("varm")], max(1, r.k)) for r in sizes}
+    return out
+
+
+def vector_shapes(c: Container, at: str = "") -> dict[str, tuple[int, int]]:
+    """Rows and columns of what all_vectors() names."""
+    sizes = all_vectors(c, at).groupBy("name").agg(F.max(F.size("vec")).alias("k")).collect()  # a row a key
+    return {r.name: (c.shape[r.name[len(at) :].startswith("varm")], max(1, r.k)) for r in sizes}
 
 
 def at_once(spark: SparkSession, *calls) -> list:
@@ -703,7 +708,7 @@ def write_zarr(c: Container, path: str, overwrite: bool = False, codec: str = "z
         sink.group(top, {"encoding-type": "dict", "encoding-version": "0.1.0"})
     at_once(
         c.spark, lambda: sink.matrices(all_matrices(c), c.shape), lambda: sink.frame(c.obs, "obs", c.shape[0], c.levels), lambda: sink.frame(c.var, "var", c.shape[1], c.levels),
-        lambda: sink.vectors(*all_vectors(c)),
+        lambda: sink.vectors(all_vectors(c), vector_shapes(c)),
     )
     write_uns(((r.path, r.value) for r in c.uns.orderBy("path").toLocalIterator()), sink.group, sink.put)
     write_spatial(c.tables, sink.group, sink.put, lambda *what: ZarrGrowing(sink.store, sink.how, *what), batches)
