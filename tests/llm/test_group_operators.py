@@ -258,3 +258,22 @@ def test_mixing_long_texts_and_components_without_edges(spark):
     out = mix_sources(docs, repetition=2.0).collect()
     assert {r.doc_id: r.tokens for r in out} == {1: 750_000, 2: 1}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_dedup_whole_table(spark):
+    """All documents of sf0.01 against all pairs: recall is 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = {r.doc_id: shingles(r.text, 4) for r in rows}
+    order = sorted((k for k in sets if sets[k]), key=lambda k: len(sets[k]))
+    near = []
+    for at, a in enumerate(order):
+        for b in order[at + 1 :]:
+            if 80 * len(sets[b]) > 100 * len(sets[a]):
+                break
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                near.append((a, b))
+    root = roots(near, sets)
+    assert len(near) > 100
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(docs, shingle=4).collect()} == {k: (len(s), root[k], root[k] == k) for k, s in sets.items()}
