@@ -11,6 +11,8 @@ from .container import Container, names_in
 from .registry import COSMX_FILES, XENIUM_FILES
 
 
+#: Fixed value: how the file of outlines ends.
+POLYGONS = "-polygons.csv"
 #: Names that a dense index is split at, and names sampled for one of them.
 SPLITS, SAMPLED = 256, 16
 
@@ -34,7 +36,8 @@ def _index(df: DataFrame, name: str, idx: str) -> DataFrame:
 
 
 def read_cosmx(spark: SparkSession, path: str) -> Container:
-    """Counts, metadata, positions and molecules of a bundle; cells are those in both counts and metadata."""
+    """Counts, metadata, centroids, outlines and molecules of a bundle; cells are those in all of counts, metadata and, if
+    there are outlines, these."""
     files = _found(spark, path, COSMX_FILES)
     if len(files) < 2 or COSMX_FILES[0] not in files or COSMX_FILES[1] not in files:
         raise DataError(f"{path} is no CosMx bundle: it has {sorted(files)}")
@@ -44,18 +47,43 @@ def read_cosmx(spark: SparkSession, path: str) -> Container:
     meta = read(COSMX_FILES[1]).withColumn("obs_id", cell)
     meta = meta.withColumnsRenamed({c: c.replace(".", "_") for c in meta.columns})
     genes = [c for c in counts.columns if c not in ("fov", "cell_ID", "obs_id")]
-    obs = _index(meta.join(counts.select("obs_id"), "obs_id", "left_semi"), "obs_id", "obs_idx")
+    both = meta.join(counts.select("obs_id"), "obs_id", "left_semi")
+    drawn = [f"{path}/{n}" for n in names_in(spark, path) if n.endswith(POLYGONS)]
+    if drawn:
+        polygons = spark.read.csv(drawn, header=True, inferSchema=True)
+        ident = "cellID" if "cellID" in polygons.columns else "cell_ID"
+        polygons = polygons.withColumn("obs_id", F.concat_ws("_", F.col(ident).cast("string"), F.col("fov").cast("string")))
+        both = both.join(polygons.select("obs_id").distinct(), "obs_id", "left_semi")
+    obs = _index(both, "obs_id", "obs_idx")
     obs = obs.select("obs_idx", "obs_id", *[c for c in obs.columns if c not in ("obs_idx", "obs_id")])
     var = spark.createDataFrame(list(enumerate(genes)), "var_idx long, var_id string")
     long = counts.select("obs_id", *[F.col(f"`{g}`").cast("double").alias(g) for g in genes]).unpivot(["obs_id"], genes, "var_id", "value").filter("value <> 0")
     matrix = long.join(obs.select("obs_idx", "obs_id"), "obs_id").join(var, "var_id").select(F.lit("X").alias("layer"), "obs_idx", "var_idx", "value")
     c = Container.of(spark, (obs.count(), len(genes)), {"format": "cosmx"}, obs=obs, var=var, matrix=matrix)
-    c.tables["centroids"] = obs.select("obs_idx", F.col("CenterX_global_px").alias("x"), F.col("CenterY_global_px").alias("y"))
+    c.tables["boundaries"] = _centroids(obs, "CenterX_global_px", "CenterY_global_px")
+    if drawn:
+        c.tables["boundaries"] = c.tables["boundaries"].unionByName(_polygons(polygons, obs, "x_global_px", "y_global_px"))
     if COSMX_FILES[3] in files:
-        c.tables["molecules"] = read(COSMX_FILES[3]).select(F.col("target").alias("gene"), F.col("x_global_px").alias("x"), F.col("y_global_px").alias("y"))
+        c.tables["molecules"] = _molecules(read(COSMX_FILES[3]), "target", "x_global_px", "y_global_px")
     return c
 
 
+def _centroids(obs: DataFrame, x: str, y: str) -> DataFrame:
+    return obs.select(F.lit("fov").alias("library"), F.lit("centroids").alias("boundary"), F.lit("Centroids").alias("type"), F.col("obs_idx").alias("cell_idx"), F.col("obs_id").alias("cell"), F.lit(0).cast("long").alias("vertex"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+
+def _polygons(rows: DataFrame, obs: DataFrame, x: str, y: str) -> DataFrame:
+    """rows: obs_id and vertices in the order of the file."""
+    at = rows.withColumn("__at", F.monotonically_increasing_id())
+    vertex = (F.row_number().over(Window.partitionBy("obs_id").orderBy("__at")) - 1).cast("long")
+    drawn = at.withColumn("vertex", vertex).select("obs_id", "vertex", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).join(obs.select("obs_idx", "obs_id"), "obs_id")
+    return drawn.select(F.lit("fov").alias("library"), F.lit("segmentation").alias("boundary"), F.lit("Segmentation").alias("type"), F.col("obs_idx").alias("cell_idx"), F.col("obs_id").alias("cell"), "vertex", "x", "y")
+
+
+def _molecules(rows: DataFrame, gene: str, x: str, y: str) -> DataFrame:
+    return rows.select(F.lit("fov").alias("library"), F.lit("molecules").alias("set"), F.monotonically_increasing_id().alias("pos"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(gene).cast("string").alias("gene"))
+
+
 def read_xenium(spark: SparkSession, path: str, min_quality: float = 20.0) -> Container:
     """Counts from the matrix file if the bundle has one, else from transcripts of at least min_quality (the vendor's own
     limit) that are assigned to a cell; cells, boundaries and molecules as tables."""
@@ -73,9 +101,13 @@ def read_xenium(spark: SparkSession, path: str, min_quality: float = 20.0) -> Co
         var = _index(sums.select("var_id").distinct(), "var_id", "var_idx").select("var_idx", "var_id")
     matrix = sums.join(obs.select("obs_idx", "obs_id"), "obs_id").join(var, "var_id").select(F.lit("X").alias("layer"), "obs_idx", "var_idx", "value")
     c = Container.of(spark, (obs.count(), var.count()), {"format": "xenium"}, obs=obs.select("obs_idx", "obs_id", *[x for x in cells.columns if x != "obs_id"]), var=var, matrix=matrix)
-    c.tables["molecules"] = found.select(F.col("feature_name").alias("gene"), F.col("x_location").alias("x"), F.col("y_location").alias("y"))
+    c.tables["molecules"] = _molecules(found, "feature_name", "x_location", "y_location")
+    parts = [_centroids(c.obs, "x_centroid", "y_centroid")] if {"x_centroid", "y_centroid"} <= {*cells.columns} else []
     if "cell_boundaries.parquet" in files:
-        c.tables["boundaries"] = spark.read.parquet(files["cell_boundaries.parquet"])
+        edges = spark.read.parquet(files["cell_boundaries.parquet"]).withColumn("obs_id", F.col("cell_id").cast("string"))
+        parts.append(_polygons(edges, c.obs, "vertex_x", "vertex_y"))
+    if parts:
+        c.tables["boundaries"] = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return c
 
 

@@ -218,6 +218,32 @@ def test_cosmx(spark, tmp_path):
     c = formats.load(spark, str(tmp_path))
     assert [r.obs_id for r in c.obs.orderBy("obs_idx").collect()] == ["1_1", "1_2", "2_1"] and c.shape == (3, 2)
     assert {(r.obs_idx, r.var_idx): r.value for r in c.matrix.collect()} == {(0, 0): 2, (1, 0): 1, (1, 1): 1, (2, 1): 3}
+    (tmp_path / "s_tx_file.csv").write_text("fov,cell_ID,x_global_px,y_global_px,target\n1,1,1,2,GeneA\n1,2,3,4,GeneB\n")
+    (tmp_path / "s-polygons.csv").write_text("fov,cellID,x_global_px,y_global_px\n" + "".join(f"1,{c},{c + v},{v}\n" for c in (2, 1) for v in range(3)))
+    c = formats.load(spark, str(tmp_path))
+    assert [r.obs_id for r in c.obs.orderBy("obs_idx").collect()] == ["1_1", "2_1"]
+    formats.save(c, f"{tmp_path}/a.h5ad")
+    t = formats.load(spark, f"{tmp_path}/a.h5ad").tables
+    assert sorted((r.cell, r.vertex, r.x, r.y) for r in t["boundaries"].filter("type = 'Segmentation'").collect()) == [(f"{c}_1", v, c + v, v) for c in (1, 2) for v in range(3)]
+    assert sorted((r.gene, r.x) for r in t["molecules"].collect()) == [("GeneA", 1), ("GeneB", 3)] and t["boundaries"].filter("type = 'Centroids'").count() == 2
+
+
+def test_xenium(spark, tmp_path):
+    bundle = f"{tmp_path}/x"
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{bundle}/{name}.parquet")
+    put("cells", [("b", 1.0, 2.0), ("a", 3.0, 4.0)], "cell_id string, x_centroid double, y_centroid double")
+    put("transcripts", [("a", "G1", 1.0, 1.0, 30.0), ("a", "G1", 1.0, 2.0, 40.0), ("a", "G2", 1.0, 2.0, 5.0), ("b", "G2", 0.0, 0.0, 20.0), ("UNASSIGNED", "G1", 0.0, 0.0, 40.0)], "cell_id string, feature_name string, x_location double, y_location double, qv double")
+    put("cell_boundaries", [("a", float(v), 0.0) for v in range(3)], "cell_id string, vertex_x double, vertex_y double")
+    c = formats.load(spark, bundle)
+    assert [r.obs_id for r in c.obs.orderBy("obs_idx").collect()] == ["a", "b"] and {(r.obs_idx, r.var_idx): r.value for r in c.matrix.collect()} == {(0, 0): 2, (1, 1): 1}
+    assert c.tables["molecules"].count() == 5 and c.tables["boundaries"].filter("type = 'Segmentation' and cell_idx = 0").count() == 3
+    with Writer(f"{tmp_path}/x/cell_feature_matrix.h5") as w:
+        w.dataset("matrix/barcodes", [["b", "a"]], [2], "string")
+        w.dataset("matrix/features/name", [["G1", "G2", "G3"]], [3], "string")
+        for k, v in (("indptr", [0, 1, 3]), ("indices", [2, 0, 1]), ("data", [7, 1, 4])):
+            w.dataset(f"matrix/{k}", [np.array(v)], [len(v)], "<i4")
+    c = formats.load(spark, bundle)
+    assert c.shape == (2, 3) and {(r.obs_idx, r.var_idx): r.value for r in c.matrix.collect()} == {(1, 2): 7, (0, 0): 1, (0, 1): 4}
 
 
 def test_h5mu_modalities_are_not_dropped(spark, box, tmp_path):
