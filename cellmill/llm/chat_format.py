@@ -124,18 +124,17 @@ def depths(links: DataFrame) -> DataFrame:
     nodes = links.select(F.col("node").alias("p"))
     state = links.join(nodes, F.col("parent") == F.col("p"), "left").select("node", F.col("p").alias("up"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     state = materialise(state)
-    rounds, total = 0, state.count()
-    active = state.filter("up is not null")
+    total, rounds = state.count(), 0
+    done, active = state.filter("up is null"), state.filter("up is not null")
     while not active.isEmpty():
         if 2**rounds > total:  # longer than any path without a cycle
-            return state.select("node", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        # only what hasn't reached a root moves on
-        moved = active.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        state = materialise(moved.unionByName(state.filter("up is null")))
-        active = state.filter("up is not null")
+            return done.select("node", "depth").union(active.select("node", F.lit(None).cast("long")))
+        above = done.union(active).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        # only what hasn't reached a root moves on, and is written again
+        moved = materialise(active.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        done, active = done.union(moved.filter("up is null")), moved.filter("up is not null")
         rounds += 1
-    return state.select("node", "depth")
+    return done.select("node", "depth")
 
 
 def link_tools(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
