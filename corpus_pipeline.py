@@ -16,7 +16,7 @@ from cellmill.llm.mixing import mix_sources
 from cellmill.llm.near_dedup import drop_near
 from cellmill.llm.quality import score_quality
 from cellmill.llm.queries import REPETITION
-from cellmill.llm.shared import materialise, table
+from cellmill.llm.shared import free, materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +52,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources to target weights", mix),
 ]
 
-#: A trained classifier and near copies can't be expressed in SQL; tests compare with a brute-force version.
+#: A trained classifier and near copies can't be expressed in SQL; tests/llm/test_pipeline.py goes through rows and pairs.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        if before is not None:
+            free(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
