@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -155,7 +156,8 @@ def counts_for(path: str, frequent) -> Counts:
 
 def frequent_counts(docs: DataFrame, text_col: str, path: str) -> dict[str, int]:
     """Token counts of the FREQUENT most frequent pre-tokens of all documents. A task keeps SUMMARY pre-tokens at most: the
-    rarer half goes when there are more, so a frequent one is undercounted at worst, and no text's count depends on it."""
+    rarest go until half are left when there are more, so a frequent one is undercounted at worst, and no text's count
+    depends on it."""
 
     def tally(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -164,9 +166,11 @@ def frequent_counts(docs: DataFrame, text_col: str, path: str) -> dict[str, int]
                 if text:
                     # words stand for the commonest pre-tokens, a space with letters after it; splitting is far cheaper
                     seen.update([w for w in text.replace(MARK, " ").replace("\n", " ").split(" ") if 0 < len(w) < 64])
-                    if len(seen) > SUMMARY:
-                        seen = Counter(dict(seen.most_common(SUMMARY // 2)))
-        top = seen.most_common(FREQUENT)
+                    least = 0
+                    while len(seen) > SUMMARY >> (least > 0):
+                        least += 1
+                        seen = Counter({w: n for w, n in seen.items() if n > least})
+        top = sorted(seen.items(), key=itemgetter(1), reverse=True)[:FREQUENT]
         yield pd.DataFrame({"token": [f" {t}" for t, _ in top], "n": [n for _, n in top]})
 
     model = Counts(path, {})
