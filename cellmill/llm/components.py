@@ -81,7 +81,7 @@ def links(members: DataFrame, sets: DataFrame, percent: int, confirm: Callable[[
         at = members.withColumn("component", F.col("key")) if labels is None else members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         at = materialise(at)
         if turn < PIVOT_ROUNDS:
-            rank = F.xxhash64("key", "band", F.lit(turn))  # other pivots in each band: a member meets many
+            rank = F.xxhash64("key", F.lit(turn))  # the same in each band: buckets of one group share few pivots, so a member meets few
             pivots = at.groupBy("band").agg(F.min_by(F.struct("key", "component", "n"), F.struct(rank, "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
             pivots = materialise(pivots.select("band", F.col("p.key").alias("a"), F.col("p.component").alias("of"), F.col("p.n").alias("m")))
             pairs = at.join(pivots, "band").filter((F.col("component") != F.col("of")) & similar_size("n", "m", percent)).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))

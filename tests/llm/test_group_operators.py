@@ -7,8 +7,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from cellmill.llm import near_dedup as near_module
 from cellmill.llm.chat_format import argument_errors, canonical, depths, link_tools
-from cellmill.llm.components import components
+from cellmill.llm.components import components, confirmed, links
 from cellmill.llm.line_dedup import line_dedup
 from cellmill.llm.mixing import mix_sources
 from cellmill.llm.near_dedup import BINS, drop_near, near_dedup, sketch
@@ -277,3 +278,25 @@ def test_near_dedup_whole_table(spark):
     root = roots(near, sets)
     assert len(near) > 100
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(docs, shingle=4).collect()} == {k: (len(s), root[k], root[k] == k) for k, s in sets.items()}
+
+
+def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Each member of a group meets a few pivots, not one in each of its bands."""
+    random.seed(21)
+    word = lambda: "".join(random.choices("abcdefgh", k=5))
+    base = [word() for _ in range(200)]
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        own[random.randrange(200)] = word()
+        texts.append(" ".join(own))
+    made = []
+
+    def counted(pairs, sets, percent):
+        made.append(pairs.count())
+        return confirmed(pairs, sets, percent)
+
+    monkeypatch.setattr(near_module, "links", lambda members, sets, percent: links(members, sets, percent, counted))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in near_dedup(docs, shingle=4).collect()} == {0}
+    assert sum(made) < 8 * len(texts)
