@@ -13,6 +13,7 @@ from cellmill.llm.components import components, confirmed, links
 from cellmill.llm.line_dedup import line_dedup
 from cellmill.llm.mixing import mix_sources
 from cellmill.llm.near_dedup import BINS, drop_near, near_dedup, sketch
+from cellmill.llm.shared import free, materialise
 
 
 def shingles(text, n):
@@ -280,6 +281,14 @@ def test_near_dedup_whole_table(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(docs, shingle=4).collect()} == {k: (len(s), root[k], root[k] == k) for k, s in sets.items()}
 
 
+def test_materialise_leaves_no_shuffle_files(spark):
+    shuffles = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    before = shuffles()
+    made = materialise(spark.range(1000).repartition(3, "id"))
+    assert shuffles() <= before and made.count() == 1000
+    free(made)
+
+
 def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     """Each member of a group meets a few pivots, not one in each of its bands."""
     random.seed(21)
