@@ -150,7 +150,7 @@ def _put(w: Writer, key: str, value: np.ndarray, attributes: dict) -> None:
 
 
 def _uns(w: Writer, c: Container, top: str) -> None:
-    write_uns(((r.path, r.value) for r in c.uns.orderBy("path").toLocalIterator()), w.group, lambda key, value, attributes: _put(w, key, value, attributes), top)
+    write_uns(((r.path, r.value) for r in c.uns.orderBy("path").toLocalIterator()), w.group, lambda key, value, attributes: _put(w, key, value, attributes), top, w.finish)
     write_spatial(c.tables, w.group, lambda key, value, attributes: _put(w, key, value, attributes), w.grow, batches, f"{top}/spatial")
 
 

@@ -8,9 +8,12 @@ A row is a leaf. Scalars, lists of one type and rectangular nested lists of numb
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 from . import zarr_store as Z
 
@@ -20,6 +23,10 @@ _PARTS = {
     "nullable-boolean": ("values", "mask"), "nullable-string-array": ("values", "mask"),
 }
 
+ENCODED = {"null", "dataframe", *_PARTS}
+#: Children of a group beyond which tasks read it, parts that it is cut into at most, and rows given at once.
+WIDE, RANGES, BATCH = 1000, 64, 4096
+
 Group = Callable[[str, dict], None]
 Put = Callable[[str, np.ndarray, dict], None]
 
@@ -50,30 +57,71 @@ def _node(tree, key: str):
     return None
 
 
-def read_uns(tree, top: str = "uns", skip=None) -> list[tuple[str, str]]:
-    """skip: a pattern of paths that are read elsewhere."""
-    out: list[tuple[str, str]] = []
+def leaves(tree, key: str, path: str, skip=None) -> Iterator[tuple[str, str]]:
+    """(path, value as JSON) of all that stands at a key and below it. skip: a pattern of paths that are read elsewhere."""
+    if skip is not None and skip.match(path):
+        return
+    if tree.kind(key) == "array":
+        yield path, json.dumps(_value(tree, key))
+    elif (whole := _node(tree, key)) is not None:
+        yield path, json.dumps(whole)
+    else:
+        below = tree.children(key)
+        if not below and path:
+            yield path, "{}"
+        for name in below:
+            yield from leaves(tree, Z.join(key, name), f"{path}/{name}" if path else name, skip)
+
+
+def _work(tree, top: str, skip) -> list[tuple[str, str, int, int]]:
+    """(key, path, begin, end): parts of the tree of about WIDE nodes, each a range of a group's children (end -1: all of
+    the node). Only groups of few children are entered."""
+    out: list[tuple[str, str, int, int]] = []
 
     def walk(key: str, path: str) -> None:
-        if skip is not None and skip.match(path):
-            return
-        if tree.kind(key) == "array":
-            out.append((path, json.dumps(_value(tree, key))))
-            return
-        if (whole := _node(tree, key)) is not None:
-            out.append((path, json.dumps(whole)))
+        if len(out) >= WIDE or tree.kind(key) == "array" or (skip is not None and skip.match(path)) or tree.attrs(key).get("encoding-type") in ENCODED:
+            out.append((key, path, 0, -1))
             return
         below = tree.children(key)
-        if not below and path:
-            out.append((path, "{}"))
-        for name in below:
-            walk(Z.join(key, name), f"{path}/{name}" if path else name)
+        if len(below) > WIDE:
+            step = max(WIDE, -(-len(below) // RANGES))
+            out.extend((key, path, k, min(len(below), k + step)) for k in range(0, len(below), step))
+        elif not below:
+            out.append((key, path, 0, -1))
+        else:
+            for name in below:
+                walk(Z.join(key, name), f"{path}/{name}" if path else name)
 
     if tree.kind(top) == "group":
         walk(top, "")
     return out
 
 
+def uns_frame(spark: SparkSession, tree, top: str = "uns", skip=None) -> DataFrame:
+    """The rows path, value. A tree of few nodes is read here; a larger one by tasks, each ranges of its nodes."""
+    work, schema = _work(tree, top, skip), "path string, value string"
+
+    def read(unit: tuple[str, str, int, int]) -> Iterator[tuple[str, str]]:
+        key, path, begin, end = unit
+        if end < 0:
+            yield from leaves(tree, key, path, skip)
+            return
+        for name in tree.children(key)[begin:end]:
+            yield from leaves(tree, Z.join(key, name), f"{path}/{name}" if path else name, skip)
+
+    if len(work) < WIDE and all(end < 0 for *_, end in work):
+        return spark.createDataFrame([row for unit in work for row in read(unit)], schema)
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in part.column(0).to_pylist():
+                found = read(work[k])
+                while held := list(islice(found, BATCH)):
+                    yield pa.record_batch([pa.array([r[0] for r in held], pa.string()), pa.array([r[1] for r in held], pa.string())], ["path", "value"])
+
+    return spark.range(0, len(work), 1, min(len(work), RANGES)).mapInArrow(rows, schema)
+
+
 def _array(value) -> np.ndarray | None:
     """The array that gives this value back as it is, if there is one."""
     if isinstance(value, str):
@@ -91,7 +139,10 @@ def _array(value) -> np.ndarray | None:
     return out
 
 
-def write_uns(rows: Iterable[tuple[str, str]], group: Group, put: Put, top: str = "uns") -> None:
+def write_uns(rows: Iterable[tuple[str, str]], group: Group, put: Put, top: str = "uns", finish: Callable[[str], None] | None = None) -> None:
+    """rows in the order of their paths. finish: called for each group after its last row (not for those of spatial
+    pieces, which others add to)."""
+
     def text(key: str, value) -> None:
         put(key, np.array(json.dumps(value), dtype=object), {"encoding-type": MARK, "encoding-version": "0.1.0"})
 
@@ -117,8 +168,15 @@ def write_uns(rows: Iterable[tuple[str, str]], group: Group, put: Put, top: str
             text(key, value)
 
     group(top, {"encoding-type": "dict", "encoding-version": "0.1.0"})
+    inside: list[str] = []
     for path, value in rows:
-        parts = path.split("/")
-        for k in range(1, len(parts)):
-            group("/".join([top, *parts[:k]]), {"encoding-type": "dict", "encoding-version": "0.1.0"})
+        parts = path.split("/")[:-1]
+        same = next((k for k, (a, b) in enumerate(zip(inside, parts, strict=False)) if a != b), min(len(inside), len(parts)))
+        while len(inside) > same:
+            if finish is not None and inside[0] != "spatial":
+                finish("/".join([top, *inside]))
+            inside.pop()
+        for name in parts[same:]:
+            inside.append(name)
+            group("/".join([top, *inside]), {"encoding-type": "dict", "encoding-version": "0.1.0"})
         leaf(f"{top}/{path}", json.loads(value))

@@ -28,8 +28,9 @@ from ..operators.order import running_sum
 from ..operators.verify import counts_place
 from . import zarr_store as Z
 from .container import SCHEMAS, Container, replace_dir
+from .hdf5 import slices
 from .spatial import HELD, ZarrGrowing, pixels, read_spatial, write_spatial
-from .uns import read_uns, write_uns
+from .uns import uns_frame, write_uns
 
 #: BUCKET: rows of a matrix whose entries are ordered in one task.
 ROWS, CHUNK, BUCKET = 4096, 1 << 16, 512
@@ -276,11 +277,9 @@ class ZarrReader(DataSourceReader):
     def _matrix(self, key: str, a: int, b: int) -> Iterator[pa.RecordBatch]:
         store = self.store
         if self.layout is None:
-            dense = store.array(key).read(a, b)
-            major, minor = np.nonzero(dense)
-            value = dense[major, minor]
-            major = major + a
-        elif self.layout["kind"] == "coo":
+            yield from self._dense(store.array(key), a, b)
+            return
+        if self.layout["kind"] == "coo":
             major, minor, value = (store.array(Z.join(key, x)).read(a, b) for x in ("row", "col", "data"))
         else:
             names = self.layout["names"]
@@ -292,6 +291,21 @@ class ZarrReader(DataSourceReader):
                 raise DataError(f"{key}: indptr ends at {ptr[-1]}, there are {data.shape[0]} values")
             value, minor = data.read(int(ptr[0]), int(ptr[-1])), indices.read(int(ptr[0]), int(ptr[-1]))
             major = np.repeat(np.arange(a, b), np.diff(ptr))
+        yield from self._rows(major, minor, value)
+
+    def _dense(self, array, a: int, b: int) -> Iterator[pa.RecordBatch]:
+        """A block at a time, so that a wide matrix is never held by whole rows of a partition."""
+        held, size = [], 0
+        for part in getattr(array, "entries", lambda a, b: slices(array, a, b))(a, b):
+            held.append(part)
+            size += len(part[2])
+            if size >= CHUNK:
+                yield from self._rows(*[np.concatenate(x) for x in zip(*held, strict=True)])
+                held, size = [], 0
+        if size:
+            yield from self._rows(*[np.concatenate(x) for x in zip(*held, strict=True)])
+
+    def _rows(self, major: np.ndarray, minor: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows, cols = (minor, major) if self.swap else (major, minor)
         for at in range(0, len(value), CHUNK):
             s = slice(at, at + CHUNK)
@@ -396,7 +410,7 @@ def read_tree(spark: SparkSession, path: str, components: Iterable[str] | None =
     tables = {
         "obsm": keyed("obsm", chosen("obsm", obsm, n, False)), "varm": keyed("varm", chosen("varm", None, p, False)),
         "obsp": keyed("obsp", chosen("obsp", obsp, n, True)), "varp": keyed("varp", chosen("varp", None, p, True)),
-        "uns": spark.createDataFrame(read_uns(store, skip=HELD), "path string, value string") if asked("uns") else None,
+        "uns": uns_frame(spark, store, skip=HELD) if asked("uns") else None,
     }
     drawn = read_spatial(spark, store) if asked("uns") or asked("spatial") else {}
     levels = [] if not hasattr(store, "levels") else store.levels()

@@ -460,3 +460,14 @@ def test_cell_bins_file(spark, monkeypatch):
     c = h.read_cellbin_gef(spark, "x.cellbin.gef")
     assert {(r.obs_idx, r.var_idx): r.value for r in c.matrix.collect()} == {(0, 0): 3, (0, 1): 1, (1, 1): 9} and c.obs.orderBy("obs_idx").first().x == 5
     assert list_formats()["cellbin.gef"] == (True, False)
+
+
+def test_uns_of_many_small_groups(spark, tmp_path):
+    """A leaf takes some hundred bytes, whatever the number of groups beside it; tasks read a wide group."""
+    rows = [(f"props/{k // 4}/{k % 4}", f'"t{k % 7}"') for k in range(5000)] + [("props-x", "[1, 2]"), ("zero", "{}"), ("long", '"' + "x" * 5000 + '"')]
+    one = lambda axis, name: spark.createDataFrame([(0, name)], f"{axis}_idx long, {axis}_id string")
+    c = Container.of(spark, (1, 1), obs=one("obs", "c"), var=one("var", "g"), uns=spark.createDataFrame(rows, "path string, value string"))
+    path = f"{tmp_path}/many.h5ad"
+    formats.save(c, path)
+    assert os.path.getsize(path) < 5000 * 1000
+    assert sorted(map(tuple, formats.load(spark, path).uns.collect())) == sorted(rows)
