@@ -471,3 +471,15 @@ def test_uns_of_many_small_groups(spark, tmp_path):
     formats.save(c, path)
     assert os.path.getsize(path) < 5000 * 1000
     assert sorted(map(tuple, formats.load(spark, path).uns.collect())) == sorted(rows)
+
+
+def test_loom_of_a_sparse_matrix(spark, tmp_path):
+    """Tiles without entries take no room; those at the edges and values beside them come back."""
+    n, p = 2999, 3001
+    entries = [("X", 0, 0, 1.5), ("X", n - 1, p - 1, 2.0), ("X", 127, 128, 3.0), ("X", 128, 127, 4.0), ("X", n - 1, 0, 5.0), ("counts", 1000, 2000, 7.0)]
+    axis = lambda name, size: spark.range(size).select(F.col("id").alias(f"{name}_idx"), F.format_string(f"{name}%d", "id").alias(f"{name}_id"))
+    c = Container.of(spark, (n, p), obs=axis("obs", n), var=axis("var", p), matrix=spark.createDataFrame(entries, "layer string, obs_idx long, var_idx long, value double"))
+    path = f"{tmp_path}/sparse.loom"
+    formats.save(c, path)
+    assert os.path.getsize(path) < 2_000_000
+    assert sorted(map(tuple, formats.load(spark, path, check=False).matrix.select("layer", "obs_idx", "var_idx", "value").collect())) == sorted(entries)
