@@ -1,8 +1,10 @@
-"""Connected components over an edge table: distributed union-find by minimum hooking and pointer jumping.
+"""Connected components over an edge table: distributed minimum hooking with contraction.
 
-Each round hooks the root of a node's tree to the smallest label among its neighbours and then halves the paths; the
-labels are written to the shared folder, so lineage stays short and both sides of each join have exchanges of their own
-(adaptive execution splits a hub's rows). Stops when no label changes; a path of n nodes takes about log2(n) rounds.
+Each round hooks every node to its smallest neighbour, shortens the paths to the roots and replaces the edges by those
+between different roots. So an edge is joined once in a round and seldom outlives the first one, and a node with an edge
+is in a tree of two or more after two rounds: there are 2 log2(n) at most. Tables of a round are written to the shared
+folder, so lineage stays short and both sides of each join have exchanges of their own (adaptive execution splits a
+hub's rows).
 """
 
 from __future__ import annotations
@@ -33,23 +35,32 @@ def bounded(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b of one orderable type. Returns node, component (the smallest node reachable); nodes without edges
     are not in it."""
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    labels = last = materialise(labels)
-    while True:
-        # the smallest label among each node's neighbours, offered to the node and to its root
-        near = both.join(labels.withColumnsRenamed({"node": "b", "root": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
-        offers = near.join(labels.withColumnRenamed("node", "a"), "a")
-        offers = offers.select(F.col("a").alias("node"), "near").union(offers.select(F.col("root").alias("node"), "near")).groupBy("node").agg(F.min("near").alias("near"))
-        hooked = materialise(labels.join(offers, "node", "left").select("node", "root", F.least("root", "near").alias("new")))
-        jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        after = hooked.join(jump, "new", "left").select("node", "root", F.least("new", "far").alias("new"))
-        after = materialise(after)
-        free(hooked, last)
-        labels, last = after.select("node", F.col("new").alias("root")), after
-        if after.filter("root <> new").isEmpty():
-            free(both)
-            return labels.withColumnRenamed("root", "component")
+    left = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds = []
+    while not (rounds and left.isEmpty()):
+        ends = left.select(F.col("a").alias("node"), "b").union(left.select(F.col("b").alias("node"), F.col("a").alias("b")))
+        trees = ends.groupBy("node").agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root"))
+        trees = materialise(trees.withColumn("moved", F.col("root") != F.col("node")))
+        while not trees.filter("moved").isEmpty():  # what a jump doesn't move has reached its root
+            jump = trees.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            after = trees.filter("moved").select("node", "root").join(jump, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved"))
+            after = materialise(after.union(trees.filter("not moved")))
+            free(trees)
+            trees = after
+        rounds.append(trees)
+        over = left.join(trees.select(F.col("node").alias("b"), F.col("root").alias("q")), "b").join(trees.select(F.col("node").alias("a"), F.col("root").alias("p")), "a")
+        over = materialise(over.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+        free(left)
+        left = over
+    free(left)
+    labels = rounds.pop()
+    while rounds:  # a root of one round is a node of the next one, if it has edges there
+        own = rounds.pop()
+        later = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        out = materialise(own.join(later, "root", "left").select("node", F.coalesce("far", "root").alias("root")))
+        free(own, labels)
+        labels = out
+    return labels.select("node", F.col("root").alias("component"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -309,3 +309,28 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.component_id for r in near_dedup(docs, shingle=4).collect()} == {0}
     assert sum(made) < 8 * len(texts)
+
+
+def join_rows(spark, run):
+    """Rows that the joins of all queries within run() make, from Spark's own metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made, runs = 0, store.executionsList()
+    for k in range(before, runs.size()):
+        values, nodes = store.executionMetrics(runs.apply(k).executionId()), store.planGraph(runs.apply(k).executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())] if "Join" in node.name() else []
+            made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return made
+
+
+def test_components_join_an_edge_once(spark):
+    """Edges inside a tree are gone after one round: a hub's edges are not joined again and again."""
+    edges = [(1000, 1000 + k) for k in range(1, 400)] + [(2000 + k, 3000) for k in range(400)] + [(5000 + k, 5001 + k) for k in range(60)]
+    df = materialise(spark.createDataFrame(edges, "a long, b long"))
+    got = {}
+    made = join_rows(spark, lambda: got.update({r.node: r.component for r in components(df).collect()}))
+    assert got == roots(edges, {n for e in edges for n in e})
+    assert made < 8 * len(edges), made
