@@ -8,25 +8,29 @@ executors share.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import DataError
 from . import views
 from .container import Container
-from .hdf5 import Tiles, Tree, Writer
+from .hdf5 import SMALL, Segment, Tiles, Tree, Writer
 from .spatial import write_spatial
 from .uns import write_uns
 from .zarr import _CSR, TEXT, Columns, ahead, all_matrices, all_vectors, at_once, batches, matrix_shape_of, read_tree, vector_shapes
 
 #: Rows of an axis that are written at once where nothing stands in them.
 PART = 65536
+#: Rows of metadata, and characters of their values, that a task makes one piece of a file of.
+PIECE, LENGTH = 20_000, 1 << 23
 
 
 def read_h5ad(spark: SparkSession, path: str, components: Iterable[str] | None = None, **options) -> Container:
@@ -150,8 +154,40 @@ def _put(w: Writer, key: str, value: np.ndarray, attributes: dict) -> None:
     w.dataset(key, [value.reshape(-1).tolist() if text else value], list(value.shape), "string" if text else "bool" if value.dtype == bool else value.dtype.str, attributes)
 
 
+def _piece(rows: list[tuple[str, str]], top: str) -> pa.RecordBatch:
+    """rows in order. What the first and the last one are in may go on in other pieces and stays open."""
+    w = Segment(SMALL if len(rows) > 500 else 4096)
+    first = rows[0][0].split("/")[:-1]
+    open_ = {"/".join([top, *first[:k]]) for k in range(len(first) + 1)}
+    write_uns(rows, w.group, lambda key, value, attributes: _put(w, key, value, attributes), top, lambda key: key in open_ or w.finish(key))
+    return pa.record_batch([pa.array([x]) for x in w.close()], ["raw", "addresses", "nodes"])
+
+
 def _uns(w: Writer, c: Container, top: str) -> None:
-    write_uns(((r.path, r.value) for r in c.uns.orderBy("path").toLocalIterator()), w.group, lambda key, value, attributes: _put(w, key, value, attributes), top, w.finish)
+    """Tasks make the metadata's nodes in pieces; the file takes them as they are."""
+
+    def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in parts:
+            for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if len(held) >= PIECE or held and size + len(row[1]) > LENGTH:
+                    yield _piece(held, top)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[1])
+        if held:
+            yield _piece(held, top)
+
+    w.group(top, {"encoding-type": "dict", "encoding-version": "0.1.0"})
+    place = F.split("path", "/")  # what is in a group stands together
+    rows = c.uns.select("path", "value").repartitionByRange(int(c.spark.conf.get("spark.sql.shuffle.partitions")), place).sortWithinPartitions(place)
+    pieces = rows.mapInArrow(make, "raw binary, addresses binary, nodes string").persist(StorageLevel.DISK_ONLY)
+    try:
+        pieces.count()  # all at once; an iterator alone would have one made after another
+        for r in pieces.toLocalIterator(prefetchPartitions=True):
+            w.take(zlib.decompress(r.raw), np.cumsum(np.frombuffer(zlib.decompress(r.addresses), "<u4"), dtype=np.int64), *json.loads(r.nodes))
+    finally:
+        pieces.unpersist()
     write_spatial(c.tables, w.group, lambda key, value, attributes: _put(w, key, value, attributes), w.grow, batches, f"{top}/spatial")
 
 

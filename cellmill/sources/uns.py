@@ -69,25 +69,30 @@ def leaves(tree, key: str, path: str, skip=None) -> Iterator[tuple[str, str]]:
         below = tree.children(key)
         if not below and path:
             yield path, "{}"
+        at = (tree.places(key) if below and hasattr(tree, "places") else None) or {}
         for name in below:
+            if name in at:
+                tree.known(Z.join(key, name), at[name])  # so that this group isn't listed again after large children
             yield from leaves(tree, Z.join(key, name), f"{path}/{name}" if path else name, skip)
 
 
-def _work(tree, top: str, skip) -> list[tuple[str, str, int, int]]:
-    """(key, path, begin, end): parts of the tree of about WIDE nodes, each a range of a group's children (end -1: all of
-    the node). Only groups of few children are entered."""
-    out: list[tuple[str, str, int, int]] = []
+def _work(tree, top: str, skip) -> list[tuple[str, str, list[str] | None, list[int | None] | None]]:
+    """(key, path, children, places): parts of the tree of about WIDE nodes, each some of a group's children, with their
+    places where the tree has such (None: all of the node). Only groups of few children are entered."""
+    out: list[tuple[str, str, list[str] | None, list[int | None] | None]] = []
 
     def walk(key: str, path: str) -> None:
         if len(out) >= WIDE or tree.kind(key) == "array" or (skip is not None and skip.match(path)) or tree.attrs(key).get("encoding-type") in ENCODED:
-            out.append((key, path, 0, -1))
+            out.append((key, path, None, None))
             return
         below = tree.children(key)
         if len(below) > WIDE:
             step = max(WIDE, -(-len(below) // RANGES))
-            out.extend((key, path, k, min(len(below), k + step)) for k in range(0, len(below), step))
+            at = (tree.places(key) if hasattr(tree, "places") else None) or {}
+            for k in range(0, len(below), step):
+                out.append((key, path, below[k : k + step], [at.get(name) for name in below[k : k + step]]))
         elif not below:
-            out.append((key, path, 0, -1))
+            out.append((key, path, None, None))
         else:
             for name in below:
                 walk(Z.join(key, name), f"{path}/{name}" if path else name)
@@ -101,25 +106,27 @@ def uns_frame(spark: SparkSession, tree, top: str = "uns", skip=None) -> DataFra
     """The rows path, value. A tree of few nodes is read here; a larger one by tasks, each ranges of its nodes."""
     work, schema = _work(tree, top, skip), "path string, value string"
 
-    def read(unit: tuple[str, str, int, int]) -> Iterator[tuple[str, str]]:
-        key, path, begin, end = unit
-        if end < 0:
+    def read(key: str, path: str, children: list[str] | None, places: list[int | None] | None) -> Iterator[tuple[str, str]]:
+        if children is None:
             yield from leaves(tree, key, path, skip)
             return
-        for name in tree.children(key)[begin:end]:
+        for name, at in zip(children, places, strict=True):
+            if at is not None:
+                tree.known(Z.join(key, name), at)  # so no task lists a wide group
             yield from leaves(tree, Z.join(key, name), f"{path}/{name}" if path else name, skip)
 
-    if len(work) < WIDE and all(end < 0 for *_, end in work):
-        return spark.createDataFrame([row for unit in work for row in read(unit)], schema)
+    if len(work) < WIDE and all(unit[2] is None for unit in work):
+        return spark.createDataFrame([row for unit in work for row in read(*unit)], schema)
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for k in part.column(0).to_pylist():
-                found = read(work[k])
+            for unit in zip(*[part.column(k).to_pylist() for k in range(4)], strict=True):
+                found = read(*unit)
                 while held := list(islice(found, BATCH)):
                     yield pa.record_batch([pa.array([r[0] for r in held], pa.string()), pa.array([r[1] for r in held], pa.string())], ["path", "value"])
 
-    return spark.range(0, len(work), 1, min(len(work), RANGES)).mapInArrow(rows, schema)
+    units = spark.sparkContext.parallelize(work, min(len(work), RANGES))  # a task gets its own ones only
+    return spark.createDataFrame(units, "key string, path string, children array<string>, places array<long>").mapInArrow(rows, schema)
 
 
 def _array(value) -> np.ndarray | None:

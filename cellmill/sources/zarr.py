@@ -71,6 +71,12 @@ class Sub:
     def array(self, key: str):
         return self.tree.array(Z.join(self.prefix, key))
 
+    def places(self, key: str) -> dict[str, int] | None:
+        return self.tree.places(Z.join(self.prefix, key)) if hasattr(self.tree, "places") else None
+
+    def known(self, key: str, at: int) -> None:
+        self.tree.known(Z.join(self.prefix, key), at)
+
 
 def open_tree(path: str, prefix: str = "", view: str = "", endpoint: str | None = None, cache: str | None = None, **options):
     """A Zarr store or an HDF5 file, what is under a prefix in it, or a view of it: all answer kind, attrs, children and

@@ -483,3 +483,23 @@ def test_loom_of_a_sparse_matrix(spark, tmp_path):
     formats.save(c, path)
     assert os.path.getsize(path) < 2_000_000
     assert sorted(map(tuple, formats.load(spark, path, check=False).matrix.select("layer", "obs_idx", "var_idx", "value").collect())) == sorted(entries)
+
+
+def test_uns_in_pieces(spark, tmp_path, monkeypatch):
+    """Pieces that end anywhere give one tree; no group is listed again for each of its children."""
+    values = ['"t"', "[1, 2]", "[1, \"a\", null]", "true", '["x", "yy"]', "{}", '{"encoding": "null"}', "2.5", '{"encoding": "categorical", "categories": ["a", "b"], "codes": [0, 1], "ordered": true}']
+    rows = [(f"g{k // 40}/s-{k // 5 % 8}/{k % 5}", values[k % 9]) for k in range(400)] + [("g", "{}"), ("g-1", "1"), ("g/x", '"in g"'), ("g3", "{}"), ("wide/é", '"ü"')] + [(f"wide/{k}/v", str(k)) for k in range(1500)]
+    axis = lambda name: spark.createDataFrame([(0, name)], f"{name}_idx long, {name}_id string")
+    want = sorted((p, json.loads(v)) for p, v in rows if p not in ("g", "g3"))  # groups that have more in them
+    for piece in (7, 20_000):
+        monkeypatch.setattr("cellmill.sources.hdf5_formats.PIECE", piece)
+        c = Container.of(spark, (1, 1), obs=axis("obs"), var=axis("var"), uns=spark.createDataFrame(rows, "path string, value string"))
+        path = f"{tmp_path}/pieces{piece}.h5ad"
+        formats.save(c, path)
+        assert [(r.path, json.loads(r.value)) for r in formats.load(spark, path).uns.orderBy("path").collect()] == want
+    tree, listed = Tree(path), []
+    symbols = Tree._symbols
+    monkeypatch.setattr(Tree, "_symbols", lambda self, *a: listed.append(a[0]) or symbols(self, *a))
+    from cellmill.sources.uns import leaves
+
+    assert sum(1 for _ in leaves(tree, "uns", "")) == len(want) and len(listed) == len({*listed})
