@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import numpy as np
 import pytest
@@ -503,3 +504,29 @@ def test_uns_in_pieces(spark, tmp_path, monkeypatch):
     from cellmill.sources.uns import leaves
 
     assert sum(1 for _ in leaves(tree, "uns", "")) == len(want) and len(listed) == len({*listed})
+
+
+def test_loom_reads_the_matrix_once(spark, tmp_path):
+    """Layers are found with their tiles, which come in any order; loadings have gaps and rows of several lengths."""
+    n, p = 700, 500
+    random.seed(6)
+    made = spark.sparkContext.accumulator(0)
+    entries = sorted({(random.choice(("X", "counts")), random.randrange(n), random.randrange(p)) for _ in range(900)})
+
+    def noted(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    axis = lambda name, size: spark.range(size).select(F.col("id").alias(f"{name}_idx"), F.format_string(f"{name}%d", "id").alias(f"{name}_id"))
+    rows = spark.createDataFrame([(*e, float(k + 1)) for k, e in enumerate(entries)], "layer string, obs_idx long, var_idx long, value double")
+    vectors = {(key, k): [k * 1.0, k / 2][: 1 + k % 2] for key in ("A", "B") for k in range(3, p - 3) if k % 7}
+    varm = spark.createDataFrame([(*at, v) for at, v in vectors.items()], "key string, var_idx long, vec array<double>")
+    c = Container.of(spark, (n, p), obs=axis("obs", n), var=axis("var", p), matrix=rows.mapInArrow(noted, rows.schema), varm=varm)
+    path = f"{tmp_path}/once.loom"
+    formats.save(c, path)
+    assert made.value == len(entries)
+    got = formats.load(spark, path, check=False)
+    assert sorted(map(tuple, got.matrix.select("layer", "obs_idx", "var_idx", "value").collect())) == sorted(map(tuple, rows.collect()))
+    padded = {(key, k): [str(x) for x in (vectors.get((key, k), []) + [float("nan")] * 2)[:2]] for key in ("A", "B") for k in range(p)}
+    assert {(r.key, r.var_idx): [str(x) for x in r.vec] for r in got.varm.collect()} == padded
